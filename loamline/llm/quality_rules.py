@@ -47,7 +47,7 @@ RULES = (
     Rule("mean_word_length", "word_chars", "n_words", 2000, 15000),
     Rule("symbol_word_ratio", "n_symbols", "n_words", None, 100),
     Rule("stop_word_ratio", "n_stop_words", "n_words", 20, None),
-    Rule("duplicate_line_ratio", "n_dup_lines", "n_lines", None, 300),
+    Rule("duplicate_line_ratio", "n_dup_lines", "n_lines", None, 500),
     Rule("ellipsis_line_ratio", "n_ellipsis_lines", "n_lines", None, 300),
     Rule("bullet_line_ratio", "n_bullet_lines", "n_lines", None, 900),
 )
@@ -162,7 +162,7 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   n_stop_words::BIGINT AS n_stop_words, base_failed,
   NOT base_failed AND 1000 * word_chars >= 2000 * n_words AND 1000 * word_chars <= 15000 * n_words
     AND 1000 * n_symbols <= 100 * n_words AND 1000 * n_stop_words >= 20 * n_words
-    AND 1000 * n_dup_lines <= 300 * n_lines AND 1000 * n_ellipsis_lines <= 300 * n_lines
+    AND 1000 * n_dup_lines <= 500 * n_lines AND 1000 * n_ellipsis_lines <= 300 * n_lines
     AND 1000 * n_bullet_lines <= 900 * n_lines AS kept
 FROM f
 """
