@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from loamline.llm import quality_rules
+from loamline.llm import packing, quality_rules, token_files
 
 QUERIES = {
+    "op1_token_files": token_files.op1_token_files,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op9_packing": packing.op9_packing,
 }
 
 ORACLES = {
