@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from loamline.llm import packing, quality_rules, token_files
+from loamline.llm import license_scan, packing, quality_rules, token_files
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
+    "op2_license_scan": license_scan.op2_license_scan,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op9_packing": packing.op9_packing,
 }
 
 ORACLES = {
+    "op2_license_scan": license_scan.ORACLE,
     "op3_quality_rules": quality_rules.ORACLE,
 }
