@@ -71,3 +71,27 @@ def replace_file(path: str, parts: Iterator[bytes] | list[bytes]) -> None:
         for x in parts:
             out.write(x)
     os.replace(part, path)
+
+
+def range_bounds(df: DataFrame, key: str, text: str, range_bytes: int, most: int = 200_000) -> list[int]:
+    """Bounds that cut the rows into ranges of ``key`` with about ``range_bytes`` of ``text`` each.
+
+    They are quantiles of the key, found in one aggregate; ``most`` limits what the driver
+    holds, beyond it ranges grow instead.
+    """
+    n_bytes = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    n = int(min(most, max(1, -(-n_bytes // range_bytes))))
+    if n == 1:
+        return []
+    ranks = [k / n for k in range(1, n)]
+    return sorted(set(df.agg(F.percentile_approx(key, ranks, max(10_000, 4 * n))).first()[0] or []))
+
+
+def range_of(key: Column, bounds: list[int]) -> Column:
+    """Number of bounds that ``key`` has reached: looked up among every so many, then between two of those."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    whole, coarse = F.lit(bounds), F.lit(bounds[::step])
+    at = F.greatest(F.size(F.filter(coarse, lambda b: b <= key)) - 1, F.lit(0)) * step
+    return F.transform(F.array(at), lambda a: a + F.size(F.filter(F.slice(whole, a + 1, step), lambda b: b <= key)))[0]

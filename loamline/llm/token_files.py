@@ -24,7 +24,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import documents, local_path, replace_file, shared_dir
+from loamline.llm.common import documents, local_path, range_bounds, replace_file, shared_dir
 from loamline.llm.encoding import chunk_encoder, tokenizer_path
 
 #: Documents and bytes of each that the dictionary is trained on, and its size.
@@ -147,11 +147,8 @@ def write_token_files(df: DataFrame, tokenizer: str, end_id: int, uri: str, widt
     digest = hashlib.sha256(raw).hexdigest()
     replace_file(f"{folder}/{digest}.dict", [raw])
 
-    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_shards = int(max(1, -(-n_bytes // shard_text_bytes)))
-    ranks = [k / n_shards for k in range(1, n_shards)]
-    bounds = docs.agg(F.percentile_approx("doc_id", ranks, max(10_000, 20 * n_shards))).first()[0] if ranks else []
-    bounds = sorted(set(bounds or []))
+    bounds = range_bounds(docs, "doc_id", "text", shard_text_bytes)
+    n_shards = len(bounds) + 1
 
     def frames(batches):
         import numpy as np
