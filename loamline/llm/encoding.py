@@ -1,28 +1,32 @@
 """Encoding of texts by public tokenizers inside Spark tasks.
 
-``ChunkEncoder`` cuts a text at places that no token can span, encodes each distinct
-chunk once with the tokenizers library and keeps the ids of short chunks in a bounded
-table. The ids of a whole text are the chunks' ids in order, as the library gives them
-for the whole text.
+``ChunkEncoder`` cuts the texts of an Arrow batch at places that no token can span, finds
+the distinct chunks of the batch, encodes each once with the tokenizers library and lays
+their ids out in the order of the texts. The ids of a text are those that the library
+gives for the whole text.
 
 For the byte-level tokenizer a chunk starts at a space between two characters that are
-not white space: its pattern never matches across such a place, as only white-space runs
-hold more than a leading space. For the word tokenizer, which drops white space, every
-space or line break is such a place.
+not white space, or at such a line break: its pattern never matches across these places,
+as only white-space runs hold more than a leading space. Texts with other white space
+are cut with regard to what stands around each space. For the word tokenizer, which drops
+white space, every space or line break is such a place.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
 from functools import lru_cache
 
-#: Chunks longer than this are encoded each time, and at most so many are remembered.
+#: Chunks longer than this are encoded each time; so many are remembered before older ones go.
 _KEPT_CHARS, _KEPT_CHUNKS = 48, 400_000
 
 _SAFE_PLACE = re.compile(r"(?<=\S)(?= \S)")
-_AMBIGUOUS = re.compile(r"\s (?:\s|\Z)")
-_ASCII_AMBIGUOUS = tuple(chr(c) + " " for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32))
+#: Chunks of one or two pretokens: Latin letters, perhaps after a space, and ASCII marks but the apostrophe.
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: White space other than single spaces and line breaks between other characters (RE2).
+_ODD_SPACE = "[ \\n][ \\n]|[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 
 def tokenizer_path(name: str) -> str:
@@ -44,43 +48,116 @@ def load_tokenizer(path: str):
     return t
 
 
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the rest follow U+0100."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class ChunkEncoder:
-    """Encodes texts to ids as little-endian unsigned 32-bit integers."""
+    """Encodes texts to ids; keeps the ids of recent chunks in bounded tables.
+
+    A new chunk of one word and marks goes to the library's model word by word, any other
+    through the whole library.
+    """
 
     def __init__(self, path: str, drops_space: bool):
         self.tokenizer = load_tokenizer(path)
+        self.model = self.tokenizer.model
         self.drops_space = drops_space
+        self.letters = byte_letters()
         self.table: dict[str, bytes] = {}
-
-    def chunks(self, text: str) -> list[str]:
-        """The text cut at places that no token spans."""
-        if self.drops_space:
-            return text.replace("\n", " ").split(" ")
-        if any(x in text for x in _ASCII_AMBIGUOUS) or not text.isascii():
-            if _AMBIGUOUS.search(text):
-                return _SAFE_PLACE.split(text)
-        head, *tail = text.split(" ")
-        return [head, *[" " + x for x in tail]]
+        self.older: dict[str, bytes] = {}
+        self.pretokens: dict[str, bytes] = {}
+        self.line_break = _packed(self.tokenizer.encode("\n", add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
-        """Ids of the whole text."""
-        chunks, table = self.chunks(text), self.table
-        found = [table.get(c) for c in chunks]
-        if None in found:
-            new = list({c for c, f in zip(chunks, found, strict=True) if f is None})
-            encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            fresh = {c: _packed(e.ids) for c, e in zip(new, encoded, strict=True)}
-            found = [fresh[c] if f is None else f for c, f in zip(chunks, found, strict=True)]
-            if len(table) + len(fresh) > _KEPT_CHUNKS:
-                table.clear()
-            table.update((c, b) for c, b in fresh.items() if len(c) <= _KEPT_CHARS)
-        return b"".join(found)
+        """Ids of one whole text, as little-endian unsigned 32-bit integers."""
+        if self.drops_space:
+            return b"".join(map(self._piece, text.replace("\n", " ").split(" ")))
+        return b"".join(map(self._plain, _SAFE_PLACE.split(text)))
+
+    def encode_batch(self, texts):
+        """Ids of an Arrow array of texts: (all ids as ``<u4``, the bounds of each text's ids)."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = texts.fill_null("")
+        if len(texts) == 0:
+            return np.empty(0, "<u4"), np.zeros(1, "i8")
+        if self.drops_space:
+            cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+            odd = []
+        else:
+            odd = pc.match_substring_regex(texts, _ODD_SPACE)
+            plain = pc.if_else(odd, "", texts)
+            cut = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
+            odd = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+        cut = cut.cast(pa.list_(pa.string()))
+        starts = cut.offsets.to_numpy().astype("i8")
+        starts -= starts[0]
+        coded = cut.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype("i8")
+        chunks = list(map(self._piece, coded.dictionary.to_pylist()))
+        if not self.drops_space:  # the first chunk of a text has no space before it
+            heads = cut.flatten().take(pa.array(starts[:-1])).to_pylist()
+            codes[starts[:-1]] = len(chunks) + np.arange(len(heads))
+            chunks += map(self._plain, heads)
+            for i in odd:
+                chunks[codes[starts[i]]] = self.encode(texts[i].as_py())
+        ids = np.frombuffer(b"".join(chunks), "<u4")
+        sizes = np.fromiter(map(len, chunks), "i8", len(chunks)) // 4
+        first = np.cumsum(sizes) - sizes
+        size = sizes[codes]
+        ends = np.cumsum(size)
+        out = ids[np.repeat(first[codes] - (ends - size), size) + np.arange(ends[-1])]
+        return out, np.concatenate([[0], ends])[starts]
+
+    def _piece(self, x: str) -> bytes:
+        """Ids of a chunk between spaces; with its space, or its line break, if those count."""
+        ids = self.table.get(x)
+        if ids is None:
+            ids = self.older.get(x)
+            if ids is None:
+                if self.drops_space:
+                    ids = self._plain(x)
+                else:
+                    ids = self.line_break + self._plain(x[1:]) if x[:1] == "\n" else self._plain(" " + x)
+            if len(x) <= _KEPT_CHARS:
+                if len(self.table) >= _KEPT_CHUNKS:
+                    self.older, self.table = self.table, {}
+                self.table[x] = ids
+        return ids
+
+    def _plain(self, c: str) -> bytes:
+        """Ids of a chunk."""
+        if not c:
+            return b""
+        plain = _PLAIN.fullmatch(c)
+        if plain and len(c) <= _KEPT_CHARS:
+            word, marks = plain.groups()
+            ids = self._pretoken(word.lower() if self.drops_space else word)
+            return ids + self._pretoken(marks) if marks else ids
+        return _packed(self.tokenizer.encode(c, add_special_tokens=False).ids)
+
+    def _pretoken(self, x: str) -> bytes:
+        """Ids of a run of letters, perhaps after a space, or of marks."""
+        ids = self.pretokens.get(x)
+        if ids is None:
+            if not x.isascii():
+                letters = x.encode().decode("latin-1").translate(self.letters)
+            else:
+                letters = self.letters[32] + x[1:] if x[0] == " " else x
+            if len(self.pretokens) > _KEPT_CHUNKS:
+                self.pretokens.clear()
+            ids = self.pretokens[x] = _packed([t.id for t in self.model.tokenize(letters)])
+        return ids
 
 
 def _packed(ids: list[int]) -> bytes:
-    import numpy as np
-
-    return np.asarray(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=4)

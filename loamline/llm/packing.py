@@ -38,8 +38,9 @@ def encode_pieces(df: DataFrame, tokenizer: str, end_id: int, seq_len: int = SEQ
         step = 4 * seq_len
         for batch in batches:
             out = []
-            for doc, text, group in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                ids = encoder.encode(text) + end
+            flat, bounds = encoder.encode_batch(batch.column(1))
+            for doc, group, a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                ids = flat[a:b].tobytes() + end
                 for at in range(0, len(ids), step):
                     piece = ids[at : at + step]
                     out.append((doc, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, group) + ((piece,) if with_ids else ()))

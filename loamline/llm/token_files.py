@@ -29,18 +29,13 @@ from loamline.llm.encoding import chunk_encoder, tokenizer_path
 
 #: Documents and bytes of each that the dictionary is trained on, and its size.
 DICT_SAMPLE, DICT_DOC_BYTES, DICT_BYTES = 1000, 1 << 14, 1 << 16
-#: Bytes of text for one shard.
+#: Compression level; bytes of text for one shard.
+LEVEL = 1
 SHARD_TEXT_BYTES = 32 << 20
 _HEAD = struct.Struct("<8s32sBQQ")
 _MAGIC = b"LLTOKEN1"
 
 
-def _serialize(ids: bytes, width: int) -> bytes:
-    import numpy as np
-
-    return ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
-
-
 def _train(samples: list[bytes]) -> bytes:
     import zstandard
 
@@ -131,17 +126,22 @@ def write_token_files(df: DataFrame, tokenizer: str, end_id: int, uri: str, widt
 
     folder = local_path(uri)
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    spec = "doc_id long, ids binary"
 
-    def serialized(batches):
+    def serialized(texts) -> list[bytes]:
+        import numpy as np
+
+        flat, bounds = chunk_encoder(tokenizer).encode_batch(texts)
+        flat = np.insert(flat, bounds[1:], end_id).astype(f"<u{width}")
+        bounds = (bounds + np.arange(len(bounds))).tolist()
+        return [flat[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def sampled(batches):
         import pyarrow as pa
 
-        encoder, end = chunk_encoder(tokenizer), end_id.to_bytes(4, "little")
         for b in batches:
-            ids = [_serialize(encoder.encode(t) + end, width) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(serialized(b.column(1)), pa.binary())], names=["doc_id", "ids"])
 
-    sample = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICT_SAMPLE).repartition(8).mapInArrow(serialized, spec)
+    sample = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICT_SAMPLE).repartition(8).mapInArrow(sampled, "doc_id long, ids binary")
     samples = [bytes(r[0]) for r in sample.orderBy(F.xxhash64("doc_id")).select(F.substring("ids", 1, DICT_DOC_BYTES)).collect()]
     raw = _train(samples)
     digest = hashlib.sha256(raw).hexdigest()
@@ -156,9 +156,9 @@ def write_token_files(df: DataFrame, tokenizer: str, end_id: int, uri: str, widt
         import zstandard
 
         shared = _dictionary(folder, digest)
-        zstd = zstandard.ZstdCompressor(level=3, dict_data=shared) if shared else zstandard.ZstdCompressor(level=3)
-        for b in serialized(batches):
-            doc_ids, ids = b.column(0).to_pylist(), b.column(1).to_pylist()
+        zstd = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared) if shared else zstandard.ZstdCompressor(level=LEVEL)
+        for b in batches:
+            doc_ids, ids = b.column(0).to_pylist(), serialized(b.column(1))
             shard = np.searchsorted(np.asarray(bounds, "i8"), [d if d is not None else -(2**63) for d in doc_ids], side="right")
             yield pa.RecordBatch.from_arrays([pa.array(shard.astype("i4")), b.column(0), pa.array([len(x) // width for x in ids], pa.int64()), pa.array([zstd.compress(x) for x in ids], pa.binary())], names=["shard", "doc_id", "n_tokens", "frame"])
 

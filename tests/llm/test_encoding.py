@@ -15,7 +15,11 @@ def test_chunks_give_the_ids_of_the_library(name, drops):
     rng = random.Random(1)
     alphabet = ["a", "B", "é", " ", " ", "\n", "\t", "'s", "1", ".", " ", "🙂", "́", "İ", "\x1c", "<|endoftext|>"]
     texts = [t or "" for t in TRICKY] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 60))) for _ in range(3000)]
-    for t in texts:
+    import pyarrow as pa
+
+    flat, bounds = encoder.encode_batch(pa.array([*texts, None]))
+    for i, t in enumerate(texts):
+        assert flat[bounds[i] : bounds[i + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
 
 
