@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from loamline.llm import fingerprints, license_scan, minhash_dedup, packing, quality_rules, token_files
+from loamline.llm import bpe, fingerprints, license_scan, minhash_dedup, packing, quality_rules, token_files
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_license_scan": license_scan.op2_license_scan,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_bpe": bpe.op4_bpe,
     "op5_minhash_dedup": minhash_dedup.op5_minhash_dedup,
     "op9_packing": packing.op9_packing,
     "op10_fingerprints": fingerprints.op10_fingerprints,
