@@ -95,3 +95,31 @@ def range_of(key: Column, bounds: list[int]) -> Column:
     whole, coarse = F.lit(bounds), F.lit(bounds[::step])
     at = F.greatest(F.size(F.filter(coarse, lambda b: b <= key)) - 1, F.lit(0)) * step
     return F.transform(F.array(at), lambda a: a + F.size(F.filter(F.slice(whole, a + 1, step), lambda b: b <= key)))[0]
+
+
+def batch_words(texts):
+    """Words of an Arrow array of texts, A-Z lower-cased: (distinct words as bytes, code of each word, bounds of each text).
+
+    Splitting and finding the distinct words run in Arrow's own code.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if len(texts) == 0:
+        return [], np.empty(0, "i8"), np.zeros(1, "i8")
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    starts = cut.offsets.to_numpy().astype("i8")
+    flat = cut.flatten()
+    kept = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    before = np.concatenate([[0], np.cumsum(kept)])
+    coded = flat.filter(pa.array(kept)).dictionary_encode()
+    return coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype("i8"), before[starts - starts[0]]
+
+
+def hash_words(words: list[bytes]):
+    """64-bit hash of each word."""
+    import numpy as np
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), "u8", len(words))
