@@ -80,7 +80,8 @@ def with_next(df: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(doc_id, text, sketch, next_text, next_sketch): the next row by descending id, the first after the last.
 
     Rows are dealt by ranges of ids, and each range ends with a copy of the row that opens
-    the next one. Only the ranges' highest ids come to the driver.
+    the next one. Only the ranges' highest ids come to the driver and
+    are broadcast; there are as many as ranges, which ``range_bounds`` limits.
     """
     spark = df.sparkSession
     rows = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("key"), F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -88,7 +89,7 @@ def with_next(df: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     ranged = rows.withColumn("part", range_of(F.col("key"), bounds))
     tops = sorted((r.part, r.top) for r in ranged.groupBy("part").agg(F.max("key").alias("top")).collect())
     following = [(tops[k - 1][1], part) for k, (part, _) in enumerate(tops)]
-    heads = rows.join(spark.createDataFrame(following, "key long, part int"), "key").groupBy("part", "key").agg(F.min("text").alias("text"))
+    heads = rows.join(F.broadcast(spark.createDataFrame(following, "key long, part int")), "key").groupBy("part", "key").agg(F.min("text").alias("text"))
     copies = heads.select("key", F.lit(None).cast(df.schema["doc_id"].dataType).alias("doc_id"), "text", "part", F.lit(True).alias("copy"))
     dealt = ranged.withColumn("copy", F.lit(False)).unionByName(copies).repartition(max(1, len(tops)), "part")
     order = Window.partitionBy("part").orderBy("copy", F.col("key").desc(), "text")
