@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import crc_fold, documents, labels
+from loamline.llm.common import crc_fold, documents, fit_in_task, labels
 
 #: Documents for fitting; bytes of a passage; hashed byte pairs; hidden and attention units.
 FIT_DOCS, PASSAGE_BYTES, PAIR_BINS, HIDDEN, ATTENTION = 3000, 768, 256, 24, 12
@@ -177,9 +177,8 @@ def fit_sample(labelled: DataFrame, label: str = "quality", fit_docs: int = FIT_
 
     ranked = labelled.filter(F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col(label).cast("int").alias("label"))
     sample = ranked.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(fit_docs)
-    rows = sample.repartition(8).mapInArrow(encode, "doc_id long, label int, bag binary").collect()
-    rows.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, bytes(r.bag)))
-    return fit([np.frombuffer(r.bag, "f4").reshape(-1, FEATURES) for r in rows], [r.label for r in rows])
+    bags = sample.repartition(8).mapInArrow(encode, "doc_id long, label int, bag binary")
+    return fit_in_task(bags, lambda rows: fit([np.frombuffer(r["bag"], "f4").reshape(-1, FEATURES) for r in rows], [r["label"] for r in rows]))
 
 
 def score(df: DataFrame, model, text_col: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loamline.llm import bpe, fingerprints, kneser_ney, license_scan, minhash_dedup, packing, quality_classifier, quality_rules, token_files
+from loamline.llm import bpe, fingerprints, kneser_ney, license_scan, minhash_dedup, packing, quality_classifier, quality_rules, token_files, toxicity
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_minhash_dedup": minhash_dedup.op5_minhash_dedup,
     "op6_quality_classifier": quality_classifier.op6_quality_classifier,
     "op7_lm_scoring": kneser_ney.op7_lm_scoring,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_packing": packing.op9_packing,
     "op10_fingerprints": fingerprints.op10_fingerprints,
 }
