@@ -36,6 +36,8 @@ BANDS, ROWS, BITS = 64, 8, 2
 #: Pairs estimated lower than the bound less this margin are not confirmed.
 MARGIN = 0.12
 LEADER_ROUNDS = 3
+#: As many ids are broadcast at most, about 100 MB on an executor.
+BROADCAST_IDS = 4_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -150,9 +152,30 @@ def estimate(a: Column, b: Column, minima: int = BANDS * ROWS, bits: int = BITS)
     return (F.lit(1.0) - unequal / F.lit(float(minima)) - chance) / (1 - chance)
 
 
+def _pack_set(shingles) -> bytes:
+    """A sorted set in about five bytes a hash: 48 bits of each, as compressed planes of differences."""
+    import zstandard
+
+    steps = np.diff(shingles >> np.uint64(16), prepend=np.uint64(0))
+    return zstandard.ZstdCompressor(level=1).compress(steps.view("u1").reshape(-1, 8).T.tobytes())
+
+
+def _unpack_set(raw: bytes):
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), "u1").reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("u8").ravel(), dtype="u8")
+
+
 def confirm(pairs: DataFrame, df: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets have 100 * intersection >= percent * union."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    """The pairs (u, v) whose full shingle sets have 100 * intersection >= percent * union.
+
+    Up to ``BROADCAST_IDS`` wanted ids are broadcast to the scan of the texts; beyond that
+    the texts are shuffled to them.
+    """
+    wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
 
     def to_sets(batches):
         import pyarrow as pa
@@ -160,27 +183,32 @@ def confirm(pairs: DataFrame, df: DataFrame, width: int, percent: int) -> DataFr
 
         known = {}
         for b in batches:
-            sets = [shingle_set(t, width, known).astype("i8") for t in b.column(1).to_pylist()]
-            keys = [xxhash.xxh64_intdigest(s.tobytes()) >> 1 for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "key", "shingles"])
+            sets = [_pack_set(shingle_set(t, width, known)) for t in b.column(1).to_pylist()]
+            keys = [xxhash.xxh64_intdigest(s) >> 1 for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "key", "shingles"])
 
     texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    sets = materialize(texts.mapInArrow(to_sets, "doc_id long, key long, shingles array<long>").dropDuplicates(["doc_id", "key"]), "sets")
+    sets = materialize(texts.mapInArrow(to_sets, "doc_id long, key long, shingles binary"), "sets")
+    repeated = sets.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    if repeated.limit(1).count():
+        sets = sets.dropDuplicates(["doc_id", "key"])
 
     def compare(batches):
         import pyarrow as pa
 
         for b in batches:
-            u, v, left, right = (b.column(i) for i in range(4))
-            keep = []
-            for i in range(b.num_rows):
-                x, y = left[i].values.to_numpy(), right[i].values.to_numpy()
+            keep, last, x = [], None, None
+            for left, right in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if left != last:
+                    last, x = left, _unpack_set(left)
+                y = _unpack_set(right)
                 shared = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([u.filter(mask), v.filter(mask)], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["u", "v"])
 
-    joined = pairs.select("u", "v").join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y")), "v")
+    side = lambda node, name: sets.select(F.col("doc_id").alias(node), F.col("shingles").alias(name)).hint("merge")
+    joined = pairs.select("u", "v").join(side("u", "x"), "u").join(side("v", "y"), "v")
     return joined.select("u", "v", "x", "y").mapInArrow(compare, "u long, v long").distinct()
 
 
@@ -204,7 +232,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80) -> DataFra
         open_ = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("bucket")
         placed = placed.join(open_, "bucket")
         if turn < LEADER_ROUNDS:
-            lead = placed.groupBy("bucket").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", "bucket", F.lit(turn))).alias("lead"))
+            lead = placed.groupBy("bucket").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("lead"))
             pairs = placed.join(lead, "bucket").filter("component <> lead.component").select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v"))
         else:
             other = placed.select("bucket", F.col("node").alias("v"), F.col("component").alias("other"))
