@@ -141,3 +141,17 @@ def fit_in_task(sample: DataFrame, fit):
 
     found = sample.coalesce(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(found[0].model) if found else fit([])
+
+
+def text_slices(texts, most_bytes: int):
+    """Slices of an Arrow array of texts with about ``most_bytes`` each, one text at least."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    if len(texts) == 0:
+        return
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes, dtype="i8") // most_bytes
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        yield lo, texts.slice(lo, hi - lo)

@@ -30,10 +30,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import batch_words, crc_fold, documents, hash_words, local_path, materialize, replace_file, shared_dir
+from loamline.llm.common import batch_words, crc_fold, documents, hash_words, local_path, materialize, replace_file, shared_dir, text_slices
 
 #: Bytes of text for one slot of words, tokens for one shard of bigrams.
-SLOT_BYTES, SHARD_TOKENS = 32 << 20, 4_000_000
+SLOT_BYTES, SHARD_TOKENS = 32 << 20, 2_000_000
+#: Bytes of text that are counted or scored at a time.
+SLICE_BYTES = 6 << 20
 _END = b"\n"
 _BLOB = "slot int, n long, keys binary, counts binary"
 
@@ -243,8 +245,8 @@ def train(df: DataFrame, uri: str, slot_bytes: int = SLOT_BYTES, shard_tokens: i
 
     def count_words(batches):
         for b in batches:
-            if b.num_rows:
-                hashes, codes, _ = _tokens(b.column(0))
+            for _, part in text_slices(b.column(0), SLICE_BYTES):
+                hashes, codes, _ = _tokens(part)
                 counts = np.bincount(codes, minlength=len(hashes))
                 yield _blobs(Words("", [0] * (1 << bits)).slots(hashes), hashes, counts.astype("u8"))
 
@@ -269,8 +271,8 @@ def train(df: DataFrame, uri: str, slot_bytes: int = SLOT_BYTES, shard_tokens: i
 
     def count_pairs(batches):
         for b in batches:
-            if b.num_rows:
-                hashes, codes, bounds = _tokens(b.column(0))
+            for _, part in text_slices(b.column(0), SLICE_BYTES):
+                hashes, codes, bounds = _tokens(part)
                 w = Words(folder, sizes).numbers(hashes)[0][codes]
                 h = np.concatenate([[words.total], w[:-1]])
                 h[bounds[:-1]] = words.total
@@ -326,8 +328,9 @@ def score(df: DataFrame, model: Model) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            n, known, base, own = model.score_batch(b.column(2)) if b.num_rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+            for at, part in text_slices(b.column(2), SLICE_BYTES):
+                n, known, base, own = model.score_batch(part)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), b.column(1).slice(at, len(part)), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 

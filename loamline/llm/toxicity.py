@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import batch_words, crc_fold, documents, fit_in_task, labels
+from loamline.llm.common import batch_words, crc_fold, documents, fit_in_task, labels, text_slices
 
 FIT_DOCS, VOCABULARY, LEAST_DOCS = 5000, 20_000, 3
 WINDOW, STRIDE = 32, 16
@@ -250,13 +250,9 @@ def score_texts(model, texts):
     if model is None or len(texts) == 0:
         return out
     p, vocabulary = model
-    import pyarrow.compute as pc
-
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(sizes, dtype="i8") // _TEXT_BYTES
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        words, codes, bounds = _cut(texts.slice(lo, hi - lo))
+    for lo, part in text_slices(texts, _TEXT_BYTES):
+        hi = lo + len(part)
+        words, codes, bounds = _cut(part)
         projected = _projected(p, words, vocabulary)
         index, mask, doc = _window_index(codes, bounds, len(words))
         top = np.full(hi - lo, -np.inf)
