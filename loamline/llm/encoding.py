@@ -19,8 +19,12 @@ import re
 import struct
 from functools import lru_cache
 
+from loamline.llm.common import text_slices
+
 #: Chunks longer than this are encoded each time; so many are remembered before older ones go.
 _KEPT_CHARS, _KEPT_CHUNKS = 48, 400_000
+#: Bytes of text that are laid out at a time.
+_SLICE_BYTES = 8 << 20
 
 _SAFE_PLACE = re.compile(r"(?<=\S)(?= \S)")
 #: Chunks of one or two pretokens: Latin letters, perhaps after a space, and ASCII marks but the apostrophe.
@@ -81,12 +85,17 @@ class ChunkEncoder:
     def encode_batch(self, texts):
         """Ids of an Arrow array of texts: (all ids as ``<u4``, the bounds of each text's ids)."""
         import numpy as np
+
+        parts = [self._encode_slice(x) for _, x in text_slices(texts.fill_null(""), _SLICE_BYTES)]
+        before = np.cumsum([0, *(len(ids) for ids, _ in parts)])
+        flat = np.concatenate([ids for ids, _ in parts] or [np.empty(0, "<u4")])
+        return flat, np.concatenate([[0], *(bounds[1:] + at for (_, bounds), at in zip(parts, before, strict=False))]).astype("i8")
+
+    def _encode_slice(self, texts):
+        import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        texts = texts.fill_null("")
-        if len(texts) == 0:
-            return np.empty(0, "<u4"), np.zeros(1, "i8")
         if self.drops_space:
             cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
             odd = []
