@@ -1 +1 @@
-"""See the package README section on sources."""
+"""Readers: Parquet tables, and manifests as JSON, JSON lines and CSV."""
