@@ -27,10 +27,12 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import documents
+from loamline.llm.common import documents, text_slices
 from loamline.llm.encoding import byte_letters, chunk_encoder, load_tokenizer, tokenizer_path
 
 SEGMENT_CHARS = 1 << 15
+#: Bytes of text that a task encodes at a time.
+SLICE_BYTES = 2 << 20
 #: A cut inside a run has so many characters of its class before it, more than any special token or contraction has.
 _RUN = 24
 
@@ -156,12 +158,12 @@ def encode_decode(df: DataFrame, tokenizer: str, segment_chars: int = SEGMENT_CH
     def encoded(batches):
         import pyarrow as pa
 
-        for b in batches:
-            flat, bounds = chunk_encoder(tokenizer).encode_batch(b.column(1))
+        for at, part, b in ((at, part, b) for b in batches for at, part in text_slices(b.column(1), SLICE_BYTES)):
+            flat, bounds = chunk_encoder(tokenizer).encode_batch(part)
             ids = pa.ListArray.from_arrays(pa.array(bounds.astype("i4")), pa.array(flat.astype("i4")))
             pieces = flat.tolist()
             texts = [decode_ids(pieces[x:y], tokenizer) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), ids, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
     def cut(batches):
         import pyarrow as pa
@@ -175,7 +177,7 @@ def encode_decode(df: DataFrame, tokenizer: str, segment_chars: int = SEGMENT_CH
     def encode_parts(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in (b.slice(at, len(part)) for b in batches for at, part in text_slices(b.column(5), SLICE_BYTES)):
             flat, bounds = chunk_encoder(tokenizer).encode_batch(b.column(5))
             ids = pa.ListArray.from_arrays(pa.array(bounds.astype("i4")), pa.array(flat.astype("i4")))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, "ids"])
