@@ -21,7 +21,7 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def keep_by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled rows of ``documents``, takes for good ones."""
     known = labels(spark, sf_dir).select("doc_id", "quality")
-    model = quality_classifier.fit_sample(documents(spark, sf_dir).select("doc_id", "text").join(known, "doc_id"))
+    model = quality_classifier.fit_sample(documents(spark, sf_dir), known)
     return quality_classifier.score(docs, model).filter("predicted = 1").select(*docs.columns)
 
 

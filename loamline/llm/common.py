@@ -155,3 +155,15 @@ def text_slices(texts, most_bytes: int):
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         yield lo, texts.slice(lo, hi - lo)
+
+
+def labelled_sample(docs: DataFrame, known: DataFrame, label: str, most: int) -> DataFrame:
+    """At most ``most`` rows (doc_id, text, label) of documents with a label, by order of a hash of the id.
+
+    The ids are chosen among the labels first; as there are at most ``most`` of them, they
+    are broadcast to the scan of the texts. A repeated id counts once more for each row.
+    """
+    order = lambda: [F.xxhash64("doc_id"), F.col("doc_id")]
+    ids = known.filter(F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).distinct().orderBy(*order(), "label").limit(most)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+    return rows.orderBy(*order(), "text", "label").limit(most)

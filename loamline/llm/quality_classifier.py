@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import crc_fold, documents, fit_in_task, labels
+from loamline.llm.common import crc_fold, documents, fit_in_task, labelled_sample, labels
 
 #: Documents for fitting; bytes of a passage; hashed byte pairs; hidden and attention units.
 FIT_DOCS, PASSAGE_BYTES, PAIR_BINS, HIDDEN, ATTENTION = 3000, 768, 256, 24, 12
@@ -162,8 +162,8 @@ def score_texts(p, texts: list[str | None]):
     return _sigmoid(z / weight[:, None] @ p["w2"] + p["b2"][0]).astype("f8")
 
 
-def fit_sample(labelled: DataFrame, label: str = "quality", fit_docs: int = FIT_DOCS):
-    """Model of the labelled rows ``(doc_id, text, label)``: a bounded sample, encoded by tasks."""
+def fit_sample(docs: DataFrame, known: DataFrame, label: str = "quality", fit_docs: int = FIT_DOCS):
+    """Model of a bounded sample of ``docs(doc_id, text)`` labelled by ``known(doc_id, label)``, encoded by tasks."""
 
     def encode(batches):
         import pyarrow as pa
@@ -175,9 +175,7 @@ def fit_sample(labelled: DataFrame, label: str = "quality", fit_docs: int = FIT_
                 rows.append(encode_passages(raw, np.array(passage_starts(len(raw)))).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(rows, pa.binary())], names=["doc_id", "label", "bag"])
 
-    ranked = labelled.filter(F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col(label).cast("int").alias("label"))
-    sample = ranked.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(fit_docs)
-    bags = sample.repartition(8).mapInArrow(encode, "doc_id long, label int, bag binary")
+    bags = labelled_sample(docs, known, label, fit_docs).repartition(8).mapInArrow(encode, "doc_id long, label int, bag binary")
     return fit_in_task(bags, lambda rows: fit([np.frombuffer(r["bag"], "f4").reshape(-1, FEATURES) for r in rows], [r["label"] for r in rows]))
 
 
@@ -203,5 +201,5 @@ def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:
     """Query: all documents, learned from labels outside fold 1 of 3."""
     docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", crc_fold(F.col("doc_id"), 3) == 1)
     known = labels(spark, sf_dir).select("doc_id", "quality")
-    model = fit_sample(docs.filter(~F.col("held_out")).join(known, "doc_id"))
+    model = fit_sample(docs, known.filter(crc_fold(F.col("doc_id"), 3) != 1))
     return score(docs, model).select("doc_id", "held_out", "score", "predicted")

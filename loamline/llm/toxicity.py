@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import batch_words, crc_fold, documents, fit_in_task, labels, text_slices
+from loamline.llm.common import batch_words, crc_fold, documents, fit_in_task, labelled_sample, labels, text_slices
 
 FIT_DOCS, VOCABULARY, LEAST_DOCS = 5000, 20_000, 3
 WINDOW, STRIDE = 32, 16
@@ -262,11 +262,9 @@ def score_texts(model, texts):
     return out
 
 
-def fit_sample(labelled: DataFrame, label: str = "toxic", fit_docs: int = FIT_DOCS):
-    """Model of a bounded sample of the labelled rows ``(doc_id, text, label)``, fitted in one task."""
-    chosen = labelled.filter(F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(label).cast("int").alias("label"))
-    sample = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(fit_docs)
-    return fit_in_task(sample, lambda rows: fit([r["text"] for r in rows], [r["label"] for r in rows]))
+def fit_sample(docs: DataFrame, known: DataFrame, label: str = "toxic", fit_docs: int = FIT_DOCS):
+    """Model of a bounded sample of ``docs(doc_id, text)`` labelled by ``known(doc_id, label)``, fitted in one task."""
+    return fit_in_task(labelled_sample(docs, known, label, fit_docs), lambda rows: fit([r["text"] for r in rows], [r["label"] for r in rows]))
 
 
 def score(df: DataFrame, model, text_col: str = "text") -> DataFrame:
@@ -290,5 +288,5 @@ def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     """Query: all documents, learned from labels outside fold 0 of 5."""
     docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", crc_fold(F.col("doc_id"), 5) == 0)
     known = labels(spark, sf_dir).select("doc_id", "toxic")
-    model = fit_sample(docs.filter(~F.col("held_out")).join(known, "doc_id"))
+    model = fit_sample(docs, known.filter(crc_fold(F.col("doc_id"), 5) != 0))
     return score(docs, model).select("doc_id", "held_out", "score", "predicted")

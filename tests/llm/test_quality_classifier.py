@@ -45,7 +45,7 @@ def test_held_out_accuracy(spark):
 def test_cases(spark):
     docs = rows(TRICKY) + [(3, "again", None, None, None), (None, "no id", None, None, None)]
     df = spark.createDataFrame(docs, DOC).withColumn("score", F.lit("x"))
-    assert qc.fit_sample(df.withColumn("quality", F.lit(None).cast("int"))) is None
+    assert qc.fit_sample(df, df.select("doc_id", F.lit(None).cast("int").alias("quality"))) is None
     out = qc.score(df, None)
     assert out.count() == len(docs) and out.filter("score = 0.5 AND predicted = 1").count() == len(docs)
     model = {k: v.astype("f4") for k, v in qc.initial().items()}

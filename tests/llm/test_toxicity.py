@@ -64,7 +64,7 @@ def test_held_out_accuracy(spark):
 def test_cases(spark):
     docs = rows(TRICKY) + [(3, "again", None, None, None), (None, "no id", None, None, None)]
     df = spark.createDataFrame(docs, DOC).withColumn("score", F.lit("x"))
-    assert tx.fit_sample(df.withColumn("toxic", F.lit(None).cast("int"))) is None
+    assert tx.fit_sample(df, df.select("doc_id", F.lit(None).cast("int").alias("toxic"))) is None
     out = tx.score(df, None)
     assert out.count() == len(docs) and out.filter("score = 0 AND predicted = 0").count() == len(docs)
     _, vocabulary, p, *_ = _toy()
