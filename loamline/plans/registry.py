@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loamline.plans import evaluation
+from loamline.plans import curation, evaluation
 
-QUERIES = {**evaluation.QUERIES}
-ORACLES = {**evaluation.ORACLES}
+QUERIES = {**curation.QUERIES, **evaluation.QUERIES}
+ORACLES = {**curation.ORACLES, **evaluation.ORACLES}
