@@ -29,21 +29,22 @@ def bands(h: Column, k: int, bits: int = 64) -> Column:
     return F.array(*out)
 
 
-def hamming_pairs(df: DataFrame, key: str, h: str, k: int) -> DataFrame:
-    """(a, b, distance) of all rows a < b at most ``k`` bits apart.
+def hash_classes(df: DataFrame, key: str, h: str) -> DataFrame:
+    """(hash, rep, n): rows of equal hash stand for one another; the smallest key represents them."""
+    return df.groupBy(F.col(h).alias("h")).agg(F.min(key).alias("rep"), F.count("*").alias("n"))
 
-    Equal hashes are first brought together; distinct hashes meet in the first band that
-    they share, so a pair is made once and needs no distinct.
+
+def hamming_pairs(classes: DataFrame, k: int) -> DataFrame:
+    """(a, b, distance) of all class representatives a < b at most ``k`` bits apart.
+
+    Two hashes meet in the first band that they share, so a pair is made once.
     """
-    classes = df.groupBy(h).agg(F.min(key).alias("_rep"))
-    exploded = classes.select(h, F.posexplode(bands(F.col(h), k)).alias("_i", "_b"), bands(F.col(h), k).alias("_all"))
+    banded = classes.select("rep", "h", bands(F.col("h"), k).alias("all"))
+    exploded = banded.select("rep", "h", "all", F.posexplode("all").alias("i", "b"))
     x, y = exploded.alias("x"), exploded.alias("y")
-    earlier = F.exists(F.sequence(F.lit(0), F.lit(k)), lambda i: (i < F.col("x._i")) & (F.get(F.col("x._all"), i) == F.get(F.col("y._all"), i)))
-    near = x.join(y, (F.col("x._b") == F.col("y._b")) & (F.col(f"x.{h}") < F.col(f"y.{h}"))).filter((hamming(F.col(f"x.{h}"), F.col(f"y.{h}")) <= k) & ~earlier)
-    links = near.select(F.col(f"x.{h}").alias("h1"), F.col(f"y.{h}").alias("h2")).union(classes.select(F.col(h).alias("h1"), F.col(h).alias("h2")))
-    rows = df.select(F.col(key), F.col(h))
-    joined = links.join(rows.select(F.col(key).alias("p"), F.col(h).alias("h1")), "h1").join(rows.select(F.col(key).alias("q"), F.col(h).alias("h2")), "h2")
-    return joined.filter("h1 <> h2 OR p < q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), hamming(F.col("h1"), F.col("h2")).cast("long").alias("distance"))
+    earlier = F.exists(F.sequence(F.lit(0), F.lit(k)), lambda i: (i < F.col("x.i")) & (F.get(F.col("x.all"), i) == F.get(F.col("y.all"), i)))
+    near = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.rep") < F.col("y.rep"))).filter((hamming(F.col("x.h"), F.col("y.h")) <= k) & ~earlier)
+    return near.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), hamming(F.col("x.h"), F.col("y.h")).cast("long").alias("distance"))
 
 
 def keep_first(nodes: DataFrame, links: DataFrame, most_rounds: int = 100) -> DataFrame:

@@ -11,7 +11,7 @@ from loamline.sources import manifests
 from loamline.sources.tables import table
 
 #: Characters below which a document is too short; words of a window that counts as a leak; bits between near hashes.
-LEAST_CHARS, LEAK_WORDS, NEAR_BITS = 64, 8, 12
+LEAST_CHARS, LEAK_WORDS, NEAR_BITS = 64, 8, 5
 
 
 def _windows(text):
@@ -66,34 +66,55 @@ def leak_first_match(spark, sf):
     return leaks(spark, sf)
 
 
-def _hashed(spark, sf):
+def embedding_hashes(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", dedup.average_hash(F.col("embedding")).alias("h"))
 
 
-def embedding_hashes(spark, sf):
-    return _hashed(spark, sf)
+def _classes(spark, sf):
+    """Documents by a 64-bit hash: which of 64 word buckets hold more words than the mean.
+
+    Words are counted by document and bucket before the shuffle, so 64 rows a document travel at most.
+    """
+    words = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w")).filter("w <> ''")
+    bucket = F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 2), 16, 10).cast("int") % 64
+    counts = words.groupBy("doc_id", bucket.alias("k")).agg(F.count("*").alias("n"))
+    over = F.filter("xs", lambda x: x["n"] * 64 > F.aggregate("xs", F.lit(0).cast("long"), lambda a, y: a + y["n"]))
+    bits = F.aggregate(over, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), 63 - x["k"])))
+    hashed = counts.groupBy("doc_id").agg(F.collect_list(F.struct("k", "n")).alias("xs")).select("doc_id", bits.alias("h"))
+    return hashed
+
+
+def hash_class_members(spark, sf):
+    """Each document with the one that represents all of its hash."""
+    h = _classes(spark, sf)
+    return h.join(dedup.hash_classes(h, "doc_id", "h"), "h").select("doc_id", "h", "rep", "n")
 
 
 def near_pairs_hash(spark, sf):
-    return dedup.hamming_pairs(_hashed(spark, sf), "id", "h", NEAR_BITS)
+    """Pairs of representatives at most ``NEAR_BITS`` bits apart; ``hash_class_members`` has their members."""
+    return dedup.hamming_pairs(dedup.hash_classes(_classes(spark, sf), "doc_id", "h"), NEAR_BITS)
 
 
 def near_pair_summary(spark, sf):
-    """Near pairs by distance and by whether their labels agree."""
-    h = _hashed(spark, sf).select("id", "label")
-    p = near_pairs_hash(spark, sf).join(h.select(F.col("id").alias("a"), F.col("label").alias("la")), "a").join(h.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b")
-    return p.groupBy("distance", (F.col("la") == F.col("lb")).alias("same_label")).agg(F.count("*").alias("n"))
+    """Near pairs by distance and by whether their sources agree."""
+    d = table(spark, sf, "documents").select("doc_id", "source")
+    p = near_pairs_hash(spark, sf).join(d.select(F.col("doc_id").alias("a"), F.col("source").alias("sa")), "a").join(d.select(F.col("doc_id").alias("b"), F.col("source").alias("sb")), "b")
+    return p.groupBy("distance", (F.col("sa") == F.col("sb")).alias("same_source")).agg(F.count("*").alias("n"))
 
 
 def near_dup_keep_first(spark, sf):
-    nodes = _hashed(spark, sf)
-    return dedup.keep_first(nodes, near_pairs_hash(spark, sf))
+    """Each document, and the earliest kept one that it is a near copy of."""
+    members = hash_class_members(spark, sf)
+    reps = members.filter("doc_id = rep").select(F.col("rep").alias("id"))
+    kept = dedup.keep_first(reps, near_pairs_hash(spark, sf))
+    joined = members.join(kept.withColumnRenamed("id", "rep"), "rep")
+    return joined.select("doc_id", F.coalesce("dup_of", F.when(F.col("doc_id") != F.col("rep"), F.col("rep"))).alias("dup_of"))
 
 
 def diversity_topk(spark, sf):
-    """The hundred first kept rows by their hash's number of bits, after near copies are gone."""
-    kept = near_dup_keep_first(spark, sf).filter("dup_of IS NULL").select("id")
-    return _hashed(spark, sf).join(kept, "id").select("id", "label", F.bit_count("h").cast("long").alias("bits")).orderBy(F.desc("bits"), "id").limit(100)
+    """The hundred longest documents that are left when near copies are gone."""
+    kept = near_dup_keep_first(spark, sf).filter("dup_of IS NULL").select("doc_id")
+    return table(spark, sf, "documents").select("doc_id", "n_chars").join(kept, "doc_id").orderBy(F.desc("n_chars"), "doc_id").limit(100)
 
 
 def source_prefix_counts(spark, sf):
@@ -191,7 +212,7 @@ def manifest_reconcile(spark, sf):
     return manifests.reconcile(manifests.union_manifests(d, p), "ord").select("name", "path", "cls", "license", "source", "url", "n_rows")
 
 
-QUERIES = {f.__name__: f for f in (qa_gate_report, qa_gate_rows, exact_dup_groups, crossclass_conflicts, leak_first_match, embedding_hashes, near_pairs_hash, near_pair_summary, near_dup_keep_first, diversity_topk, source_prefix_counts, length_stats, imbalance, class_weights, group_split, split_report, first_k_per_class, spot_sample, prefix_split, dataset_fingerprint, url_parts, attribution_credits, license_order, manifest_reconcile)}
+QUERIES = {f.__name__: f for f in (qa_gate_report, qa_gate_rows, exact_dup_groups, crossclass_conflicts, leak_first_match, embedding_hashes, hash_class_members, near_pairs_hash, near_pair_summary, near_dup_keep_first, diversity_topk, source_prefix_counts, length_stats, imbalance, class_weights, group_split, split_report, first_k_per_class, spot_sample, prefix_split, dataset_fingerprint, url_parts, attribution_credits, license_order, manifest_reconcile)}
 
 _W = f"(SELECT %s, unnest(range(1, len(ws) - {LEAK_WORDS - 2})) AS i, ws FROM (SELECT %s, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM %s))"
 _LEAK = f"""
@@ -202,7 +223,12 @@ _QA = f"""{_LEAK}, fi AS (SELECT text, min(doc_id) AS first_id FROM documents GR
 qa AS (SELECT d.doc_id, d.source, CASE WHEN d.text IS NULL OR d.text = '' THEN 'corrupt' WHEN length(d.text) < {LEAST_CHARS} THEN 'too_short' WHEN d.doc_id > first_id THEN 'exact_duplicate' WHEN origin IS NOT NULL THEN 'leak' ELSE 'kept' END AS reason, first_id, origin
 FROM documents d LEFT JOIN fi USING (text) LEFT JOIN lk USING (doc_id))"""
 _HASH = "m AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e, list_sum(embedding::DOUBLE[]) / 64 AS mean FROM embeddings), hs AS (SELECT id, label, bit_xor(CASE WHEN e[i] > mean THEN CASE WHEN i = 1 THEN (-9223372036854775808)::BIGINT ELSE (1::BIGINT << (64 - i)::INTEGER) END ELSE 0::BIGINT END) AS h FROM (SELECT id, label, e, mean, unnest(range(1, 65)) AS i FROM m) GROUP BY id, label)"
-_PAIRS = f"np AS (SELECT x.id AS a, y.id AS b, bit_count(xor(x.h, y.h))::BIGINT AS distance, x.label = y.label AS same_label FROM hs x JOIN hs y ON x.id < y.id AND bit_count(xor(x.h, y.h)) <= {NEAR_BITS})"
+_DOCS = """dw AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS w FROM documents),
+bk AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 2))::INTEGER % 64 AS k, count(*) AS n FROM dw GROUP BY 1, 2),
+tt AS (SELECT doc_id, sum(n) AS total FROM bk GROUP BY 1),
+hs AS (SELECT doc_id, bit_or(CASE WHEN n * 64 > total THEN CASE WHEN k = 0 THEN (-9223372036854775808)::BIGINT ELSE (1::BIGINT << (63 - k)::INTEGER) END ELSE 0::BIGINT END) AS h FROM bk JOIN tt USING (doc_id) GROUP BY 1),
+cl AS (SELECT h, min(doc_id) AS rep, count(*) AS n FROM hs GROUP BY 1)"""
+_PAIRS = f"np AS (SELECT x.rep AS a, y.rep AS b, bit_count(xor(x.h, y.h))::BIGINT AS distance FROM cl x JOIN cl y ON x.rep < y.rep AND bit_count(xor(x.h, y.h)) <= {NEAR_BITS})"
 _GRP = "sz AS (SELECT source, md5(text) AS grp, count(*) AS n FROM documents GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY grp) - n AS before, row_number() OVER (PARTITION BY source ORDER BY grp) AS rn, sum(n) OVER (PARTITION BY source) AS total, count(*) OVER (PARTITION BY source) AS k FROM sz), gs AS (SELECT source, grp, n, before < floor(total * 0.2::DOUBLE) AND rn < k AS val FROM r)"
 
 ORACLES = {
@@ -212,8 +238,9 @@ ORACLES = {
     "crossclass_conflicts": "WITH g AS (SELECT md5(text) AS digest, count(*) AS n FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1) SELECT doc_id, source, digest, n FROM (SELECT doc_id, source, md5(text) AS digest FROM documents) JOIN g USING (digest)",
     "leak_first_match": f"WITH {_LEAK} SELECT doc_id, origin, n_windows FROM lk",
     "embedding_hashes": f"WITH {_HASH} SELECT id, label, h FROM hs",
-    "near_pairs_hash": f"WITH {_HASH}, {_PAIRS} SELECT a, b, distance FROM np",
-    "near_pair_summary": f"WITH {_HASH}, {_PAIRS} SELECT distance, same_label, count(*) AS n FROM np GROUP BY 1, 2",
+    "hash_class_members": f"WITH {_DOCS} SELECT doc_id, h, rep, n FROM hs JOIN cl USING (h)",
+    "near_pairs_hash": f"WITH {_DOCS}, {_PAIRS} SELECT a, b, distance FROM np",
+    "near_pair_summary": f"WITH {_DOCS}, {_PAIRS} SELECT distance, x.source = y.source AS same_source, count(*) AS n FROM np JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b GROUP BY 1, 2",
     "source_prefix_counts": "SELECT regexp_replace(source, '[0-9]+$', '') AS prefix, lang, count(*) AS n FROM documents GROUP BY 1, 2",
     "length_stats": "SELECT source, count(*) AS n, min(n_chars) AS least, max(n_chars) AS most, round(avg(n_chars), 6) AS mean, round(quantile_cont(n_chars, 0.5), 6) AS median, round(quantile_cont(n_chars, 0.95), 6) AS p95 FROM documents GROUP BY 1",
     "imbalance": "SELECT max(n) AS largest, min(n) AS smallest, round(max(n) / min(n), 6) AS ratio FROM (SELECT count(*) AS n FROM documents GROUP BY source)",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loamline.plans import curation, evaluation
+from loamline.plans import curation, evaluation, event_series
 
-QUERIES = {**curation.QUERIES, **evaluation.QUERIES}
-ORACLES = {**curation.ORACLES, **evaluation.ORACLES}
+QUERIES = {**curation.QUERIES, **evaluation.QUERIES, **event_series.QUERIES}
+ORACLES = {**curation.ORACLES, **evaluation.ORACLES, **event_series.ORACLES}
