@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loamline.plans import curation, evaluation, event_series
+from loamline.plans import curation, evaluation, event_series, triage
 
-QUERIES = {**curation.QUERIES, **evaluation.QUERIES, **event_series.QUERIES}
-ORACLES = {**curation.ORACLES, **evaluation.ORACLES, **event_series.ORACLES}
+QUERIES = {**curation.QUERIES, **evaluation.QUERIES, **event_series.QUERIES, **triage.QUERIES}
+ORACLES = {**curation.ORACLES, **evaluation.ORACLES, **event_series.ORACLES, **triage.ORACLES}
