@@ -121,15 +121,23 @@ def verdict(m: Column, rules=RULES) -> Column:
 
 def apply_rules(df: DataFrame, text_col: str = "text", rules=RULES, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """``df`` with the struct ``metrics`` and the booleans ``base_failed`` and ``kept``."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
     own = [c for c in df.columns if c not in ("metrics", "base_failed", "kept")]
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    split = df.select(*own, F.struct(text.alias("text"), space_words(text).alias("words"), lines.alias("lines")).alias("metrics"))
-    m = metrics(F.col("metrics.text"), F.col("metrics.words"), F.col("metrics.lines"))
-    measured = split.select(*own, F.struct(*[c.alias(k) for k, c in m.items()]).alias("metrics"))
-    x = F.col("metrics")
-    failed = (x["n_words"] < min_words) | (x["n_repeat_words"] * 100 > x["n_words"] * max_repeat_percent)
-    return measured.select(*own, x, failed.alias("base_failed"), (~failed & verdict(x, rules)).alias("kept"))
+
+    def of_parts(x: Column) -> Column:
+        m = metrics(x["text"], x["words"], x["lines"])
+        return _bind(F.struct(*[c.alias(k) for k, c in m.items()]), judged)
+
+    def judged(m: Column) -> Column:
+        failed = (m["n_words"] < min_words) | (m["n_repeat_words"] * 100 > m["n_words"] * max_repeat_percent)
+        return F.struct(m.alias("metrics"), failed.alias("base_failed"), (~failed & verdict(m, rules)).alias("kept"))
+
+    def parts(text: Column) -> Column:
+        lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+        return _bind(F.struct(text.alias("text"), space_words(text).alias("words"), lines.alias("lines")), of_parts)
+
+    # One expression for all of it: a filter on the verdict then repeats nothing when it is pushed down.
+    whole = df.select(*own, _bind(F.coalesce(F.col(text_col), F.lit("")), parts).alias("metrics"))
+    return whole.select(*own, "metrics.metrics", "metrics.base_failed", "metrics.kept")
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
