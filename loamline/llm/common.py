@@ -37,13 +37,9 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name under ``spark.checkpoint.dir``, which all executors share.
 
-    Where the setting is absent, as in tests on one machine, a folder below the
-    warehouse is set and used.
+    Where the setting is absent, as in tests on one machine, it lies below the warehouse.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -52,7 +48,7 @@ def local_path(uri: str) -> str:
     parsed = urlparse(uri)
     if parsed.scheme not in ("", "file"):
         raise ValueError(f"a folder mounted on all machines is needed, not {uri}")
-    return parsed.path
+    return os.path.abspath(parsed.path)
 
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
