@@ -33,6 +33,8 @@ from loamline.llm.encoding import byte_letters, chunk_encoder, load_tokenizer, t
 SEGMENT_CHARS = 1 << 15
 #: Bytes of text that a task encodes at a time.
 SLICE_BYTES = 2 << 20
+#: Chunks that a worker remembers; several workers of an executor hold as many each.
+KEPT_CHUNKS = 50_000
 #: A cut inside a run has so many characters of its class before it, more than any special token or contraction has.
 _RUN = 24
 
@@ -159,7 +161,7 @@ def encode_decode(df: DataFrame, tokenizer: str, segment_chars: int = SEGMENT_CH
         import pyarrow as pa
 
         for at, part, b in ((at, part, b) for b in batches for at, part in text_slices(b.column(1), SLICE_BYTES)):
-            flat, bounds = chunk_encoder(tokenizer).encode_batch(part)
+            flat, bounds = chunk_encoder(tokenizer, kept=KEPT_CHUNKS).encode_batch(part)
             ids = pa.ListArray.from_arrays(pa.array(bounds.astype("i4")), pa.array(flat.astype("i4")))
             pieces = flat.tolist()
             texts = [decode_ids(pieces[x:y], tokenizer) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
@@ -178,14 +180,14 @@ def encode_decode(df: DataFrame, tokenizer: str, segment_chars: int = SEGMENT_CH
         import pyarrow as pa
 
         for b in (b.slice(at, len(part)) for b in batches for at, part in text_slices(b.column(5), SLICE_BYTES)):
-            flat, bounds = chunk_encoder(tokenizer).encode_batch(b.column(5))
+            flat, bounds = chunk_encoder(tokenizer, kept=KEPT_CHUNKS).encode_batch(b.column(5))
             ids = pa.ListArray.from_arrays(pa.array(bounds.astype("i4")), pa.array(flat.astype("i4")))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, "ids"])
 
     def join_document(pdf):
         import pandas as pd
 
-        encoder, table = chunk_encoder(tokenizer), byte_table(tokenizer)
+        encoder, table = chunk_encoder(tokenizer, kept=KEPT_CHUNKS), byte_table(tokenizer)
         copies = int((pdf["part"] == 0).sum())
         pdf = pdf.sort_values("part").drop_duplicates("part")
         glued = pdf["glued"].tolist()

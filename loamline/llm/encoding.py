@@ -66,10 +66,10 @@ class ChunkEncoder:
     through the whole library.
     """
 
-    def __init__(self, path: str, drops_space: bool):
+    def __init__(self, path: str, drops_space: bool, kept: int = _KEPT_CHUNKS):
         self.tokenizer = load_tokenizer(path)
         self.model = self.tokenizer.model
-        self.drops_space = drops_space
+        self.drops_space, self.kept = drops_space, kept
         self.letters = byte_letters()
         self.table: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -135,7 +135,7 @@ class ChunkEncoder:
                 else:
                     ids = self.line_break + self._plain(x[1:]) if x[:1] == "\n" else self._plain(" " + x)
             if len(x) <= _KEPT_CHARS:
-                if len(self.table) >= _KEPT_CHUNKS:
+                if len(self.table) >= self.kept:
                     self.older, self.table = self.table, {}
                 self.table[x] = ids
         return ids
@@ -159,7 +159,7 @@ class ChunkEncoder:
                 letters = x.encode().decode("latin-1").translate(self.letters)
             else:
                 letters = self.letters[32] + x[1:] if x[0] == " " else x
-            if len(self.pretokens) > _KEPT_CHUNKS:
+            if len(self.pretokens) > self.kept:
                 self.pretokens.clear()
             ids = self.pretokens[x] = _packed([t.id for t in self.model.tokenize(letters)])
         return ids
@@ -170,6 +170,6 @@ def _packed(ids: list[int]) -> bytes:
 
 
 @lru_cache(maxsize=4)
-def chunk_encoder(path: str, drops_space: bool = False) -> ChunkEncoder:
+def chunk_encoder(path: str, drops_space: bool = False, kept: int = _KEPT_CHUNKS) -> ChunkEncoder:
     """One encoder for each worker process and file, so that its table serves all batches."""
-    return ChunkEncoder(path, drops_space)
+    return ChunkEncoder(path, drops_space, kept)
