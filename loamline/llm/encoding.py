@@ -22,7 +22,7 @@ from functools import lru_cache
 from loamline.llm.common import text_slices
 
 #: Chunks longer than this are encoded each time; so many are remembered before older ones go.
-_KEPT_CHARS, _KEPT_CHUNKS = 48, 400_000
+_KEPT_CHARS, _KEPT_CHUNKS = 48, 200_000
 #: Bytes of text that are laid out at a time.
 _SLICE_BYTES = 8 << 20
 

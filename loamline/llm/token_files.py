@@ -24,7 +24,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import documents, local_path, range_bounds, replace_file, shared_dir
+from loamline.llm.common import documents, local_path, range_bounds, replace_file, shared_dir, text_slices
 from loamline.llm.encoding import chunk_encoder, tokenizer_path
 
 #: Documents and bytes of each that the dictionary is trained on, and its size.
@@ -32,6 +32,8 @@ DICT_SAMPLE, DICT_DOC_BYTES, DICT_BYTES = 1000, 1 << 14, 1 << 16
 #: Compression level; bytes of text for one shard.
 LEVEL = 1
 SHARD_TEXT_BYTES = 32 << 20
+#: Bytes of text that a task encodes at a time.
+SLICE_BYTES = 4 << 20
 _HEAD = struct.Struct("<8s32sBQQ")
 _MAGIC = b"LLTOKEN1"
 
@@ -139,10 +141,12 @@ def write_token_files(df: DataFrame, tokenizer: str, end_id: int, uri: str, widt
         import pyarrow as pa
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(serialized(b.column(1)), pa.binary())], names=["doc_id", "ids"])
+            for at, part in text_slices(b.column(1), SLICE_BYTES):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), pa.array(serialized(part), pa.binary())], names=["doc_id", "ids"])
 
-    sample = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICT_SAMPLE).repartition(8).mapInArrow(sampled, "doc_id long, ids binary")
-    samples = [bytes(r[0]) for r in sample.orderBy(F.xxhash64("doc_id")).select(F.substring("ids", 1, DICT_DOC_BYTES)).collect()]
+    chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICT_SAMPLE)
+    sample = docs.join(F.broadcast(chosen), "doc_id").mapInArrow(sampled, "doc_id long, ids binary")
+    samples = [bytes(r[0]) for r in sample.select("doc_id", F.substring("ids", 1, DICT_DOC_BYTES).alias("ids")).orderBy(F.xxhash64("doc_id"), "doc_id", "ids").limit(DICT_SAMPLE).select("ids").collect()]
     raw = _train(samples)
     digest = hashlib.sha256(raw).hexdigest()
     replace_file(f"{folder}/{digest}.dict", [raw])
@@ -157,10 +161,9 @@ def write_token_files(df: DataFrame, tokenizer: str, end_id: int, uri: str, widt
 
         shared = _dictionary(folder, digest)
         zstd = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared) if shared else zstandard.ZstdCompressor(level=LEVEL)
-        for b in batches:
-            doc_ids, ids = b.column(0).to_pylist(), serialized(b.column(1))
-            shard = np.searchsorted(np.asarray(bounds, "i8"), [d if d is not None else -(2**63) for d in doc_ids], side="right")
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype("i4")), b.column(0), pa.array([len(x) // width for x in ids], pa.int64()), pa.array([zstd.compress(x) for x in ids], pa.binary())], names=["shard", "doc_id", "n_tokens", "frame"])
+        for doc_ids, ids in ((b.column(0).slice(at, len(part)), serialized(part)) for b in batches for at, part in text_slices(b.column(1), SLICE_BYTES)):
+            shard = np.searchsorted(np.asarray(bounds, "i8"), [d if d is not None else -(2**63) for d in doc_ids.to_pylist()], side="right")
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype("i4")), doc_ids, pa.array([len(x) // width for x in ids], pa.int64()), pa.array([zstd.compress(x) for x in ids], pa.binary())], names=["shard", "doc_id", "n_tokens", "frame"])
 
     def write(batches):
         import pyarrow as pa
