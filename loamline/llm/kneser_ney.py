@@ -217,18 +217,19 @@ class Model:
         for s in np.unique(shard).tolist():
             i = at[np.searchsorted(shard, s) : np.searchsorted(shard, s, "right")]
             n = self.shard_sizes.get(s, 0)
-            if not n:
+            if not n and s < self.shards.n_ranges:
                 continue
-            name = f"pairs-{s:06d}"
-            keys = _array(self.folder, name, "<u8", n)
-            place = np.minimum(np.searchsorted(keys, key[i]), n - 1)
-            c = np.where(keys[place] == key[i], _array(self.folder, name, "<u4", n, 8 * n)[place], 0).astype("i8")
+            name, c = f"pairs-{s:06d}", np.zeros(len(i), "i8")
+            if n:
+                keys = _array(self.folder, name, "<u8", n)
+                place = np.minimum(np.searchsorted(keys, key[i]), n - 1)
+                c = np.where(keys[place] == key[i], _array(self.folder, name, "<u4", n, 8 * n)[place], 0).astype("i8")
             if s < self.shards.n_ranges:
                 low = self.shards.low(s)
                 m = self.shards.low(s + 1) - low
                 total, *kinds = (_array(self.folder, name, "<u4", m, 12 * n + 4 * m * k)[first[i] - low].astype("f8") for k in range(4))
-            else:
-                total, *kinds = (np.full(len(i), float(x)) for x in self.hot_stats[int(first[i[0]])])
+            else:  # an empty shard's pairs have the totals of their word all the same
+                total, *kinds = (np.full(len(i), float(x)) for x in self.hot_stats.get(int(first[i[0]]), [0] * 4))
             seen = total > 0
             size = np.where(seen, total, 1)
             own[i] = np.maximum(c - d[np.minimum(c, 3)], 0) / size

@@ -60,6 +60,19 @@ def test_scores_equal_the_formulas(spark, tmp_path):
             assert x[:4] == y[:4] and abs(x[4] - y[4]) < 1e-6 and abs(x[5] - y[5]) < 1e-6
 
 
+def test_frequent_word_with_one_follower(spark, tmp_path):
+    train = ["hot next"] * 40 + ["a b c d", "b a d next", "c c a"]
+    texts = [f"hot {w}" for w in ("hot", "next", "a", "b", "c", "d", "unseen")] + ["hot", "next hot"]
+    for shard_tokens in (7, 10**6):
+        model = kn.train(frame(spark, train), f"file://{tmp_path}/{shard_tokens}", shard_tokens=shard_tokens)
+        sizes = [model.shard_sizes.get(s, 0) for s in range(model.shards.n_ranges, model.shards.total)]
+        assert (0 in sizes) == (shard_tokens == 7)
+        want = _plain(train, texts)[1]
+        got = kn.score(frame(spark, texts).withColumn("held_out", F.lit(True)), model).orderBy("doc_id").collect()
+        for x, y in zip(got, want, strict=True):
+            assert abs(x.score - y[3]) < 1e-6, (shard_tokens, x.doc_id)
+
+
 def test_probabilities_sum_to_one(spark, tmp_path):
     model = kn.train(frame(spark, ["a b a c b a", "b b c d e a", "e d c"]), f"file://{tmp_path}/m")
     vocabulary = ["a", "b", "c", "d", "e", "unseen"]
