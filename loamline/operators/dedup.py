@@ -48,14 +48,14 @@ def hamming_pairs(classes: DataFrame, k: int) -> DataFrame:
 
 
 def keep_first(nodes: DataFrame, links: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(id, dup_of) of a walk in order of id that drops a row near an earlier kept one.
+    """(id, dup_of) of a walk in order of id, a number or a struct, that drops a row near an earlier kept one.
 
     Rounds decide all rows whose earlier neighbours are decided: kept if none of those is
     kept, else dropped as a copy of the earliest. Each round is written to the checkpoint
     folder, so lineage stays short.
     """
     undecided = written(links.select(F.col("b").alias("id"), F.col("a").alias("near")).distinct())
-    state = written(nodes.select("id").join(undecided.select("id").distinct(), "id", "left_anti").select("id", F.lit(None).cast("long").alias("dup_of")))
+    state = written(nodes.select("id").join(undecided.select("id").distinct(), "id", "left_anti").select("id", F.lit(None).cast(nodes.schema["id"].dataType).alias("dup_of")))
     for _ in range(most_rounds):
         known = undecided.join(state.select(F.col("id").alias("near"), F.lit(True).alias("done"), F.col("dup_of").isNull().alias("kept")), "near", "left")
         first = known.groupBy("id").agg(F.min(F.when(F.col("kept"), F.col("near"))).alias("dup_of"), F.min(F.when(F.col("done").isNull(), F.col("near"))).alias("waits"))

@@ -7,16 +7,25 @@ from pyspark.sql import functions as F
 
 from loamline.functions.arrays import bind
 from loamline.operators import dedup
+from loamline.operators.lineage import written
 from loamline.sources import manifests
 from loamline.sources.tables import table
 
 #: Characters below which a document is too short; words of a window that counts as a leak; bits between near hashes.
 LEAST_CHARS, LEAK_WORDS, NEAR_BITS = 64, 8, 5
+#: Words of a shingle, and the share of them in percent that near copies have in common.
+NEAR_WORDS, NEAR_PERCENT = 4, 80
+#: As many ids are broadcast at most.
+BROADCAST_IDS = 2_000_000
+
+
+def _words(text):
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
 
 
 def _windows(text):
     """Distinct windows of ``LEAK_WORDS`` words."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    words = _words(text)
 
     def of(w):
         many = F.transform(F.sequence(F.lit(1), F.size(w) - LEAK_WORDS + 1), lambda i: F.array_join(F.slice(w, i, LEAK_WORDS), " "))
@@ -70,12 +79,12 @@ def embedding_hashes(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", dedup.average_hash(F.col("embedding")).alias("h"))
 
 
-def _classes(spark, sf):
-    """Documents by a 64-bit hash: which of 64 word buckets hold more words than the mean.
+def _classes(docs):
+    """Documents with words by a 64-bit hash: which of 64 word buckets hold more words than the mean.
 
     Words are counted by document and bucket before the shuffle, so 64 rows a document travel at most.
     """
-    words = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w")).filter("w <> ''")
+    words = docs.select("doc_id", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w")).filter("w <> ''")
     bucket = F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 2), 16, 10).cast("int") % 64
     counts = words.groupBy("doc_id", bucket.alias("k")).agg(F.count("*").alias("n"))
     over = F.filter("xs", lambda x: x["n"] * 64 > F.aggregate("xs", F.lit(0).cast("long"), lambda a, y: a + y["n"]))
@@ -85,14 +94,17 @@ def _classes(spark, sf):
 
 
 def hash_class_members(spark, sf):
-    """Each document with the one that represents all of its hash."""
-    h = _classes(spark, sf)
+    """Each document with words, with the one that represents all of its hash."""
+    h = _classes(table(spark, sf, "documents"))
     return h.join(dedup.hash_classes(h, "doc_id", "h"), "h").select("doc_id", "h", "rep", "n")
 
 
 def near_pairs_hash(spark, sf):
-    """Pairs of representatives at most ``NEAR_BITS`` bits apart; ``hash_class_members`` has their members."""
-    return dedup.hamming_pairs(dedup.hash_classes(_classes(spark, sf), "doc_id", "h"), NEAR_BITS)
+    """Pairs of representatives at most ``NEAR_BITS`` bits apart; ``hash_class_members`` has their members.
+
+    The hash only says where to look: short texts that have no word in common come as close.
+    """
+    return dedup.hamming_pairs(dedup.hash_classes(_classes(table(spark, sf, "documents")), "doc_id", "h"), NEAR_BITS)
 
 
 def near_pair_summary(spark, sf):
@@ -102,13 +114,47 @@ def near_pair_summary(spark, sf):
     return p.groupBy("distance", (F.col("sa") == F.col("sb")).alias("same_source")).agg(F.count("*").alias("n"))
 
 
+def _shingles(text):
+    """Distinct hashes of ``NEAR_WORDS`` words in a row; a shorter text is one shingle."""
+
+    def of(w):
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - NEAR_WORDS + 1, F.lit(1)))
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(w, i, NEAR_WORDS), " "))))
+
+    return bind(_words(text), of)
+
+
+def keep_first_copies(docs, order):
+    """(doc_id, id, dup_of) of each of ``docs(doc_id, text)``, walked through by ``id``, the value of ``order``.
+
+    Texts of equal words stand for one another. Others are near copies if their hashes are
+    at most ``NEAR_BITS`` bits apart and their shingles confirm it. A text without words is
+    nobody's copy.
+    """
+    digest = bind(_words(F.col("text")), lambda w: F.when(F.size(w) > 0, F.md5(F.array_join(w, " ").cast("binary"))))
+    listed = written(docs.select("doc_id", order.alias("id"), digest.alias("digest"), F.size(_shingles(F.col("text"))).alias("size")))
+    first = written(listed.filter("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("id", "doc_id", "size")).alias("f")).select("digest", F.col("f.id").alias("rep"), "f.doc_id", "f.size"))
+    classes = written(_classes(docs).join(first, "doc_id").select("rep", "h"))
+    # Sizes are compared first; sets are made only of texts whose pairs can reach the bound.
+    size = lambda node: first.select(F.col("rep").alias(node), F.col("size").alias(f"size_{node}"))
+    pairs = dedup.hamming_pairs(classes, NEAR_BITS).select("a", "b").join(size("a"), "a").join(size("b"), "b")
+    able = written(pairs.filter(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * NEAR_PERCENT))
+    wanted = first.select("rep", "doc_id").join(able.select(F.col("a").alias("rep")).union(able.select("b")).distinct(), "rep", "left_semi")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    sets = written(docs.select("doc_id", "text").join(wanted, "doc_id").select("rep", _shingles(F.col("text")).alias("s")))
+    side = lambda node: sets.select(F.col("rep").alias(node), F.col("s").alias(f"s_{node}"))
+    shared = F.size(F.array_intersect("s_a", "s_b"))
+    links = able.join(side("a"), "a").join(side("b"), "b").select("a", "b", "size_a", "size_b", shared.alias("c")).filter(F.col("c") * 100 >= (F.col("size_a") + F.col("size_b") - F.col("c")) * NEAR_PERCENT)
+    kept = dedup.keep_first(first.select(F.col("rep").alias("id")), links.select("a", "b"))
+    decided = first.select("digest", "rep").join(kept.withColumnRenamed("id", "rep"), "rep")
+    joined = listed.join(decided, "digest", "left")
+    return joined.select("doc_id", "id", F.coalesce("dup_of", F.when(F.col("id") != F.col("rep"), F.col("rep"))).alias("dup_of"))
+
+
 def near_dup_keep_first(spark, sf):
     """Each document, and the earliest kept one that it is a near copy of."""
-    members = hash_class_members(spark, sf)
-    reps = members.filter("doc_id = rep").select(F.col("rep").alias("id"))
-    kept = dedup.keep_first(reps, near_pairs_hash(spark, sf))
-    joined = members.join(kept.withColumnRenamed("id", "rep"), "rep")
-    return joined.select("doc_id", F.coalesce("dup_of", F.when(F.col("doc_id") != F.col("rep"), F.col("rep"))).alias("dup_of"))
+    return keep_first_copies(table(spark, sf, "documents"), F.col("doc_id")).select("doc_id", "dup_of")
 
 
 def diversity_topk(spark, sf):
