@@ -227,7 +227,8 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80) -> DataFra
 
     component = buckets.select("node").distinct().withColumn("component", F.col("node"))
     links = tried = None
-    for turn in range(LEADER_ROUNDS + 1):
+    turn = 0
+    while turn <= LEADER_ROUNDS:
         placed = buckets.join(component, "node")
         open_ = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("bucket")
         placed = placed.join(open_, "bucket")
@@ -242,7 +243,12 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80) -> DataFra
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = materialize(pairs, "pairs")
         if pairs.limit(1).count() == 0:
-            break
+            # Leaders may repeat, so that a round without new pairs doesn't mean that none is left.
+            if turn == LEADER_ROUNDS:
+                break
+            turn = LEADER_ROUNDS
+            continue
+        turn += 1
         tried = pairs if tried is None else tried.union(pairs)
         likely = pairs.join(low.select(F.col("node").alias("u"), F.col("low").alias("x")), "u").join(low.select(F.col("node").alias("v"), F.col("low").alias("y")), "v").filter(estimate(F.col("x"), F.col("y")) >= percent / 100 - MARGIN).select("u", "v")
         fresh = materialize(confirm(materialize(likely.distinct(), "likely"), df, width, percent), "links")

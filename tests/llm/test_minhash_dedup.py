@@ -65,6 +65,13 @@ def test_components_equal_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({c for c in want.values()})
 
 
+def test_pairs_are_tried_when_a_leader_repeats(spark, monkeypatch):
+    monkeypatch.setattr(md.F, "xxhash64", lambda node, turn: F.col(node))  # the smallest id leads in each turn
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in (4000, 3998, 3199)]  # similarities 0.9995, 0.79975, 0.80015
+    got = md.near_duplicates(frame(spark, texts), 1, 80).collect()
+    assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 0, 2: 0}
+
+
 def test_empty(spark):
     assert md.near_duplicates(frame(spark, []), 5, 80).count() == 0
     assert md.near_duplicates(frame(spark, [None, "", " "]), 5, 80).filter("doc_id = component_id").count() == 3
