@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamline.operators.series import ordered_fold
 from loamline.sources.tables import micros
 
 
@@ -19,7 +20,8 @@ def shared(spark: SparkSession, purpose: str) -> str:
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as a stream of files, with ``t`` in microseconds and ``at`` as a time stamp."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", True).parquet(sf_dir)
+    # A pattern matches the table whether it is one file or a folder of files.
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     timed = rows.withColumn("t", micros(F.col("ts")))
     return timed.withColumn("at", F.timestamp_micros("t"))
 
@@ -39,22 +41,29 @@ def stream_sessions(spark: SparkSession, sf_dir: str, gap: str = "24 hours") ->
 
 
 def stream_alerts(spark: SparkSession, sf_dir: str, wait: int = 6 * 3_600_000_000) -> DataFrame:
-    """Events that fire: at least ``wait`` microseconds after the user's last one that fired."""
+    """Events that fire: at least ``wait`` microseconds after the user's last one that fired.
+
+    A batch is sorted and walked through by an ordered fold, which holds one user's state;
+    each user's last time goes from batch to batch through the shared folder.
+    """
     out = shared(spark, "alerts")
 
-    def fire(key, frames, state):
-        import pandas as pd
-
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["t", "event_id"])
-        picked = []
-        for event, t in zip(rows["event_id"].tolist(), rows["t"].tolist(), strict=True):
-            if last is None or t - last >= wait:
-                picked.append((event, key[0], t))
-                last = t
-        state.update((last,))
-        yield pd.DataFrame(picked, columns=["event_id", "user_id", "t"])
-
-    picks = event_stream(spark, sf_dir).select("event_id", "user_id", "t").groupBy("user_id").applyInPandasWithState(fire, "event_id long, user_id long, t long", "last long", "append", "NoTimeout")
-    picks.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out).awaitTermination()
-    return spark.read.schema("event_id long, user_id long, t long").parquet(out)
+    def step(last, fresh, t):
+        fire = bool(fresh) and (last is None or t - last >= wait)
+        return (t if fire or not fresh else last), float(fire)
+
+    def fire(batch: DataFrame, number: int) -> None:
+        read = batch.sparkSession.read
+        rows = batch.select(F.col("event_id").cast("long"), F.col("user_id").cast("long"), "t", F.lit(1).alias("fresh"))
+        last = read.schema("user_id long, t long").parquet(f"{out}-last/{number - 1}") if number else None
+        if last is not None:
+            rows = rows.union(last.select(F.lit(None).cast("long"), "user_id", "t", F.lit(0)))
+        picked = ordered_fold(rows, "user_id", ["fresh", "t", "event_id"], ["fresh", "t"], "picked", lambda: None, step).filter("picked = 1")
+        picked.select("event_id", "user_id", "t").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        times = read.schema("user_id long, t long").parquet(f"{out}/batch={number}")
+        times = times if last is None else times.union(last)
+        times.groupBy("user_id").agg(F.max("t").alias("t")).write.mode("overwrite").parquet(f"{out}-last/{number}")
+
+    picks = event_stream(spark, sf_dir).select("event_id", "user_id", "t")
+    picks.writeStream.foreachBatch(fire).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("event_id long, user_id long, t long").parquet(out).select("event_id", "user_id", "t")
