@@ -158,9 +158,11 @@ def near_dup_keep_first(spark, sf):
 
 
 def diversity_topk(spark, sf):
-    """The hundred longest documents that are left when near copies are gone."""
-    kept = near_dup_keep_first(spark, sf).filter("dup_of IS NULL").select("doc_id")
-    return table(spark, sf, "documents").select("doc_id", "n_chars").join(kept, "doc_id").orderBy(F.desc("n_chars"), "doc_id").limit(100)
+    """The hundred longest documents that are left when near copies are gone; of near copies the longest stays."""
+    d = table(spark, sf, "documents")
+    longest_first = F.struct((-F.coalesce(F.col("n_chars").cast("long"), F.lit(0))).alias("less"), F.col("doc_id"))
+    kept = keep_first_copies(d, longest_first).filter("dup_of IS NULL").select("doc_id")
+    return d.select("doc_id", "n_chars").join(kept, "doc_id").orderBy(F.desc("n_chars"), "doc_id").limit(100)
 
 
 def source_prefix_counts(spark, sf):

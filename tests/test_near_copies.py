@@ -20,3 +20,9 @@ def test_copies_of_a_dropped_document(spark, tmp_path):
     w = [f"w{i}" for i in range(100)]
     got = {r.doc_id: r.dup_of for r in curation.near_dup_keep_first(spark, _saved(spark, tmp_path, [" ".join(w), " ".join(w[1:]), " ".join(w[1:]) + "\n"])).collect()}
     assert got == {0: None, 1: 0, 2: 0}
+
+
+def test_longest_copy_stays(spark, tmp_path):
+    w = [f"w{i}" for i in range(100)]
+    texts = [" ".join(w[2:]), " ".join(w), " ".join(w[1:]), "quite another text", None]
+    assert [r.doc_id for r in curation.diversity_topk(spark, _saved(spark, tmp_path, texts)).collect()] == [1, 3, 4]
