@@ -59,6 +59,15 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of materialized tables that nothing will read any more."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def replace_file(path: str, parts: Iterator[bytes] | list[bytes]) -> None:
     """Write a file under another name first, so that a retried task never leaves half of it."""
     os.makedirs(os.path.dirname(path), exist_ok=True)

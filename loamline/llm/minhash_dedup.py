@@ -6,12 +6,12 @@
 2. Documents of equal sets form classes; only the smallest id of each class goes on, so
    thousands of copies cost one row.
 3. Candidates are representatives that share a band's hash. In a bucket each is paired
-   with one leader, not with all others. A pair goes on if its similarity, estimated by
+   with one leader, the member of most shared buckets. A pair goes on if its similarity, estimated by
    bit counts and corrected for chance matches of low bits, isn't far below the bound.
 4. What is left is confirmed on the full shingle sets and linked; links give components.
-5. A bucket whose members are not yet in one component takes other leaders, and after
-   ``LEADER_ROUNDS`` all its pairs across components, until no pair is left untried; so
-   pairs within a group are left out only where they couldn't change a component.
+5. In a bucket whose other members are not in one component, pairs of them are found by
+   how they differ from the leader (see ``apart_pairs``), without pairing all of them, and
+   confirmed likewise. No pair is left out that could change a component.
 
 At similarity 0.8 a pair misses all 64 bands of 8 minima with probability 8e-6, and the
 margin of the estimate is more than five standard deviations.
@@ -26,16 +26,15 @@ empty result. Other columns pass through ``drop_near_duplicates``.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamline.llm.common import documents, materialize
+from loamline.llm.common import discard, documents, materialize
 from loamline.llm.components import connected_components
 
 BANDS, ROWS, BITS = 64, 8, 2
 #: Pairs estimated lower than the bound less this margin are not confirmed.
 MARGIN = 0.12
-LEADER_ROUNDS = 3
 #: As many ids are broadcast at most, about 100 MB on an executor.
 BROADCAST_IDS = 4_000_000
 
@@ -167,15 +166,14 @@ def _unpack_set(raw: bytes):
     return np.cumsum(np.ascontiguousarray(planes.T).view("u8").ravel(), dtype="u8")
 
 
-def confirm(pairs: DataFrame, df: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets have 100 * intersection >= percent * union.
+def packed_sets(ids: DataFrame, df: DataFrame, width: int) -> DataFrame:
+    """(doc_id, key, shingles) of the texts of ``ids(doc_id)``, packed; ``key`` tells apart the sets of one id.
 
-    Up to ``BROADCAST_IDS`` wanted ids are broadcast to the scan of the texts; beyond that
-    the texts are shuffled to them.
+    Up to ``BROADCAST_IDS`` ids are broadcast to the scan of the texts; beyond that the
+    texts are shuffled to them.
     """
-    wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
 
     def to_sets(batches):
         import pyarrow as pa
@@ -187,11 +185,24 @@ def confirm(pairs: DataFrame, df: DataFrame, width: int, percent: int) -> DataFr
             keys = [xxhash.xxh64_intdigest(s) >> 1 for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "key", "shingles"])
 
-    texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
+    texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
     sets = materialize(texts.mapInArrow(to_sets, "doc_id long, key long, shingles binary"), "sets")
-    repeated = sets.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    if repeated.limit(1).count():
-        sets = sets.dropDuplicates(["doc_id", "key"])
+    repeated = sets.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    return sets.dropDuplicates(["doc_id", "key"]) if repeated.limit(1).count() else sets
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs(u, v, ...)`` with the packed sets x and y and their keys."""
+    side = lambda node, key, name: sets.select(F.col("doc_id").alias(node), F.col("key").alias(key), F.col("shingles").alias(name)).hint("merge")
+    return pairs.join(side("u", "u_key", "x"), "u").join(side("v", "v_key", "y"), "v")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose full shingle sets have 100 * intersection >= percent * union."""
 
     def compare(batches):
         import pyarrow as pa
@@ -207,62 +218,118 @@ def confirm(pairs: DataFrame, df: DataFrame, width: int, percent: int) -> DataFr
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["u", "v"])
 
-    side = lambda node, name: sets.select(F.col("doc_id").alias(node), F.col("shingles").alias(name)).hint("merge")
-    joined = pairs.select("u", "v").join(side("u", "x"), "u").join(side("v", "y"), "v")
+    joined = _with_sets(pairs.select("u", "v"), sets)
     return joined.select("u", "v", "x", "y").mapInArrow(compare, "u long, v long").distinct()
 
 
+_DIFFERENCE = "lead long, lead_key long, node long, node_key long, component long, n long, apart long, shingle long"
+
+
+def differences(balls: DataFrame, sets: DataFrame) -> DataFrame:
+    """A row for each shingle that stands in just one of the sets of ``u`` and ``v``, for ``balls(u, v, component)``.
+
+    ``n`` is the size of v's set and ``apart`` the number of its rows.
+    """
+
+    def differ(batches):
+        import pyarrow as pa
+
+        names = [c.split()[0] for c in _DIFFERENCE.split(", ")]
+
+        def packed(rows, found):
+            counts = [len(f) for f in found]
+            cols = [np.repeat(np.array(c, "i8"), counts) for c in zip(*rows, strict=True)]
+            cols += [np.repeat(np.array(counts, "i8"), counts), np.concatenate(found).view("i8")]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+
+        rows, found, held = [], [], 0
+        for b in batches:
+            for u, u_key, v, v_key, component, x, y in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+                own = _unpack_set(y)
+                rows.append((u, u_key, v, v_key, component, len(own)))
+                found.append(np.setxor1d(_unpack_set(x), own))
+                held += len(found[-1])
+                if held >= 100_000:
+                    yield packed(rows, found)
+                    rows, found, held = [], [], 0
+        if rows:
+            yield packed(rows, found)
+
+    columns = _with_sets(balls, sets).select("u", "u_key", "v", "v_key", "component", "x", "y")
+    return columns.mapInArrow(differ, _DIFFERENCE)
+
+
+def apart_pairs(apart: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of nodes around one leader, in different components, that may be similar enough.
+
+    Let D(x) be the shingles in which x differs from the leader, n(x) the size of x's set
+    and k = (100 - percent) / (100 + percent). Sets x and y are similar enough if and only if
+    they differ in k * (n(x) + n(y)) shingles at most, and they differ in
+    |D(x)| + |D(y)| - 2 * |D(x) and D(y)|. So either |D(x)| + |D(y)| <= k * (n(x) + n(y)),
+    and then both are linked with the leader already, or D(x) and D(y) share half of what
+    is over. They are joined on their shared differences, rarest first: the first shared one
+    must have enough others after it in both, and as a partner has n(x) * 100 / percent
+    shingles at most, the last ones of x needn't be listed. Differences from the leader
+    are rare, so this doesn't pair all nodes around it.
+    """
+    ball, own = ["lead", "lead_key"], ["node", "node_key"]
+    counted = apart.withColumn("holders", F.count("*").over(Window.partitionBy(*ball, "shingle"))).filter("holders > 1")
+    rank = Window.partitionBy(*ball, *own).orderBy(F.col("holders").desc(), F.col("shingle").desc())
+    listed = counted.withColumn("rest", F.row_number().over(rank).cast("long")).filter(f"{percent} * (apart - rest) <= {100 - percent} * n").drop("holders", "node_key")
+    listed = materialize(listed, "differences")
+    left = listed.select(*ball, "shingle", *(F.col(c).alias(f"{c}_x") for c in ("node", "component", "n", "apart", "rest")))
+    right = listed.select(*ball, "shingle", *(F.col(c).alias(f"{c}_y") for c in ("node", "component", "n", "apart", "rest")))
+    fits = f"""node_x < node_y AND component_x <> component_y AND {percent} * n_x <= 100 * n_y AND {percent} * n_y <= 100 * n_x
+        AND {100 + percent} * (apart_x + apart_y - 2 * least(rest_x, rest_y)) <= {100 - percent} * (n_x + n_y)"""
+    return left.join(right, [*ball, "shingle"]).filter(fits).select(F.col("node_x").alias("u"), F.col("node_y").alias("v")).distinct()
+
+
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``df(doc_id, text)``."""
     signed = materialize(signatures(df, width), "signatures")
     full = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialize(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "classes")
-    member = full.select("doc_id", "set_a", "set_b").join(classes, ["set_a", "set_b"]).select("doc_id", "rep").distinct()
+    member = full.select("doc_id", "set_a", "set_b").join(classes, ["set_a", "set_b"]).select("doc_id", "rep")
     reps = full.join(classes.select("set_a", "set_b", F.col("rep").alias("doc_id")), ["set_a", "set_b", "doc_id"], "left_semi").select("doc_id", "set_a", "bands", "low").dropDuplicates(["doc_id", "set_a"])
 
     banded = reps.select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     buckets = materialize(banded.join(shared, "bucket").distinct(), "buckets")
+    spread = buckets.groupBy("node").agg(F.count("*").alias("spread"))
+    lead = buckets.join(spread, "node").groupBy("bucket").agg(F.min_by("node", F.struct(-F.col("spread"), F.xxhash64("node", F.lit(0)), "node")).alias("lead"))
+    led = materialize(buckets.join(lead, "bucket").filter("node <> lead"), "led")
+    discard(buckets)
     low = reps.select(F.col("doc_id").alias("node"), "low")
 
-    component = buckets.select("node").distinct().withColumn("component", F.col("node"))
-    links = tried = None
-    turn = 0
-    while turn <= LEADER_ROUNDS:
-        placed = buckets.join(component, "node")
-        open_ = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("bucket")
-        placed = placed.join(open_, "bucket")
-        if turn < LEADER_ROUNDS:
-            lead = placed.groupBy("bucket").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("lead"))
-            pairs = placed.join(lead, "bucket").filter("component <> lead.component").select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v"))
-        else:
-            other = placed.select("bucket", F.col("node").alias("v"), F.col("component").alias("other"))
-            pairs = placed.withColumnRenamed("node", "u").join(other, "bucket").filter("u < v AND component <> other").select("u", "v")
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if pairs.limit(1).count() == 0:
-            # Leaders may repeat, so that a round without new pairs doesn't mean that none is left.
-            if turn == LEADER_ROUNDS:
-                break
-            turn = LEADER_ROUNDS
-            continue
-        turn += 1
-        tried = pairs if tried is None else tried.union(pairs)
-        likely = pairs.join(low.select(F.col("node").alias("u"), F.col("low").alias("x")), "u").join(low.select(F.col("node").alias("v"), F.col("low").alias("y")), "v").filter(estimate(F.col("x"), F.col("y")) >= percent / 100 - MARGIN).select("u", "v")
-        fresh = materialize(confirm(materialize(likely.distinct(), "likely"), df, width, percent), "links")
-        links = fresh if links is None else links.union(fresh)
-        settled = connected_components(links)
-        component = buckets.select("node").distinct().join(settled, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-
-    # A representative's component may hold another id of the same rows: ids, classes and links meet in one graph.
-    edges = member.filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    if links is not None:
-        edges = edges.union(links)
-    found = connected_components(edges)
-    ids = signed.select("doc_id", "n_shingles")
-    return ids.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    def likely(pairs: DataFrame) -> DataFrame:
+        side = lambda node, name: low.select(F.col("node").alias(node), F.col("low").alias(name))
+        both = pairs.join(side("u", "x"), "u").join(side("v", "y"), "v")
+        return materialize(both.filter(estimate(F.col("x"), F.col("y")) >= percent / 100 - MARGIN).select("u", "v").distinct(), "likely")
+
+    pairs = likely(led.select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct())
+    sets = packed_sets(_ends(pairs), df, width)
+    links = materialize(confirm(pairs, sets, percent), "links")
+    discard(sets, pairs)
+
+    settled = connected_components(links)
+    placed = led.join(settled, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("bucket")
+    balls = materialize(placed.join(open_, "bucket").select(F.col("lead").alias("u"), F.col("node").alias("v"), "component").distinct(), "balls")
+    if balls.limit(1).count():
+        sets = packed_sets(_ends(balls), df, width)
+        pairs = likely(apart_pairs(differences(balls, sets), percent))
+        links = links.union(materialize(confirm(pairs, sets, percent), "links"))
+        discard(sets, pairs)
+
+    # Rows of one id may have several sets: these are one component too.
+    several = member.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v"))
+    several = materialize(several, "members")
+    repeated = several.filter("u < v").select("doc_id")
+    if repeated.limit(1).count():
+        links = links.union(member.join(repeated, "doc_id").join(several.select("doc_id", "u"), "doc_id").filter("rep <> u").select("u", F.col("rep").alias("v")))
+    settled = connected_components(links)
+    ids = signed.select("doc_id", "n_shingles").join(several.select("doc_id", F.col("u").alias("node")), "doc_id", "left")
+    return ids.join(settled, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from loamline.llm import minhash_dedup as md
 from loamline.llm.components import connected_components
 from pyspark.sql import functions as F
@@ -93,3 +94,38 @@ def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(500)] + [(1000, 1001)], "u long, v long")
     out = {r.node: r.component for r in connected_components(edges).collect()}
     assert set(out.values()) == {0, 1000} and len(out) == 503
+
+
+def test_members_apart_from_their_leader(spark):
+    """A group around one text, another around a text alike, and texts that share a bucket with them unlinked."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(150)]
+    other = _edited(base, rng, 4).split()
+    texts = [_edited(base, rng, rng.randrange(14)) for _ in range(90)] + [_edited(other, rng, rng.randrange(14)) for _ in range(60)]
+    texts += [" ".join(base[: 150 - k]) for k in range(0, 60, 3)]
+    edits = [(rng.randrange(150), f"e{k}") for k in range(12)]  # members that share differences from the others
+    for _ in range(40):
+        w = list(base)
+        for at, word in rng.sample(edits, 9):
+            w[at] = word
+        texts.append(_edited(w, rng, rng.randrange(3)))
+    texts.append("long " + " ".join(f"l{i % 9000}" for i in range(300_000)))
+    rng.shuffle(texts)
+    docs = rows(texts)
+    got = {r.doc_id: r.component_id for r in md.near_duplicates(frame(spark, texts), 4, 80).collect()}
+    want = _components(docs, 4, 80)
+    assert got == want and len(set(want.values())) > 20
+
+
+def test_pairs_at_the_bound_are_candidates():
+    rng, signer = np.random.default_rng(5), md.Signer(md.BANDS, md.ROWS, md.BITS)
+    missed = under = 0
+    for _ in range(2000):
+        h = rng.integers(0, 1 << 63, 100, dtype="u8")
+        (a, x), (b, y) = signer.sign(np.sort(h[:90])), signer.sign(np.sort(h[10:]))
+        missed += not (a == b).any()
+        z = (x ^ y).view("u8")
+        z = (z | (z >> np.uint64(1))) & np.uint64(0x5555555555555555)
+        equal = 1 - int(np.bitwise_count(z).sum()) / (md.BANDS * md.ROWS)
+        under += (equal - 0.25) / 0.75 < 0.8 - md.MARGIN
+    assert missed == 0 and under == 0
