@@ -78,14 +78,19 @@ def pack(pieces: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``, packed group by group."""
     kept = [c for c in pieces.columns if c != "pack_group"]
 
-    def fill(pdf):
-        pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        bins, offsets = first_fit(pdf["length"].tolist(), seq_len)
-        group = int(pdf["pack_group"].iloc[0])
-        return pdf[kept].assign(sequence_id=[(group << 32) + b for b in bins], offset=offsets)
+    def fill(table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        order = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]
+        table = table.take(pc.sort_indices(table, sort_keys=order))
+        bins, offsets = first_fit(table["length"].to_pylist(), seq_len)
+        group = table["pack_group"][0].as_py()
+        out = table.select(kept)
+        return out.append_column("sequence_id", pa.array([(group << 32) + b for b in bins], pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
     schema = ", ".join(f"{c} {t}" for c, t in pieces.select(*kept).dtypes) + ", sequence_id long, offset long"
-    return pieces.groupBy("pack_group").applyInPandas(fill, schema)
+    return pieces.groupBy("pack_group").applyInArrow(fill, schema)
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:

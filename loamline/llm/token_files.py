@@ -3,7 +3,8 @@
 A shard is ``magic, dictionary hash, id width, number of documents, place of the index``,
 then the frames, then the index: columns of doc_id, null flag, frame offset, frame
 length and number of ids. The dictionary is trained on the serialized ids of a bounded
-sample (``DICT_SAMPLE`` documents by hash order); it lies beside the shards under the
+sample (``DICT_SAMPLE`` documents by hash order, of each a window of ``DICT_DOC_BYTES`` at a
+place drawn by the same hash); it lies beside the shards under the
 name of its hash, which every shard repeats, so that a reader refuses another one. One
 document is read with its index row and one frame alone.
 
@@ -13,7 +14,8 @@ when it is complete, so a retried task changes nothing.
 
 Defined results: a null or empty text is the end id alone; null ids come first; rows with
 equal ids are all written, in an order fixed by their frames; an empty table gives no
-shards and no rows; other columns are not looked at.
+shards and no rows; other columns are not looked at. Ids take two bytes, or four where the
+tokenizer or the end id needs them; a width that is too small raises an error.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamline.llm.common import documents, local_path, range_bounds, replace_file, shared_dir, text_slices
-from loamline.llm.encoding import chunk_encoder, tokenizer_path
+from loamline.llm.encoding import chunk_encoder, load_tokenizer, tokenizer_path
 
 #: Documents and bytes of each that the dictionary is trained on, and its size.
 DICT_SAMPLE, DICT_DOC_BYTES, DICT_BYTES = 1000, 1 << 14, 1 << 16
@@ -122,10 +124,15 @@ class ShardReader:
         return np.frombuffer(raw, f"<u{self.width}").astype("<u4")
 
 
-def write_token_files(df: DataFrame, tokenizer: str, end_id: int, uri: str, width: int = 2, shard_text_bytes: int = SHARD_TEXT_BYTES) -> list[tuple]:
+def write_token_files(df: DataFrame, tokenizer: str, end_id: int, uri: str, width: int | None = None, shard_text_bytes: int = SHARD_TEXT_BYTES) -> list[tuple]:
     """Encode ``df`` into shards below ``uri``; (shard, documents, ids, bytes) of each, in order."""
     import hashlib
 
+    most = max(end_id, *load_tokenizer(tokenizer).get_vocab(with_added_tokens=True).values())
+    width = width or (2 if most < 1 << 16 else 4)
+    if most >= 1 << (8 * width):
+        raise ValueError(f"ids up to {most} don't fit in {width} bytes")
+
     folder = local_path(uri)
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
@@ -137,16 +144,22 @@ def write_token_files(df: DataFrame, tokenizer: str, end_id: int, uri: str, widt
         bounds = (bounds + np.arange(len(bounds))).tolist()
         return [flat[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
+    def window(ids: bytes, drawn: int) -> bytes:
+        at = drawn % (max(0, len(ids) - DICT_DOC_BYTES) // width + 1) * width
+        return ids[at : at + DICT_DOC_BYTES]
+
     def sampled(batches):
         import pyarrow as pa
 
         for b in batches:
             for at, part in text_slices(b.column(1), SLICE_BYTES):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), pa.array(serialized(part), pa.binary())], names=["doc_id", "ids"])
+                drawn = b.column(2).slice(at, len(part))
+                cut = [window(ids, k) for ids, k in zip(serialized(part), drawn.to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([drawn, pa.array(cut, pa.binary())], names=["drawn", "ids"])
 
-    chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICT_SAMPLE)
-    sample = docs.join(F.broadcast(chosen), "doc_id").mapInArrow(sampled, "doc_id long, ids binary")
-    samples = [bytes(r[0]) for r in sample.select("doc_id", F.substring("ids", 1, DICT_DOC_BYTES).alias("ids")).orderBy(F.xxhash64("doc_id"), "doc_id", "ids").limit(DICT_SAMPLE).select("ids").collect()]
+    chosen = docs.select("doc_id").distinct().withColumn("drawn", F.xxhash64("doc_id")).orderBy("drawn", "doc_id").limit(DICT_SAMPLE)
+    sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "drawn").mapInArrow(sampled, "drawn long, ids binary")
+    samples = [bytes(r.ids) for r in sample.orderBy("drawn", "ids").limit(DICT_SAMPLE).collect()]
     raw = _train(samples)
     digest = hashlib.sha256(raw).hexdigest()
     replace_file(f"{folder}/{digest}.dict", [raw])
@@ -183,30 +196,34 @@ def write_token_files(df: DataFrame, tokenizer: str, end_id: int, uri: str, widt
         if writer:
             yield done()
 
-    dealt = docs.mapInArrow(frames, "shard int, doc_id long, n_tokens long, frame binary").repartition(n_shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "n_tokens", "frame")
+    dealt = docs.mapInArrow(frames, "shard int, doc_id long, n_tokens long, frame binary").repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "n_tokens", "frame")
     return sorted(tuple(r) for r in dealt.mapInArrow(write, "shard long, n_docs long, n_tokens long, n_bytes long").collect())
 
 
 def read_token_files(spark, uri: str, shards: list[tuple], per_document, schema: str) -> DataFrame:
     """``per_document(doc_id, start, ids)`` of every document of the shards, a row each."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
     folder, before, rows = local_path(uri), 0, []
     for shard, _, n_tokens, _ in shards:
         rows.append((shard, before))
         before += n_tokens
+    fields = to_arrow_schema(StructType.fromDDL(schema))
 
     def read(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        for pdf in batches:
-            for shard, start in zip(pdf["shard"], pdf["before"], strict=True):
+        for b in batches:
+            for shard, start in zip(*(b.column(i).to_pylist() for i in range(2)), strict=True):
                 reader, out = ShardReader(f"{folder}/shard-{shard:08d}.tok"), []
                 for k, doc in enumerate(reader.doc_ids):
                     out.append(per_document(doc, int(start), reader.document(k)))
                     start += int(reader.n_tokens[k])
-                yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")]).astype({"doc_id": "Int64"})
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), fields, strict=True)], schema=fields)
 
     files = spark.createDataFrame(rows, "shard long, before long")
-    return files.repartition(max(1, len(rows)), "shard").mapInPandas(read, schema)
+    return files.repartitionById(max(1, len(rows)), F.col("shard").cast("int")).mapInArrow(read, schema)
 
 
 def _digest(doc_id, start, ids):

@@ -87,3 +87,40 @@ def test_packing_keeps_every_id_once(spark):
 
 def test_packing_of_an_empty_table(spark):
     assert packing.pack(packing.encode_pieces(frame(spark, []), tokenizer_path("word_bpe_49k.json"), 1)).count() == 0
+
+
+BIG = 2**60 + 1
+
+
+def test_large_ids_beside_null_ids(spark, tmp_path):
+    docs = [(BIG, "one two", "en", "s", 7), (None, "three", "en", "s", 5), (BIG + 1, None, None, None, None)]
+    df = spark.createDataFrame(docs, DOC).coalesce(1)
+    uri = f"file://{tmp_path}/big"
+    shards = token_files.write_token_files(df, tokenizer_path("byte_bpe_50k.json"), 0, uri)
+    read = token_files.read_token_files(spark, uri, shards, token_files._digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    assert [r.doc_id for r in read.orderBy("start").collect()] == [None, BIG, BIG + 1]
+    packed = packing.pack(packing.encode_pieces(df, tokenizer_path("word_bpe_49k.json"), 1)).collect()
+    assert sorted(r.doc_id or 0 for r in packed) == [0, BIG, BIG + 1] and len({r.sequence_id for r in packed}) == 1
+
+
+def test_id_width_fits_the_tokenizer(spark, tmp_path):
+    df, name = frame(spark, ["a b", "c"]), tokenizer_path("byte_bpe_50k.json")
+    with pytest.raises(ValueError, match="don't fit"):
+        token_files.write_token_files(df, name, 70_000, f"file://{tmp_path}/narrow", width=2)
+    uri = f"file://{tmp_path}/wide"
+    shards = token_files.write_token_files(df, name, 70_000, uri)
+    reader = token_files.ShardReader(f"{tmp_path}/wide/shard-{shards[0][0]:08d}.tok")
+    assert reader.width == 4 and [reader.document(k).tolist()[-1] for k in range(2)] == [70_000, 70_000]
+
+
+def test_very_long_text(spark, tmp_path):
+    long = " ".join(f"w{k % 5000}" for k in range(300_000))
+    df = frame(spark, [long, "short"])
+    uri = f"file://{tmp_path}/long"
+    shards = token_files.write_token_files(df, tokenizer_path("byte_bpe_50k.json"), 0, uri)
+    rows_ = token_files.read_token_files(spark, uri, shards, token_files._digest, "doc_id long, start long, n_tokens long, ids_crc32 long").orderBy("doc_id").collect()
+    ids = _ids("byte_bpe_50k.json", long, 0)
+    assert (rows_[0].n_tokens, rows_[0].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+    packed = packing.pack(packing.encode_pieces(df, tokenizer_path("word_bpe_49k.json"), 1)).filter("doc_id = 0")
+    n = len(_ids("word_bpe_49k.json", long, 1))
+    assert sum(r.length for r in packed.collect()) == n
