@@ -36,6 +36,8 @@ from loamline.llm.common import batch_words, crc_fold, documents, hash_words, lo
 SLOT_BYTES, SHARD_TOKENS = 32 << 20, 2_000_000
 #: Bytes of text that are counted or scored at a time.
 SLICE_BYTES = 6 << 20
+#: Arrays that a process keeps mapped.
+MAPS = 4096
 _END = b"\n"
 _BLOB = "slot int, n long, keys binary, counts binary"
 
@@ -94,17 +96,10 @@ def _tokens(texts):
     return hash_words([*words, _END]), codes, bounds + np.arange(len(bounds))
 
 
-@lru_cache(maxsize=1)
-def _mapped(folder: str) -> dict:
-    """Arrays mapped by this process, by file name."""
-    return {}
-
-
-def _array(folder: str, name: str, kind: str, n: int, skip: int = 0):
-    held = _mapped(folder)
-    if (x := held.get((name, skip))) is None:
-        x = held[name, skip] = np.memmap(f"{folder}/{name}", kind, "r", skip, (n,)) if n else np.empty(0, kind)
-    return x
+@lru_cache(maxsize=MAPS)
+def _array(path: str, kind: str, n: int, skip: int = 0):
+    """An array of a file, mapped by this process."""
+    return np.memmap(path, kind, "r", skip, (n,)) if n else np.empty(0, kind)
 
 
 class Words:
@@ -127,11 +122,11 @@ class Words:
             n = self.sizes[s]
             if n:
                 at = order[np.searchsorted(slots, s) : np.searchsorted(slots, s, "right")]
-                keys = _array(self.folder, f"words-{s:06d}", "<u8", n)
+                keys = _array(f"{self.folder}/words-{s:06d}", "<u8", n)
                 place = np.minimum(np.searchsorted(keys, hashes[at]), n - 1)
                 hit = keys[place] == hashes[at]
                 number[at[hit]] = self.offsets[s] + place[hit]
-                count[at[hit]] = _array(self.folder, f"words-{s:06d}", "<u8", n, 8 * n)[place[hit]]
+                count[at[hit]] = _array(f"{self.folder}/words-{s:06d}", "<u8", n, 8 * n)[place[hit]]
         return number, count
 
 
@@ -159,11 +154,16 @@ class Shards:
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
-    """Discounts of counts 0, 1, 2 and more; fixed ones where the counts of counts don't give any."""
-    if not (n1 and n2 and n3 and n4):
-        return [0.0, 0.5, 1.0, 1.5]
-    y = n1 / (n1 + 2 * n2)
-    return [0.0, *(min(float(k), max(0.0, k - (k + 1) * y * b / a)) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))]
+    """Discounts of counts 0, 1, 2 and more; fixed ones where the counts of counts don't give each between 0 and its count.
+
+    A discount of 0 would leave no probability for what hasn't been seen.
+    """
+    if n1 and n2 and n3 and n4:
+        y = n1 / (n1 + 2 * n2)
+        found = [k - (k + 1) * y * b / a for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        if all(0 < d < k for k, d in enumerate(found, 1)):
+            return [0.0, *found]
+    return [0.0, 0.5, 1.0, 1.5]
 
 
 def _classes(counts, most: int) -> list[int]:
@@ -201,7 +201,7 @@ class Model:
         slots = np.searchsorted(words.offsets, number[order], "right") - 1
         for s in np.unique(slots[slots >= 0]).tolist():
             at = order[slots == s]
-            n[at] = _array(self.folder, f"continuations-{s:06d}", "<u8", self.word_sizes[s])[number[at] - words.offsets[s]]
+            n[at] = _array(f"{self.folder}/continuations-{s:06d}", "<u8", self.word_sizes[s])[number[at] - words.offsets[s]]
         return np.maximum(n - np.array(self.d_word)[np.minimum(n, 3)], 0) / self.pairs + self.word_rest * uniform
 
     def _bigram(self, h, w, unigram):
@@ -219,15 +219,15 @@ class Model:
             n = self.shard_sizes.get(s, 0)
             if not n and s < self.shards.n_ranges:
                 continue
-            name, c = f"pairs-{s:06d}", np.zeros(len(i), "i8")
+            name, c = f"{self.folder}/pairs-{s:06d}", np.zeros(len(i), "i8")
             if n:
-                keys = _array(self.folder, name, "<u8", n)
+                keys = _array(name, "<u8", n)
                 place = np.minimum(np.searchsorted(keys, key[i]), n - 1)
-                c = np.where(keys[place] == key[i], _array(self.folder, name, "<u4", n, 8 * n)[place], 0).astype("i8")
+                c = np.where(keys[place] == key[i], _array(name, "<u4", n, 8 * n)[place], 0).astype("i8")
             if s < self.shards.n_ranges:
                 low = self.shards.low(s)
                 m = self.shards.low(s + 1) - low
-                total, *kinds = (_array(self.folder, name, "<u4", m, 12 * n + 4 * m * k)[first[i] - low].astype("f8") for k in range(4))
+                total, *kinds = (_array(name, "<u4", m, 12 * n + 4 * m * k)[first[i] - low].astype("f8") for k in range(4))
             else:  # an empty shard's pairs have the totals of their word all the same
                 total, *kinds = (np.full(len(i), float(x)) for x in self.hot_stats.get(int(first[i[0]]), [0] * 4))
             seen = total > 0

@@ -101,3 +101,36 @@ def test_empty(spark, tmp_path):
     assert kn.score(empty, model).count() == 0
     got = kn.score(frame(spark, ["a b", None]).withColumn("held_out", F.lit(True)), model).collect()
     assert [(r.n_tokens, r.n_known, r.base_score, r.score) for r in sorted(got, key=lambda r: r.doc_id)] == [(3, 0, 0.0, 0.0), (1, 0, 0.0, 0.0)]
+
+
+def test_unseen_followers_of_repeated_pairs_have_a_score(spark, tmp_path):
+    """Counts of counts from which a discount of 0 would follow."""
+    texts = [t for n, times in ((100, 1), (10, 2), (100, 3), (10, 4)) for k in range(n) for t in [f"a{n}x{times}x{k}"] * times]
+    df = frame(spark, texts).withColumn("held_out", F.lit(False))
+    model = kn.train(df, f"file://{tmp_path}/repeated")
+    asked = [f"{t} a10x2x0" for t in ("a100x1x3", "a10x2x0", "a100x3x0", "a10x4x0", "unknown")]
+    got = kn.score(frame(spark, asked).withColumn("held_out", F.lit(True)), model).orderBy("doc_id").collect()
+    _, want = _plain(texts, asked)
+    assert all(math.isfinite(r.score) and abs(r.score - w[3]) < 1e-6 for r, w in zip(got, want, strict=True))
+    assert kn.discounts(100, 10, 100, 10) == [0.0, 0.5, 1.0, 1.5] and all(0 < d < k for k, d in enumerate(kn.discounts(100, 40, 20, 12)) if k)
+
+
+def test_base_columns_equal_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    got = kn.op7_lm_scoring(spark, sf).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score").orderBy("doc_id").collect()
+    fold = {r.doc_id: r.held_out for r in got}
+    assert all(h == (zlib.crc32(str(d).encode()) % 10 == 0) for d, h in fold.items())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE f (doc_id BIGINT, held_out BOOLEAN)")
+    con.executemany("INSERT INTO f VALUES (?, ?)", list(fold.items()))
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    want = con.sql(f"""
+      WITH w AS (SELECT doc_id, held_out, unnest(list_append(regexp_extract_all({lower}, '[^\\x20\\x09-\\x0D]+'), chr(10))) AS t FROM '{sf}/documents.parquet' JOIN f USING (doc_id)),
+      c AS (SELECT t, count(*) AS c FROM w WHERE NOT held_out GROUP BY t), n AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c)
+      SELECT doc_id, any_value(held_out), count(*), count(c.c), any_value(n), sum(log10((coalesce(c.c, 0) + 0.1) / (n + 0.1 * (v + 1))))
+      FROM w LEFT JOIN c USING (t), n GROUP BY doc_id ORDER BY doc_id""").fetchall()
+    assert len(got) == len(want)
+    for a, b in zip(got, want, strict=True):
+        assert tuple(a)[:5] == b[:5] and abs(a.base_score - b[5]) < 1e-6
