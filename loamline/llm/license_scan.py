@@ -6,12 +6,16 @@ is collected or repeated below. The steps:
 
 1. Document frequencies of the vocabulary over the whole corpus give each word's IDF
    (one row for each vocabulary word comes back).
-2. Each file keeps its licence words with their positions. For every template the
-   postings of its key phrase's words, rarest first, are shifted by their places in the
-   template and intersected; what is left are starts at which all of them agree. A place
-   of the phrase holds the rarest word too, so the lookup loses none.
-3. Each start is verified by the intersection over all words of the phrase, and scored
-   by the IDF share of the template's words that stand where the template has them.
+2. The index maps a word to its postings, (template, place). A template is entered under
+   the two words of its key phrase with the highest IDF only. A phrase can't stand
+   without its rarest words, so the lookup loses none.
+3. A file's words are looked up under first entries; each posting gives a start of the
+   template's key phrase. Only files with such a start are looked up under second entries,
+   and the starts on which both agree by relative position are candidates.
+4. A candidate is aligned with its whole template: all words of the key phrase must stand
+   at their places, and the words that stand at theirs must have at least ``LEAST_SHARE``
+   of the template's IDF, except for the basic phrases, which count wherever they stand.
+   The file's score is the highest share of an accepted one.
 
 Defined results: a null or empty text has no words, no labels and score 0; null ids and
 repeated rows are scanned like others; an empty table gives an empty result; extra
@@ -23,7 +27,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,7 +70,21 @@ TEMPLATES = (
     Template("bsd", "redistribution and use in source and binary forms with or without modification", "redistribution and use in source and binary forms"),
     Template("mpl", "mozilla public license version 2 0", "mozilla public license"),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted free of charge"),
+    Template("lgpl", "gnu lesser general public license version 2 1", "lesser general public license"),
+    Template("agpl", "gnu affero general public license version 3", "affero general public license"),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "and or distribute this software for any purpose"),
+    Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    Template("cc0", "cc0 1 0 universal public domain dedication", "cc0 1 0"),
+    Template("epl", "eclipse public license version 2 0", "eclipse public license"),
+    Template("boost", "boost software license version 1 0", "boost software license"),
+    Template("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", "altered source versions must be plainly marked"),
+    Template("apache", "you may not use this file except in compliance with the license", "use this file except in compliance"),
+    Template("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions of source code must retain"),
+    Template("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", "redistributions in binary form must reproduce"),
+    Template("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "used to endorse or promote products"),
 )
+#: Share of a template's IDF that must stand in the text around its key phrase.
+LEAST_SHARE = 0.5
 VOCABULARY = tuple(sorted({w for t in TEMPLATES for w in t.words}))
 
 
@@ -89,43 +106,55 @@ def idf_table(df: DataFrame, text_col: str = "text") -> dict[str, float]:
     return {w: math.log((total + 1) / (counted.get(w, 0) + 1)) + 1 for w in VOCABULARY}
 
 
-def _starts(postings: Column, t: Template, idf: dict[str, float]) -> Column:
-    """Places of the key phrase: its words' shifted postings, intersected rarest word first."""
-    words = list(enumerate(t.key.split()))
-    words.sort(key=lambda x: (-idf[x[1]], x[0]))
+def rare_index(idf: dict[str, float]) -> list[dict[str, list[tuple[int, int]]]]:
+    """Postings (template, place in its key phrase) under the rarest word of each key phrase, and under the second rarest."""
+    index: list[dict[str, list[tuple[int, int]]]] = [{}, {}]
+    for n, t in enumerate(TEMPLATES):
+        ranked = sorted(enumerate(t.key.split()), key=lambda x: (-idf[x[1]], x[0]))
+        for entries, (place, word) in zip(index, ranked, strict=False):
+            entries.setdefault(word, []).append((n, place))
+    return index
 
-    def shifted(j: int, w: str) -> Column:
-        return F.transform(F.filter(postings, lambda p: p["w"] == w), lambda p: p["i"] - j)
 
-    return reduce(F.array_intersect, [shifted(j, w) for j, w in words])
+def _looked_up(words: Column, entries: dict[str, list[tuple[int, int]]]) -> Column:
+    """Starts of key phrases from the postings of all words under ``entries``: 256 * start + template."""
+    at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.coalesce(_licence_word(F.get(words, i)).isin(list(entries)), F.lit(False)))
+    postings = F.create_map(*(x for w, ps in entries.items() for x in (F.lit(w), F.array(*(F.lit(n - 256 * place) for n, place in ps)))))
+    starts = F.transform(at, lambda i: F.transform(F.element_at(postings, _licence_word(F.get(words, i))), lambda p: i * 256 + p))
+    return F.when(F.size(words) > 0, F.flatten(starts)).otherwise(F.array().cast("array<int>"))
 
 
-def _share(words: Column, start: Column, t: Template, idf: dict[str, float]) -> Column:
-    """IDF share of the template's words that stand at their places around ``start``."""
-    total = sum(idf[w] for w in t.words)
-    terms = [F.when(F.coalesce(_licence_word(F.get(words, start + (j - t.key_at))) == w, F.lit(False)), F.lit(idf[w])).otherwise(F.lit(0.0)) for j, w in enumerate(t.words)]
-    return reduce(lambda a, b: a + b, terms) / F.lit(total)
+def _aligned(words: Column, start: Column, template: Column, idf: dict[str, float]) -> Column:
+    """The span at a candidate: its template's fixed fields, whether the whole key phrase stands there, and its IDF share."""
+
+    def fixed(t: Template) -> Column:
+        total = sum(idf[w] for w in t.words)
+        places = range(t.key_at, t.key_at + len(t.key.split()))
+        parts = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(j - t.key_at).alias("at"), F.lit(idf[w] / total).alias("share"), F.lit(j in places).alias("key")) for j, w in enumerate(t.words)))
+        return F.struct(F.lit(t.label).alias("label"), F.lit(len(t.key.split())).alias("key_words"), F.lit(t.base).alias("base"), parts.alias("parts"))
+
+    own = F.element_at(F.array(*map(fixed, TEMPLATES)), template + 1)
+    standing = F.filter(own["parts"], lambda p: F.coalesce(_licence_word(F.get(words, start + p["at"])) == p["w"], F.lit(False)))
+    whole = F.size(F.filter(standing, lambda p: p["key"])) == own["key_words"]
+    share = F.aggregate(standing, F.lit(0.0), lambda s, p: s + p["share"])
+    return F.struct(own["label"].alias("label"), own["key_words"].alias("key_words"), own["base"].alias("base"), start.cast("long").alias("start"), share.alias("share"), whole.alias("whole"))
 
 
 def scan(df: DataFrame, text_col: str = "text", idf: dict[str, float] | None = None) -> DataFrame:
-    """``df`` with a struct ``licence``: n_words, spans (label, start, key_words, base) and score."""
+    """``df`` with a struct ``licence``: n_words, spans (label, key_words, base, start, share) and score."""
     idf = idf or idf_table(df, text_col)
+    first, second = rare_index(idf)
     own = [c for c in df.columns if c != "licence"]
-    worded = df.select(*own, file_words(F.col(text_col)).alias("licence"))
-    hits = F.filter(F.sequence(F.lit(0), F.size("licence") - 1), lambda i: F.coalesce(_licence_word(F.get("licence", i)).isin(list(VOCABULARY)), F.lit(False)))
-    hits = F.when(F.size("licence") > 0, hits).otherwise(F.array().cast("array<int>"))
-    posted = worded.select(*own, F.struct(F.col("licence").alias("words"), F.transform(hits, lambda i: F.struct(i.alias("i"), F.lower(F.get("licence", i)).alias("w"))).alias("postings")).alias("licence"))
-
-    words, postings = F.col("licence.words"), F.col("licence.postings")
-
-    def spans_of(t: Template) -> Column:
-        fixed = [F.lit(t.label).alias("label"), F.lit(len(t.key.split())).alias("key_words"), F.lit(t.base).alias("base")]
-        return F.transform(_starts(postings, t, idf), lambda s: F.struct(*fixed, s.cast("long").alias("start"), _share(words, s, t, idf).alias("share")))
-
-    spans = [spans_of(t) for t in TEMPLATES]
-    found = posted.select(*own, F.struct(F.size(words).cast("long").alias("n_words"), F.when(F.size(postings) > 0, F.concat(*spans)).alias("spans")).alias("licence"))
-    score = F.coalesce(F.array_max(F.transform(F.col("licence.spans"), lambda s: s["share"])), F.lit(0.0))
-    return found.select(*own, F.struct(F.col("licence.n_words"), F.coalesce(F.col("licence.spans"), F.array()).alias("spans"), score.alias("score")).alias("licence"))
+    words, starts, spans = F.col("licence.words"), F.col("licence.starts"), F.col("licence.spans")
+    found = df.select(*own, F.struct(file_words(F.col(text_col)).alias("words")).alias("licence"))
+    found = found.select(*own, F.struct(words.alias("words"), _looked_up(words, first).alias("starts")).alias("licence"))
+    found = found.select(*own, F.struct(words.alias("words"), F.when(F.size(starts) > 0, F.array_intersect(starts, _looked_up(words, second))).alias("starts")).alias("licence"))
+    aligned = F.transform(starts, lambda s: _aligned(words, F.shiftright(s, 8), s.bitwiseAND(F.lit(255)), idf))
+    accepted = F.filter(aligned, lambda s: s["whole"] & (s["base"] | (F.round(s["share"], 9) >= LEAST_SHARE)))
+    found = found.select(*own, F.struct(F.size(words).cast("long").alias("n_words"), accepted.alias("spans")).alias("licence"))
+    shown = F.transform(spans, lambda s: F.struct(*(s[c].alias(c) for c in ("label", "key_words", "base", "start", "share"))))
+    score = F.coalesce(F.array_max(F.transform(spans, lambda s: s["share"])), F.lit(0.0))
+    return found.select(*own, F.struct(F.col("licence.n_words"), F.coalesce(shown, F.array()).alias("spans"), score.alias("score")).alias("licence"))
 
 
 def op2_license_scan(spark, sf_dir: str) -> DataFrame:
@@ -159,8 +188,9 @@ idf AS (SELECT v.w, ln(((SELECT count(*) FROM d) + 1) / (coalesce(c.n, 0) + 1))
   FROM (SELECT DISTINCT w FROM t) v LEFT JOIN (SELECT w, count(DISTINCT rid) AS n FROM p GROUP BY w) c USING (w)),
 hit AS (SELECT p.rid, t.n, t.label, t.base, t.key_len, p.i - (t.j - t.key_at) AS start, t.j BETWEEN t.key_at AND t.key_at + t.key_len - 1 AS is_key, idf.idf
   FROM p JOIN t USING (w) JOIN idf USING (w)),
-al AS (SELECT rid, n, label, base, start, sum(idf) AS got FROM hit GROUP BY rid, n, label, base, start, key_len HAVING sum(is_key::INT) = key_len),
 tot AS (SELECT n, sum(idf) AS total FROM t JOIN idf USING (w) GROUP BY n),
+al AS (SELECT rid, n, label, base, start, sum(idf) AS got FROM hit JOIN tot USING (n) GROUP BY rid, n, label, base, start, key_len
+  HAVING sum(is_key::INT) = key_len AND (base OR round(sum(idf) / any_value(total), 9) >= {LEAST_SHARE})),
 r AS (SELECT rid, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(got / total) AS score
   FROM al JOIN tot USING (n) GROUP BY rid)
