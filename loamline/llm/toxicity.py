@@ -1,7 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network over overlapping windows of words.
 
 The input of a word is an embedding from a vocabulary and the mean of embeddings of its
-character trigrams. Windows of ``WINDOW`` words begin every ``STRIDE`` words until the end
+character n-grams. The first dimension of a word's embedding starts as the word's smoothed
+log odds of toxicity in the sample, and the first epochs choose windows by it. Windows of ``WINDOW`` words begin every ``STRIDE`` words until the end
 of the text; two gated recurrent layers read a window from both sides, attention pools
 their states and a logistic output scores it. A document has the score of its worst
 window.
@@ -28,8 +29,14 @@ from loamline.llm.common import batch_words, crc_fold, documents, fit_in_task, l
 
 FIT_DOCS, VOCABULARY, LEAST_DOCS = 5000, 20_000, 3
 WINDOW, STRIDE = 32, 16
-WORD_DIM, CHAR_DIM, CHAR_BINS, UNITS = 8, 8, 4096, 8
-EPOCHS, BATCH, RATE = 10, 64, 0.01
+WORD_DIM, CHAR_DIM, CHAR_BINS, UNITS = 8, 8, 1 << 14, 8
+#: Lengths of character n-grams.
+GRAMS = (3, 5)
+EPOCHS, BATCH, RATE = 10, 128, 0.012
+#: Power of the inverse shares of the labels that their losses are weighted by.
+BALANCE = 0.5
+#: Share of known words that a step takes for unknown ones, so that it learns from their characters.
+DROPPED = 0.3
 #: Epochs before which the worst windows are found anew.
 RANKED = (2, 4, 7)
 #: Windows that are scored at a time, and bytes of text that are cut into words at a time.
@@ -46,17 +53,28 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _trigrams(words: list[bytes]):
-    """(hash bins of the character trigrams of all words, where each word's begin)."""
-    raw = np.frombuffer(b"".join([b"^" + w + b"$ " for w in words]), "u1").astype("u4")
-    sizes = np.fromiter(map(len, words), "i8", len(words)) + 3
-    ends = np.cumsum(sizes)
-    with np.errstate(over="ignore"):
-        h = (raw[:-2] * np.uint32(0x9E3779B1) ^ raw[1:-1] * np.uint32(0x85EBCA6B) ^ raw[2:] * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F)
-    keep = np.ones(len(raw), bool)
-    keep[ends - 1] = keep[ends - 2] = False
-    counts = np.maximum(sizes - 2, 1)
-    return (h >> np.uint32(16))[keep[: len(h)]] % CHAR_BINS, np.cumsum(counts) - counts, counts
+def _grams(words: list[bytes]):
+    """(hash bins of the character n-grams of all words, where each word's begin, how many it has)."""
+    if not words:
+        return np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0, "i8")
+    raw = np.frombuffer(b"".join([b"^" + w + b"$" for w in words]), "u1").astype("u4")
+    sizes = np.fromiter(map(len, words), "i8", len(words)) + 2
+    owner = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(raw))
+    bins, owners = [], []
+    for n in GRAMS:
+        at = np.flatnonzero(left >= n if n > min(GRAMS) else (left >= n) | (left == np.minimum(sizes, n)[owner]))
+        h = np.full(len(at), n, "u4")
+        with np.errstate(over="ignore"):
+            for k in range(n):
+                h = (h ^ raw[np.minimum(at + k, len(raw) - 1)] * (k < left[at])) * np.uint32(0x01000193)
+            h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        bins.append((h >> np.uint32(12)) % CHAR_BINS)
+        owners.append(owner[at])
+    owners = np.concatenate(owners)
+    order = np.argsort(owners, kind="stable")
+    counts = np.bincount(owners, minlength=len(words))
+    return np.concatenate(bins)[order], np.cumsum(counts) - counts, counts
 
 
 class Vocabulary:
@@ -69,13 +87,20 @@ class Vocabulary:
         return np.fromiter((self.numbers.get(w, 0) for w in words), "i8", len(words))
 
 
-def _inputs(p, words: list[bytes], vocabulary: Vocabulary):
+def _grams_of(grams, rows):
+    """The n-grams of some of the words."""
+    bins, first, counts = grams
+    n = counts[rows]
+    ends = np.cumsum(n)
+    return bins[np.repeat(first[rows] - (ends - n), n) + np.arange(n.sum())], ends - n, n
+
+
+def _inputs(p, known, grams):
     """Input rows of distinct words, with a row of zeros for padding at the end."""
-    known = vocabulary.of(words)
-    out = np.zeros((len(words) + 1, WORD_DIM + CHAR_DIM), p["ew"].dtype)
-    if words:
+    out = np.zeros((len(known) + 1, WORD_DIM + CHAR_DIM), p["ew"].dtype)
+    if len(known):
+        bins, first, counts = grams
         out[:-1, :WORD_DIM] = p["ew"][known]
-        bins, first, counts = _trigrams(words)
         out[:-1, WORD_DIM:] = np.add.reduceat(p["ec"][bins], first) / counts[:, None]
     return out
 
@@ -206,15 +231,16 @@ def fit(texts: list[str | None], y):
     every = np.zeros(len(same) + 1)
     every[chosen] = odds
     index, mask, of = _window_index(codes, bounds, len(same))
-    known, tri = vocabulary.of(list(same)), _trigrams(list(same)) if len(same) else (np.empty(0, "i8"), [], np.empty(0, "i8"))
+    known, every_gram = vocabulary.of(list(same)), _grams(list(same))
     first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-    rng, weight = np.random.default_rng(22), np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) ** 0.5
+    rng, weight = np.random.default_rng(22), np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) ** BALANCE
     badness = every[index].max(1)
     m1, m2, step = {k: 0.0 for k in p}, {k: 0.0 for k in p}, 0
     for epoch in range(EPOCHS):
         if epoch in RANKED:
             q = _single(p)
-            badness = np.concatenate([_logits(q, _projected(q, list(same), vocabulary), index[a : a + _BLOCK], mask[a : a + _BLOCK]) for a in range(0, len(index), _BLOCK)])
+            projected = _projected(q, known, every_gram)
+            badness = np.concatenate([_logits(q, projected, index[a : a + _BLOCK], mask[a : a + _BLOCK]) for a in range(0, len(index), _BLOCK)])
         order = np.lexsort((-badness, of))
         worst = order[first]
         other = first + (rng.random(len(first)) * np.diff([*first, len(of)])).astype("i8")
@@ -223,8 +249,9 @@ def fit(texts: list[str | None], y):
         for a in range(0, len(picked), BATCH):
             own = picked[a : a + BATCH]
             rows, back = np.unique(np.concatenate([index[own].ravel(), [len(same)]]), return_inverse=True)
-            part = [same[i] for i in rows[:-1]]
-            _, g = gradients(p, _inputs(p, part, vocabulary), known[rows[:-1]], _trigrams(part) if part else (np.empty(0, "i8"), [], []), back[:-1].reshape(len(own), WINDOW), mask[own], y[of[own]], weight[of[own]])
+            seen = np.where(rng.random(len(rows) - 1) < DROPPED, 0, known[rows[:-1]])
+            grams = _grams_of(every_gram, rows[:-1])
+            _, g = gradients(p, _inputs(p, seen, grams), seen, grams, back[:-1].reshape(len(own), WINDOW), mask[own], y[of[own]], weight[of[own]])
             step += 1
             for k, gk in g.items():
                 m1[k], m2[k] = 0.9 * m1[k] + 0.1 * gk, 0.999 * m2[k] + 0.001 * gk * gk
@@ -236,8 +263,8 @@ def _single(p):
     return {k: v.astype("f4") for k, v in p.items()}
 
 
-def _projected(p, words, vocabulary):
-    return _inputs(p, words, vocabulary) @ np.concatenate([p["wf"], p["wb"]], 1) + np.concatenate([p["bf"], p["bb"]])
+def _projected(p, known, grams):
+    return _inputs(p, known, grams) @ np.concatenate([p["wf"], p["wb"]], 1) + np.concatenate([p["bf"], p["bb"]])
 
 
 def _logits(p, projected, index, mask):
@@ -253,7 +280,7 @@ def score_texts(model, texts):
     for lo, part in text_slices(texts, _TEXT_BYTES):
         hi = lo + len(part)
         words, codes, bounds = _cut(part)
-        projected = _projected(p, words, vocabulary)
+        projected = _projected(p, vocabulary.of(words), _grams(words))
         index, mask, doc = _window_index(codes, bounds, len(words))
         top = np.full(hi - lo, -np.inf)
         for a in range(0, len(index), _BLOCK):

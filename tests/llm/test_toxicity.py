@@ -22,7 +22,7 @@ def _toy():
 def test_gradients_equal_differences():
     words, vocabulary, p, index, mask = _toy()
     y, w = np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5])
-    run = lambda q: tx.gradients(q, tx._inputs(q, words, vocabulary), vocabulary.of(words), tx._trigrams(words), index, mask, y, w)
+    run = lambda q: tx.gradients(q, tx._inputs(q, vocabulary.of(words), tx._grams(words)), vocabulary.of(words), tx._grams(words), index, mask, y, w)
     _, grad = run(p)
     rng = np.random.default_rng(4)
     for k in p:
@@ -31,13 +31,23 @@ def test_gradients_equal_differences():
             if k == "ew":
                 at = (1 + at[0] % 2, at[1])
             if k == "ec":
-                at = (int(tx._trigrams(words)[0][rng.integers(0, 6)]), at[1])
+                at = (int(tx._grams(words)[0][rng.integers(0, 6)]), at[1])
             hi, lo = ({n: v.copy() for n, v in p.items()} for _ in range(2))
             hi[k][at] += 1e-5
             lo[k][at] -= 1e-5
             assert grad[k][at] == pytest.approx((run(hi)[0] - run(lo)[0]) / 2e-5, rel=1e-3, abs=1e-8), k
 
 
+def test_grams_of_some_words_equal_those_of_all():
+    words = [b"one", b"", b"a", b"fourteen", b"one"]
+    every = tx._grams(words)
+    assert every[2].tolist() == [4, 1, 1, 14, 4]
+    for rows_ in ([0, 3], [1], [4, 2, 0]):
+        bins, first, counts = tx._grams_of(every, np.array(rows_))
+        want = tx._grams([words[k] for k in rows_])
+        assert bins.tolist() == want[0].tolist() and first.tolist() == want[1].tolist() and counts.tolist() == want[2].tolist()
+
+
 def test_every_word_is_in_a_window_and_windows_overlap():
     for n in (0, 1, 16, 17, 32, 33, 48, 49, 500):
         index, mask, doc = tx._window_index(np.arange(n), np.array([0, n]), -1)
