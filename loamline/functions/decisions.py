@@ -46,6 +46,31 @@ def decide(probs: Column, sensitivity: float = 0.5) -> Column:
     return F.when(top == F.size(probs) - 1, "safe").otherwise(severity(F.array_max(probs), alert_threshold(top, sensitivity)))
 
 
+def app_severity(probs: Column) -> Column:
+    """What the app does: ignore if the strongest harmful class is below the safe one, else its severity; a tie alerts."""
+    harmful = F.slice(probs, 1, F.size(probs) - 1)
+    top = F.array_max(harmful)
+    return F.when(top < F.element_at(probs, -1), "ignore").otherwise(severity(top, alert_threshold(argmax(harmful))))
+
+
+def emitted(probs: Column) -> Column:
+    """Whether a live frame gives a row at all: a harmful class must beat the safe one."""
+    return F.array_max(F.slice(probs, 1, F.size(probs) - 1)) > F.element_at(probs, -1)
+
+
+def ranking_scores(probs: Column, classes: int = 4) -> dict[str, tuple[Column, Column]]:
+    """Strategy: (score of which the highest comes first, value in the strategy's own unit)."""
+    import math
+
+    safe = safety_score(probs)
+    return {
+        "margin": (1 - margin(probs), margin(probs)),
+        "least_confidence": (least_confidence(probs), least_confidence(probs)),
+        "entropy": (entropy(probs) / math.log(classes), entropy(probs)),
+        "safety": (safe, safe),
+    }
+
+
 def alert_level(confidence: Column) -> Column:
     """low, medium or high."""
     return F.when(confidence < 0.75, "low").when(confidence < 0.90, "medium").otherwise("high")

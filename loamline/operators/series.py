@@ -56,21 +56,24 @@ def refractory(df: DataFrame, key: str, order: list[str], time: str, wait: int,
     return ordered_fold(df, key, order, [time], out, lambda: None, step)
 
 
-def as_of(df: DataFrame, key: str, time: str, left: Column, right: Column, values: list[str]) -> DataFrame:
+def as_of(df: DataFrame, key: str, time: str, left: Column, right: Column, values: list[str], tie: str = "event_id") -> DataFrame:
     """Rows where ``left`` holds, with ``prev_*`` of the latest row not after it where ``right`` holds.
 
-    One window over both kinds of rows; no join, so no pairs.
+    A right row of equal time counts, whatever its ``tie``; of several of them the largest
+    ``tie`` wins. One window over both kinds of rows; no join, so no pairs.
     """
-    w = Window.partitionBy(key).orderBy(time, "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    seen = {f"prev_{v}": F.last(F.when(right, F.col(v)), ignorenulls=True).over(w) for v in values}
-    return df.withColumns({**seen, "_left": left}).filter("_left").drop("_left")
+    asks = F.coalesce(left, F.lit(False))
+    w = Window.partitionBy(key).orderBy(F.col(time), asks.cast("int"), F.col(tie)).rowsBetween(Window.unboundedPreceding, -1)
+    # A value may be null, so the row is looked up, not each of its values.
+    seen = F.last(F.when(right, F.struct(*values)), ignorenulls=True).over(w)
+    return df.withColumns({"_seen": seen, "_left": asks}).filter("_left").select(*df.columns, *(F.col(f"_seen.{v}").alias(f"prev_{v}") for v in values))
 
 
-def nearest(df: DataFrame, key: str, time: str, left: Column, right: Column) -> DataFrame:
+def nearest(df: DataFrame, key: str, time: str, left: Column, right: Column, tie: str = "event_id") -> DataFrame:
     """Rows where ``left`` holds, with the nearest row in time where ``right`` holds; the earlier of two."""
-    before = Window.partitionBy(key).orderBy(time, "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(key).orderBy(time, "event_id").rowsBetween(1, Window.unboundedFollowing)
-    hit = F.when(right, F.struct(F.col(time).alias("t"), F.col("event_id").alias("id")))
+    before = Window.partitionBy(key).orderBy(time, tie).rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(key).orderBy(time, tie).rowsBetween(1, Window.unboundedFollowing)
+    hit = F.when(right, F.struct(F.col(time).alias("t"), F.col(tie).alias("id")))
     both = df.withColumns({"_l": left, "_a": F.last(hit, ignorenulls=True).over(before), "_b": F.first(hit, ignorenulls=True).over(after)}).filter("_l")
     a, b = F.col(time) - F.col("_a.t"), F.col("_b.t") - F.col(time)
     first = F.col("_b").isNull() | (a <= b)

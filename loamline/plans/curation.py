@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loamline.functions.arrays import bind
-from loamline.operators import dedup
+from loamline.operators import dedup, metrics, ranks
 from loamline.operators.lineage import written
 from loamline.sources import manifests
 from loamline.sources.tables import table
@@ -15,8 +15,6 @@ from loamline.sources.tables import table
 LEAST_CHARS, LEAK_WORDS, NEAR_BITS = 64, 8, 5
 #: Words of a shingle, and the share of them in percent that near copies have in common.
 NEAR_WORDS, NEAR_PERCENT = 4, 80
-#: As many ids are broadcast at most.
-BROADCAST_IDS = 2_000_000
 
 
 def _words(text):
@@ -127,27 +125,17 @@ def _shingles(text):
 def keep_first_copies(docs, order):
     """(doc_id, id, dup_of) of each of ``docs(doc_id, text)``, walked through by ``id``, the value of ``order``.
 
-    Texts of equal words stand for one another. Others are near copies if their hashes are
-    at most ``NEAR_BITS`` bits apart and their shingles confirm it. A text without words is
-    nobody's copy.
+    A row goes if an earlier kept one has at least ``NEAR_PERCENT`` of their shingles in
+    common with it; all such pairs are found. Texts of equal words stand for one another,
+    so copies aren't paired. A text without words is nobody's copy.
     """
     digest = bind(_words(F.col("text")), lambda w: F.when(F.size(w) > 0, F.md5(F.array_join(w, " ").cast("binary"))))
-    listed = written(docs.select("doc_id", order.alias("id"), digest.alias("digest"), F.size(_shingles(F.col("text"))).alias("size")))
-    first = written(listed.filter("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("id", "doc_id", "size")).alias("f")).select("digest", F.col("f.id").alias("rep"), "f.doc_id", "f.size"))
-    classes = written(_classes(docs).join(first, "doc_id").select("rep", "h"))
-    # Sizes are compared first; sets are made only of texts whose pairs can reach the bound.
-    size = lambda node: first.select(F.col("rep").alias(node), F.col("size").alias(f"size_{node}"))
-    pairs = dedup.hamming_pairs(classes, NEAR_BITS).select("a", "b").join(size("a"), "a").join(size("b"), "b")
-    able = written(pairs.filter(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * NEAR_PERCENT))
-    wanted = first.select("rep", "doc_id").join(able.select(F.col("a").alias("rep")).union(able.select("b")).distinct(), "rep", "left_semi")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    sets = written(docs.select("doc_id", "text").join(wanted, "doc_id").select("rep", _shingles(F.col("text")).alias("s")))
-    side = lambda node: sets.select(F.col("rep").alias(node), F.col("s").alias(f"s_{node}"))
-    shared = F.size(F.array_intersect("s_a", "s_b"))
-    links = able.join(side("a"), "a").join(side("b"), "b").select("a", "b", "size_a", "size_b", shared.alias("c")).filter(F.col("c") * 100 >= (F.col("size_a") + F.col("size_b") - F.col("c")) * NEAR_PERCENT)
+    listed = written(docs.select("doc_id", order.alias("id"), digest.alias("digest")))
+    first = written(listed.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep")))
+    reps = docs.select(order.alias("id"), "text").join(first.select(F.col("rep").alias("id")), "id", "left_semi")
+    links = dedup.set_pairs(reps.select("id", _shingles(F.col("text")).alias("s")), NEAR_PERCENT)
     kept = dedup.keep_first(first.select(F.col("rep").alias("id")), links.select("a", "b"))
-    decided = first.select("digest", "rep").join(kept.withColumnRenamed("id", "rep"), "rep")
+    decided = first.join(kept.withColumnRenamed("id", "rep"), "rep")
     joined = listed.join(decided, "digest", "left")
     return joined.select("doc_id", "id", F.coalesce("dup_of", F.when(F.col("id") != F.col("rep"), F.col("rep"))).alias("dup_of"))
 
@@ -181,24 +169,53 @@ def imbalance(spark, sf):
 
 
 def class_weights(spark, sf):
-    """Inverse frequency weights with mean 1 over rows."""
-    g = table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"))
-    t = g.agg(F.sum("n").alias("total"), F.count("*").alias("k"))
-    return g.crossJoin(F.broadcast(t)).select("source", "n", F.round(F.col("total") / (F.col("k") * F.col("n")), 6).alias("weight"))
+    """Inverse frequency weights of the sources, divided by their mean."""
+    g = table(spark, sf, "documents").groupBy(F.col("source").alias("cls")).agg(F.count("*").alias("n"))
+    return metrics.class_weights(g).withColumnRenamed("cls", "source")
 
 
 def group_split(spark, sf, share: float = 0.2):
     """Whole groups of equal text to validation, class by class, until the share is reached; never the last group.
 
-    Groups come in the order of their digest; the running total is a window over group
-    sizes, not over rows.
+    Groups come in the order of their digest; the running total is over group sizes, not
+    over rows, and by ranges of the digest.
     """
     d = table(spark, sf, "documents").select("source", F.md5(F.col("text").cast("binary")).alias("grp"))
     sizes = d.groupBy("source", "grp").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("source").orderBy("grp")
-    whole = Window.partitionBy("source")
-    r = sizes.withColumns({"before": F.sum("n").over(w) - F.col("n"), "rn": F.row_number().over(w), "total": F.sum("n").over(whole), "k": F.count("*").over(whole)})
-    return r.select("source", "grp", "n", ((F.col("before") < F.floor(F.col("total") * share)) & (F.col("rn") < F.col("k"))).alias("val"))
+    place = F.coalesce(F.conv(F.substring("grp", 1, 15), 16, 10).cast("long"), F.lit(-1))
+    r = ranks.running(sizes, "source", place, ["grp"], F.col("n"))
+    # The last group is the one with which the total is reached.
+    return r.select("source", "grp", "n", ((F.col("before") < F.floor(F.col("total") * share)) & (F.col("before") + F.col("n") < F.col("total"))).alias("val"))
+
+
+def sharded_split(spark, sf, share: float = 0.2):
+    """(source, grp, n, val) where one group is each language of a source, cut into shards if it is too large for the share.
+
+    A group with more than half the validation rows is cut into as few shards as fit, by a
+    digest of the row's name modulo their number. A group is never on both sides.
+    """
+    d = table(spark, sf, "documents").select("source", F.col("lang").alias("grp"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"))
+    sizes = d.groupBy("source", "grp").agg(F.count("*").alias("n"))
+    totals = sizes.groupBy("source").agg(F.sum("n").alias("total"))
+    cap = F.greatest(F.lit(1), F.bround(F.col("total") * share * 0.5)).cast("long")
+    plan = sizes.join(totals, "source").select("source", "grp", F.when(F.col("n") > cap, F.ceil(F.col("n") / cap)).otherwise(1).cast("long").alias("shards"))
+    # Digests are numbers of 40 hex digits; their remainder is built up from pieces of eight.
+    sha = F.sha1("name")
+    rest = F.lit(0).cast("long")
+    for at in range(0, 40, 8):
+        rest = (rest * F.lit(2**32) + F.conv(F.substring(sha, at + 1, 8), 16, 10).cast("long")) % F.col("shards")
+    placed = d.join(F.broadcast(plan), ["source", "grp"])
+    sub = placed.select("source", F.when(F.col("shards") > 1, F.concat("grp", F.lit("#s"), rest.cast("string"))).otherwise(F.col("grp")).alias("grp"))
+    own = sub.groupBy("source", "grp").agg(F.count("*").alias("n"), F.md5(F.first("grp").cast("binary")).alias("digest"))
+    r = ranks.running(own, "source", F.conv(F.substring("digest", 1, 15), 16, 10).cast("long"), ["grp"], F.col("n"))
+    return r.select("source", "grp", "n", ((F.col("before") < F.floor(F.col("total") * share)) & (F.col("before") + F.col("n") < F.col("total"))).alias("val"))
+
+
+def split_overlap(spark, sf):
+    """Groups that stand on both sides of the split: none, or the split is broken."""
+    s = sharded_split(spark, sf)
+    both = s.groupBy("source", "grp").agg(F.count("*").alias("n_sides"), F.max("val").alias("any_val"), F.min("val").alias("all_val"))
+    return both.agg(F.count("*").alias("n_groups"), F.coalesce(F.sum(F.when(F.col("any_val") != F.col("all_val"), 1).otherwise(0)), F.lit(0)).alias("n_overlap"))
 
 
 def split_report(spark, sf):
@@ -212,24 +229,28 @@ def first_k_per_class(spark, sf, k: int = 5):
 
 def spot_sample(spark, sf, k: int = 5):
     """k rows spread evenly over each class."""
-    d = table(spark, sf, "documents")
-    w = Window.partitionBy("source").orderBy("doc_id")
-    ranked = d.select("source", "doc_id", (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy("source")).alias("n"))
-    picked = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.floor(j * (F.col("n") - 1) / F.lit(k - 1)).cast("long"))
-    return ranked.filter(F.array_contains(picked, F.col("i").cast("long"))).select("source", "doc_id", F.col("i").cast("long").alias("i"))
+    ranked = ranks.numbered(table(spark, sf, "documents").select("source", "doc_id"), "source", "doc_id")
+    picked = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.floor(j * (F.col("total") - 1) / F.lit(k - 1)).cast("long"))
+    return ranked.filter(F.array_contains(picked, F.col("before"))).select("source", "doc_id", F.col("before").alias("i"))
 
 
 def prefix_split(spark, sf):
     """The first four fifths of each source's rows for training."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    r = table(spark, sf, "documents").select("source", "doc_id", F.row_number().over(w).alias("i"), F.count("*").over(Window.partitionBy("source")).alias("n"))
-    return r.groupBy("source").agg(F.sum(F.when(F.col("i") <= F.floor(F.col("n") * 0.8), 1).otherwise(0)).alias("n_train"), F.count("*").alias("n_all"))
+    r = ranks.numbered(table(spark, sf, "documents").select("source", "doc_id"), "source", "doc_id")
+    return r.groupBy("source").agg(F.sum(F.when(F.col("before") < F.floor(F.col("total") * 0.8), 1).otherwise(0)).alias("n_train"), F.count("*").alias("n_all"))
 
 
 def dataset_fingerprint(spark, sf):
-    """Rows and a digest of each source's ids; the digest is of fixed size whatever the number of rows."""
-    h = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
-    return table(spark, sf, "documents").select("source", h.alias("h")).groupBy("source").agg(F.count("*").alias("n"), F.sum("h").alias("h_sum"), F.bit_xor("h").alias("h_xor"))
+    """Rows of each source and one digest of their names in order.
+
+    Names are digested in blocks of 1,000 numbers, the blocks' digests in blocks again, so
+    that no row holds more than 1,000 of them; three levels serve a billion names.
+    """
+    d = table(spark, sf, "documents").select("source", F.col("doc_id").alias("k"), F.concat(F.lit("doc_"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("x"), F.lit(1).cast("long").alias("n"))
+    for _ in range(3):
+        whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]), "\n")
+        d = d.groupBy("source", F.floor(F.col("k") / 1000).alias("k")).agg(F.sha2(whole, 256).alias("x"), F.sum("n").alias("n"))
+    return d.groupBy("source").agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]), "\n"), 256).alias("fingerprint"))
 
 
 def url_parts(spark, sf):
@@ -240,27 +261,31 @@ def url_parts(spark, sf):
 
 def attribution_credits(spark, sf):
     """Each source's credit line: its documents, languages in order, first eight ids and how many more."""
-    d = table(spark, sf, "documents")
-    w = Window.partitionBy("source").orderBy("doc_id")
-    first = d.select("source", "doc_id", "lang", F.row_number().over(w).alias("i"))
-    g = first.groupBy("source").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("langs"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("i") <= 8, F.col("doc_id")))), " ").alias("ids"))
+    first = ranks.numbered(table(spark, sf, "documents").select("source", "doc_id", "lang"), "source", "doc_id")
+    g = first.groupBy("source").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("langs"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("before") < 8, F.col("doc_id")))), " ").alias("ids"))
     return g.select("source", "n", "langs", "ids", F.when(F.col("n") > 8, F.concat(F.lit("+"), (F.col("n") - 8).cast("string"), F.lit(" more"))).otherwise("").alias("more"))
 
 
 def license_order(spark, sf):
-    """Licence lines, the most frequent first."""
+    """Licence lines, the most frequent first, those of equal frequency by digest."""
     lines = table(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("line")).filter(F.lower("line").rlike("licen[sc]e|all rights reserved"))
-    return lines.groupBy(F.md5(F.col("line").cast("binary")).alias("line")).agg(F.count("*").alias("n"))
+    return lines.groupBy(F.md5(F.col("line").cast("binary")).alias("line")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "line")
+
+
+def label_balance(spark, sf):
+    """Labelled documents by kind: how many, and the ratio of toxic to safe ones."""
+    g = table(spark, sf, "labels").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1)), F.lit(0)).alias("n_toxic"), F.coalesce(F.sum(F.when(F.col("toxic") == 0, 1)), F.lit(0)).alias("n_safe"))
+    return g.select("n", "n_toxic", "n_safe", F.round(F.try_divide("n_toxic", "n_safe"), 6).alias("ratio"))
 
 
 def manifest_reconcile(spark, sf):
     """Two manifests of different spelling, made from documents and pages, as one row for each name."""
-    d = table(spark, sf, "documents").select(F.concat(F.lit("docs/"), F.col("doc_id") % 700).alias("path"), F.col("lang").alias("class"), F.lit(" ").alias("license"), "source", (F.col("doc_id") * 2).alias("ord"))
-    p = table(spark, sf, "pages").select(F.concat(F.lit("pages/x/"), F.col("page_id") % 300).alias("file"), F.lit("cc0").alias("license"), F.col("url").alias("image_url"), (F.col("page_id") * 2 + 1).alias("ord"))
+    d = table(spark, sf, "documents").select(F.concat(F.lit("docs/"), F.substring(F.md5(F.coalesce("text", F.lit("")).cast("binary")), 1, 6)).alias("path"), F.col("lang").alias("class"), F.lit(" ").alias("license"), "source", (F.col("doc_id") * 2).alias("ord"))
+    p = table(spark, sf, "pages").select(F.concat(F.lit("pages/x/"), F.substring(F.md5(F.coalesce("url", F.lit("")).cast("binary")), 1, 3)).alias("file"), F.lit("cc0").alias("license"), F.col("url").alias("image_url"), (F.col("page_id") * 2 + 1).alias("ord"))
     return manifests.reconcile(manifests.union_manifests(d, p), "ord").select("name", "path", "cls", "license", "source", "url", "n_rows")
 
 
-QUERIES = {f.__name__: f for f in (qa_gate_report, qa_gate_rows, exact_dup_groups, crossclass_conflicts, leak_first_match, embedding_hashes, hash_class_members, near_pairs_hash, near_pair_summary, near_dup_keep_first, diversity_topk, source_prefix_counts, length_stats, imbalance, class_weights, group_split, split_report, first_k_per_class, spot_sample, prefix_split, dataset_fingerprint, url_parts, attribution_credits, license_order, manifest_reconcile)}
+QUERIES = {f.__name__: f for f in (qa_gate_report, qa_gate_rows, exact_dup_groups, crossclass_conflicts, leak_first_match, embedding_hashes, hash_class_members, near_pairs_hash, near_pair_summary, near_dup_keep_first, diversity_topk, source_prefix_counts, length_stats, imbalance, class_weights, group_split, sharded_split, split_overlap, label_balance, split_report, first_k_per_class, spot_sample, prefix_split, dataset_fingerprint, url_parts, attribution_credits, license_order, manifest_reconcile)}
 
 _W = f"(SELECT %s, unnest(range(1, len(ws) - {LEAK_WORDS - 2})) AS i, ws FROM (SELECT %s, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM %s))"
 _LEAK = f"""
@@ -279,7 +304,26 @@ cl AS (SELECT h, min(doc_id) AS rep, count(*) AS n FROM hs GROUP BY 1)"""
 _PAIRS = f"np AS (SELECT x.rep AS a, y.rep AS b, bit_count(xor(x.h, y.h))::BIGINT AS distance FROM cl x JOIN cl y ON x.rep < y.rep AND bit_count(xor(x.h, y.h)) <= {NEAR_BITS})"
 _GRP = "sz AS (SELECT source, md5(text) AS grp, count(*) AS n FROM documents GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY grp) - n AS before, row_number() OVER (PARTITION BY source ORDER BY grp) AS rn, sum(n) OVER (PARTITION BY source) AS total, count(*) OVER (PARTITION BY source) AS k FROM sz), gs AS (SELECT source, grp, n, before < floor(total * 0.2::DOUBLE) AND rn < k AS val FROM r)"
 
+_SHARDS = """dn AS (SELECT source, lang, 'doc_' || doc_id || '.txt' AS name FROM documents), cg AS (SELECT source, lang, count(*) AS n FROM dn GROUP BY 1, 2),
+cp AS (SELECT *, greatest(1, round_even(sum(n) OVER (PARTITION BY source) * 0.2::DOUBLE * 0.5::DOUBLE, 0)::BIGINT) AS cap FROM cg),
+ng AS (SELECT dn.source, CASE WHEN n > cap THEN dn.lang || '#s' || ((('0x' || substr(sha1(name), 1, 20))::HUGEINT % ceil(n / cap)::HUGEINT * (1208925819614629174706176::HUGEINT % ceil(n / cap)::HUGEINT) + ('0x' || substr(sha1(name), 21, 20))::HUGEINT) % ceil(n / cap)::HUGEINT) ELSE dn.lang END AS grp FROM dn JOIN cp ON cp.source = dn.source AND cp.lang = dn.lang),
+sn AS (SELECT source, grp, count(*) AS n FROM ng GROUP BY 1, 2),
+sv AS (SELECT source, grp, n, coalesce(sum(n) OVER (PARTITION BY source ORDER BY md5(grp) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < floor(sum(n) OVER (PARTITION BY source) * 0.2::DOUBLE) AND lead(n) OVER (PARTITION BY source ORDER BY md5(grp)) IS NOT NULL AS val FROM sn)"""
+_WALK = f"""ws AS (SELECT doc_id, row_number() OVER (ORDER BY {{order}}) AS rn, n_chars, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT rn, array_to_string(w[i:i + {NEAR_WORDS - 1}], ' ') AS g FROM (SELECT rn, w, unnest(range(1, greatest(len(w) - {NEAR_WORDS - 1}, 1) + 1)) AS i FROM ws WHERE len(w) > 0)),
+nn AS (SELECT rn, count(*) AS n FROM sh GROUP BY 1),
+cc AS (SELECT a.rn AS u, b.rn AS v, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.rn < b.rn GROUP BY 1, 2),
+li AS (SELECT v, list(u ORDER BY u) AS us FROM cc JOIN nn x ON x.rn = u JOIN nn y ON y.rn = v WHERE 100 * c >= {NEAR_PERCENT} * (x.n + y.n - c) GROUP BY v),
+st AS (SELECT v, us, row_number() OVER (ORDER BY v) AS i FROM li),
+wk(i, v, dup, gone) AS (SELECT i, v, us[1], [v] FROM st WHERE i = 1
+  UNION ALL SELECT st.i, st.v, list_filter(us, lambda x: NOT list_contains(gone, x))[1], CASE WHEN len(list_filter(us, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, st.v) ELSE gone END FROM wk JOIN st ON st.i = wk.i + 1),
+kp AS (SELECT ws.doc_id, ws.n_chars, o.doc_id AS dup_of FROM ws LEFT JOIN wk ON wk.v = ws.rn LEFT JOIN ws o ON o.rn = wk.dup)"""
 ORACLES = {
+    "near_dup_keep_first": f"WITH RECURSIVE {_WALK.format(order='doc_id')} SELECT doc_id, dup_of FROM kp",
+    "diversity_topk": f"WITH RECURSIVE {_WALK.format(order='coalesce(n_chars, 0) DESC, doc_id')} SELECT doc_id, n_chars FROM kp WHERE dup_of IS NULL ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 100",
+    "label_balance": "SELECT count(*) AS n, count(*) FILTER (toxic = 1) AS n_toxic, count(*) FILTER (toxic = 0) AS n_safe, round(count(*) FILTER (toxic = 1) / nullif(count(*) FILTER (toxic = 0), 0), 6) AS ratio FROM labels",
+    "sharded_split": f"WITH {_SHARDS} SELECT source, grp, n, val FROM sv",
+    "split_overlap": f"WITH {_SHARDS}, o AS (SELECT source, grp, count(DISTINCT val) AS k FROM sv GROUP BY 1, 2) SELECT count(*) AS n_groups, count(*) FILTER (k > 1) AS n_overlap FROM o",
     "qa_gate_report": f"WITH {_QA} SELECT source, reason, count(*) AS n FROM qa GROUP BY 1, 2",
     "qa_gate_rows": f"WITH {_QA} SELECT doc_id, source, reason, CASE reason WHEN 'exact_duplicate' THEN first_id WHEN 'leak' THEN origin END AS origin FROM qa",
     "exact_dup_groups": "SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY 1 HAVING count(*) > 1",
@@ -292,15 +336,15 @@ ORACLES = {
     "source_prefix_counts": "SELECT regexp_replace(source, '[0-9]+$', '') AS prefix, lang, count(*) AS n FROM documents GROUP BY 1, 2",
     "length_stats": "SELECT source, count(*) AS n, min(n_chars) AS least, max(n_chars) AS most, round(avg(n_chars), 6) AS mean, round(quantile_cont(n_chars, 0.5), 6) AS median, round(quantile_cont(n_chars, 0.95), 6) AS p95 FROM documents GROUP BY 1",
     "imbalance": "SELECT max(n) AS largest, min(n) AS smallest, round(max(n) / min(n), 6) AS ratio FROM (SELECT count(*) AS n FROM documents GROUP BY source)",
-    "class_weights": "WITH g AS (SELECT source, count(*) AS n FROM documents GROUP BY 1) SELECT source, n, round((SELECT sum(n) FROM g)::DOUBLE / ((SELECT count(*) FROM g) * n), 6) AS weight FROM g",
+    "class_weights": "WITH g AS (SELECT source, count(*) AS n FROM documents GROUP BY 1) SELECT source, n, round((1 / n) / (SELECT avg(1 / n) FROM g), 6) AS weight FROM g",
     "group_split": f"WITH {_GRP} SELECT source, grp, n, val FROM gs",
     "split_report": f"WITH {_GRP} SELECT source, sum(CASE WHEN val THEN n ELSE 0 END)::BIGINT AS n_val, sum(n)::BIGINT AS n_all, count(*) AS n_groups FROM gs GROUP BY 1",
     "first_k_per_class": "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents QUALIFY place <= 5",
     "spot_sample": "WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT source, doc_id, i FROM r WHERE list_contains(list_transform(range(5), lambda j: floor(j * (n - 1) / 4)::BIGINT), i)",
     "prefix_split": "WITH r AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT source, sum((i <= floor(n * 0.8::DOUBLE))::INTEGER)::BIGINT AS n_train, count(*) AS n_all FROM r GROUP BY 1",
-    "dataset_fingerprint": "WITH h AS (SELECT source, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT AS h FROM documents) SELECT source, count(*) AS n, sum(h)::BIGINT AS h_sum, bit_xor(h) AS h_xor FROM h GROUP BY 1",
+    "dataset_fingerprint": "WITH a AS (SELECT source, doc_id AS k, 'doc_' || lpad(doc_id::VARCHAR, 12, '0') AS x FROM documents), b AS (SELECT source, k // 1000 AS k, sha256(string_agg(x, chr(10) ORDER BY k)) AS x, count(*) AS n FROM a GROUP BY 1, k // 1000), c AS (SELECT source, k // 1000 AS k, sha256(string_agg(x, chr(10) ORDER BY k)) AS x, sum(n) AS n FROM b GROUP BY 1, k // 1000), d AS (SELECT source, k // 1000 AS k, sha256(string_agg(x, chr(10) ORDER BY k)) AS x, sum(n) AS n FROM c GROUP BY 1, k // 1000) SELECT source, sum(n)::BIGINT AS n, sha256(string_agg(x, chr(10) ORDER BY k)) AS fingerprint FROM d GROUP BY 1",
     "url_parts": "SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+/([a-z]{2})/', 1) AS folder, count(*) AS n FROM pages GROUP BY 1, 2",
     "attribution_credits": "WITH r AS (SELECT source, doc_id, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents) SELECT source, count(*) AS n, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs, string_agg(doc_id::VARCHAR, ' ' ORDER BY doc_id) FILTER (i <= 8) AS ids, CASE WHEN count(*) > 8 THEN '+' || (count(*) - 8) || ' more' ELSE '' END AS more FROM r GROUP BY 1",
     "license_order": "WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) SELECT md5(line) AS line, count(*) AS n FROM l WHERE regexp_matches(lower(line), 'licen[sc]e|all rights reserved') GROUP BY 1",
-    "manifest_reconcile": "WITH u AS (SELECT 'docs/' || (doc_id % 700) AS path, lang AS cls, NULL AS license, source, NULL AS url, doc_id * 2 AS ord FROM documents UNION ALL SELECT 'pages/x/' || (page_id % 300), NULL, 'cc0', NULL, url, page_id * 2 + 1 FROM pages), n AS (SELECT *, string_split(path, '/')[-1] AS name FROM u) SELECT name, path, cls, license, source, url, count(*) OVER (PARTITION BY name) AS n_rows FROM n QUALIFY row_number() OVER (PARTITION BY name ORDER BY ord DESC) = 1",
+    "manifest_reconcile": "WITH u AS (SELECT 'docs/' || substr(md5(coalesce(text, '')), 1, 6) AS path, lang AS cls, NULL AS license, source, NULL AS url, doc_id * 2 AS ord FROM documents UNION ALL SELECT 'pages/x/' || substr(md5(coalesce(url, '')), 1, 3), NULL, 'cc0', NULL, url, page_id * 2 + 1 FROM pages), n AS (SELECT *, string_split(path, '/')[-1] AS name FROM u) SELECT name, path, cls, license, source, url, count(*) OVER (PARTITION BY name) AS n_rows FROM n QUALIFY row_number() OVER (PARTITION BY name ORDER BY ord DESC) = 1",
 }

@@ -90,10 +90,10 @@ def log_filters(spark, sf):
 
 
 def bounding_region(spark, sf):
-    """Box of each type's points (value, k) with a margin, and its centre."""
+    """Box of each type's points (value, k): its centre, and one and a half times its range, but 0.005 at least."""
     e = events(spark, sf).select("event_type", F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y"))
     g = e.groupBy("event_type").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    return g.select("event_type", F.round((F.col("x0") + F.col("x1")) / 2, 6).alias("cx"), F.round((F.col("y0") + F.col("y1")) / 2, 6).alias("cy"), F.round((F.col("x1") - F.col("x0")) * 1.2, 6).alias("dx"), F.round((F.col("y1") - F.col("y0")) * 1.2, 6).alias("dy"))
+    return g.select("event_type", F.round((F.col("x0") + F.col("x1")) / 2, 6).alias("cx"), F.round((F.col("y0") + F.col("y1")) / 2, 6).alias("cy"), F.round(F.greatest((F.col("x1") - F.col("x0")) * 1.5, F.lit(0.005)), 6).alias("dx"), F.round(F.greatest((F.col("y1") - F.col("y0")) * 1.5, F.lit(0.005)), 6).alias("dy"))
 
 
 def captures_per_minute(spark, sf):
@@ -147,7 +147,7 @@ ORACLES = {
     "props_kv": f"WITH {_E} SELECT event_type, count(k) AS n, sum(k)::BIGINT AS total, min(k) AS least, max(k) AS most FROM e GROUP BY 1",
     "recent_or_top10": f"WITH {_E}, r AS (SELECT *, t >= (SELECT max(t) FROM e) - {GAP} AS recent, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC) AS place FROM e), q AS (SELECT *, bool_or(recent) OVER (PARTITION BY user_id) AS has FROM r) SELECT event_id, user_id, recent FROM q WHERE recent OR (NOT has AND place <= 10)",
     "log_filters": f"WITH {_E} SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC) AS place FROM e WHERE event_type = 'error' QUALIFY place <= 3",
-    "bounding_region": f"WITH {_E} SELECT event_type, round((min(value) + max(value)) / 2, 6) AS cx, round((min(k) + max(k)) / 2::DOUBLE, 6) AS cy, round((max(value) - min(value)) * 1.2::DOUBLE, 6) AS dx, round((max(k) - min(k)) * 1.2::DOUBLE, 6) AS dy FROM e GROUP BY 1",
+    "bounding_region": f"WITH {_E} SELECT event_type, round((min(value) + max(value)) / 2, 6) AS cx, round((min(k) + max(k)) / 2::DOUBLE, 6) AS cy, round(greatest((max(value) - min(value)) * 1.5::DOUBLE, 0.005), 6) AS dx, round(greatest((max(k) - min(k)) * 1.5::DOUBLE, 0.005), 6) AS dy FROM e GROUP BY 1",
     "captures_per_minute": f"WITH {_E} SELECT t // 3600000000 AS hour, count(*) AS n FROM e GROUP BY 1",
     "telemetry_latest": f"WITH {_E} SELECT user_id, t // {WAIT} AS slot, arg_max(event_id, (t, event_id)) AS event_id, count(*) AS n FROM e GROUP BY 1, 2",
     "sessions": f"WITH {_E}, d AS (SELECT *, CASE WHEN coalesce(t - lag(t) {_O} >= {GAP}, TRUE) THEN 1 ELSE 0 END AS new FROM e), s AS (SELECT *, sum(new) {_O} AS session FROM d) SELECT user_id, session::BIGINT AS session, count(*) AS n, min(t) AS t0, max(t) AS t1 FROM s GROUP BY 1, 2",
