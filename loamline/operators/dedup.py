@@ -26,26 +26,52 @@ def hash_classes(df: DataFrame, key: str, h: str) -> DataFrame:
     return df.groupBy(F.col(h).alias("h")).agg(F.min(key).alias("rep"), F.count("*").alias("n"))
 
 
-def hamming_pairs(classes: DataFrame, k: int, spare: int = 3, bits: int = 64) -> DataFrame:
-    """(a, b, distance) of all class representatives a < b at most ``k`` bits apart.
+def _blocks(k: int, spare: int, bits: int = 64):
+    """Widths and places of ``k + spare`` blocks of a hash, and all choices of ``spare`` of them."""
+    n = k + spare
+    widths = [bits // n + (i < bits % n) for i in range(n)]
+    return [(sum(widths[:i]), w) for i, w in enumerate(widths)], list(combinations(range(n), spare))
+
+
+def _listed(df: DataFrame, h: str, k: int, spare: int) -> DataFrame:
+    """``df`` with a row for every choice of blocks of ``h``, and a key of what stands in them."""
+    blocks, choices = _blocks(k, spare)
+    value = lambda i: F.shiftrightunsigned(F.col(h), blocks[i][0]).bitwiseAND(F.lit((1 << blocks[i][1]) - 1))
+    keys = F.array(*[F.struct(F.lit(c).alias("choice"), F.xxhash64(*[value(i) for i in own]).alias("key")) for c, own in enumerate(choices)])
+    return df.withColumn("_k", F.explode(keys)).select(*df.columns, "_k.choice", "_k.key")
+
+
+def _first_choice(differ: Column, choice: Column, k: int, spare: int) -> Column:
+    """Whether a choice of blocks is the first in which two hashes agree; ``differ`` is their exclusive or."""
+    blocks, choices = _blocks(k, spare)
+    same = F.filter(F.array(*[F.when(F.shiftrightunsigned(differ, at).bitwiseAND(F.lit((1 << w) - 1)) == 0, i) for i, (at, w) in enumerate(blocks)]), lambda i: i.isNotNull())
+    return F.get(F.lit([list(c) for c in choices]), choice) == F.slice(same, 1, spare)
+
+
+def hamming_matches(left: DataFrame, right: DataFrame, hashes: tuple[str, str], k: int, spare: int = 3) -> DataFrame:
+    """Rows of ``left`` and ``right`` side by side, as structs l and r, where both of two hashes are at most ``k`` bits apart.
 
     A hash is cut into ``k + spare`` blocks. Two hashes at most k bits apart agree in
-    ``spare`` blocks or more, so each hash is listed under every choice of that many
-    blocks, a long key that few hashes share. A pair is made once, under the first blocks
-    in which it agrees.
+    ``spare`` blocks or more, so each row is listed under every choice of that many blocks
+    of the first hash, a long key that few hashes share. A match is made once, under the
+    first blocks in which they agree.
     """
-    n = k + spare
-    widths = [bits // n + (i < bits % n) for i in range(n)]
-    at = [sum(widths[:i]) for i in range(n)]
-    block = lambda h, i: F.shiftrightunsigned(h, at[i]).bitwiseAND(F.lit((1 << widths[i]) - 1))
-    choices = list(combinations(range(n), spare))
-    keys = F.array(*[F.struct(F.lit(c).alias("choice"), F.xxhash64(*[block(F.col("h"), i) for i in blocks]).alias("key")) for c, blocks in enumerate(choices)])
-    listed = classes.select("rep", "h", F.explode(keys).alias("k")).select("rep", "h", "k.*")
-    x, y = listed.alias("x"), listed.alias("y")
+    one, two = hashes
+    x = _listed(left, one, k, spare).select(F.struct(*left.columns).alias("l"), "choice", "key")
+    y = _listed(right, one, k, spare).select(F.struct(*right.columns).alias("r"), F.col("choice").alias("choice_r"), F.col("key").alias("key_r"))
+    near = lambda h: F.bit_count(F.col(f"l.{h}").bitwiseXOR(F.col(f"r.{h}"))) <= k
+    j = x.join(y, (F.col("choice") == F.col("choice_r")) & (F.col("key") == F.col("key_r")))
+    return j.filter(near(one) & near(two) & _first_choice(F.col(f"l.{one}").bitwiseXOR(F.col(f"r.{one}")), F.col("choice"), k, spare)).select("l", "r")
+
+
+def hamming_pairs(classes: DataFrame, k: int, spare: int = 3) -> DataFrame:
+    """(a, b, distance) of all class representatives a < b at most ``k`` bits apart; see ``hamming_matches``."""
+    own = classes.select("rep", "h")
+    x = _listed(own, "h", k, spare).alias("x")
+    y = _listed(own, "h", k, spare).alias("y")
     differ = F.col("x.h").bitwiseXOR(F.col("y.h"))
-    same = F.filter(F.array(*[F.when(block(differ, i) == 0, i) for i in range(n)]), lambda i: i.isNotNull())
-    first = F.get(F.lit([list(c) for c in choices]), F.col("x.choice")) == F.slice(same, 1, spare)
-    near = x.join(y, (F.col("x.choice") == F.col("y.choice")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep"))).filter((F.bit_count(differ) <= k) & first)
+    j = x.join(y, (F.col("x.choice") == F.col("y.choice")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")))
+    near = j.filter((F.bit_count(differ) <= k) & _first_choice(differ, F.col("x.choice"), k, spare))
     return near.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.bit_count(differ).cast("long").alias("distance"))
 
 

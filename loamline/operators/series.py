@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ordered_fold(df: DataFrame, key: str, order: list[str], value_cols: list[str], out: str, start: Callable[[], object], step: Callable) -> DataFrame:
-    """``df`` with ``out``: ``state, result = step(state, *values)`` along each key's rows in order.
+def ordered_fold(df: DataFrame, key: str, order: list[str], value_cols: list[str], out: str | list[str], start: Callable[[], object], step: Callable) -> DataFrame:
+    """``df`` with ``out``: ``state, result = step(state, *values)`` along each key's rows in order; several results for several names.
 
     Rows are dealt by key and sorted; a task walks through its sorted rows batch by batch
     and holds the state of one key, so a key of any length takes bounded memory.
     """
-    names = df.columns
+    names, several = df.columns, not isinstance(out, str)
+    outs = list(out) if several else [out]
     dealt = df.repartition(key).sortWithinPartitions(key, *order)
 
     def walk(batches):
@@ -22,18 +23,19 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], value_cols: list[str
 
         now, state, first = None, None, True
         for b in batches:
-            results = []
+            results: list = []
             keys = b.column(names.index(key)).to_pylist()
             for k, *values in zip(keys, *(b.column(names.index(v)).to_pylist() for v in value_cols), strict=True):
                 if first or k != now:
                     now, state, first = k, start(), False
                 state, result = step(state, *values)
                 results.append(result)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(results, pa.float64())], names=[*names, out])
+            found = zip(*results, strict=True) if several else [results]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(r, pa.float64()) for r in (found if results else [[]] * len(outs)))], names=[*names, *outs])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return dealt.mapInArrow(walk, StructType([*df.schema.fields, StructField(out, DoubleType())]))
+    return dealt.mapInArrow(walk, StructType([*df.schema.fields, *(StructField(o, DoubleType()) for o in outs)]))
 
 
 def ema(df: DataFrame, key: str, order: list[str], value: str, alpha: float, out: str = "ema", seed: float | None = None) -> DataFrame:
@@ -56,6 +58,29 @@ def refractory(df: DataFrame, key: str, order: list[str], time: str, wait: int,
     return ordered_fold(df, key, order, [time], out, lambda: None, step)
 
 
+def apex_step(alpha: float, floor: float, wait: int) -> Callable:
+    """Step of the peak detector: state (smoothed value, its last change, time of the last peak that fired).
+
+    A sample fires when the smoothed series has just turned down from at least ``floor``,
+    ``wait`` or more after the last one.
+    """
+
+    def step(state, t, x):
+        smoothed, change, last = state
+        after = x if smoothed is None else alpha * x + (1 - alpha) * smoothed
+        before = 0.0 if smoothed is None else smoothed
+        peak = change > 0 and after - before <= 0 and before >= floor
+        fire = peak and (last is None or t - last >= wait)
+        return (after, after - before, t if fire else last), float(fire)
+
+    return step
+
+
+def apexes(df: DataFrame, key: str, order: list[str], time: str, value: str, alpha: float, floor: float, wait: int, out: str = "fired") -> DataFrame:
+    """Marks (1 or 0) rows just after a peak of the smoothed series; see ``apex_step``. Values mustn't be null."""
+    return ordered_fold(df, key, order, [time, value], out, lambda: (None, 0.0, None), apex_step(alpha, floor, wait))
+
+
 def as_of(df: DataFrame, key: str, time: str, left: Column, right: Column, values: list[str], tie: str = "event_id") -> DataFrame:
     """Rows where ``left`` holds, with ``prev_*`` of the latest row not after it where ``right`` holds.
 
