@@ -37,9 +37,12 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name under ``spark.checkpoint.dir``, which all executors share.
 
-    Where the setting is absent, as in tests on one machine, it lies below the warehouse.
+    Where the setting is absent, as in tests on one machine, it lies below the warehouse; on a cluster that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    base = base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

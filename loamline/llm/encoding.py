@@ -10,6 +10,8 @@ not white space, or at such a line break: its pattern never matches across these
 as only white-space runs hold more than a leading space. Texts with other white space
 are cut with regard to what stands around each space. For the word tokenizer, which drops
 white space, every space or line break is such a place.
+
+Defined results: a null or empty text has no ids; an empty array gives none; equal texts have equal ids.
 """
 
 from __future__ import annotations

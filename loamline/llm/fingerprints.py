@@ -10,7 +10,8 @@ Shingles are ``WIDTH`` consecutive lower-cased words; a shorter text is one shin
 Defined results: a null or empty text has the empty fingerprint, and two of those have
 likeness 1; against anything else likeness is 0. Rows with equal ids are ordered by text;
 a null id comes after all others. An empty table gives an empty result. ``fingerprint``
-works on one column and keeps the others; the neighbour query looks at no other columns.
+works on one column and keeps the others, but replaces one of the name ``out``; the neighbour query looks at no other columns.
+Rows of one id lie in one range, so ids should tell rows apart.
 """
 
 from __future__ import annotations

@@ -180,15 +180,17 @@ def fit_sample(docs: DataFrame, known: DataFrame, label: str = "quality", fit_do
 
 
 def score(df: DataFrame, model, text_col: str = "text") -> DataFrame:
-    """``df`` with ``score`` (0 to 1) and ``predicted``."""
+    """``df`` with ``score`` (0 to 1) and ``predicted``; the model, of fixed size, is broadcast."""
     own = [c for c in df.columns if c not in ("score", "predicted")]
     n = len(own)
 
+    held = df.sparkSession.sparkContext.broadcast(model)
+
     def scored(batches):
         import pyarrow as pa
 
         for b in batches:
-            s = score_texts(model, b.column(own.index(text_col)).to_pylist())
+            s = score_texts(held.value, b.column(own.index(text_col)).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype("i4"))], names=[*own, "score", "predicted"])
 
     from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType

@@ -7,7 +7,7 @@ Defined results: a null or empty text has no words and fails the base rule; a nu
 ``doc_id`` is kept as it is; repeated rows are judged one by one; an empty table gives
 an empty result; extra columns pass through ``apply_rules``, and metric columns live in
 one struct ``metrics`` so that they clash with nothing (an input column of that name is
-replaced).
+replaced). Windows and lines of a text are compared by 64-bit hashes.
 """
 
 from __future__ import annotations

@@ -295,17 +295,19 @@ def fit_sample(docs: DataFrame, known: DataFrame, label: str = "toxic", fit_docs
 
 
 def score(df: DataFrame, model, text_col: str = "text") -> DataFrame:
-    """``df`` with ``score`` (0 to 1) and ``predicted``."""
+    """``df`` with ``score`` (0 to 1) and ``predicted``; the model, of fixed size, is broadcast."""
     from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
     chosen = df.select(*[c for c in df.columns if c not in ("score", "predicted")])
     own = chosen.columns
 
+    held = df.sparkSession.sparkContext.broadcast(model)
+
     def scored(batches):
         import pyarrow as pa
 
         for b in batches:
-            s = score_texts(model, b.column(own.index(text_col)))
+            s = score_texts(held.value, b.column(own.index(text_col)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype("i4"))], names=[*own, "score", "predicted"])
 
     return chosen.mapInArrow(scored, StructType([*chosen.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))

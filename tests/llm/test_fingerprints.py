@@ -1,5 +1,7 @@
 import hashlib
+import re
 
+import xxhash
 from loamline.llm import fingerprints as fp
 from pyspark.sql import functions as F
 
@@ -40,3 +42,37 @@ def test_estimates_follow_exact_values(spark):
     s = {c: fp.sketch(F.col(c)) for c in ("a", "part", "other")}
     r = df.select(fp.containment(s["part"], s["a"]).alias("inside"), fp.containment(s["a"], s["part"]).alias("outside"), fp.likeness(s["a"], s["other"]).alias("like"), (fp.merge(F.array(s["a"], s["part"])) == s["a"]).alias("merged")).first()
     assert r.inside == 1 and abs(r.outside - 0.25) < 0.05 and abs(r.like - 1 / 3) < 0.06 and r.merged
+
+
+def _sketch(text):
+    """The sketch from its definition."""
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if x]
+    if not w:
+        return []
+    hashes = set()
+    for i in range(max(1, len(w) - fp.WIDTH + 1)):
+        h = 42
+        for x in w[i : i + fp.WIDTH] if len(w) >= fp.WIDTH else [" ".join(w)]:
+            h = xxhash.xxh64_intdigest(x.encode(), seed=h)
+        hashes.add(h & ((1 << fp.HASH_BITS) - 1))
+    low = sorted(h for h in hashes if h < (1 << fp.HASH_BITS) // fp.ONE_IN)
+    return low or [~min(hashes)]
+
+
+def _like(a, b):
+    return 1.0 if not a and not b else len(set(a) & set(b)) / len(set(a) | set(b))
+
+
+def test_fingerprints_equal_brute_force(spark, tmp_path):
+    rng = __import__("random").Random(7)
+    ascii_ = [t for t in TRICKY if t is None or t.isascii()]
+    texts = ascii_ + [" ".join(f"w{rng.randrange(30)}" for _ in range(rng.randrange(60))) for _ in range(60)] + [" ".join(f"long{k % 7001}" for k in range(200_000))]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in fp.op10_fingerprints(spark, str(tmp_path)).collect()}
+    shown = lambda s: "".join(("~%010x" % ~h) if h < 0 else "%010x" % h for h in s)
+    for i, t in enumerate(texts):
+        t, nxt = t or "", texts[i - 1] or ""
+        k = len(t) // 3
+        own, edited, after = _sketch(t), _sketch(t[: len(t) - k] + nxt[:k]), _sketch(nxt)
+        assert (out[i].fingerprint, out[i].edited_fingerprint) == (shown(own), shown(edited)), repr(t[:80])
+        assert abs(out[i].near_edited - _like(own, edited)) < 1e-12 and abs(out[i].near_next - _like(own, after)) < 1e-12

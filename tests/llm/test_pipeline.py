@@ -38,3 +38,20 @@ def test_stages_take_any_rows(spark, tmp_path, texts):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert cp.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_stages_keep_clashing_columns_and_null_ids(spark, tmp_path):
+    good = " ".join(f"the word{k % 40} of text and line{k % 9}" for k in range(60))
+    rows = [(1, good, "x"), (2, good + " more", "y"), (None, good.replace("word", "other"), "z"), (4, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, metrics string").selectExpr("*", "'s' as score", "'b' as bands", "1 as component", "2 as node", "3 as u").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = documents(spark, str(tmp_path))
+    columns = docs.columns
+    unique = cp.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert unique.columns == columns and sorted((r.doc_id or 0, r.metrics) for r in unique.collect()) == [(0, "z"), (1, "x"), (4, None)]
+    for name, stage in cp.STAGES[:2]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == columns, name
+        assert {r.metrics for r in out.collect()} <= {"x", "y", "z", None}
+    packed = cp.pack_sequences(spark, unique, str(tmp_path))
+    assert packed.select("doc_id").distinct().count() == 3
