@@ -12,7 +12,9 @@ from loamline.sources.tables import micros
 
 
 def shared(spark: SparkSession, purpose: str) -> str:
-    """A new folder in ``spark.checkpoint.dir``, or below the warehouse where that is unset."""
+    """A new folder in ``spark.checkpoint.dir``, or, on one machine, below the warehouse where that is unset."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_streams"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
