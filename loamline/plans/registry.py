@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loamline.plans import curation, evaluation, event_series, gait, provenance, triage
+from loamline.plans import curation, evaluation, event_series, gait, provenance, records, triage
 
-QUERIES = {**curation.QUERIES, **evaluation.QUERIES, **event_series.QUERIES, **triage.QUERIES, **provenance.QUERIES, **gait.QUERIES}
-ORACLES = {**curation.ORACLES, **evaluation.ORACLES, **event_series.ORACLES, **triage.ORACLES, **provenance.ORACLES, **gait.ORACLES}
+QUERIES = {**curation.QUERIES, **evaluation.QUERIES, **event_series.QUERIES, **triage.QUERIES, **provenance.QUERIES, **gait.QUERIES, **records.QUERIES}
+ORACLES = {**curation.ORACLES, **evaluation.ORACLES, **event_series.ORACLES, **triage.ORACLES, **provenance.ORACLES, **gait.ORACLES, **records.ORACLES}
