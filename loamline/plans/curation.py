@@ -13,6 +13,8 @@ from loamline.sources.tables import table
 
 #: Characters below which a document is too short; words of a window that counts as a leak; bits between near hashes.
 LEAST_CHARS, LEAK_WORDS, NEAR_BITS = 64, 8, 5
+#: As many hashes of windows are broadcast at most, about 100 MB on an executor.
+BROADCAST_WINDOWS = 4_000_000
 #: Words of a shingle, and the share of them in percent that near copies have in common.
 NEAR_WORDS, NEAR_PERCENT = 4, 80
 
@@ -35,20 +37,25 @@ def _windows(text):
 def leaks(spark, sf):
     """(doc_id, origin, n_windows): the first benchmark item that shares a window with a document.
 
-    The benchmark's windows are fewer than its words; the documents' windows are only
-    looked up, and counted before they are shuffled.
+    Documents' windows are only looked up by their hashes among the benchmark's, which are
+    broadcast up to ``BROADCAST_WINDOWS``; what is left is compared as text and counted.
     """
-    docs = table(spark, sf, "documents").select("doc_id", F.explode(_windows(F.col("text"))).alias("w"))
-    items = table(spark, sf, "benchmark").select("item_id", F.explode(_windows(F.col("text"))).alias("w"))
-    return docs.join(items, "w").groupBy("doc_id").agg(F.min("item_id").alias("origin"), F.countDistinct("w").alias("n_windows"))
+    hashed = lambda df, key: df.select(key, F.explode(_windows(F.col("text"))).alias("w")).select(key, F.xxhash64("w").alias("h"), "w")
+    items = written(hashed(table(spark, sf, "benchmark"), "item_id"))
+    hashes = items.select("h").distinct()
+    if hashes.count() <= BROADCAST_WINDOWS:
+        hashes = F.broadcast(hashes)
+    docs = hashed(table(spark, sf, "documents"), "doc_id").join(hashes, "h", "left_semi")
+    return docs.join(items, ["h", "w"]).groupBy("doc_id").agg(F.min("item_id").alias("origin"), F.countDistinct("w").alias("n_windows"))
 
 
 def qa_gate_rows(spark, sf):
     """Each document with the first reason to drop it: corrupt, too short, exact copy, leak; else kept."""
     docs = table(spark, sf, "documents").select("doc_id", "source", "text")
     # The text's digest stands for it in the shuffle; counts are made before.
-    first = docs.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("first_id"))
-    marked = docs.select("doc_id", "source", F.length("text").alias("n"), F.sha2("text", 256).alias("h")).join(first, "h", "left").join(leaks(spark, sf).select("doc_id", "origin"), "doc_id", "left")
+    digests = written(docs.select("doc_id", "source", F.length("text").alias("n"), F.sha2("text", 256).alias("h")))
+    first = digests.groupBy("h").agg(F.min("doc_id").alias("first_id"))
+    marked = digests.join(first, "h", "left").join(leaks(spark, sf).select("doc_id", "origin"), "doc_id", "left")
     reason = F.when(F.col("n").isNull() | (F.col("n") == 0), "corrupt").when(F.col("n") < LEAST_CHARS, "too_short").when(F.col("doc_id") > F.col("first_id"), "exact_duplicate").when(F.col("origin").isNotNull(), "leak").otherwise("kept")
     return marked.select("doc_id", "source", reason.alias("reason"), F.when(reason == "exact_duplicate", F.col("first_id")).when(reason == "leak", F.col("origin")).alias("origin"))
 

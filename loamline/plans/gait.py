@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loamline.functions.details import token
 from loamline.operators import series
 from loamline.plans.event_series import _E, _O, _RN
-from loamline.sources.tables import events
+from loamline.sources.tables import events, require_columns
 
 #: Smoothing, least height of a peak, least microseconds between two, what a value is measured against.
 ALPHA, FLOOR, WAIT, CENTRE = 0.6, 5.0, 6 * 3_600_000_000, 60.0
@@ -60,6 +60,15 @@ def sign_report(spark, sf):
     return g.withColumn("skew", skew).select("user_id", "n", "skew", F.round("neg", 6).alias("neg_extreme"), F.round("pos", 6).alias("pos_extreme"), verdict.alias("verdict"))
 
 
+def session_clock(spark, sf):
+    """Each user's clock: the motion clock only if all of its values are finite, else the elapsed one; and the time it spans."""
+    e = require_columns(events(spark, sf), ["event_id", "user_id", "t"])
+    motion = F.when(F.col("event_id") % 401 == 0, None).when(F.col("event_id") % 407 == 0, float("nan")).otherwise(F.col("t") / 1e6 + 0.25)
+    finite = motion.isNotNull() & ~F.isnan(motion) & (F.abs(motion) != float("inf"))
+    g = e.groupBy("user_id").agg(F.min(finite).alias("motion"), F.count("*").alias("n"), ((F.max("t") - F.min("t")) / 1e6).alias("elapsed"), (F.max(motion) - F.min(motion)).alias("moved"))
+    return g.select("user_id", "n", F.when(F.col("motion"), "motion_ts").otherwise("timestamp_s").alias("clock"), F.round(F.when(F.col("motion"), F.col("moved")).otherwise(F.col("elapsed")), 3).alias("duration_s"))
+
+
 def trigger_histogram(spark, sf):
     """Captures by trigger, the last one that their details name; ``?`` for none."""
     c = samples(spark, sf).filter("event_type = 'view'")
@@ -94,7 +103,7 @@ def apex_alignment(spark, sf):
     return g.select("*", verdict.alias("verdict"))
 
 
-QUERIES = {f.__name__: f for f in (apex_times, cadence_report, sign_report, trigger_histogram, phase_summary, apex_alignment)}
+QUERIES = {f.__name__: f for f in (apex_times, cadence_report, session_clock, sign_report, trigger_histogram, phase_summary, apex_alignment)}
 
 
 def _detector(name: str, sign: str, out: str) -> str:
@@ -117,6 +126,7 @@ ORACLES = {
     "apex_times": f"WITH {_AP} SELECT * FROM ap",
     "cadence_report": f"WITH {_AP}, {_PD} SELECT user_id, coalesce(apexes, 0) AS apexes, round(period, 3) AS median_period_s, round(86400 / period, 6) AS per_day FROM (SELECT DISTINCT user_id FROM e) LEFT JOIN pd USING (user_id)",
     "sign_report": f"WITH {_E}, x AS (SELECT user_id, value - {CENTRE}::DOUBLE AS d FROM e), m AS (SELECT user_id, avg(d) AS mu FROM x GROUP BY 1), c AS (SELECT user_id, count(*) AS n, avg((d - mu) ** 3) AS m3, avg((d - mu) ** 2) AS m2, quantile_cont(-d, 0.995) AS neg, quantile_cont(d, 0.995) AS pos FROM x JOIN m USING (user_id) GROUP BY 1), r AS (SELECT *, CASE WHEN n < 3 OR m2 <= 0 THEN 'nan'::DOUBLE ELSE round(m3 / m2 ** 1.5, 6) END AS skew FROM c) SELECT user_id, n, skew, round(neg, 6) AS neg_extreme, round(pos, 6) AS pos_extreme, CASE WHEN isnan(skew) THEN 'inconclusive' WHEN skew < -0.3 AND neg > pos THEN 'consistent' WHEN skew > 0.3 AND pos > neg THEN 'inverted' ELSE 'weak' END AS verdict FROM r",
+    "session_clock": f"WITH {_E}, m AS (SELECT user_id, t, event_id % 401 <> 0 AND event_id % 407 <> 0 AS ok FROM e) SELECT user_id, count(*) AS n, CASE WHEN bool_and(ok) THEN 'motion_ts' ELSE 'timestamp_s' END AS clock, round((max(t) - min(t)) / 1e6::DOUBLE, 3) AS duration_s FROM m GROUP BY 1",
     "trigger_histogram": f"WITH {_E}, {_CAP} SELECT coalesce(trig, '?') AS trigger, count(*) AS n FROM cap GROUP BY 1",
     "phase_summary": f"WITH {_AP}, {_PD}, {_CAP}, f AS (SELECT c.user_id, (c.t - a.t) / 1000 AS g FROM (SELECT * FROM cap WHERE trig = 'apogee' AND NOT stamped) c ASOF JOIN ap a ON c.user_id = a.user_id AND c.t >= a.t) SELECT f.user_id, count(*) AS n, round(quantile_cont(g, 0.5) + 1e-6::DOUBLE, 3) AS median_ms, round(quantile_cont(g, 0.25) + 1e-6::DOUBLE, 3) AS p25_ms, round(quantile_cont(g, 0.75) + 1e-6::DOUBLE, 3) AS p75_ms, round(quantile_cont(g, 0.5) / 1000 / any_value(period), 6) AS stride_share FROM f LEFT JOIN pd USING (user_id) GROUP BY 1",
     "apex_alignment": f"WITH {_AP}, {_detector('wi', '-', 'mi')}, d AS (SELECT p.user_id, p.event_id, (SELECT min(abs(p.t - a.t)) FROM ap a WHERE a.user_id = p.user_id) AS g1, (SELECT min(abs(p.t - b.t)) FROM mi b WHERE b.user_id = p.user_id) AS g2 FROM e p WHERE event_type = 'purchase'), g AS (SELECT user_id, count(*) AS n, count(*) FILTER (g1 < g2) AS near_maxima, count(*) FILTER (g2 < g1) AS near_minima, round(quantile_cont(g1, 0.5) / 1000 + 1e-6::DOUBLE, 3) AS median_offset_ms FROM d WHERE g1 IS NOT NULL AND g2 IS NOT NULL GROUP BY 1) SELECT *, CASE WHEN near_maxima >= 2 * greatest(1, near_minima) THEN 'agrees' WHEN near_minima >= 2 * greatest(1, near_maxima) THEN 'inverted' ELSE 'inconclusive' END AS verdict FROM g",

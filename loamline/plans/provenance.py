@@ -14,6 +14,8 @@ from loamline.sources.tables import events, table
 
 #: Bits by which both hashes of near copies may differ; classes of sides that a shape must lie between.
 NEAR_BITS = 5
+#: Bits by which a fetched document must differ from held-out ones, less one.
+FETCH_BITS = 6
 LEAST_SIDE, ASPECTS, LEAST_SPREAD, MOST_AREA = 2, (0.4, 200.0), 0.02, 50_000
 
 
@@ -93,6 +95,21 @@ def crossclass_near(spark, sf):
     return d.join(found.filter("partner IS NOT NULL"), ["level", "step", "source"]).select("doc_id", "source", "partner")
 
 
+def fetch_dedup(spark, sf):
+    """Fetched documents (two thirds) that are kept: none near a held-out one, none near an earlier kept one; by one hash.
+
+    Rows of equal hash stand for one another, so copies aren't paired.
+    """
+    h = _hashed(spark, sf).filter("level IS NOT NULL").select("doc_id", "level")
+    held = h.filter("doc_id % 3 = 1").select("level").distinct().withColumn("same", F.col("level"))
+    fetched = h.filter("doc_id % 3 <> 1")
+    classes = written(dedup.hash_classes(fetched, "doc_id", "level"))
+    near = dedup.hamming_matches(classes.select("rep", F.col("h").alias("level"), F.col("h").alias("same")), held, ("level", "same"), FETCH_BITS).select("l.rep").distinct()
+    free = written(classes.join(near, "rep", "left_anti"))
+    kept = dedup.keep_first(free.select(F.col("rep").alias("id")), dedup.hamming_pairs(free, NEAR_BITS).select("a", "b"))
+    return kept.filter("dup_of IS NULL").select(F.col("id").alias("doc_id"))
+
+
 def _name(doc_id):
     return F.concat(F.lit("img_"), doc_id.cast("string"), F.lit(".jpg"))
 
@@ -235,7 +252,7 @@ def exported_names(spark, sf):
     return e.select("event_id", "name", F.count("*").over(w).alias("n_named"))
 
 
-QUERIES = {f.__name__: f for f in (leak_report, audit_leakage, crossclass_near, survivors_provenance, attribution_summary, license_breakdown, photographer_credits, group_provenance, worklist_feedback, pending_uploads, batch_merge, media_credits, committed_names, shape_gate, map_filters, exported_names)}
+QUERIES = {f.__name__: f for f in (leak_report, audit_leakage, crossclass_near, fetch_dedup, survivors_provenance, attribution_summary, license_breakdown, photographer_credits, group_provenance, worklist_feedback, pending_uploads, batch_merge, media_credits, committed_names, shape_gate, map_filters, exported_names)}
 
 _TWO = """dw AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS w FROM documents),
 bk AS (SELECT doc_id, ('0x' || substr(md5(w), 3, 2))::INTEGER % 64 AS k, count(*) AS n FROM dw GROUP BY 1, 2),
@@ -262,6 +279,7 @@ ORACLES = {
     "leak_report": f"WITH {_TWO}, s AS (SELECT * FROM hd WHERE doc_id % 3 = 0), r AS (SELECT *, row_number() OVER (ORDER BY doc_id % 3 = 2, doc_id) AS ord, CASE WHEN doc_id % 3 = 1 THEN 'held_out:' ELSE 'pool:' END || doc_id AS origin FROM hd WHERE doc_id % 3 <> 0), e AS (SELECT s.doc_id, arg_min(origin, ord) AS o FROM s JOIN r USING (digest) GROUP BY 1), n AS (SELECT a.doc_id, arg_min(b.origin, b.ord) AS o FROM s a JOIN r b ON {_CLOSE} GROUP BY 1) SELECT coalesce(e.doc_id, n.doc_id) AS doc_id, CASE WHEN e.o IS NOT NULL THEN 'exact' ELSE 'near' END AS kind, coalesce(e.o, n.o) AS origin FROM e FULL JOIN n ON e.doc_id = n.doc_id",
     "audit_leakage": f"WITH {_TWO}, e AS (SELECT t.doc_id, min(r.doc_id) AS o FROM hd t JOIN hd r USING (digest) WHERE t.doc_id % 10 = 0 AND r.doc_id % 10 <> 0 GROUP BY 1), n AS (SELECT a.doc_id, min(b.doc_id) AS o FROM hd a JOIN hd b ON {_CLOSE} WHERE a.doc_id % 10 = 0 AND b.doc_id % 10 <> 0 AND a.doc_id NOT IN (SELECT doc_id FROM e) GROUP BY 1), f AS (SELECT 'exact' AS kind, * FROM e UNION ALL SELECT 'near', * FROM n) SELECT kind, count(*) AS n, sum((x.source = y.source)::INTEGER)::BIGINT AS n_same_source FROM f JOIN hd x ON x.doc_id = f.doc_id JOIN hd y ON y.doc_id = f.o GROUP BY 1",
     "crossclass_near": f"WITH {_TWO} SELECT a.doc_id, a.source, max(b.doc_id) AS partner FROM hd a JOIN hd b ON a.source <> b.source AND {_CLOSE} GROUP BY 1, 2",
+    "fetch_dedup": f"WITH RECURSIVE {_TWO}, c AS (SELECT a.doc_id, a.level FROM hd a WHERE a.level IS NOT NULL AND a.doc_id % 3 <> 1 AND NOT EXISTS (SELECT 1 FROM hd b WHERE b.doc_id % 3 = 1 AND b.level IS NOT NULL AND bit_count(xor(a.level, b.level)) <= {FETCH_BITS})), l AS (SELECT b.doc_id AS v, list(a.doc_id) AS us, row_number() OVER (ORDER BY b.doc_id) AS i FROM c a JOIN c b ON a.doc_id < b.doc_id AND bit_count(xor(a.level, b.level)) <= {NEAR_BITS} GROUP BY 1), wk(i, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT l.i, CASE WHEN len(list_filter(us, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, v) ELSE gone END FROM wk JOIN l ON l.i = wk.i + 1) SELECT doc_id FROM c WHERE NOT list_contains((SELECT arg_max(gone, i) FROM wk), doc_id)",
     "survivors_provenance": f"WITH {_MF} SELECT doc_id, 'img_' || doc_id || '.jpg' AS name, mf.license, mf.observation_id FROM documents LEFT JOIN mf ON mf.name = 'img_' || doc_id || '.jpg' WHERE n_chars >= 64",
     "attribution_summary": f"WITH {_JN} SELECT count(*) AS n_pool, count(*) FILTER (NOT found) AS n_unprovenanced, count(DISTINCT observation_id) FILTER (found) AS n_observations, count(DISTINCT photographer) FILTER (found) AS n_photographers, bool_or(found AND license = 'cc-by-nc') AS noncommercial FROM jn",
     "license_breakdown": f"WITH {_JN} SELECT license, count(*) AS n, count(DISTINCT observation_id) AS n_observations FROM jn WHERE found GROUP BY 1",

@@ -10,7 +10,7 @@ from loamline.plans.event_series import ORACLES as EVENT_SQL
 from loamline.plans.event_series import _E, _O, GAP
 from loamline.plans.gait import MOTION_SQL
 from loamline.sources.tables import table
-from loamline.streaming.event_streams import stream_alerts, stream_motion, stream_sessions
+from loamline.streaming.event_streams import stream_alerts, stream_motion, stream_rates, stream_sessions
 
 # Class names and feedback states.
 _NAMES = ("poison_ivy", "poison_oak", "poison_sumac", "safe_plants", "unknown_plant")
@@ -154,7 +154,7 @@ def feedback_staging(spark, sf):
     return staging_conflicts(accepted, staged)
 
 
-QUERIES = {f.__name__: f for f in (feedback_triage, triage_report, feedback_cascade, feedback_outcomes, review_queue, feedback_staging, stream_sessions, stream_alerts, stream_motion)}
+QUERIES = {f.__name__: f for f in (feedback_triage, triage_report, feedback_cascade, feedback_outcomes, review_queue, feedback_staging, stream_sessions, stream_alerts, stream_motion, stream_rates)}
 
 _LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 _HARM = ", ".join(f"'{x}'" for x in fb.HARMFUL)
@@ -205,4 +205,5 @@ ORACLES = {
     "stream_sessions": f"WITH {_E}, d AS (SELECT *, CASE WHEN coalesce(t - lag(t) {_O} >= {GAP}, TRUE) THEN 1 ELSE 0 END AS new FROM e), s AS (SELECT *, sum(new) {_O} AS session FROM d) SELECT user_id, count(*) AS n, min(t) AS t0, max(t) AS t1 FROM s GROUP BY user_id, session",
     "stream_alerts": EVENT_SQL["refractory_picks"],
     "stream_motion": MOTION_SQL,
+    "stream_rates": f"WITH {_E} SELECT t // 3600000000 AS slot, count(*) AS n, arg_max(event_id, (t, event_id)) AS latest_id FROM e GROUP BY 1",
 }

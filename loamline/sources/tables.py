@@ -21,3 +21,10 @@ def micros(ts: Column) -> Column:
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` with ``t``, the time in microseconds, instead of ``ts``."""
     return table(spark, sf_dir, "events").withColumn("t", micros(F.col("ts"))).drop("ts")
+
+
+def require_columns(df: DataFrame, needed: list[str]) -> DataFrame:
+    """``df``, if it has all columns of ``needed``; else an error that names the missing ones."""
+    if missing := [c for c in needed if c not in df.columns]:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return df

@@ -101,6 +101,25 @@ def stream_sessions(spark: SparkSession, sf_dir: str, gap: str = "24 hours") ->
     return done.filter(F.col("batch") == last).drop("batch")
 
 
+def stream_rates(spark: SparkSession, sf_dir: str, width: int = 3_600_000_000) -> DataFrame:
+    """Events in each window of ``width`` microseconds, windows not overlapping, and the latest event of each.
+
+    Each batch writes what its rows add to their windows; these parts are summed when they
+    are read, so no window is kept as state and late rows count too.
+    """
+    out = shared(spark, "rates")
+    latest = lambda: F.max(F.struct("t", "event_id")).alias("latest")
+
+    def part(batch: DataFrame, number: int) -> None:
+        g = batch.groupBy(F.floor(F.col("t") / width).alias("slot")).agg(F.count("*").alias("n"), latest())
+        g.select("slot", "n", "latest.*").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    s = event_stream(spark, sf_dir).select("t", "event_id")
+    s.writeStream.foreachBatch(part).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    parts = spark.read.schema("slot long, n long, t long, event_id long").parquet(out)
+    return parts.groupBy("slot").agg(F.sum("n").alias("n"), latest()).select("slot", "n", F.col("latest.event_id").alias("latest_id"))
+
+
 def stream_alerts(spark: SparkSession, sf_dir: str, wait: int = 6 * 3_600_000_000) -> DataFrame:
     """Events that fire: at least ``wait`` microseconds after the user's last one that fired.
 

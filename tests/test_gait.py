@@ -65,3 +65,10 @@ def test_motion_over_batches_equals_the_batch(spark, tmp_path, monkeypatch):
     assert len(got) == events(spark, SF).count()
     assert {(r.event_id, r.user_id) for r in got if r.fired} == {(r.event_id, r.user_id) for r in gait.apex_times(spark, SF).collect()}
     assert 0 < sum(r.still for r in got) < len(got)
+
+
+def test_missing_columns_are_named(spark):
+    from loamline.sources.tables import require_columns
+
+    with pytest.raises(ValueError, match="missing columns: gravity_z, roll"):
+        require_columns(spark.range(1).withColumnRenamed("id", "timestamp_s"), ["timestamp_s", "gravity_z", "roll"])

@@ -31,3 +31,17 @@ def test_alerts_over_batches(spark, tmp_path, monkeypatch):
     for wait in (6 * 3_600_000_000, 10**12):
         got = [tuple(r) for r in event_streams.stream_alerts(spark, str(tmp_path), wait).collect()]
         assert len(got) == len(set(got)) and set(got) == _plain(rows, wait)
+
+
+def test_rates_over_batches(spark, tmp_path, monkeypatch):
+    source = spark.read.parquet(f"{SF}/events.parquet")
+    for part in (source.filter("event_id % 2 = 0"), source.filter("event_id % 2 = 1")):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    whole = DataStreamReader.parquet
+    monkeypatch.setattr(DataStreamReader, "parquet", lambda self, *a, **b: whole(self.option("maxFilesPerTrigger", 1), *a, **b))
+    want = {}
+    for r in events(spark, SF).select("event_id", "t").collect():
+        n, latest = want.get(r.t // 3_600_000_000, (0, (0, 0)))
+        want[r.t // 3_600_000_000] = (n + 1, max(latest, (r.t, r.event_id)))
+    got = event_streams.stream_rates(spark, str(tmp_path)).collect()
+    assert {r.slot: (r.n, r.latest_id) for r in got} == {k: (n, e) for k, (n, (_, e)) in want.items()}
