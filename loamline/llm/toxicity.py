@@ -1,8 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network over overlapping windows of words.
 
 The input of a word is an embedding from a vocabulary and the mean of embeddings of its
-character n-grams. The first dimension of a word's embedding starts as the word's smoothed
-log odds of toxicity in the sample, and the first epochs choose windows by it. Windows of ``WINDOW`` words begin every ``STRIDE`` words until the end
+character n-grams, and the embedding of its first characters, which inflected words share.
+The first dimension of a word's and of a beginning's embedding starts as its smoothed log
+odds of toxicity in the sample, and the first epochs choose windows by the words'. Windows of ``WINDOW`` words begin every ``STRIDE`` words until the end
 of the text; two gated recurrent layers read a window from both sides, attention pools
 their states and a logistic output scores it. A document has the score of its worst
 window.
@@ -10,7 +11,8 @@ window.
 The network is trained in numpy on documents' labels: of a toxic document it learns from
 the worst window, of another from the worst one and one more. Fitting uses a bounded
 sample: at most ``FIT_DOCS`` labelled rows of the given fold by order of a hash of the id;
-the vocabulary has at most ``VOCABULARY`` of its words.
+the vocabulary has at most ``VOCABULARY`` of its words. Of the sample, one document in
+``HELD`` isn't learned from, but chooses the epoch and the bias of the output.
 
 Defined results: a null or empty text is one empty window and has a score like any other;
 rows of null or equal ids are scored one by one; without labelled rows of both kinds the
@@ -21,6 +23,8 @@ empty result. Other columns pass through ``score``, whose columns ``score`` and
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,14 +33,18 @@ from loamline.llm.common import batch_words, crc_fold, documents, fit_in_task, l
 
 FIT_DOCS, VOCABULARY, LEAST_DOCS = 5000, 20_000, 3
 WINDOW, STRIDE = 32, 16
-WORD_DIM, CHAR_DIM, CHAR_BINS, UNITS = 8, 8, 1 << 14, 8
-#: Lengths of character n-grams.
-GRAMS = (3, 5)
-EPOCHS, BATCH, RATE = 10, 128, 0.012
+WORD_DIM, CHAR_DIM, STEM_DIM, CHAR_BINS, UNITS = 8, 8, 4, 1 << 14, 8
+#: Lengths of character n-grams, and of the beginning of a word, in bytes.
+GRAMS, STEM_BYTES = (3, 5), 6
+EPOCHS, BATCH, RATE = 8, 128, 0.012
 #: Power of the inverse shares of the labels that their losses are weighted by.
 BALANCE = 0.5
 #: Share of known words that a step takes for unknown ones, so that it learns from their characters.
-DROPPED = 0.3
+DROPPED = 0.5
+#: One in so many documents chooses the epoch and the bias; cost of a share of false alarms against one of misses.
+HELD, ALARM_COST = 6, 8.0
+#: Average documents that a word's log odds are smoothed by.
+PRIOR = 4.0
 #: Epochs before which the worst windows are found anew.
 RANKED = (2, 4, 7)
 #: Windows that are scored at a time, and bytes of text that are cut into words at a time.
@@ -54,9 +62,10 @@ def _sigmoid(z):
 
 
 def _grams(words: list[bytes]):
-    """(hash bins of the character n-grams of all words, where each word's begin, how many it has)."""
+    """(hash bins of the character n-grams of all words, where each word's begin, how many it has, bin of its beginning)."""
     if not words:
-        return np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0, "i8")
+        return (np.empty(0, "i8"),) * 4
+    stems = np.fromiter((zlib.crc32(w[:STEM_BYTES]) for w in words), "i8", len(words)) % CHAR_BINS
     raw = np.frombuffer(b"".join([b"^" + w + b"$" for w in words]), "u1").astype("u4")
     sizes = np.fromiter(map(len, words), "i8", len(words)) + 2
     owner = np.repeat(np.arange(len(words)), sizes)
@@ -74,7 +83,7 @@ def _grams(words: list[bytes]):
     owners = np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
     counts = np.bincount(owners, minlength=len(words))
-    return np.concatenate(bins)[order], np.cumsum(counts) - counts, counts
+    return np.concatenate(bins)[order], np.cumsum(counts) - counts, counts, stems
 
 
 class Vocabulary:
@@ -89,19 +98,20 @@ class Vocabulary:
 
 def _grams_of(grams, rows):
     """The n-grams of some of the words."""
-    bins, first, counts = grams
+    bins, first, counts, stems = grams
     n = counts[rows]
     ends = np.cumsum(n)
-    return bins[np.repeat(first[rows] - (ends - n), n) + np.arange(n.sum())], ends - n, n
+    return bins[np.repeat(first[rows] - (ends - n), n) + np.arange(n.sum())], ends - n, n, stems[rows]
 
 
 def _inputs(p, known, grams):
     """Input rows of distinct words, with a row of zeros for padding at the end."""
-    out = np.zeros((len(known) + 1, WORD_DIM + CHAR_DIM), p["ew"].dtype)
+    out = np.zeros((len(known) + 1, WORD_DIM + CHAR_DIM + STEM_DIM), p["ew"].dtype)
     if len(known):
-        bins, first, counts = grams
+        bins, first, counts, stems = grams
         out[:-1, :WORD_DIM] = p["ew"][known]
-        out[:-1, WORD_DIM:] = np.add.reduceat(p["ec"][bins], first) / counts[:, None]
+        out[:-1, WORD_DIM + CHAR_DIM :] = p["es"][stems]
+        out[:-1, WORD_DIM : WORD_DIM + CHAR_DIM] = np.add.reduceat(p["ec"][bins], first) / counts[:, None]
     return out
 
 
@@ -173,22 +183,24 @@ def gradients(p, words_in, known, bins, index, mask, y, weight):
     np.add.at(dproj, index.T, np.concatenate([dxf, dxb], 2))
     dw, db, din = words_in.T @ dproj, dproj.sum(0), dproj @ w.T
     g |= {"wf": dw[:, : 3 * UNITS], "wb": dw[:, 3 * UNITS :], "bf": db[: 3 * UNITS], "bb": db[3 * UNITS :]}
-    g["ew"], g["ec"] = np.zeros_like(p["ew"]), np.zeros_like(p["ec"])
+    g["ew"], g["ec"], g["es"] = np.zeros_like(p["ew"]), np.zeros_like(p["ec"]), np.zeros_like(p["es"])
     np.add.at(g["ew"], known, din[:-1, :WORD_DIM])
     if len(bins[0]):
-        np.add.at(g["ec"], bins[0], np.repeat(din[:-1, WORD_DIM:] / bins[2][:, None], bins[2], 0))
+        np.add.at(g["ec"], bins[0], np.repeat(din[:-1, WORD_DIM : WORD_DIM + CHAR_DIM] / bins[2][:, None], bins[2], 0))
+        np.add.at(g["es"], bins[3], din[:-1, WORD_DIM + CHAR_DIM :])
     g["ew"][0] = 0
     return loss, g
 
 
-def initial(n_words: int, odds) -> dict[str, np.ndarray]:
-    """Random parameters; the first dimension of a word is its smoothed log odds in the sample."""
+def initial(n_words: int, odds, stem_odds=0.0) -> dict[str, np.ndarray]:
+    """Random parameters; the first dimension of a word and of a beginning is its smoothed log odds in the sample."""
     rng = np.random.default_rng(21)
     w = lambda *s: rng.normal(0, s[0] ** -0.5, s)
-    d = WORD_DIM + CHAR_DIM
-    p = {"ew": rng.normal(0, 0.05, (n_words + 1, WORD_DIM)), "ec": rng.normal(0, 0.1, (CHAR_BINS, CHAR_DIM)), "wf": w(d, 3 * UNITS), "wb": w(d, 3 * UNITS), "bf": np.zeros(3 * UNITS), "bb": np.zeros(3 * UNITS), "uf": w(UNITS, 3 * UNITS), "ub": w(UNITS, 3 * UNITS), "wa": w(2 * UNITS, UNITS), "ba": np.zeros(UNITS), "va": w(UNITS), "wo": w(2 * UNITS), "bo": np.zeros(1)}
+    d = WORD_DIM + CHAR_DIM + STEM_DIM
+    p = {"ew": rng.normal(0, 0.05, (n_words + 1, WORD_DIM)), "ec": rng.normal(0, 0.1, (CHAR_BINS, CHAR_DIM)), "es": rng.normal(0, 0.05, (CHAR_BINS, STEM_DIM)), "wf": w(d, 3 * UNITS), "wb": w(d, 3 * UNITS), "bf": np.zeros(3 * UNITS), "bb": np.zeros(3 * UNITS), "uf": w(UNITS, 3 * UNITS), "ub": w(UNITS, 3 * UNITS), "wa": w(2 * UNITS, UNITS), "ba": np.zeros(UNITS), "va": w(UNITS), "wo": w(2 * UNITS), "bo": np.zeros(1)}
     p["ew"][0] = 0
     p["ew"][1:, 0] = odds
+    p["es"][:, 0] = stem_odds
     return p
 
 
@@ -209,6 +221,11 @@ def _window_index(codes, bounds, pad: int):
     return np.where(mask, codes[np.minimum(at, len(codes) - 1)] if len(codes) else pad, pad), mask, doc
 
 
+def _odds(docs, toxic, share):
+    """Log odds of toxicity of documents with a word against those of all, as if ``PRIOR`` average documents had it too."""
+    return np.log((toxic + PRIOR * share) / (docs - toxic + PRIOR * (1 - share))) - np.log(share / (1 - share))
+
+
 def fit(texts: list[str | None], y):
     """(parameters, vocabulary) from whole texts and their labels; None without both labels."""
     import pyarrow as pa
@@ -226,16 +243,25 @@ def fit(texts: list[str | None], y):
     chosen = np.flatnonzero(in_doc >= LEAST_DOCS)
     chosen = np.sort(chosen[np.lexsort((chosen, -in_doc[chosen]))][:VOCABULARY])
     share = y.mean()
-    odds = np.log((toxic[chosen] + share) / (in_doc[chosen] - toxic[chosen] + 1 - share)) - np.log(share / (1 - share))
-    vocabulary, p = Vocabulary([same[i] for i in chosen]), initial(len(chosen), odds)
-    every = np.zeros(len(same) + 1)
-    every[chosen] = odds
+    odds = _odds(in_doc[chosen], toxic[chosen], share)
+    vocabulary, every_gram = Vocabulary([same[i] for i in chosen]), _grams(list(same))
+    held = np.unique(present // max(len(same), 1) * CHAR_BINS + every_gram[3][present % max(len(same), 1)]) if len(present) else present
+    of_stem, toxic_stem = np.bincount(held % CHAR_BINS, minlength=CHAR_BINS), np.bincount(held % CHAR_BINS, y[held // CHAR_BINS], CHAR_BINS)
+    stem_odds = _odds(of_stem, toxic_stem, share)
+    p = initial(len(chosen), odds, stem_odds)
+    every = np.append(stem_odds[every_gram[3]], 0.0)
+    every[chosen] = np.maximum(every[chosen], odds)
     index, mask, of = _window_index(codes, bounds, len(same))
-    known, every_gram = vocabulary.of(list(same)), _grams(list(same))
+    known = vocabulary.of(list(same))
     first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
     rng, weight = np.random.default_rng(22), np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) ** BALANCE
     badness = every[index].max(1)
-    m1, m2, step = {k: 0.0 for k in p}, {k: 0.0 for k in p}, 0
+    m1, m2, step, best = {k: 0.0 for k in p}, {k: 0.0 for k in p}, 0, None
+    # Each HELD-th document of either label isn't learned from, but chooses the epoch and the bias.
+    held = np.zeros(len(y), bool)
+    for label in (0, 1):
+        held[np.flatnonzero(y == label)[HELD - 1 :: HELD]] = True
+    checked = np.flatnonzero(held[of])
     for epoch in range(EPOCHS):
         if epoch in RANKED:
             q = _single(p)
@@ -244,7 +270,7 @@ def fit(texts: list[str | None], y):
         order = np.lexsort((-badness, of))
         worst = order[first]
         other = first + (rng.random(len(first)) * np.diff([*first, len(of)])).astype("i8")
-        picked = np.concatenate([worst, other[y == 0]])
+        picked = np.concatenate([worst[~held], other[(y == 0) & ~held]])
         picked = picked[rng.permutation(len(picked))]
         for a in range(0, len(picked), BATCH):
             own = picked[a : a + BATCH]
@@ -256,7 +282,31 @@ def fit(texts: list[str | None], y):
             for k, gk in g.items():
                 m1[k], m2[k] = 0.9 * m1[k] + 0.1 * gk, 0.999 * m2[k] + 0.001 * gk * gk
                 p[k] = p[k] - RATE * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
-    return _single(p), vocabulary
+        if len(checked):
+            q = _single(p)
+            projected = _projected(q, known, every_gram)
+            top = np.full(len(y), -np.inf)
+            for a in range(0, len(checked), _BLOCK):
+                own = checked[a : a + _BLOCK]
+                np.maximum.at(top, of[own], _logits(q, projected, index[own], mask[own]))
+            value, bound = _bound(top[held], y[held])
+            if epoch >= RANKED[0] and (best is None or value > best[0]):
+                best = (value, bound, q)
+    if best is None:
+        return _single(p), vocabulary
+    return best[2] | {"bo": best[2]["bo"] - np.float32(best[1])}, vocabulary
+
+
+def _bound(logits, y):
+    """(value, bound): the bound between logits that finds most toxic documents, less ``ALARM_COST`` times the share of false alarms."""
+    order = np.argsort(logits, kind="stable")
+    s, t = logits[order], y[order]
+    missed, alarms = np.concatenate([[0], np.cumsum(t)]), (t == 0).sum() - np.concatenate([[0], np.cumsum(t == 0)])
+    value = 1 - missed / max(1, t.sum()) - ALARM_COST * alarms / max(1, (t == 0).sum())
+    k = int(np.argmax(value))
+    if k == 0 or k == len(s):
+        return float(value[k]), float(s[0] - 1 if k == 0 else s[-1] + 1)
+    return float(value[k]), float((s[k - 1] + s[k]) / 2)
 
 
 def _single(p):

@@ -30,6 +30,8 @@ def test_gradients_equal_differences():
             at = tuple(rng.integers(0, n) for n in p[k].shape)
             if k == "ew":
                 at = (1 + at[0] % 2, at[1])
+            if k == "es":
+                at = (int(tx._grams(words)[3][rng.integers(0, 4)]), at[1])
             if k == "ec":
                 at = (int(tx._grams(words)[0][rng.integers(0, 6)]), at[1])
             hi, lo = ({n: v.copy() for n, v in p.items()} for _ in range(2))
@@ -43,9 +45,9 @@ def test_grams_of_some_words_equal_those_of_all():
     every = tx._grams(words)
     assert every[2].tolist() == [4, 1, 1, 14, 4]
     for rows_ in ([0, 3], [1], [4, 2, 0]):
-        bins, first, counts = tx._grams_of(every, np.array(rows_))
+        bins, first, counts, stems = tx._grams_of(every, np.array(rows_))
         want = tx._grams([words[k] for k in rows_])
-        assert bins.tolist() == want[0].tolist() and first.tolist() == want[1].tolist() and counts.tolist() == want[2].tolist()
+        assert bins.tolist() == want[0].tolist() and first.tolist() == want[1].tolist() and counts.tolist() == want[2].tolist() and stems.tolist() == want[3].tolist()
 
 
 def test_every_word_is_in_a_window_and_windows_overlap():
@@ -82,3 +84,10 @@ def test_cases(spark):
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "predicted"]
     assert got.filter("score BETWEEN 0 AND 1").count() == len(docs)
     assert tx.score(frame(spark, []), None).count() == 0
+
+
+def test_bound_separates_held_documents():
+    assert tx._bound(np.array([0.1, 3.0, 0.2, 2.0]), np.array([0, 1, 0, 1])) == (1.0, 1.1)
+    value, bound = tx._bound(np.array([0.1, 3.0, 0.2, 0.15]), np.array([0, 1, 0, 1]))
+    assert value == 0.5 and bound == 1.6
+    assert tx._bound(np.array([1.0, 2.0]), np.array([1, 1]))[0] == 1.0
