@@ -16,9 +16,11 @@ from loamline.sources import manifests, sinks
 from loamline.sources.tables import events, table
 from loamline.streaming.event_streams import shared
 
-# Class titles, and the bands of blur and confidence.
+# Class names, the bands of blur and confidence, and what is shown for an alert, an uncertain row and any other.
 CLASSES = ("poison_ivy", "poison_oak", "poison_sumac", "safe_plants")
 BLUR_BANDS, COLOUR_BANDS = (100, 500), (0.50, 0.70)
+HEADLINES = ("Likely ", "Possible ", "")
+SUBTITLES = ("% match · always verify before touching", "Low confidence · verify visually before touching", "Verify visually before touching")
 
 
 def manifest_files(spark, sf):
@@ -147,8 +149,9 @@ def display_rows(spark, sf):
     name = F.initcap(F.replace(F.get(F.array(*map(F.lit, CLASSES)), "pred"), F.lit("_"), F.lit(" ")))
     sev = F.when(d.emitted(F.col("probs")), d.severity(F.col("conf"), d.alert_threshold(F.col("pred")))).otherwise("ignore")
     percent = F.floor(F.col("conf") * 100).cast("string")
-    head = F.when(sev == "alert", F.concat(F.lit("Likely "), name)).when(sev == "uncertain", F.concat(F.lit("Possible "), name)).otherwise(name)
-    line = F.when(sev == "alert", F.concat(F.lit("~"), percent, F.lit("% match · always verify before touching"))).when(sev == "uncertain", "Low confidence · verify visually before touching").otherwise("Verify visually before touching")
+    by_severity = lambda alert, uncertain, other: F.when(sev == "alert", alert).when(sev == "uncertain", uncertain).otherwise(other)
+    head = F.concat(by_severity(*map(F.lit, HEADLINES)), name)
+    line = by_severity(F.concat(F.lit("~"), percent, F.lit(SUBTITLES[0])), *map(F.lit, SUBTITLES[1:]))
     colour = F.when(F.col("conf") < COLOUR_BANDS[0], "yellow").when(F.col("conf") < COLOUR_BANDS[1], "orange").otherwise("red")
     clock = F.format_string("%02d:%02d", F.floor(F.col("vec_id") / 60), F.col("vec_id") % 60)
     quoted = F.when(head.contains(",") | head.contains('"'), F.concat(F.lit('"'), F.replace(head, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(head)
@@ -267,7 +270,7 @@ ORACLES = {
     "session_listing": "WITH e AS (SELECT 's' || (epoch_us(ts) // 86400000000) || '_' || user_id AS session, strlen(props) AS n, event_id FROM events), b AS (SELECT *, 0 AS synced FROM e WHERE event_id % 3 <> 0 UNION ALL SELECT *, 1 FROM e WHERE event_id % 4 <> 0) SELECT session, sum(n)::BIGINT AS n_bytes, count(DISTINCT synced) AS n_places, max(synced) = 1 AS is_synced FROM b GROUP BY 1",
     "tta_average": f"WITH {SQL}, {_PERT}, x AS (SELECT vec_id, (i - 1)::INTEGER AS cls, probs[i] AS p FROM pt CROSS JOIN (SELECT unnest(range(1, 5)) AS i) WHERE name IN ('clean', 'flat') AND probs[i] >= 0.05) SELECT vec_id, cls, round(avg(p), 6) AS confidence, count(*) AS n_passes FROM x GROUP BY 1, 2",
     "url_quota": "WITH p AS (SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages), q AS (SELECT host, floor(120 * count(*) / (SELECT count(*) FROM pages)) + 10 AS quota FROM p GROUP BY 1), f AS (SELECT host, url, min(page_id) AS page_id FROM p GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS i FROM f) SELECT host, page_id, url FROM r JOIN q USING (host) WHERE i <= quota QUALIFY row_number() OVER (PARTITION BY url ORDER BY host, page_id) = 1 ORDER BY host, page_id LIMIT 120",
-    "display_rows": f"WITH {SQL}, s AS (SELECT vec_id, conf, {_TITLES}[pred + 1] AS t, {_SEV} AS sev FROM pr), h AS (SELECT *, CASE sev WHEN 'alert' THEN 'Likely ' || t WHEN 'uncertain' THEN 'Possible ' || t ELSE t END AS headline FROM s) SELECT vec_id, headline, CASE sev WHEN 'alert' THEN '~' || floor(conf * 100)::BIGINT || '% match · always verify before touching' WHEN 'uncertain' THEN 'Low confidence · verify visually before touching' ELSE 'Verify visually before touching' END AS subtitle, CASE WHEN conf < 0.5 THEN 'yellow' WHEN conf < 0.7 THEN 'orange' ELSE 'red' END AS colour, CASE WHEN vec_id // 60 < 10 THEN '0' ELSE '' END || (vec_id // 60) || ':' || lpad((vec_id % 60)::VARCHAR, 2, '0') AS clock, headline AS csv FROM h",
+    "display_rows": f"WITH {SQL}, s AS (SELECT vec_id, conf, {_TITLES}[pred + 1] AS t, {_SEV} AS sev FROM pr), h AS (SELECT *, CASE sev WHEN 'alert' THEN '{HEADLINES[0]}' WHEN 'uncertain' THEN '{HEADLINES[1]}' ELSE '' END || t AS headline FROM s) SELECT vec_id, headline, CASE sev WHEN 'alert' THEN '~' || floor(conf * 100)::BIGINT || '{SUBTITLES[0]}' WHEN 'uncertain' THEN '{SUBTITLES[1]}' ELSE '{SUBTITLES[2]}' END AS subtitle, CASE WHEN conf < 0.5 THEN 'yellow' WHEN conf < 0.7 THEN 'orange' ELSE 'red' END AS colour, CASE WHEN vec_id // 60 < 10 THEN '0' ELSE '' END || (vec_id // 60) || ':' || lpad((vec_id % 60)::VARCHAR, 2, '0') AS clock, headline AS csv FROM h",
     "size_stats": "WITH s AS (SELECT lang, list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) AS w, len(string_split(text, chr(10))) AS h FROM documents WHERE text <> '') SELECT lang, min(w)::INTEGER AS least, round(quantile_cont(w, 0.1), 6) AS p10, round(quantile_cont(w, 0.5), 6) AS median, round(quantile_cont(w, 0.9), 6) AS p90, max(w)::INTEGER AS most, count(DISTINCT (w, h)) AS n_shapes, round(avg((w / h > 2 OR w / h < 0.5)::INTEGER), 6) AS extreme FROM s GROUP BY 1",
     "common_sizes": "SELECT n_chars, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, n_chars LIMIT 8",
     "folder_sizes": "SELECT source, count(*) AS n, sum(coalesce(strlen(text), 0))::BIGINT AS n_bytes, count(*) FILTER (coalesce(strlen(text), 0) < 1000) AS n_tiny FROM documents GROUP BY 1",
