@@ -10,7 +10,7 @@ from loamline.functions import sources as so
 from loamline.operators import dedup, ranks
 from loamline.operators.lineage import written
 from loamline.plans.triage import feedback_entries
-from loamline.sources.tables import events, table
+from loamline.sources.tables import table
 
 #: Bits by which both hashes of near copies may differ; classes of sides that a shape must lie between.
 NEAR_BITS = 5
@@ -247,7 +247,7 @@ def map_filters(spark, sf):
 
 def exported_names(spark, sf):
     """Names of exported photos of errors and purchases, and how many events share one: those of one second collide."""
-    e = events(spark, sf).filter("event_type IN ('error', 'purchase')").select("event_id", so.feedback_name(F.to_timestamp_ntz(F.date_format(F.timestamp_micros("t"), "yyyy-MM-dd HH:mm:ss")), F.col("event_type"), F.lit("confirmed")).alias("name"))
+    e = table(spark, sf, "events").filter("event_type IN ('error', 'purchase')").select("event_id", so.feedback_name(F.col("ts"), F.col("event_type"), F.lit("confirmed")).alias("name"))
     w = Window.partitionBy("name")
     return e.select("event_id", "name", F.count("*").over(w).alias("n_named"))
 
