@@ -310,15 +310,18 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     sets = packed_sets(_ends(pairs), df, width)
     links = materialize(confirm(pairs, sets, percent), "links")
     discard(sets, pairs)
+    done = [led, classes, links]
 
     settled = connected_components(links)
     placed = led.join(settled, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("bucket")
     balls = materialize(placed.join(open_, "bucket").select(F.col("lead").alias("u"), F.col("node").alias("v"), "component").distinct(), "balls")
+    done += [settled, balls]
     if balls.limit(1).count():
         sets = packed_sets(_ends(balls), df, width)
         pairs = likely(apart_pairs(differences(balls, sets), percent))
-        links = links.union(materialize(confirm(pairs, sets, percent), "links"))
+        done.append(materialize(confirm(pairs, sets, percent), "links"))
+        links = links.union(done[-1])
         discard(sets, pairs)
 
     # Rows of one id may have several sets: these are one component too.
@@ -328,6 +331,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     if repeated.limit(1).count():
         links = links.union(member.join(repeated, "doc_id").join(several.select("doc_id", "u"), "doc_id").filter("rep <> u").select("u", F.col("rep").alias("v")))
     settled = connected_components(links)
+    discard(*done)
     ids = signed.select("doc_id", "n_shingles").join(several.select("doc_id", F.col("u").alias("node")), "doc_id", "left")
     return ids.join(settled, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
 
