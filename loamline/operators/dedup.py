@@ -26,6 +26,10 @@ def hash_classes(df: DataFrame, key: str, h: str) -> DataFrame:
     return df.groupBy(F.col(h).alias("h")).agg(F.min(key).alias("rep"), F.count("*").alias("n"))
 
 
+#: From so many hashes on, keys take more blocks, and there are more of them.
+MANY_HASHES = 1_000_000
+
+
 def _blocks(k: int, spare: int, bits: int = 64):
     """Widths and places of ``k + spare`` blocks of a hash, and all choices of ``spare`` of them."""
     n = k + spare
@@ -33,6 +37,11 @@ def _blocks(k: int, spare: int, bits: int = 64):
     return [(sum(widths[:i]), w) for i, w in enumerate(widths)], list(combinations(range(n), spare))
 
 
+def _spare(df: DataFrame) -> int:
+    """Blocks that make a key: one for few hashes, three where keys of one block would be shared by too many; both find the same."""
+    return 1 if df.count() < MANY_HASHES else 3
+
+
 def _listed(df: DataFrame, h: str, k: int, spare: int) -> DataFrame:
     """``df`` with a row for every choice of blocks of ``h``, and a key of what stands in them."""
     blocks, choices = _blocks(k, spare)
@@ -48,15 +57,16 @@ def _first_choice(differ: Column, choice: Column, k: int, spare: int) -> Column:
     return F.get(F.lit([list(c) for c in choices]), choice) == F.slice(same, 1, spare)
 
 
-def hamming_matches(left: DataFrame, right: DataFrame, hashes: tuple[str, str], k: int, spare: int = 3) -> DataFrame:
+def hamming_matches(left: DataFrame, right: DataFrame, hashes: tuple[str, str], k: int, spare: int | None = None) -> DataFrame:
     """Rows of ``left`` and ``right`` side by side, as structs l and r, where both of two hashes are at most ``k`` bits apart.
 
     A hash is cut into ``k + spare`` blocks. Two hashes at most k bits apart agree in
     ``spare`` blocks or more, so each row is listed under every choice of that many blocks
-    of the first hash, a long key that few hashes share. A match is made once, under the
+    of the first hash; see ``_spare``. A match is made once, under the
     first blocks in which they agree.
     """
     one, two = hashes
+    spare = spare or _spare(right)
     x = _listed(left, one, k, spare).select(F.struct(*left.columns).alias("l"), "choice", "key")
     y = _listed(right, one, k, spare).select(F.struct(*right.columns).alias("r"), F.col("choice").alias("choice_r"), F.col("key").alias("key_r"))
     near = lambda h: F.bit_count(F.col(f"l.{h}").bitwiseXOR(F.col(f"r.{h}"))) <= k
@@ -64,9 +74,9 @@ def hamming_matches(left: DataFrame, right: DataFrame, hashes: tuple[str, str],
     return j.filter(near(one) & near(two) & _first_choice(F.col(f"l.{one}").bitwiseXOR(F.col(f"r.{one}")), F.col("choice"), k, spare)).select("l", "r")
 
 
-def hamming_pairs(classes: DataFrame, k: int, spare: int = 3) -> DataFrame:
+def hamming_pairs(classes: DataFrame, k: int, spare: int | None = None) -> DataFrame:
     """(a, b, distance) of all class representatives a < b at most ``k`` bits apart; see ``hamming_matches``."""
-    own = classes.select("rep", "h")
+    own, spare = classes.select("rep", "h"), spare or _spare(classes)
     x = _listed(own, "h", k, spare).alias("x")
     y = _listed(own, "h", k, spare).alias("y")
     differ = F.col("x.h").bitwiseXOR(F.col("y.h"))

@@ -43,8 +43,9 @@ def test_matches_equal_all_pairs(spark):
     df = spark.createDataFrame(rows, "id long, p long, q long")
     bits = lambda x, y: bin(x ^ y).count("1")
     want = {(i, j) for i, a, b in rows for j, c, d in rows if bits(a, c) <= 5 and bits(b, d) <= 5}
-    got = [(r.l.id, r.r.id) for r in dedup.hamming_matches(df, df, ("p", "q"), 5).collect()]
-    assert len(got) == len(set(got)) and set(got) == want and len(want) > len(rows)
+    for spare in (1, 3, None):
+        got = [(r.l.id, r.r.id) for r in dedup.hamming_matches(df, df, ("p", "q"), 5, spare).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > len(rows)
 
 
 @pytest.mark.parametrize("name", ["leak_report", "crossclass_near", "shape_gate", "attribution_summary"])
