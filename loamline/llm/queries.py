@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loamline.llm import bpe, fingerprints, kneser_ney, license_scan, minhash_dedup, packing, quality_classifier, quality_rules, token_files, toxicity
+from loamline.llm import bpe, centroids, fingerprints, kneser_ney, license_scan, minhash_dedup, packing, quality_classifier, quality_rules, token_files, toxicity
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_packing": packing.op9_packing,
     "op10_fingerprints": fingerprints.op10_fingerprints,
+    "op11_centroid_clusters": centroids.op11_centroid_clusters,
 }
 
 ORACLES = {
     "op2_license_scan": license_scan.ORACLE,
     "op3_quality_rules": quality_rules.ORACLE,
     "op5_minhash_dedup": minhash_dedup.ORACLE,
+    "op11_centroid_clusters": centroids.ORACLE,
 }
