@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loamline.llm import bpe, centroids, fingerprints, kneser_ney, license_scan, minhash_dedup, packing, quality_classifier, quality_rules, token_files, toxicity
+from loamline.llm import bpe, centroids, fingerprints, html_text, kneser_ney, license_scan, minhash_dedup, packing, quality_classifier, quality_rules, token_files, toxicity
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_fingerprints": fingerprints.op10_fingerprints,
     "op11_centroid_clusters": centroids.op11_centroid_clusters,
+    "op12_html_text": html_text.op12_html_text,
 }
 
 ORACLES = {
