@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loamline.llm import bpe, centroids, fingerprints, html_text, kneser_ney, license_scan, minhash_dedup, packing, quality_classifier, quality_rules, token_files, toxicity
+from loamline.llm import bpe, centroids, fingerprints, html_text, importance_sample, kneser_ney, license_scan, minhash_dedup, packing, quality_classifier, quality_rules, token_files, toxicity
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_fingerprints": fingerprints.op10_fingerprints,
     "op11_centroid_clusters": centroids.op11_centroid_clusters,
     "op12_html_text": html_text.op12_html_text,
+    "op13_importance_sample": importance_sample.op13_importance_sample,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op3_quality_rules": quality_rules.ORACLE,
     "op5_minhash_dedup": minhash_dedup.ORACLE,
     "op11_centroid_clusters": centroids.ORACLE,
+    "op13_importance_sample": importance_sample.ORACLE,
 }
