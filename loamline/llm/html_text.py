@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from loamline.llm.common import local_path, replace_file, shared_dir
+from loamline.llm.common import discard, local_path, materialize, replace_file, shared_dir
 
 #: A template stands on so many different pages of a host, and on this share of them.
 LEAST_PAGES, LEAST_SHARE = 4, 0.01
@@ -382,8 +382,9 @@ class Counts:
 
 def extract(pages: DataFrame) -> DataFrame:
     """``pages(url, html, ...)`` with ``text``, ``n_chars`` and ``n_template``, the number of subtrees deleted as templates."""
-    often = subtree_counts(pages).filter(F.col("n") >= LEAST_PAGES)
+    often = materialize(subtree_counts(pages).filter(F.col("n") >= LEAST_PAGES), "subtrees")
     paths = write_counts(often, shared_dir(pages.sparkSession, "templates"))
+    discard(often)
     own = [f for f in pages.schema.fields if f.name not in ("text", "n_chars", "n_template")]
     names = [f.name for f in own]
     out = StructType([*own, StructField("text", StringType()), StructField("n_chars", LongType()), StructField("n_template", LongType())])
