@@ -117,11 +117,11 @@ def rare_index(idf: dict[str, float]) -> list[dict[str, list[tuple[int, int]]]]:
 
 
 def _looked_up(words: Column, entries: dict[str, list[tuple[int, int]]]) -> Column:
-    """Starts of key phrases from the postings of all words under ``entries``: 256 * start + template."""
+    """Starts of key phrases from the postings of all words under ``entries``: 256 * start + template, which needs a long."""
     at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.coalesce(_licence_word(F.get(words, i)).isin(list(entries)), F.lit(False)))
-    postings = F.create_map(*(x for w, ps in entries.items() for x in (F.lit(w), F.array(*(F.lit(n - 256 * place) for n, place in ps)))))
-    starts = F.transform(at, lambda i: F.transform(F.element_at(postings, _licence_word(F.get(words, i))), lambda p: i * 256 + p))
-    return F.when(F.size(words) > 0, F.flatten(starts)).otherwise(F.array().cast("array<int>"))
+    postings = F.create_map(*(x for w, ps in entries.items() for x in (F.lit(w), F.array(*(F.lit(n - 256 * place).cast("long") for n, place in ps)))))
+    starts = F.transform(at, lambda i: F.transform(F.element_at(postings, _licence_word(F.get(words, i))), lambda p: i.cast("long") * 256 + p))
+    return F.when(F.size(words) > 0, F.flatten(starts)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _aligned(words: Column, start: Column, template: Column, idf: dict[str, float]) -> Column:
@@ -149,7 +149,7 @@ def scan(df: DataFrame, text_col: str = "text", idf: dict[str, float] | None = N
     found = df.select(*own, F.struct(file_words(F.col(text_col)).alias("words")).alias("licence"))
     found = found.select(*own, F.struct(words.alias("words"), _looked_up(words, first).alias("starts")).alias("licence"))
     found = found.select(*own, F.struct(words.alias("words"), F.when(F.size(starts) > 0, F.array_intersect(starts, _looked_up(words, second))).alias("starts")).alias("licence"))
-    aligned = F.transform(starts, lambda s: _aligned(words, F.shiftright(s, 8), s.bitwiseAND(F.lit(255)), idf))
+    aligned = F.transform(starts, lambda s: _aligned(words, F.shiftright(s, 8).cast("int"), s.bitwiseAND(F.lit(255)).cast("int"), idf))
     accepted = F.filter(aligned, lambda s: s["whole"] & (s["base"] | (F.round(s["share"], 9) >= LEAST_SHARE)))
     found = found.select(*own, F.struct(F.size(words).cast("long").alias("n_words"), accepted.alias("spans")).alias("licence"))
     shown = F.transform(spans, lambda s: F.struct(*(s[c].alias(c) for c in ("label", "key_words", "base", "start", "share"))))
