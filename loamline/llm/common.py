@@ -81,18 +81,20 @@ def replace_file(path: str, parts: Iterator[bytes] | list[bytes]) -> None:
     os.replace(part, path)
 
 
-def range_bounds(df: DataFrame, key: str, text: str, range_bytes: int, most: int = 200_000) -> list[int]:
-    """Bounds that cut the rows into ranges of ``key`` with about ``range_bytes`` of ``text`` each.
+def range_bounds(df: DataFrame, keys: list[str], text: str, range_bytes: int, most: int = 200_000, drawn: int = 16) -> list[tuple]:
+    """Bounds, as tuples, that cut the rows into ranges of ``keys`` with about ``range_bytes`` of ``text`` each.
 
-    They are quantiles of the key, found in one aggregate; ``most`` limits what the driver
-    holds, beyond it ranges grow instead.
+    They are quantiles of a sample of ``drawn`` rows for each range, which is all that comes
+    to the driver. There are ``most`` ranges at most, so that at 100 TB a range holds 0.5 GB.
     """
-    n_bytes = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    n = int(min(most, max(1, -(-n_bytes // range_bytes))))
+    total = df.agg(F.sum(F.octet_length(text)).alias("n_bytes"), F.count("*").alias("n")).first()
+    n = int(min(most, max(1, -(-(total.n_bytes or 0) // range_bytes))))
     if n == 1:
         return []
-    ranks = [k / n for k in range(1, n)]
-    return sorted(set(df.agg(F.percentile_approx(key, ranks, max(10_000, 4 * n))).first()[0] or []))
+    share = drawn * n / total.n
+    sample = df.select(*keys) if share >= 1 else df.select(*keys).sample(share, 20240607)
+    found = sorted(map(tuple, sample.collect()))
+    return sorted({found[len(found) * k // n] for k in range(1, n)}) if found else []
 
 
 def range_of(key: Column, bounds: list[int]) -> Column:
@@ -147,7 +149,8 @@ def fit_in_task(sample: DataFrame, fit):
         rows.sort(key=lambda r: [(x is not None, x) for x in r.values()])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], names=["model"])
 
-    found = sample.coalesce(1).mapInArrow(run, "model binary").collect()
+    # Not coalesced, which would make whatever gives the rows one task too.
+    found = sample.repartition(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(found[0].model) if found else fit([])
 
 
@@ -165,13 +168,16 @@ def text_slices(texts, most_bytes: int):
         yield lo, texts.slice(lo, hi - lo)
 
 
-def labelled_sample(docs: DataFrame, known: DataFrame, label: str, most: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, known: DataFrame, label: str, most: int, most_bytes: int = 1 << 20) -> DataFrame:
     """At most ``most`` rows (doc_id, text, label) of documents with a label, by order of a hash of the id.
 
+    Texts of more than ``most_bytes`` aren't learned from, so the task that fits holds a
+    bounded number of bytes too; they are scored like all others.
+
     The ids are chosen among the labels first; as there are at most ``most`` of them, they
     are broadcast to the scan of the texts. A repeated id counts once more for each row.
     """
     order = lambda: [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = known.filter(F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).distinct().orderBy(*order(), "label").limit(most)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
-    return rows.orderBy(*order(), "text", "label").limit(most)
+    return rows.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes).orderBy(*order(), "text", "label").limit(most)

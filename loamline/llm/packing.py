@@ -1,7 +1,8 @@
 """Packing: first-fit decreasing with a tournament tree, in randomised groups of documents.
 
 Each document becomes ids and an end id, cut into pieces of at most ``seq_len`` ids.
-Groups are drawn by a hash of the row, about ``group_docs`` documents each, so that a
+Groups are drawn by a hash of the row and its place in the input, which a retry doesn't
+change, so repeated rows spread over groups; they have about ``group_docs`` documents each, so that a
 group's piece lengths fit one task whatever the size of the corpus; the ids themselves
 need not travel. In a group, pieces go longest first into the first open sequence with
 room, found by walking down a tree that keeps the larger room of every pair of bins.
@@ -27,7 +28,7 @@ def encode_pieces(df: DataFrame, tokenizer: str, end_id: int, seq_len: int = SEQ
     """One row for each piece of each document; ``with_ids`` adds the ids as binary ``ids``."""
     groups = max(1, -(-df.count() // group_docs))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64("doc_id", text), F.lit(groups)).alias("pack_group"))
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64("doc_id", text, F.monotonically_increasing_id()), F.lit(groups)).alias("pack_group"))
 
     def cut(batches):
         import zlib

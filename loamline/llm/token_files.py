@@ -8,12 +8,13 @@ place drawn by the same hash); it lies beside the shards under the
 name of its hash, which every shard repeats, so that a reader refuses another one. One
 document is read with its index row and one frame alone.
 
-Shards hold consecutive ranges of ``doc_id``; their bounds are quantiles of the ids, each
+Shards hold consecutive ranges of ``doc_id``, rows of one id by a hash of their place in the
+input; their bounds are quantiles of a sample, each
 task streams its sorted frames to one shard after another, and a file gets its name only
 when it is complete, so a retried task changes nothing.
 
 Defined results: a null or empty text is the end id alone; null ids come first; rows with
-equal ids are all written, in an order fixed by their frames; an empty table gives no
+equal ids are all written, next to each other, in any order; an empty table gives no
 shards and no rows; other columns are not looked at. Ids take two bytes, or four where the
 tokenizer or the end id needs them; a width that is too small raises an error.
 """
@@ -38,6 +39,8 @@ SHARD_TEXT_BYTES = 32 << 20
 SLICE_BYTES = 4 << 20
 _HEAD = struct.Struct("<8s32sBQQ")
 _MAGIC = b"LLTOKEN1"
+#: Null ids come first.
+_NULL_ID = -(2**63)
 
 
 def _train(samples: list[bytes]) -> bytes:
@@ -164,18 +167,25 @@ def write_token_files(df: DataFrame, tokenizer: str, end_id: int, uri: str, widt
     digest = hashlib.sha256(raw).hexdigest()
     replace_file(f"{folder}/{digest}.dict", [raw])
 
-    bounds = range_bounds(docs, "doc_id", "text", shard_text_bytes)
+    # A row's place tells rows of one id apart, so that a frequent or null id spreads over shards too.
+    keyed = docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("key"), F.xxhash64(F.monotonically_increasing_id()).alias("place"), "doc_id", "text")
+    bounds = range_bounds(keyed, ["key", "place"], "text", shard_text_bytes)
     n_shards = len(bounds) + 1
 
+    cuts = df.sparkSession.sparkContext.broadcast(bounds)
+
     def frames(batches):
+        from bisect import bisect_right
+
         import numpy as np
         import pyarrow as pa
         import zstandard
 
         shared = _dictionary(folder, digest)
         zstd = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared) if shared else zstandard.ZstdCompressor(level=LEVEL)
-        for doc_ids, ids in ((b.column(0).slice(at, len(part)), serialized(part)) for b in batches for at, part in text_slices(b.column(1), SLICE_BYTES)):
-            shard = np.searchsorted(np.asarray(bounds, "i8"), [d if d is not None else -(2**63) for d in doc_ids.to_pylist()], side="right")
+        for rows, ids in ((b.slice(at, len(part)), serialized(part)) for b in batches for at, part in text_slices(b.column(3), SLICE_BYTES)):
+            doc_ids = rows.column(2)
+            shard = np.array([bisect_right(cuts.value, key) for key in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)])
             yield pa.RecordBatch.from_arrays([pa.array(shard.astype("i4")), doc_ids, pa.array([len(x) // width for x in ids], pa.int64()), pa.array([zstd.compress(x) for x in ids], pa.binary())], names=["shard", "doc_id", "n_tokens", "frame"])
 
     def write(batches):
@@ -196,7 +206,7 @@ def write_token_files(df: DataFrame, tokenizer: str, end_id: int, uri: str, widt
         if writer:
             yield done()
 
-    dealt = docs.mapInArrow(frames, "shard int, doc_id long, n_tokens long, frame binary").repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "n_tokens", "frame")
+    dealt = keyed.mapInArrow(frames, "shard int, doc_id long, n_tokens long, frame binary").repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "n_tokens", "frame")
     return sorted(tuple(r) for r in dealt.mapInArrow(write, "shard long, n_docs long, n_tokens long, n_bytes long").collect())
 
 
