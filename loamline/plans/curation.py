@@ -6,8 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loamline.functions.arrays import bind
-from loamline.operators import dedup, metrics, ranks
+from loamline.operators import dedup, metrics, ranks, simhash
 from loamline.operators.lineage import written
+from loamline.operators.selection import percentiles
+from loamline.operators.shingles import shingle_hashes
+from loamline.operators.shingles import words as _words
 from loamline.sources import manifests
 from loamline.sources.tables import table
 
@@ -19,10 +22,6 @@ BROADCAST_WINDOWS = 4_000_000
 NEAR_WORDS, NEAR_PERCENT = 4, 80
 
 
-def _words(text):
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
-
-
 def _windows(text):
     """Distinct windows of ``LEAK_WORDS`` words."""
     words = _words(text)
@@ -85,31 +84,21 @@ def embedding_hashes(spark, sf):
 
 
 def _classes(docs):
-    """Documents with words by a 64-bit hash: which of 64 word buckets hold more words than the mean.
-
-    Words are counted by document and bucket before the shuffle, so 64 rows a document travel at most.
-    """
-    words = docs.select("doc_id", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w")).filter("w <> ''")
-    bucket = F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 2), 16, 10).cast("int") % 64
-    counts = words.groupBy("doc_id", bucket.alias("k")).agg(F.count("*").alias("n"))
-    over = F.filter("xs", lambda x: x["n"] * 64 > F.aggregate("xs", F.lit(0).cast("long"), lambda a, y: a + y["n"]))
-    bits = F.aggregate(over, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), 63 - x["k"])))
-    hashed = counts.groupBy("doc_id").agg(F.collect_list(F.struct("k", "n")).alias("xs")).select("doc_id", bits.alias("h"))
-    return hashed
+    """(doc_id, h) of documents with words: the first of their two SimHashes."""
+    return simhash.simhashes(docs).select("doc_id", F.col("level").alias("h"))
 
 
 def hash_class_members(spark, sf):
     """Each document with words, with the one that represents all of its hash."""
-    h = _classes(table(spark, sf, "documents"))
+    h = written(_classes(table(spark, sf, "documents")))
     return h.join(dedup.hash_classes(h, "doc_id", "h"), "h").select("doc_id", "h", "rep", "n")
 
 
 def near_pairs_hash(spark, sf):
-    """Pairs of representatives at most ``NEAR_BITS`` bits apart; ``hash_class_members`` has their members.
-
-    The hash only says where to look: short texts that have no word in common come as close.
-    """
-    return dedup.hamming_pairs(dedup.hash_classes(_classes(table(spark, sf, "documents")), "doc_id", "h"), NEAR_BITS)
+    """Pairs of representatives at most ``NEAR_BITS`` bits apart with enough shingles in common; ``hash_class_members`` has their members."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    classes = written(dedup.hash_classes(_classes(docs), "doc_id", "h"))
+    return simhash.confirmed(written(dedup.hamming_pairs(classes, NEAR_BITS)), docs)
 
 
 def near_pair_summary(spark, sf):
@@ -119,16 +108,6 @@ def near_pair_summary(spark, sf):
     return p.groupBy("distance", (F.col("sa") == F.col("sb")).alias("same_source")).agg(F.count("*").alias("n"))
 
 
-def _shingles(text):
-    """Distinct hashes of ``NEAR_WORDS`` words in a row; a shorter text is one shingle."""
-
-    def of(w):
-        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - NEAR_WORDS + 1, F.lit(1)))
-        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(w, i, NEAR_WORDS), " "))))
-
-    return bind(_words(text), of)
-
-
 def keep_first_copies(docs, order):
     """(doc_id, id, dup_of) of each of ``docs(doc_id, text)``, walked through by ``id``, the value of ``order``.
 
@@ -140,7 +119,7 @@ def keep_first_copies(docs, order):
     listed = written(docs.select("doc_id", order.alias("id"), digest.alias("digest")))
     first = written(listed.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep")))
     reps = docs.select(order.alias("id"), "text").join(first.select(F.col("rep").alias("id")), "id", "left_semi")
-    links = dedup.set_pairs(reps.select("id", _shingles(F.col("text")).alias("s")), NEAR_PERCENT)
+    links = dedup.set_pairs(reps.select("id", shingle_hashes(F.col("text"), NEAR_WORDS).alias("s")), NEAR_PERCENT)
     kept = dedup.keep_first(first.select(F.col("rep").alias("id")), links.select("a", "b"))
     decided = first.join(kept.withColumnRenamed("id", "rep"), "rep")
     joined = listed.join(decided, "digest", "left")
@@ -166,8 +145,11 @@ def source_prefix_counts(spark, sf):
 
 
 def length_stats(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.groupBy("source").agg(F.count("*").alias("n"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.round(F.avg("n_chars"), 6).alias("mean"), F.round(F.expr("percentile(n_chars, 0.5)"), 6).alias("median"), F.round(F.expr("percentile(n_chars, 0.95)"), 6).alias("p95"))
+    d = table(spark, sf, "documents").select("source", "n_chars")
+    places = percentiles(d, ["source"], "n_chars", {"median": 0.5, "p95": 0.95}).withColumnsRenamed({"source": "s"})
+    g = d.groupBy("source").agg(F.count("*").alias("n"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.round(F.avg("n_chars"), 6).alias("mean"))
+    j = g.join(places, F.col("source").eqNullSafe(F.col("s")), "left")
+    return j.select(*g.columns, F.round("median", 6).alias("median"), F.round("p95", 6).alias("p95"))
 
 
 def imbalance(spark, sf):
@@ -303,12 +285,9 @@ _QA = f"""{_LEAK}, fi AS (SELECT text, min(doc_id) AS first_id FROM documents GR
 qa AS (SELECT d.doc_id, d.source, CASE WHEN d.text IS NULL OR d.text = '' THEN 'corrupt' WHEN length(d.text) < {LEAST_CHARS} THEN 'too_short' WHEN d.doc_id > first_id THEN 'exact_duplicate' WHEN origin IS NOT NULL THEN 'leak' ELSE 'kept' END AS reason, first_id, origin
 FROM documents d LEFT JOIN fi USING (text) LEFT JOIN lk USING (doc_id))"""
 _HASH = "m AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e, list_sum(embedding::DOUBLE[]) / 64 AS mean FROM embeddings), hs AS (SELECT id, label, bit_xor(CASE WHEN e[i] > mean THEN CASE WHEN i = 1 THEN (-9223372036854775808)::BIGINT ELSE (1::BIGINT << (64 - i)::INTEGER) END ELSE 0::BIGINT END) AS h FROM (SELECT id, label, e, mean, unnest(range(1, 65)) AS i FROM m) GROUP BY id, label)"
-_DOCS = """dw AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS w FROM documents),
-bk AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 2))::INTEGER % 64 AS k, count(*) AS n FROM dw GROUP BY 1, 2),
-tt AS (SELECT doc_id, sum(n) AS total FROM bk GROUP BY 1),
-hs AS (SELECT doc_id, bit_or(CASE WHEN n * 64 > total THEN CASE WHEN k = 0 THEN (-9223372036854775808)::BIGINT ELSE (1::BIGINT << (63 - k)::INTEGER) END ELSE 0::BIGINT END) AS h FROM bk JOIN tt USING (doc_id) GROUP BY 1),
+_DOCS = f"""{simhash.SQL}, hs AS (SELECT doc_id, bit_or(CASE WHEN bp THEN CASE WHEN k = 0 THEN (-9223372036854775808)::BIGINT ELSE (1::BIGINT << (63 - k)::INTEGER) END ELSE 0::BIGINT END) AS h FROM sb GROUP BY 1),
 cl AS (SELECT h, min(doc_id) AS rep, count(*) AS n FROM hs GROUP BY 1)"""
-_PAIRS = f"np AS (SELECT x.rep AS a, y.rep AS b, bit_count(xor(x.h, y.h))::BIGINT AS distance FROM cl x JOIN cl y ON x.rep < y.rep AND bit_count(xor(x.h, y.h)) <= {NEAR_BITS})"
+_PAIRS = f"hp AS (SELECT x.rep AS u, y.rep AS v, bit_count(xor(x.h, y.h))::BIGINT AS distance FROM cl x JOIN cl y ON x.rep < y.rep AND bit_count(xor(x.h, y.h)) <= {NEAR_BITS}), {simhash.confirm_sql('hp')}, np AS (SELECT u AS a, v AS b, distance FROM hp JOIN cf USING (u, v))"
 _GRP = "sz AS (SELECT source, md5(text) AS grp, count(*) AS n FROM documents GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY grp) - n AS before, row_number() OVER (PARTITION BY source ORDER BY grp) AS rn, sum(n) OVER (PARTITION BY source) AS total, count(*) OVER (PARTITION BY source) AS k FROM sz), gs AS (SELECT source, grp, n, before < floor(total * 0.2::DOUBLE) AND rn < k AS val FROM r)"
 
 _SHARDS = """dn AS (SELECT source, lang, 'doc_' || doc_id || '.txt' AS name FROM documents), cg AS (SELECT source, lang, count(*) AS n FROM dn GROUP BY 1, 2),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loamline.functions import decisions as d
 from loamline.operators import metrics as m
+from loamline.operators.selection import percentiles
 from loamline.plans.predictions import SQL, predictions
 from loamline.sources.tables import table
 
@@ -119,7 +120,7 @@ def model_deltas(spark, sf):
 def ood_harm(spark, sf, retention: float = 0.95):
     """What the app does with rows of unknown classes, by leading class, and how many of those the energy bound stops."""
     p = predictions(spark, sf).select("label", "pred", F.round(d.energy(F.col("z")), 9).alias("energy"), d.app_severity(F.col("probs")).alias("sev"))
-    bound = p.filter("label < 7").agg(F.expr(f"percentile(energy, {retention})").alias("bound"))
+    bound = percentiles(p.filter("label < 7"), [], "energy", {"bound": retention})
     g = p.filter("label >= 7").crossJoin(F.broadcast(bound)).groupBy("pred")
     surfaced = F.col("sev").isin("alert", "uncertain")
     return g.agg(F.count("*").alias("n"), m.count_if(F.col("sev") == "alert").alias("n_alert"), m.count_if(surfaced).alias("n_surfaced"), m.count_if(surfaced & (F.col("energy") > F.col("bound"))).alias("n_blocked"))
@@ -135,14 +136,15 @@ def ood_gate(spark, sf, retention: float = 0.95):
     """Energy bound that keeps a share of the known classes, and what it rejects of the others."""
     p = predictions(spark, sf).select("label", F.round(d.energy(F.col("z")), 9).alias("energy"))
     inside = F.col("label") < 7
-    bound = p.filter(inside).agg(F.expr(f"percentile(energy, {retention})").alias("bound"))
+    bound = percentiles(p.filter(inside), [], "energy", {"bound": retention})
     g = p.crossJoin(F.broadcast(bound))
     return g.agg(F.round(F.max("bound"), 6).alias("bound"), m.count_if(~inside & (F.col("energy") > F.col("bound"))).alias("n_rejected"), m.count_if(~inside).alias("n_outside"), m.count_if(inside & (F.col("energy") > F.col("bound"))).alias("n_lost"), m.count_if(inside).alias("n_inside"))
 
 
 def energy_summary(spark, sf):
     p = predictions(spark, sf).select((F.col("label") < 7).alias("inside"), F.round(d.energy(F.col("z")), 9).alias("e"))
-    return p.groupBy("inside").agg(F.round(F.avg("e"), 6).alias("mean"), F.round(F.expr("percentile(e, 0.05)"), 6).alias("p5"), F.round(F.expr("percentile(e, 0.95)"), 6).alias("p95"))
+    ends = percentiles(p, ["inside"], "e", {"p5": 0.05, "p95": 0.95})
+    return p.groupBy("inside").agg(F.round(F.avg("e"), 6).alias("mean")).join(ends, "inside").select("inside", "mean", F.round("p5", 6).alias("p5"), F.round("p95", 6).alias("p95"))
 
 
 def model_agreement(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loamline.functions import feedback as fb
 from loamline.functions import sources as so
-from loamline.operators import dedup, ranks
+from loamline.operators import dedup, ranks, simhash
 from loamline.operators.lineage import written
 from loamline.plans.triage import feedback_entries
 from loamline.sources.tables import table
@@ -19,40 +19,35 @@ FETCH_BITS = 6
 LEAST_SIDE, ASPECTS, LEAST_SPREAD, MOST_AREA = 2, (0.4, 200.0), 0.02, 50_000
 
 
-def two_hashes(docs):
-    """(doc_id, level, step) of documents with words: which of 64 word buckets hold more than the mean, and more than the one before.
-
-    Words are counted by document and bucket before the shuffle.
-    """
-    words = docs.select("doc_id", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w")).filter("w <> ''")
-    bucket = F.conv(F.substring(F.md5(F.col("w").cast("binary")), 3, 2), 16, 10).cast("int") % 64
-    counts = words.groupBy("doc_id", bucket.alias("k")).agg(F.count("*").alias("n"))
-    g = counts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("m"), F.sum("n").alias("total"))
-    of = lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))
-    bits = lambda test: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda a, i: F.shiftleft(a, 1).bitwiseOR(F.when(test(i), 1).otherwise(0).cast("long")))
-    return g.select("doc_id", bits(lambda i: of(i) * 64 > F.col("total")).alias("level"), bits(lambda i: of(i) > of((i + 63) % 64)).alias("step"))
-
-
-def leak_matches(staged, reference):
+def leak_matches(staged, reference, docs):
     """(doc_id, kind, origin) of staged rows with a copy in the reference; an exact one beats a near one, then the reference's order counts.
 
-    ``staged(doc_id, digest, level, step)``, ``reference(ord, origin, digest, level, step)``;
-    ``ord`` puts held-out rows first. Reference rows of equal digest or hashes stand for one another.
+    ``staged(doc_id, digest, level, step, rep)``, ``reference(ord, origin, digest, level, step, rep)``;
+    ``ord`` puts held-out rows first. Rows of equal digest or hashes stand for one another;
+    hashes that are near are confirmed on the shingles of the documents that represent them.
     """
     by_digest = reference.filter("digest IS NOT NULL").groupBy("digest").agg(F.min_by("origin", "ord").alias("exact"))
     exact = staged.join(by_digest, "digest").select("doc_id", "exact")
-    hashes = staged.filter("level IS NOT NULL").select("level", "step").distinct()
-    ref = reference.filter("level IS NOT NULL").groupBy("level", "step").agg(F.min("ord").alias("ord"), F.min_by("origin", "ord").alias("origin"))
-    near = dedup.hamming_matches(hashes, ref, ("level", "step"), NEAR_BITS).groupBy("l.level", "l.step").agg(F.min_by("r.origin", "r.ord").alias("near"))
-    near = staged.select("doc_id", "level", "step").join(near, ["level", "step"]).select("doc_id", "near")
+    hashes = staged.filter("level IS NOT NULL").select("level", "step", "rep").distinct()
+    ref = reference.filter("level IS NOT NULL").groupBy("level", "step", "rep").agg(F.min("ord").alias("ord"), F.min_by("origin", "ord").alias("origin"))
+    found = written(dedup.hamming_matches(hashes, ref, ("level", "step"), NEAR_BITS).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"), "r.ord", "r.origin"))
+    near = simhash.confirmed(found, docs).groupBy(F.col("a").alias("rep")).agg(F.min_by("origin", "ord").alias("near"))
+    near = staged.select("doc_id", "rep").join(near, "rep").select("doc_id", "near")
     both = exact.join(near, "doc_id", "full")
     return both.select("doc_id", F.when(F.col("exact").isNotNull(), "exact").otherwise("near").alias("kind"), F.coalesce("exact", "near").alias("origin"))
 
 
 def _hashed(spark, sf):
+    """(doc_id, source, digest, level, step, rep); ``rep`` is the smallest id of equal hashes, null without words."""
     docs = table(spark, sf, "documents").select("doc_id", "source", "text")
     digest = F.when(F.col("text") != "", F.sha2("text", 256)).alias("digest")
-    return written(docs.select("doc_id", "source", digest).join(two_hashes(docs), "doc_id", "left"))
+    hashes = written(simhash.simhashes(docs))
+    reps = hashes.groupBy("level", "step").agg(F.min("doc_id").alias("rep"))
+    return written(docs.select("doc_id", "source", digest).join(hashes.join(reps, ["level", "step"]), "doc_id", "left"))
+
+
+def _documents(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "text")
 
 
 def leak_report(spark, sf):
@@ -61,16 +56,16 @@ def leak_report(spark, sf):
     part = F.col("doc_id") % 3
     held = (part == 1).cast("int")
     origin = F.concat(F.when(part == 1, "held_out:").otherwise("pool:"), F.col("doc_id").cast("string"))
-    reference = d.filter(part != 0).select(F.struct((1 - held).alias("pool"), "doc_id").alias("ord"), origin.alias("origin"), "digest", "level", "step")
-    return leak_matches(d.filter(part == 0), reference)
+    reference = d.filter(part != 0).select(F.struct((1 - held).alias("pool"), "doc_id").alias("ord"), origin.alias("origin"), "digest", "level", "step", "rep")
+    return leak_matches(d.filter(part == 0), reference, _documents(spark, sf))
 
 
 def audit_leakage(spark, sf):
     """Test documents (a tenth) with a copy in training: how many of each kind, and how many of them are from the same source."""
     d = _hashed(spark, sf)
     test = F.col("doc_id") % 10 == 0
-    reference = d.filter(~test).select(F.col("doc_id").alias("ord"), F.col("doc_id").alias("origin"), "digest", "level", "step")
-    found = leak_matches(d.filter(test), reference)
+    reference = d.filter(~test).select(F.col("doc_id").alias("ord"), F.col("doc_id").alias("origin"), "digest", "level", "step", "rep")
+    found = leak_matches(d.filter(test), reference, _documents(spark, sf))
     own = d.select("doc_id", "source")
     j = found.join(own, "doc_id").join(own.select(F.col("doc_id").alias("origin"), F.col("source").alias("other")), "origin")
     return j.groupBy("kind").agg(F.count("*").alias("n"), F.sum((F.col("source") == F.col("other")).cast("long")).alias("n_same_source"))
@@ -82,31 +77,34 @@ def crossclass_near(spark, sf):
     Documents of equal hashes stand together: each group keeps its last id and the last one
     of another source, which is enough for every member's last partner.
     """
-    d = _hashed(spark, sf).filter("level IS NOT NULL").select("doc_id", "source", "level", "step")
-    by_source = d.groupBy("level", "step", "source").agg(F.max("doc_id").alias("last"))
-    top = by_source.groupBy("level", "step").agg(F.max(F.struct("last", "source")).alias("a"))
-    second = by_source.join(top, ["level", "step"]).filter("source <> a.source").groupBy("level", "step").agg(F.max("last").alias("b"))
-    groups = written(top.join(second, ["level", "step"], "left"))
-    near = dedup.hamming_matches(groups.select("level", "step"), groups, ("level", "step"), NEAR_BITS)
-    near = near.select("l.level", "l.step", F.col("r.a").alias("a"), F.col("r.b").alias("b"))
-    partner = F.when(F.col("a.source") != F.col("source"), F.col("a.last")).otherwise(F.col("b"))
+    d = _hashed(spark, sf).filter("level IS NOT NULL").select("doc_id", "source", "level", "step", "rep")
+    by_source = d.groupBy("level", "step", "rep", "source").agg(F.max("doc_id").alias("last"))
+    top = by_source.groupBy("level", "step", "rep").agg(F.max(F.struct("last", "source")).alias("a"))
+    second = by_source.join(top.select("rep", "a"), "rep").filter("source <> a.source").groupBy("rep").agg(F.max("last").alias("b"))
+    groups = written(top.join(second, "rep", "left").select("level", "step", "rep", "a", "b"))
+    found = dedup.hamming_matches(groups.select("level", "step", "rep"), groups, ("level", "step"), NEAR_BITS)
+    found = written(found.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"), F.col("r.a").alias("top"), F.col("r.b").alias("second")))
+    near = simhash.confirmed(found, _documents(spark, sf)).select(F.col("a").alias("rep"), "top", "second")
+    partner = F.when(F.col("top.source") != F.col("source"), F.col("top.last")).otherwise(F.col("second"))
     # A group meets itself too, so partners of equal hashes are among them; sources of a group are few against its rows.
-    found = by_source.select("level", "step", "source").join(near, ["level", "step"]).groupBy("level", "step", "source").agg(F.max(partner).alias("partner"))
-    return d.join(found.filter("partner IS NOT NULL"), ["level", "step", "source"]).select("doc_id", "source", "partner")
+    found = by_source.select("rep", "source").join(near, "rep").groupBy("rep", "source").agg(F.max(partner).alias("partner"))
+    return d.join(found.filter("partner IS NOT NULL"), ["rep", "source"]).select("doc_id", "source", "partner")
 
 
 def fetch_dedup(spark, sf):
-    """Fetched documents (two thirds) that are kept: none near a held-out one, none near an earlier kept one; by one hash.
+    """Fetched documents (two thirds) that are kept: none near a held-out one, none near an earlier kept one; by one hash and the shingles.
 
     Rows of equal hash stand for one another, so copies aren't paired.
     """
-    h = _hashed(spark, sf).filter("level IS NOT NULL").select("doc_id", "level")
-    held = h.filter("doc_id % 3 = 1").select("level").distinct().withColumn("same", F.col("level"))
-    fetched = h.filter("doc_id % 3 <> 1")
-    classes = written(dedup.hash_classes(fetched, "doc_id", "level"))
-    near = dedup.hamming_matches(classes.select("rep", F.col("h").alias("level"), F.col("h").alias("same")), held, ("level", "same"), FETCH_BITS).select("l.rep").distinct()
-    free = written(classes.join(near, "rep", "left_anti"))
-    kept = dedup.keep_first(free.select(F.col("rep").alias("id")), dedup.hamming_pairs(free, NEAR_BITS).select("a", "b"))
+    docs = _documents(spark, sf)
+    h = written(simhash.simhashes(docs).select("doc_id", "level"))
+    held = dedup.hash_classes(h.filter("doc_id % 3 = 1"), "doc_id", "level").select(F.col("h").alias("level"), F.col("h").alias("same"), "rep")
+    classes = written(dedup.hash_classes(h.filter("doc_id % 3 <> 1"), "doc_id", "level"))
+    found = dedup.hamming_matches(classes.select("rep", F.col("h").alias("level"), F.col("h").alias("same")), held, ("level", "same"), FETCH_BITS)
+    near = simhash.confirmed(written(found.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))), docs)
+    free = written(classes.join(near.select(F.col("a").alias("rep")).distinct(), "rep", "left_anti"))
+    links = simhash.confirmed(written(dedup.hamming_pairs(free, NEAR_BITS).select("a", "b")), docs)
+    kept = dedup.keep_first(free.select(F.col("rep").alias("id")), links)
     return kept.filter("dup_of IS NULL").select(F.col("id").alias("doc_id"))
 
 
@@ -254,13 +252,12 @@ def exported_names(spark, sf):
 
 QUERIES = {f.__name__: f for f in (leak_report, audit_leakage, crossclass_near, fetch_dedup, survivors_provenance, attribution_summary, license_breakdown, photographer_credits, group_provenance, worklist_feedback, pending_uploads, batch_merge, media_credits, committed_names, shape_gate, map_filters, exported_names)}
 
-_TWO = """dw AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS w FROM documents),
-bk AS (SELECT doc_id, ('0x' || substr(md5(w), 3, 2))::INTEGER % 64 AS k, count(*) AS n FROM dw GROUP BY 1, 2),
-fu AS (SELECT d.doc_id, r.i AS k, coalesce(bk.n, 0) AS n FROM (SELECT DISTINCT doc_id FROM bk) d CROSS JOIN (SELECT unnest(range(64)) AS i) r LEFT JOIN bk ON bk.doc_id = d.doc_id AND bk.k = r.i),
-pv AS (SELECT doc_id, k, n, sum(n) OVER (PARTITION BY doc_id) AS total, coalesce(lag(n) OVER (PARTITION BY doc_id ORDER BY k), last_value(n) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS before FROM fu),
-hb AS (SELECT doc_id, string_agg((n * 64 > total)::INTEGER::VARCHAR, '' ORDER BY k)::BIT AS level, string_agg((n > before)::INTEGER::VARCHAR, '' ORDER BY k)::BIT AS step FROM pv GROUP BY 1),
-hd AS (SELECT doc_id, source, CASE WHEN text <> '' THEN sha256(text) END AS digest, level, step FROM documents LEFT JOIN hb USING (doc_id))"""
+_TWO = f"{simhash.SQL}, hd AS (SELECT doc_id, source, CASE WHEN text <> '' THEN sha256(text) END AS digest, level, step, min(doc_id) FILTER (level IS NOT NULL) OVER (PARTITION BY level, step) AS rep FROM documents LEFT JOIN hb USING (doc_id))"
 _CLOSE = f"bit_count(xor(a.level, b.level)) <= {NEAR_BITS} AND bit_count(xor(a.step, b.step)) <= {NEAR_BITS}"
+#: cf(u, v): representatives that are near, both ways round.
+_TWO = f"""{_TWO}, rp AS (SELECT DISTINCT rep, level, step FROM hd WHERE level IS NOT NULL), cp AS (SELECT a.rep AS u, b.rep AS v FROM rp a JOIN rp b ON {_CLOSE}), {simhash.confirm_sql("cp")}"""
+_CONFIRM_HELD = simhash.confirm_sql("ch", "nh")
+_CONFIRM_FREE = simhash.confirm_sql("cl", "nl")
 _MF = """mf AS (SELECT doc_id AS ord, doc_id % 2 AS file_no, nullif(doc_id // 4, 0) AS observation_id, 'img_' || doc_id || '.jpg' AS name, nullif(['cc0', 'cc-by', 'cc-by-nc', 'cc-by', ''][doc_id % 5 + 1], '') AS license,
   CASE WHEN doc_id % 3 = 0 THEN source END AS photographer_name, CASE WHEN doc_id % 3 = 1 THEN 'login_' || lang END AS photographer_login, CASE WHEN doc_id % 7 <> 2 THEN 'by ' || source END AS attribution FROM documents WHERE doc_id % 11 <> 4)"""
 _JN = f"""{_MF}, fp AS (SELECT * FROM mf WHERE observation_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY observation_id ORDER BY file_no, ord) = 1),
@@ -276,10 +273,10 @@ def _entries_sql() -> str:
 _MARKS = "['http://creativecommons.org/licenses/by/4.0/legalcode', '', 'http://creativecommons.org/licenses/by-nc/4.0/', 'CC0_1_0', 'https://creativecommons.org/publicdomain/zero/1.0/']"
 _LIC = "CASE WHEN lower({x}) LIKE '%creativecommons.org/publicdomain/zero/1.0%' OR lower({x}) LIKE '%cc0_1_0%' THEN 'CC0_1_0' WHEN lower({x}) LIKE '%creativecommons.org/licenses/by/4.0%' OR lower({x}) LIKE '%cc_by_4_0%' THEN 'CC_BY_4_0' END"
 ORACLES = {
-    "leak_report": f"WITH {_TWO}, s AS (SELECT * FROM hd WHERE doc_id % 3 = 0), r AS (SELECT *, row_number() OVER (ORDER BY doc_id % 3 = 2, doc_id) AS ord, CASE WHEN doc_id % 3 = 1 THEN 'held_out:' ELSE 'pool:' END || doc_id AS origin FROM hd WHERE doc_id % 3 <> 0), e AS (SELECT s.doc_id, arg_min(origin, ord) AS o FROM s JOIN r USING (digest) GROUP BY 1), n AS (SELECT a.doc_id, arg_min(b.origin, b.ord) AS o FROM s a JOIN r b ON {_CLOSE} GROUP BY 1) SELECT coalesce(e.doc_id, n.doc_id) AS doc_id, CASE WHEN e.o IS NOT NULL THEN 'exact' ELSE 'near' END AS kind, coalesce(e.o, n.o) AS origin FROM e FULL JOIN n ON e.doc_id = n.doc_id",
-    "audit_leakage": f"WITH {_TWO}, e AS (SELECT t.doc_id, min(r.doc_id) AS o FROM hd t JOIN hd r USING (digest) WHERE t.doc_id % 10 = 0 AND r.doc_id % 10 <> 0 GROUP BY 1), n AS (SELECT a.doc_id, min(b.doc_id) AS o FROM hd a JOIN hd b ON {_CLOSE} WHERE a.doc_id % 10 = 0 AND b.doc_id % 10 <> 0 AND a.doc_id NOT IN (SELECT doc_id FROM e) GROUP BY 1), f AS (SELECT 'exact' AS kind, * FROM e UNION ALL SELECT 'near', * FROM n) SELECT kind, count(*) AS n, sum((x.source = y.source)::INTEGER)::BIGINT AS n_same_source FROM f JOIN hd x ON x.doc_id = f.doc_id JOIN hd y ON y.doc_id = f.o GROUP BY 1",
-    "crossclass_near": f"WITH {_TWO} SELECT a.doc_id, a.source, max(b.doc_id) AS partner FROM hd a JOIN hd b ON a.source <> b.source AND {_CLOSE} GROUP BY 1, 2",
-    "fetch_dedup": f"WITH RECURSIVE {_TWO}, c AS (SELECT a.doc_id, a.level FROM hd a WHERE a.level IS NOT NULL AND a.doc_id % 3 <> 1 AND NOT EXISTS (SELECT 1 FROM hd b WHERE b.doc_id % 3 = 1 AND b.level IS NOT NULL AND bit_count(xor(a.level, b.level)) <= {FETCH_BITS})), l AS (SELECT b.doc_id AS v, list(a.doc_id) AS us, row_number() OVER (ORDER BY b.doc_id) AS i FROM c a JOIN c b ON a.doc_id < b.doc_id AND bit_count(xor(a.level, b.level)) <= {NEAR_BITS} GROUP BY 1), wk(i, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT l.i, CASE WHEN len(list_filter(us, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, v) ELSE gone END FROM wk JOIN l ON l.i = wk.i + 1) SELECT doc_id FROM c WHERE NOT list_contains((SELECT arg_max(gone, i) FROM wk), doc_id)",
+    "leak_report": f"WITH {_TWO}, s AS (SELECT * FROM hd WHERE doc_id % 3 = 0), r AS (SELECT *, row_number() OVER (ORDER BY doc_id % 3 = 2, doc_id) AS ord, CASE WHEN doc_id % 3 = 1 THEN 'held_out:' ELSE 'pool:' END || doc_id AS origin FROM hd WHERE doc_id % 3 <> 0), e AS (SELECT s.doc_id, arg_min(origin, ord) AS o FROM s JOIN r USING (digest) GROUP BY 1), n AS (SELECT a.doc_id, arg_min(b.origin, b.ord) AS o FROM s a JOIN cf ON cf.u = a.rep JOIN r b ON b.rep = cf.v GROUP BY 1) SELECT coalesce(e.doc_id, n.doc_id) AS doc_id, CASE WHEN e.o IS NOT NULL THEN 'exact' ELSE 'near' END AS kind, coalesce(e.o, n.o) AS origin FROM e FULL JOIN n ON e.doc_id = n.doc_id",
+    "audit_leakage": f"WITH {_TWO}, e AS (SELECT t.doc_id, min(r.doc_id) AS o FROM hd t JOIN hd r USING (digest) WHERE t.doc_id % 10 = 0 AND r.doc_id % 10 <> 0 GROUP BY 1), n AS (SELECT a.doc_id, min(b.doc_id) AS o FROM hd a JOIN cf ON cf.u = a.rep JOIN hd b ON b.rep = cf.v WHERE a.doc_id % 10 = 0 AND b.doc_id % 10 <> 0 AND a.doc_id NOT IN (SELECT doc_id FROM e) GROUP BY 1), f AS (SELECT 'exact' AS kind, * FROM e UNION ALL SELECT 'near', * FROM n) SELECT kind, count(*) AS n, sum((x.source = y.source)::INTEGER)::BIGINT AS n_same_source FROM f JOIN hd x ON x.doc_id = f.doc_id JOIN hd y ON y.doc_id = f.o GROUP BY 1",
+    "crossclass_near": f"WITH {_TWO} SELECT a.doc_id, a.source, max(b.doc_id) AS partner FROM hd a JOIN cf ON cf.u = a.rep JOIN hd b ON b.rep = cf.v AND a.source <> b.source GROUP BY 1, 2",
+    "fetch_dedup": f"WITH RECURSIVE {simhash.SQL}, fc AS (SELECT doc_id % 3 = 1 AS held, level, min(doc_id) AS rep FROM hb GROUP BY 1, 2), ch AS (SELECT a.rep AS u, b.rep AS v FROM fc a JOIN fc b ON NOT a.held AND b.held AND bit_count(xor(a.level, b.level)) <= {FETCH_BITS}), {_CONFIRM_HELD}, c AS (SELECT rep AS doc_id, level FROM fc WHERE NOT held AND rep NOT IN (SELECT u FROM nh)), cl AS (SELECT a.doc_id AS u, b.doc_id AS v FROM c a JOIN c b ON a.doc_id < b.doc_id AND bit_count(xor(a.level, b.level)) <= {NEAR_BITS}), {_CONFIRM_FREE}, l AS (SELECT v, list(u) AS us, row_number() OVER (ORDER BY v) AS i FROM nl GROUP BY 1), wk(i, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT l.i, CASE WHEN len(list_filter(us, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, v) ELSE gone END FROM wk JOIN l ON l.i = wk.i + 1) SELECT doc_id FROM c WHERE NOT list_contains((SELECT arg_max(gone, i) FROM wk), doc_id)",
     "survivors_provenance": f"WITH {_MF} SELECT doc_id, 'img_' || doc_id || '.jpg' AS name, mf.license, mf.observation_id FROM documents LEFT JOIN mf ON mf.name = 'img_' || doc_id || '.jpg' WHERE n_chars >= 64",
     "attribution_summary": f"WITH {_JN} SELECT count(*) AS n_pool, count(*) FILTER (NOT found) AS n_unprovenanced, count(DISTINCT observation_id) FILTER (found) AS n_observations, count(DISTINCT photographer) FILTER (found) AS n_photographers, bool_or(found AND license = 'cc-by-nc') AS noncommercial FROM jn",
     "license_breakdown": f"WITH {_JN} SELECT license, count(*) AS n, count(DISTINCT observation_id) AS n_observations FROM jn WHERE found GROUP BY 1",

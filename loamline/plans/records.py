@@ -9,6 +9,8 @@ from loamline.functions import decisions as d
 from loamline.functions import feedback as fb
 from loamline.operators import metrics as m
 from loamline.operators import ranks
+from loamline.operators.lineage import written
+from loamline.operators.selection import percentiles
 from loamline.plans.evaluation import CLS, PERTURBATIONS, _perturbed
 from loamline.plans.predictions import SQL, predictions
 from loamline.plans.triage import feedback_entries
@@ -163,8 +165,11 @@ def size_stats(spark, sf):
     lines = F.split("text", "\\n")
     s = table(spark, sf, "documents").filter("text <> ''").select("lang", F.array_max(F.transform(lines, F.length)).alias("w"), F.size(lines).alias("h"))
     aspect = F.col("w") / F.col("h")
-    pct = lambda q, name: F.round(F.expr(f"percentile(w, {q})"), 6).alias(name)
-    return s.groupBy("lang").agg(F.min("w").alias("least"), pct(0.1, "p10"), pct(0.5, "median"), pct(0.9, "p90"), F.max("w").alias("most"), F.countDistinct("w", "h").alias("n_shapes"), F.round(F.avg(((aspect > 2) | (aspect < 0.5)).cast("int")), 6).alias("extreme"))
+    s = written(s)
+    places = percentiles(s, ["lang"], "w", {"p10": 0.1, "median": 0.5, "p90": 0.9}).withColumnsRenamed({"lang": "l"})
+    g = s.groupBy("lang").agg(F.min("w").alias("least"), F.max("w").alias("most"), F.countDistinct("w", "h").alias("n_shapes"), F.round(F.avg(((aspect > 2) | (aspect < 0.5)).cast("int")), 6).alias("extreme"))
+    j = g.join(places, F.col("lang").eqNullSafe(F.col("l")))
+    return j.select(*g.columns, *(F.round(c, 6).alias(c) for c in ("p10", "median", "p90")))
 
 
 def common_sizes(spark, sf):
