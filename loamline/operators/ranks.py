@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def in_ranges(df: DataFrame, order: Column, ranges: int, out: str = "_part") -> DataFrame:
@@ -15,18 +16,21 @@ def in_ranges(df: DataFrame, order: Column, ranges: int, out: str = "_part") ->
 def running(df: DataFrame, key: str, order: Column, tie: list[str], amount: Column, ranges: int = 64) -> DataFrame:
     """``df`` with ``before`` and ``total``: the sum of ``amount`` in earlier rows of the key, and in all of its rows.
 
-    Rows come by ``order``, a number that isn't null, then ``tie``. Each range of each key
+    A struct of amounts gives structs of sums. Rows come by ``order``, a number that isn't null, then ``tie``. Each range of each key
     adds up on its own; what lies before it comes from the sums of key and range, a
     pre-aggregated table of at most ``ranges`` rows a key.
     """
     ranged = in_ranges(df.withColumn("_amount", amount), order, ranges)
+    kind = ranged.schema["_amount"].dataType
+    names = kind.names if isinstance(kind, StructType) else []
+    each = lambda body: F.struct(*(body(lambda c, n=n: F.col(f"{c}.{n}")).alias(n) for n in names)) if names else body(F.col)
     own = Window.partitionBy(key, "_part").orderBy(order, *tie)
-    sums = ranged.groupBy(key, "_part").agg(F.sum("_amount").alias("_sum"))
+    sums = ranged.groupBy(key, "_part").agg(each(lambda of: F.sum(of("_amount"))).alias("_sum"))
     of_key = Window.partitionBy(key)
-    sums = sums.withColumns({"_earlier": F.sum("_sum").over(of_key.orderBy("_part")) - F.col("_sum"), "total": F.sum("_sum").over(of_key)})
-    inner = ranged.withColumn("_inner", F.sum("_amount").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_amount"))
+    sums = sums.withColumns({"_earlier": each(lambda of: F.sum(of("_sum")).over(of_key.orderBy("_part")) - of("_sum")), "total": each(lambda of: F.sum(of("_sum")).over(of_key))})
+    inner = ranged.withColumn("_inner", each(lambda of: F.sum(of("_amount")).over(own.rowsBetween(Window.unboundedPreceding, 0)) - of("_amount")))
     joined = inner.join(sums.select(F.col(key).alias("_key"), F.col("_part").alias("_p"), "_earlier", "total"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_p")))
-    return joined.withColumn("before", F.col("_earlier") + F.col("_inner")).drop("_amount", "_part", "_inner", "_earlier", "_key", "_p")
+    return joined.withColumn("before", each(lambda of: of("_earlier") + of("_inner"))).drop("_amount", "_part", "_inner", "_earlier", "_key", "_p")
 
 
 def numbered(df: DataFrame, key: str, order: str, ranges: int = 64) -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loamline.operators import series
+from loamline.operators import ranks, series
+from loamline.operators.lineage import written
+from loamline.operators.segments import lagged
+from loamline.operators.selection import percentiles
 from loamline.sources.tables import events
 
 ALPHA, WAIT, FLOOR, WIDTH = 0.35, 6 * 3_600_000_000, 20.0, 7
@@ -50,14 +53,20 @@ def refractory_picks(spark, sf):
 
 
 def rolling_rms(spark, sf):
-    return series.rolling_rms(_base(spark, sf), "user_id", ["t", "event_id"], "value", WIDTH).select("event_id", "user_id", F.round("rms", 6).alias("rms"))
+    """Root of the mean square of seven events around each; beyond a user's events zeros count."""
+    return series.framed_rms(_base(spark, sf), "user_id", "t", ["event_id"], "value", F.lit(WIDTH)).select("event_id", "user_id", F.round("rms", 6).alias("rms"))
+
+
+def gaps(rows):
+    """``rows`` with ``gap``, the time since the user's row before; null for the first."""
+    return lagged(rows, "user_id", ["t", "event_id"], "t", ["_before"]).withColumn("gap", F.col("t") - F.col("_before")).drop("_before")
 
 
 def period_summary(spark, sf):
     """Gaps between a user's events: mean, median and events a day."""
-    w = Window.partitionBy("user_id").orderBy("t", "event_id")
-    g = _base(spark, sf).select("user_id", (F.col("t") - F.lag("t").over(w)).alias("gap")).filter("gap IS NOT NULL")
-    return g.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg("gap") / 1e6, 3).alias("mean_s"), F.round(F.expr("percentile(gap, 0.5)") / 1e6, 3).alias("median_s"))
+    g = written(gaps(_base(spark, sf)).filter("gap IS NOT NULL"))
+    means = g.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg("gap") / 1e6, 3).alias("mean_s"))
+    return means.join(percentiles(g, ["user_id"], "gap", {"median": 0.5}), "user_id").select("user_id", "n", "mean_s", F.round(F.col("median") / 1e6, 3).alias("median_s"))
 
 
 def skew_by_user(spark, sf):
@@ -109,9 +118,8 @@ def telemetry_latest(spark, sf):
 
 def sessions(spark, sf):
     """Runs of a user's events with less than a day between neighbours."""
-    w = Window.partitionBy("user_id").orderBy("t", "event_id")
-    new = F.when(F.coalesce(F.col("t") - F.lag("t").over(w) >= GAP, F.lit(True)), 1).otherwise(0)
-    e = _base(spark, sf).withColumn("new", new).withColumn("session", F.sum("new").over(w))
+    new = gaps(_base(spark, sf)).withColumn("new", F.coalesce(F.col("gap") >= GAP, F.lit(True)).cast("long"))
+    e = ranks.running(new, "user_id", F.col("t"), ["event_id"], F.col("new")).withColumn("session", F.col("before") + F.col("new"))
     return e.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"))
 
 
@@ -123,9 +131,11 @@ def keyed_upsert(spark, sf):
 
 def sync_counts(spark, sf):
     """How many distinct types a user has shown up to each event."""
-    w = Window.partitionBy("user_id", "event_type").orderBy("t", "event_id")
-    f = _base(spark, sf).withColumn("first", F.when(F.row_number().over(w) == 1, 1).otherwise(0))
-    return f.select("event_id", "user_id", F.sum("first").over(Window.partitionBy("user_id").orderBy("t", "event_id")).alias("n_types"))
+    e = _base(spark, sf)
+    first = e.groupBy("user_id", "event_type").agg(F.min(F.struct("t", "event_id")).alias("first"))
+    f = e.join(first, ["user_id", "event_type"]).withColumn("new", (F.struct("t", "event_id") == F.col("first")).cast("long"))
+    r = ranks.running(f, "user_id", F.col("t"), ["event_id"], F.col("new"))
+    return r.select("event_id", "user_id", (F.col("before") + F.col("new")).alias("n_types"))
 
 
 QUERIES = {f.__name__: f for f in (asof_prev_event, nearest_event, local_maxima, ema_series, ema_seeded, refractory_picks, rolling_rms, period_summary, skew_by_user, props_kv, recent_or_top10, log_filters, bounding_region, captures_per_minute, telemetry_latest, sessions, keyed_upsert, sync_counts)}
@@ -141,7 +151,7 @@ ORACLES = {
     "ema_series": _EMA.format(e=_E, rn=_RN, first="value", a=ALPHA) + " SELECT event_id, user_id, round(v + 1e-9::DOUBLE, 6) AS ema FROM s",
     "ema_seeded": _EMA.format(e=_E, rn=_RN, first="0.033::DOUBLE * value + (1 - 0.033::DOUBLE) * 1.0::DOUBLE", a=0.033) + " SELECT event_id, user_id, round(v + 1e-9::DOUBLE, 6) AS ema, round(v + 1e-9::DOUBLE, 6) < 30 AS still FROM s",
     "refractory_picks": f"WITH RECURSIVE {_E}, {_RN}, s(event_id, user_id, rn, last, t, hit) AS (SELECT event_id, user_id, rn, t, t, TRUE FROM n WHERE rn = 1 UNION ALL SELECT n.event_id, n.user_id, n.rn, CASE WHEN n.t - s.last >= {WAIT} THEN n.t ELSE s.last END, n.t, n.t - s.last >= {WAIT} FROM s JOIN n ON n.user_id = s.user_id AND n.rn = s.rn + 1) SELECT event_id, user_id, t FROM s WHERE hit",
-    "rolling_rms": f"WITH {_E} SELECT event_id, user_id, round(sqrt(sum(value * value) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) / 7), 6) AS rms FROM e",
+    "rolling_rms": f"WITH {_E} SELECT event_id, user_id, round(sqrt(sum(floor(value * value * 1000000)::DECIMAL(38,0)) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)::DOUBLE / 1000000 / 7), 6) AS rms FROM e",
     "period_summary": f"WITH {_E}, g AS (SELECT user_id, t - lag(t) {_O} AS gap FROM e) SELECT user_id, count(gap) AS n, round(avg(gap) / 1e6::DOUBLE, 3) AS mean_s, round(quantile_cont(gap, 0.5) / 1e6::DOUBLE, 3) AS median_s FROM g WHERE gap IS NOT NULL GROUP BY 1",
     "skew_by_user": f"WITH {_E}, m AS (SELECT user_id, avg(value) AS mu FROM e GROUP BY 1), c AS (SELECT user_id, count(*) AS n, round(avg((value - mu) ** 3) / avg((value - mu) ** 2) ** 1.5, 6) AS skew FROM e JOIN m USING (user_id) GROUP BY 1) SELECT user_id, n, skew, CASE WHEN skew > 0.3 THEN 'positive' WHEN skew < -0.3 THEN 'negative' ELSE 'unclear' END AS verdict FROM c",
     "props_kv": f"WITH {_E} SELECT event_type, count(k) AS n, sum(k)::BIGINT AS total, min(k) AS least, max(k) AS most FROM e GROUP BY 1",

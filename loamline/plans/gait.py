@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 
 from loamline.functions.details import token
 from loamline.operators import series
-from loamline.plans.event_series import _E, _O, _RN
+from loamline.operators.lineage import written
+from loamline.operators.selection import percentiles
+from loamline.plans.event_series import _E, _O, _RN, gaps
 from loamline.sources.tables import events, require_columns
 
 #: Smoothing, least height of a peak, least microseconds between two, what a value is measured against.
 ALPHA, FLOOR, WAIT, CENTRE = 0.6, 5.0, 6 * 3_600_000_000, 60.0
+#: Microseconds around a sample in which its activity counts, the root mean square that it must exceed, the step where the median is 0.
+ACTIVE_WINDOW, ACTIVE_RMS, LEAST_STEP = 5 * 86_400_000_000, 45.0, 10_000
 #: Smoothing of the stillness filter, which starts high, and the bound below which a user is still.
 STILL_ALPHA, STILL_SEED, STILL_BOUND = 0.05, 100.0, 35.0
 
@@ -30,7 +34,7 @@ def samples(spark, sf):
 
 
 def _apexes(s, value="down"):
-    return series.apexes(s, "user_id", ["t", "event_id"], "t", value, ALPHA, FLOOR, WAIT).filter("fired = 1")
+    return written(series.apexes(s.select("event_id", "user_id", "t", value), "user_id", ["t", "event_id"], "t", value, ALPHA, FLOOR, WAIT).select("event_id", "user_id", "t"))
 
 
 def apex_times(spark, sf):
@@ -39,10 +43,10 @@ def apex_times(spark, sf):
 
 
 def _periods(apexes):
-    from pyspark.sql import Window
-
-    gap = F.col("t") - F.lag("t").over(Window.partitionBy("user_id").orderBy("t", "event_id"))
-    return apexes.select("user_id", gap.alias("gap")).groupBy("user_id").agg(F.count("*").alias("apexes"), (F.expr("percentile(gap, 0.5)") / 1e6).alias("period"))
+    """(user_id, apexes, period): a user's apexes and the median seconds between them, null for one."""
+    g = written(gaps(apexes).select("user_id", "gap"))
+    medians = percentiles(g, ["user_id"], "gap", {"gap": 0.5})
+    return g.groupBy("user_id").agg(F.count("*").alias("apexes")).join(medians, "user_id", "left").select("user_id", "apexes", (F.col("gap") / 1e6).alias("period"))
 
 
 def cadence_report(spark, sf):
@@ -52,12 +56,35 @@ def cadence_report(spark, sf):
     return p.select("user_id", F.coalesce("apexes", F.lit(0)).alias("apexes"), F.round("period", 3).alias("median_period_s"), F.round(86400 / F.col("period"), 6).alias("per_day"))
 
 
+def active_samples(s):
+    """``s`` with ``active``: the root mean square of ``down`` within ``ACTIVE_WINDOW`` around a sample exceeds ``ACTIVE_RMS``.
+
+    The window is so many samples as fit it at a user's median step, one at least; a user
+    with one sample is never active.
+    """
+    steps = percentiles(gaps(s), ["user_id"], "gap", {"step": 0.5}).withColumnRenamed("user_id", "stepping")
+    step = F.when(F.col("step") == 0, LEAST_STEP).otherwise(F.col("step"))
+    sized = s.join(steps, F.col("user_id").eqNullSafe(F.col("stepping")), "left").withColumn("width", F.greatest(F.lit(1), F.bround(ACTIVE_WINDOW / step)).cast("long"))
+    framed = series.framed_rms(sized, "user_id", "t", ["event_id"], "down", F.col("width"))
+    return framed.select(*s.columns, (F.col("step").isNotNull() & (F.col("rms") > ACTIVE_RMS)).alias("active"))
+
+
 def sign_report(spark, sf):
-    """Whether a user's sharp impacts are negative, as they should be: skewness and both extremes; NaN below three samples."""
-    g = samples(spark, sf).groupBy("user_id").agg(F.count("*").alias("n"), F.skewness("down").alias("s"), F.var_pop("down").alias("v"), F.expr("percentile(-down, 0.995)").alias("neg"), F.expr("percentile(down, 0.995)").alias("pos"))
-    skew = F.when((F.col("n") < 3) | (F.col("v") <= 0), float("nan")).otherwise(F.round("s", 6))
+    """Whether a user's sharp impacts while active are negative, as they should be: skewness and both extremes.
+
+    Skewness is NaN below three active samples or without spread, extremes without any.
+    """
+    a = written(active_samples(samples(spark, sf).select("event_id", "user_id", "t", "down")))
+    walking = a.filter("active").select("user_id", "down", (-F.col("down")).alias("up"))
+    high = percentiles(walking, ["user_id"], "down", {"pos": 0.995})
+    low = percentiles(walking, ["user_id"], "up", {"neg": 0.995})
+    moments = walking.groupBy("user_id").agg(F.count("*").alias("n_active"), F.skewness("down").alias("s"), F.var_pop("down").alias("v"))
+    g = a.groupBy("user_id").agg(F.count("*").alias("n")).join(moments, "user_id", "left").join(high, "user_id", "left").join(low, "user_id", "left")
+    nan = F.lit(float("nan"))
+    skew = F.when((F.col("n_active") >= 3) & (F.col("v") > 0), F.round("s", 6)).otherwise(nan)
     verdict = F.when(F.isnan("skew"), "inconclusive").when((F.col("skew") < -0.3) & (F.col("neg") > F.col("pos")), "consistent").when((F.col("skew") > 0.3) & (F.col("pos") > F.col("neg")), "inverted").otherwise("weak")
-    return g.withColumn("skew", skew).select("user_id", "n", "skew", F.round("neg", 6).alias("neg_extreme"), F.round("pos", 6).alias("pos_extreme"), verdict.alias("verdict"))
+    ends = (F.coalesce(F.round(c, 6), nan).alias(f"{c}_extreme") for c in ("neg", "pos"))
+    return g.withColumn("skew", skew).select("user_id", "n", F.coalesce("n_active", F.lit(0)).alias("n_active"), "skew", *ends, verdict.alias("verdict"))
 
 
 def session_clock(spark, sf):
@@ -83,7 +110,8 @@ def phase_summary(spark, sf):
     marks = apexes.select("user_id", "t", "event_id", F.lit(True).alias("apex")).union(captures.select("user_id", "t", "event_id", F.lit(False)))
     found = series.as_of(marks, "user_id", "t", ~F.col("apex"), F.col("apex"), ["t"])
     gap = (F.col("t") - F.col("prev_t")) / 1000
-    g = found.filter("prev_t IS NOT NULL").select("user_id", gap.alias("g")).groupBy("user_id").agg(F.count("*").alias("n"), *(F.expr(f"percentile(g, {q})").alias(n) for n, q in (("median", 0.5), ("p25", 0.25), ("p75", 0.75))))
+    late = written(found.filter("prev_t IS NOT NULL").select("user_id", gap.alias("g")))
+    g = late.groupBy("user_id").agg(F.count("*").alias("n")).join(percentiles(late, ["user_id"], "g", {"median": 0.5, "p25": 0.25, "p75": 0.75}), "user_id")
     j = g.join(_periods(apexes), "user_id", "left")
     return j.select("user_id", "n", F.round(F.col("median") + 1e-6, 3).alias("median_ms"), F.round(F.col("p25") + 1e-6, 3).alias("p25_ms"), F.round(F.col("p75") + 1e-6, 3).alias("p75_ms"), F.round(F.col("median") / 1000 / F.col("period"), 6).alias("stride_share"))
 
@@ -97,7 +125,9 @@ def apex_alignment(spark, sf):
         both = stamps.select("user_id", "t", "event_id", F.lit(0).alias("kind")).union(marks.select("user_id", "t", "event_id", F.lit(kind)))
         near = series.nearest(both, "user_id", "t", F.col("kind") == 0, F.col("kind") == kind)
         found = found.join(near.select("event_id", F.col("near_gap").alias(f"gap_{kind}")), "event_id")
-    g = found.filter("gap_1 IS NOT NULL AND gap_2 IS NOT NULL").groupBy("user_id").agg(F.count("*").alias("n"), F.sum((F.col("gap_1") < F.col("gap_2")).cast("long")).alias("near_maxima"), F.sum((F.col("gap_2") < F.col("gap_1")).cast("long")).alias("near_minima"), F.round(F.expr("percentile(gap_1, 0.5)") / 1000 + 1e-6, 3).alias("median_offset_ms"))
+    found = written(found.filter("gap_1 IS NOT NULL AND gap_2 IS NOT NULL"))
+    g = found.groupBy("user_id").agg(F.count("*").alias("n"), F.sum((F.col("gap_1") < F.col("gap_2")).cast("long")).alias("near_maxima"), F.sum((F.col("gap_2") < F.col("gap_1")).cast("long")).alias("near_minima"))
+    g = g.join(percentiles(found, ["user_id"], "gap_1", {"offset": 0.5}), "user_id").select("user_id", "n", "near_maxima", "near_minima", F.round(F.col("offset") / 1000 + 1e-6, 3).alias("median_offset_ms"))
     one = lambda c: F.greatest(F.lit(1), F.col(c))
     verdict = F.when(F.col("near_maxima") >= 2 * one("near_minima"), "agrees").when(F.col("near_minima") >= 2 * one("near_maxima"), "inverted").otherwise("inconclusive")
     return g.select("*", verdict.alias("verdict"))
@@ -125,7 +155,11 @@ _CAP = f"cap AS (SELECT event_id, user_id, t, CASE WHEN k % 11 = 0 THEN NULL WHE
 ORACLES = {
     "apex_times": f"WITH {_AP} SELECT * FROM ap",
     "cadence_report": f"WITH {_AP}, {_PD} SELECT user_id, coalesce(apexes, 0) AS apexes, round(period, 3) AS median_period_s, round(86400 / period, 6) AS per_day FROM (SELECT DISTINCT user_id FROM e) LEFT JOIN pd USING (user_id)",
-    "sign_report": f"WITH {_E}, x AS (SELECT user_id, value - {CENTRE}::DOUBLE AS d FROM e), m AS (SELECT user_id, avg(d) AS mu FROM x GROUP BY 1), c AS (SELECT user_id, count(*) AS n, avg((d - mu) ** 3) AS m3, avg((d - mu) ** 2) AS m2, quantile_cont(-d, 0.995) AS neg, quantile_cont(d, 0.995) AS pos FROM x JOIN m USING (user_id) GROUP BY 1), r AS (SELECT *, CASE WHEN n < 3 OR m2 <= 0 THEN 'nan'::DOUBLE ELSE round(m3 / m2 ** 1.5, 6) END AS skew FROM c) SELECT user_id, n, skew, round(neg, 6) AS neg_extreme, round(pos, 6) AS pos_extreme, CASE WHEN isnan(skew) THEN 'inconclusive' WHEN skew < -0.3 AND neg > pos THEN 'consistent' WHEN skew > 0.3 AND pos > neg THEN 'inverted' ELSE 'weak' END AS verdict FROM r",
+    "sign_report": f"""WITH {_E}, gp AS (SELECT user_id, t - lag(t) {_O} AS gap FROM e), wd AS (SELECT user_id, greatest(1, round_even({ACTIVE_WINDOW} / CASE quantile_cont(gap, 0.5) WHEN 0 THEN {LEAST_STEP} ELSE quantile_cont(gap, 0.5) END, 0))::BIGINT AS w FROM gp WHERE gap IS NOT NULL GROUP BY 1),
+fr AS (SELECT user_id, value - {CENTRE}::DOUBLE AS d, w, sqrt(sum(floor((value - {CENTRE}::DOUBLE) * (value - {CENTRE}::DOUBLE) * 1000000)::DECIMAL(38,0)) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN (w - 1 - (w - 1) // 2) PRECEDING AND ((w - 1) // 2) FOLLOWING)::DOUBLE / 1000000 / w) AS rms FROM e JOIN wd USING (user_id)),
+x AS (SELECT user_id, d FROM fr WHERE rms > {ACTIVE_RMS}), m AS (SELECT user_id, avg(d) AS mu FROM x GROUP BY 1), c AS (SELECT user_id, count(*) AS n_active, avg((d - mu) ** 3) AS m3, avg((d - mu) ** 2) AS m2, quantile_cont(-d, 0.995) AS neg, quantile_cont(d, 0.995) AS pos FROM x JOIN m USING (user_id) GROUP BY 1),
+u AS (SELECT user_id, count(*) AS n FROM e GROUP BY 1), r AS (SELECT u.*, coalesce(n_active, 0) AS n_active, neg, pos, CASE WHEN n_active >= 3 AND m2 > 0 THEN round(m3 / m2 ** 1.5, 6) ELSE 'nan'::DOUBLE END AS skew FROM u LEFT JOIN c USING (user_id))
+SELECT user_id, n, n_active, skew, coalesce(round(neg, 6), 'nan'::DOUBLE) AS neg_extreme, coalesce(round(pos, 6), 'nan'::DOUBLE) AS pos_extreme, CASE WHEN isnan(skew) THEN 'inconclusive' WHEN skew < -0.3 AND neg > pos THEN 'consistent' WHEN skew > 0.3 AND pos > neg THEN 'inverted' ELSE 'weak' END AS verdict FROM r""",
     "session_clock": f"WITH {_E}, m AS (SELECT user_id, t, event_id % 401 <> 0 AND event_id % 407 <> 0 AS ok FROM e) SELECT user_id, count(*) AS n, CASE WHEN bool_and(ok) THEN 'motion_ts' ELSE 'timestamp_s' END AS clock, round((max(t) - min(t)) / 1e6::DOUBLE, 3) AS duration_s FROM m GROUP BY 1",
     "trigger_histogram": f"WITH {_E}, {_CAP} SELECT coalesce(trig, '?') AS trigger, count(*) AS n FROM cap GROUP BY 1",
     "phase_summary": f"WITH {_AP}, {_PD}, {_CAP}, f AS (SELECT c.user_id, (c.t - a.t) / 1000 AS g FROM (SELECT * FROM cap WHERE trig = 'apogee' AND NOT stamped) c ASOF JOIN ap a ON c.user_id = a.user_id AND c.t >= a.t) SELECT f.user_id, count(*) AS n, round(quantile_cont(g, 0.5) + 1e-6::DOUBLE, 3) AS median_ms, round(quantile_cont(g, 0.25) + 1e-6::DOUBLE, 3) AS p25_ms, round(quantile_cont(g, 0.75) + 1e-6::DOUBLE, 3) AS p75_ms, round(quantile_cont(g, 0.5) / 1000 / any_value(period), 6) AS stride_share FROM f LEFT JOIN pd USING (user_id) GROUP BY 1",

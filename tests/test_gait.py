@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 def _fires(spark, t, x, alpha, floor, wait):
     df = spark.createDataFrame([("u", float(a), float(b)) for a, b in zip(t, x, strict=True)], "u string, t double, x double")
-    return sorted(r.t for r in series.apexes(df, "u", ["t"], "t", "x", alpha, floor, wait).filter("fired = 1").collect())
+    return sorted(r.t for r in series.apexes(df, "u", ["t"], "t", "x", alpha, floor, wait).collect())
 
 
 def test_one_apex_for_each_stride(spark):
@@ -42,11 +42,13 @@ def test_last_token_wins(spark):
 
 
 def test_signs(spark, tmp_path):
-    draws = np.random.default_rng(1).exponential(20, 200)
+    draws = np.random.default_rng(1).exponential(80, 200)
     source = spark.read.parquet(f"{SF}/events.parquet")
     rows = [(i, u, "view", float(gait.CENTRE + s * v)) for u, s in ((1, 1.0), (2, -1.0), (3, 0.0)) for i, v in enumerate(draws)] + [(0, 4, "view", 1.0)]
+    # A long rest with one sharp impact against the sign, which isn't active and doesn't count.
+    rows += [(1_000 + i, u, "view", float(gait.CENTRE - s * (100 if i == 200 else 0))) for u, s in ((1, 1.0), (2, -1.0)) for i in range(400)]
     df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double")
-    df = df.withColumns({c: F.lit(None).cast(source.schema[c].dataType) for c in source.columns if c not in df.columns}).withColumn("ts", F.lit("2026-01-01 00:00:00").cast("timestamp_ntz"))
+    df = df.withColumns({c: F.lit(None).cast(source.schema[c].dataType) for c in source.columns if c not in df.columns}).withColumn("ts", F.expr("TIMESTAMP_NTZ'2026-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(6 * event_id AS int))"))
     df.select(*source.columns).write.parquet(f"{tmp_path}/events.parquet")
     got = {r.user_id: r for r in gait.sign_report(spark, str(tmp_path)).collect()}
     assert [got[u].verdict for u in (1, 2, 3, 4)] == ["inverted", "consistent", "inconclusive", "inconclusive"]
