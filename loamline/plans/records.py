@@ -16,7 +16,8 @@ from loamline.plans.predictions import SQL, predictions
 from loamline.plans.triage import feedback_entries
 from loamline.sources import manifests, sinks
 from loamline.sources.tables import events, table
-from loamline.streaming.event_streams import shared
+from loamline.streaming.event_streams import BATCH_FILES, shared
+from loamline.streaming.keyed_state import accept_once
 
 # Class names, the bands of blur and confidence, and what is shown for an alert, an uncertain row and any other.
 CLASSES = ("poison_ivy", "poison_oak", "poison_sumac", "safe_plants")
@@ -67,28 +68,12 @@ def commit_without_overwrite(spark, sf):
     return spark.read.parquet(path)
 
 
-def upload_ledger(spark, sf):
-    """Names accepted from a stream of uploads, each once: those in the ledger of earlier batches, and repeats, are left out.
-
-    The ledger of a batch is written with its accepted rows, so a batch that is run again
-    accepts the same ones. The image of a repeated name replaces the earlier one, so the
-    last id is kept beside the first.
-    """
-    out = shared(spark, "ledger")
+def upload_ledger(spark, sf, folder=None):
+    """Names accepted from a stream of uploads, each once, with the first id and the last, whose image replaces the earlier ones."""
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf}/documents.parque[t]")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", BATCH_FILES).parquet(f"{sf}/documents.parque[t]")
     named = stream.select(F.concat(F.lit("up_"), F.substring(F.md5(F.coalesce("text", F.lit("")).cast("binary")), 1, 12)).alias("filename"), "doc_id")
-
-    def accept(batch, number):
-        own = batch.sparkSession
-        fresh = batch.groupBy("filename").agg(F.min("doc_id").alias("doc_id"))
-        if number:
-            earlier = [f"{out}/batch={k}" for k in range(number)]
-            fresh = fresh.join(own.read.schema("filename string, doc_id long").parquet(*earlier).select("filename"), "filename", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    named.writeStream.foreachBatch(accept).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("filename string, doc_id long").parquet(out).select("filename", "doc_id")
+    return accept_once(named, folder or shared(spark, "ledger"))
 
 
 def hash_index_refresh(spark, sf):
@@ -268,7 +253,7 @@ ORACLES = {
     "keyed_merge": "WITH r AS (SELECT substr(md5(coalesce(text, '')), 1, 4) AS name, doc_id AS ord, source FROM documents) SELECT name, ord, source FROM r QUALIFY row_number() OVER (PARTITION BY name ORDER BY ord % 2 DESC, ord DESC) = 1",
     "append_observations": "SELECT doc_id, 'obs_' || (doc_id // 5) AS observation_id FROM documents WHERE n_chars % 4 <> 0",
     "commit_without_overwrite": "WITH r AS (SELECT substr(md5(coalesce(text, '')), 1, 3) AS name, doc_id FROM documents) SELECT name, doc_id FROM r QUALIFY row_number() OVER (PARTITION BY name ORDER BY doc_id % 2, doc_id) = 1",
-    "upload_ledger": "SELECT 'up_' || substr(md5(coalesce(text, '')), 1, 12) AS filename, min(doc_id) AS doc_id FROM documents GROUP BY 1",
+    "upload_ledger": "SELECT 'up_' || substr(md5(coalesce(text, '')), 1, 12) AS filename, min(doc_id) AS doc_id, max(doc_id) AS last_id FROM documents GROUP BY 1",
     "hash_index_refresh": "SELECT doc_id, CASE WHEN doc_id % 4 <> 1 AND doc_id % 5 <> 0 AND text IS NOT NULL THEN 'old_' || doc_id ELSE md5(coalesce(text, '')) END AS digest, doc_id % 4 <> 1 AND doc_id % 5 <> 0 AND text IS NOT NULL AS reused FROM documents WHERE doc_id % 11 <> 7",
     "frame_listing": f"WITH {_FRAMES} SELECT filename, idx, cls, blur::DOUBLE AS blur, CASE WHEN blur < 100 THEN 'Blurry' WHEN blur < 500 THEN 'OK' ELSE 'Sharp' END AS band FROM fr",
     "resume_counters": f"WITH {_FRAMES}, c AS (SELECT DISTINCT event_type AS cls FROM events UNION ALL SELECT 'none_yet') SELECT c.cls, coalesce(max(idx) + 1, 0) AS next FROM c LEFT JOIN fr USING (cls) GROUP BY 1",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loamline.operators.series import ordered_fold
 from loamline.sources.tables import micros
+from loamline.streaming.keyed_state import sessions
 
 
 def shared(spark: SparkSession, purpose: str) -> str:
@@ -19,11 +20,15 @@ def shared(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+#: Files of a table that make a batch of a stream.
+BATCH_FILES = 200
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as a stream of files, with ``t`` in microseconds and ``at`` as a time stamp."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # A pattern matches the table whether it is one file or a folder of files.
-    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", BATCH_FILES).parquet(f"{sf_dir}/events.parque[t]")
     timed = rows.withColumn("t", micros(F.col("ts")))
     return timed.withColumn("at", F.timestamp_micros("t"))
 
@@ -87,18 +92,9 @@ def stream_motion(spark: SparkSession, sf_dir: str, alpha: float = 0.6, floor: f
     return m.select("event_id", "user_id", (F.col("fired") == 1).alias("fired"), (F.col("still") == 1).alias("still"))
 
 
-def stream_sessions(spark: SparkSession, sf_dir: str, gap: str = "24 hours") -> DataFrame:
+def stream_sessions(spark: SparkSession, sf_dir: str, gap: int = 24 * 3_600_000_000) -> DataFrame:
     """Runs of a user's events with less than a day between neighbours; what is there is read to its end."""
-    out = shared(spark, "sessions")
-    s = event_stream(spark, sf_dir).withWatermark("at", "1 hour").groupBy("user_id", F.session_window("at", gap).alias("w")).agg(F.count("*").alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"))
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.select("user_id", "n", "t0", "t1").write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    s.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
-    done = spark.read.parquet(out)
-    last = done.agg(F.max("batch")).first()[0]
-    return done.filter(F.col("batch") == last).drop("batch")
+    return sessions(event_stream(spark, sf_dir).select("user_id", "t", "at"), gap, shared(spark, "sessions"))
 
 
 def stream_rates(spark: SparkSession, sf_dir: str, width: int = 3_600_000_000) -> DataFrame:
