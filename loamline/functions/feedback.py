@@ -94,7 +94,11 @@ def inside(path: Column) -> Column:
     return ~path.startswith("/") & (depth["least"] >= 0)
 
 
-def trusted(policy: str, status: Column, confidence: Column, least: float = 0.5) -> Column:
+# Fixed value: the confidence from which a row is taken by the policy high-confidence.
+LEAST_TRUSTED = 0.70
+
+
+def trusted(policy: str, status: Column, confidence: Column, least: float = LEAST_TRUSTED) -> Column:
     """Whether a policy takes a labelled row for training: all, corrections-only or high-confidence."""
     if policy == "all":
         return F.lit(True)

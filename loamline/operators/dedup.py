@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -111,17 +112,23 @@ def keep_first(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
     Rounds decide all rows whose earlier neighbours are decided: kept if none of those is
     kept, else dropped as a copy of the earliest. There are as many rounds as the longest
-    chain of rows that wait for each other, and each decides one row at least. Each round
-    is written to the checkpoint folder, so lineage stays short.
+    chain of rows that wait for each other, and each decides one row at least. A round
+    writes what it decides and what is left of the links, which carry what is known of their
+    earlier ends; rows without links are looked at once.
     """
-    undecided = written(links.select(F.col("b").alias("id"), F.col("a").alias("near")).distinct())
-    state = written(nodes.select("id").join(undecided.select("id").distinct(), "id", "left_anti").select("id", F.lit(None).cast(nodes.schema["id"].dataType).alias("dup_of")))
+    pairs = written(links.select(F.col("b").alias("id"), F.col("a").alias("near")).distinct())
+    waiting = pairs.select("id").distinct()
+    if pairs.select(F.col("near").alias("id")).distinct().join(nodes.select("id"), "id", "left_anti").limit(1).count():
+        raise ValueError("links name rows that aren't among the nodes")
+    # What is known of an earlier end: kept, dropped, or null while it waits itself.
+    undecided = written(pairs.join(waiting.select(F.col("id").alias("near"), F.lit(True).alias("waits")), "near", "left").select("id", "near", F.when(F.col("waits").isNull(), True).alias("kept")))
+    free = nodes.select("id").join(waiting, "id", "left_anti").select("id", F.lit(None).cast(nodes.schema["id"].dataType).alias("dup_of"))
+    parts = [free]
     while undecided.limit(1).count():
-        known = undecided.join(state.select(F.col("id").alias("near"), F.lit(True).alias("done"), F.col("dup_of").isNull().alias("kept")), "near", "left")
-        first = known.groupBy("id").agg(F.min(F.when(F.col("kept"), F.col("near"))).alias("dup_of"), F.min(F.when(F.col("done").isNull(), F.col("near"))).alias("waits"))
+        first = undecided.groupBy("id").agg(F.min(F.when(F.col("kept"), F.col("near"))).alias("dup_of"), F.min(F.when(F.col("kept").isNull(), F.col("near"))).alias("waits"))
         ready = written(first.filter("waits IS NULL OR dup_of < waits").select("id", "dup_of"))
-        if ready.limit(1).count() == 0:
-            raise ValueError("links name rows that aren't among the nodes")
-        state = written(state.union(ready))
-        undecided = written(undecided.join(ready.select("id"), "id", "left_anti"))
-    return state
+        parts.append(ready)
+        left = undecided.join(ready.select("id"), "id", "left_anti")
+        now = ready.select(F.col("id").alias("near"), F.col("dup_of").isNull().alias("now"))
+        undecided = written(left.join(now, "near", "left").select("id", "near", F.coalesce("kept", "now").alias("kept")))
+    return reduce(DataFrame.unionByName, parts)

@@ -140,8 +140,11 @@ def diversity_topk(spark, sf):
 
 
 def source_prefix_counts(spark, sf):
-    """Documents by their source without trailing digits."""
-    return table(spark, sf, "documents").groupBy(F.regexp_replace("source", r"[0-9]+$", "").alias("prefix"), "lang").agg(F.count("*").alias("n"))
+    """Documents by the source token of their names: parts between underscores, without numbers and ``test`` at the end; ``(none)`` if nothing is left."""
+    i = F.col("doc_id")
+    stem = F.concat_ws("_", F.when(i % 9 != 4, F.regexp_replace("source", r"([0-9]+)$", "_$1")), F.when(i % 5 == 0, "test"), F.lpad(i.cast("string"), 4, "0"))
+    token = F.regexp_replace(stem, r"(^|_)((\d+|test)(_|$))+$", "")
+    return table(spark, sf, "documents").groupBy(F.coalesce(F.nullif(token, F.lit("")), F.lit("(none)")).alias("prefix"), "lang").agg(F.count("*").alias("n"))
 
 
 def length_stats(spark, sf):
@@ -177,12 +180,8 @@ def group_split(spark, sf, share: float = 0.2):
     return r.select("source", "grp", "n", ((F.col("before") < F.floor(F.col("total") * share)) & (F.col("before") + F.col("n") < F.col("total"))).alias("val"))
 
 
-def sharded_split(spark, sf, share: float = 0.2):
-    """(source, grp, n, val) where one group is each language of a source, cut into shards if it is too large for the share.
-
-    A group with more than half the validation rows is cut into as few shards as fit, by a
-    digest of the row's name modulo their number. A group is never on both sides.
-    """
+def _sharded_rows(spark, sf, share: float):
+    """(source, name, grp) of each document: its language, or a shard of it if that is too large for the share."""
     d = table(spark, sf, "documents").select("source", F.col("lang").alias("grp"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"))
     sizes = d.groupBy("source", "grp").agg(F.count("*").alias("n"))
     totals = sizes.groupBy("source").agg(F.sum("n").alias("total"))
@@ -194,17 +193,54 @@ def sharded_split(spark, sf, share: float = 0.2):
     for at in range(0, 40, 8):
         rest = (rest * F.lit(2**32) + F.conv(F.substring(sha, at + 1, 8), 16, 10).cast("long")) % F.col("shards")
     placed = d.join(F.broadcast(plan), ["source", "grp"])
-    sub = placed.select("source", F.when(F.col("shards") > 1, F.concat("grp", F.lit("#s"), rest.cast("string"))).otherwise(F.col("grp")).alias("grp"))
+    return placed.select("source", "name", F.when(F.col("shards") > 1, F.concat("grp", F.lit("#s"), rest.cast("string"))).otherwise(F.col("grp")).alias("grp"))
+
+
+def _sides(sub, share: float):
+    """(source, grp, n, val) of ``sub(source, grp)``: whole groups by digest go to validation until the share is reached, never the last one."""
     own = sub.groupBy("source", "grp").agg(F.count("*").alias("n"), F.md5(F.first("grp").cast("binary")).alias("digest"))
     r = ranks.running(own, "source", F.conv(F.substring("digest", 1, 15), 16, 10).cast("long"), ["grp"], F.col("n"))
     return r.select("source", "grp", "n", ((F.col("before") < F.floor(F.col("total") * share)) & (F.col("before") + F.col("n") < F.col("total"))).alias("val"))
 
 
+def sharded_split(spark, sf, share: float = 0.2):
+    """(source, grp, n, val) where one group is each language of a source, cut into shards if it is too large for the share.
+
+    A group with more than half the validation rows is cut into as few shards as fit, by a
+    digest of the row's name modulo their number. A group is never on both sides.
+    """
+    return _sides(_sharded_rows(spark, sf, share), share)
+
+
+def split_rows(spark, sf, share: float = 0.2):
+    """(source, grp, name, val): the side of each document."""
+    rows = written(_sharded_rows(spark, sf, share))
+    return rows.join(_sides(rows, share), ["source", "grp"]).select("source", "grp", "name", "val")
+
+
+def overlap(sides):
+    """One row (n_groups, n_overlap, n_training, n_validation) of ``sides(source, grp, val)``, whose rows say on which side each document is."""
+    both = sides.groupBy("source", "grp").agg(F.max("val").alias("any_val"), F.min("val").alias("all_val"), F.count("*").alias("n"), F.sum(F.col("val").cast("long")).alias("v"))
+    mixed = F.col("any_val") != F.col("all_val")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return both.agg(F.count("*").alias("n_groups"), total(mixed.cast("long")).alias("n_overlap"), total(F.col("n") - F.col("v")).alias("n_training"), total(F.col("v")).alias("n_validation"))
+
+
 def split_overlap(spark, sf):
-    """Groups that stand on both sides of the split: none, or the split is broken."""
-    s = sharded_split(spark, sf)
-    both = s.groupBy("source", "grp").agg(F.count("*").alias("n_sides"), F.max("val").alias("any_val"), F.min("val").alias("all_val"))
-    return both.agg(F.count("*").alias("n_groups"), F.coalesce(F.sum(F.when(F.col("any_val") != F.col("all_val"), 1).otherwise(0)), F.lit(0)).alias("n_overlap"))
+    """Groups that have documents on both sides of the split: none, or the split is broken."""
+    return overlap(split_rows(spark, sf))
+
+
+def checked_split(spark, sf):
+    """The split's rows, if no group is on both sides; a row of such a group is an error when it is read."""
+    return assert_disjoint(split_rows(spark, sf))
+
+
+def assert_disjoint(sides):
+    """``sides`` with an error in place of the name of a row whose group is on both sides."""
+    mixed = sides.groupBy("source", "grp").agg(F.min("val").alias("a"), F.max("val").alias("b")).filter("a <> b").select("source", "grp", F.lit(True).alias("mixed"))
+    told = F.raise_error(F.concat(F.lit("a group is on both sides: "), F.concat_ws("/", "source", "grp"))).cast("string")
+    return sides.join(mixed, ["source", "grp"], "left").select("source", "grp", F.when(F.col("mixed"), told).otherwise(F.col("name")).alias("name"), "val")
 
 
 def split_report(spark, sf):
@@ -274,7 +310,7 @@ def manifest_reconcile(spark, sf):
     return manifests.reconcile(manifests.union_manifests(d, p), "ord").select("name", "path", "cls", "license", "source", "url", "n_rows")
 
 
-QUERIES = {f.__name__: f for f in (qa_gate_report, qa_gate_rows, exact_dup_groups, crossclass_conflicts, leak_first_match, embedding_hashes, hash_class_members, near_pairs_hash, near_pair_summary, near_dup_keep_first, diversity_topk, source_prefix_counts, length_stats, imbalance, class_weights, group_split, sharded_split, split_overlap, label_balance, split_report, first_k_per_class, spot_sample, prefix_split, dataset_fingerprint, url_parts, attribution_credits, license_order, manifest_reconcile)}
+QUERIES = {f.__name__: f for f in (qa_gate_report, qa_gate_rows, exact_dup_groups, crossclass_conflicts, leak_first_match, embedding_hashes, hash_class_members, near_pairs_hash, near_pair_summary, near_dup_keep_first, diversity_topk, source_prefix_counts, length_stats, imbalance, class_weights, group_split, sharded_split, split_overlap, checked_split, label_balance, split_report, first_k_per_class, spot_sample, prefix_split, dataset_fingerprint, url_parts, attribution_credits, license_order, manifest_reconcile)}
 
 _W = f"(SELECT %s, unnest(range(1, len(ws) - {LEAK_WORDS - 2})) AS i, ws FROM (SELECT %s, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM %s))"
 _LEAK = f"""
@@ -292,7 +328,7 @@ _GRP = "sz AS (SELECT source, md5(text) AS grp, count(*) AS n FROM documents GRO
 
 _SHARDS = """dn AS (SELECT source, lang, 'doc_' || doc_id || '.txt' AS name FROM documents), cg AS (SELECT source, lang, count(*) AS n FROM dn GROUP BY 1, 2),
 cp AS (SELECT *, greatest(1, round_even(sum(n) OVER (PARTITION BY source) * 0.2::DOUBLE * 0.5::DOUBLE, 0)::BIGINT) AS cap FROM cg),
-ng AS (SELECT dn.source, CASE WHEN n > cap THEN dn.lang || '#s' || ((('0x' || substr(sha1(name), 1, 20))::HUGEINT % ceil(n / cap)::HUGEINT * (1208925819614629174706176::HUGEINT % ceil(n / cap)::HUGEINT) + ('0x' || substr(sha1(name), 21, 20))::HUGEINT) % ceil(n / cap)::HUGEINT) ELSE dn.lang END AS grp FROM dn JOIN cp ON cp.source = dn.source AND cp.lang = dn.lang),
+ng AS (SELECT dn.source, CASE WHEN n > cap THEN dn.lang || '#s' || ((('0x' || substr(sha1(name), 1, 20))::HUGEINT % ceil(n / cap)::HUGEINT * (1208925819614629174706176::HUGEINT % ceil(n / cap)::HUGEINT) + ('0x' || substr(sha1(name), 21, 20))::HUGEINT) % ceil(n / cap)::HUGEINT) ELSE dn.lang END AS grp, name FROM dn JOIN cp ON cp.source = dn.source AND cp.lang = dn.lang),
 sn AS (SELECT source, grp, count(*) AS n FROM ng GROUP BY 1, 2),
 sv AS (SELECT source, grp, n, coalesce(sum(n) OVER (PARTITION BY source ORDER BY md5(grp) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < floor(sum(n) OVER (PARTITION BY source) * 0.2::DOUBLE) AND lead(n) OVER (PARTITION BY source ORDER BY md5(grp)) IS NOT NULL AS val FROM sn)"""
 _WALK = f"""ws AS (SELECT doc_id, row_number() OVER (ORDER BY {{order}}) AS rn, n_chars, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
@@ -309,7 +345,8 @@ ORACLES = {
     "diversity_topk": f"WITH RECURSIVE {_WALK.format(order='coalesce(n_chars, 0) DESC, doc_id')} SELECT doc_id, n_chars FROM kp WHERE dup_of IS NULL ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 100",
     "label_balance": "SELECT count(*) AS n, count(*) FILTER (toxic = 1) AS n_toxic, count(*) FILTER (toxic = 0) AS n_safe, round(count(*) FILTER (toxic = 1) / nullif(count(*) FILTER (toxic = 0), 0), 6) AS ratio FROM labels",
     "sharded_split": f"WITH {_SHARDS} SELECT source, grp, n, val FROM sv",
-    "split_overlap": f"WITH {_SHARDS}, o AS (SELECT source, grp, count(DISTINCT val) AS k FROM sv GROUP BY 1, 2) SELECT count(*) AS n_groups, count(*) FILTER (k > 1) AS n_overlap FROM o",
+    "split_overlap": f"WITH {_SHARDS}, w AS (SELECT ng.source, ng.grp, val FROM ng JOIN sv ON sv.source = ng.source AND sv.grp = ng.grp), o AS (SELECT source, grp, count(DISTINCT val) AS k, count(*) AS n, count(*) FILTER (val) AS v FROM w GROUP BY 1, 2) SELECT count(*) AS n_groups, count(*) FILTER (k > 1) AS n_overlap, sum(n - v)::BIGINT AS n_training, sum(v)::BIGINT AS n_validation FROM o",
+    "checked_split": f"WITH {_SHARDS} SELECT ng.source, ng.grp, ng.name, val FROM ng JOIN sv ON sv.source = ng.source AND sv.grp = ng.grp",
     "qa_gate_report": f"WITH {_QA} SELECT source, reason, count(*) AS n FROM qa GROUP BY 1, 2",
     "qa_gate_rows": f"WITH {_QA} SELECT doc_id, source, reason, CASE reason WHEN 'exact_duplicate' THEN first_id WHEN 'leak' THEN origin END AS origin FROM qa",
     "exact_dup_groups": "SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY 1 HAVING count(*) > 1",
@@ -319,7 +356,7 @@ ORACLES = {
     "hash_class_members": f"WITH {_DOCS} SELECT doc_id, h, rep, n FROM hs JOIN cl USING (h)",
     "near_pairs_hash": f"WITH {_DOCS}, {_PAIRS} SELECT a, b, distance FROM np",
     "near_pair_summary": f"WITH {_DOCS}, {_PAIRS} SELECT distance, x.source = y.source AS same_source, count(*) AS n FROM np JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b GROUP BY 1, 2",
-    "source_prefix_counts": "SELECT regexp_replace(source, '[0-9]+$', '') AS prefix, lang, count(*) AS n FROM documents GROUP BY 1, 2",
+    "source_prefix_counts": "WITH s AS (SELECT lang, string_split(concat_ws('_', CASE WHEN doc_id % 9 <> 4 THEN regexp_replace(source, '([0-9]+)$', '_\\1') END, CASE WHEN doc_id % 5 = 0 THEN 'test' END, CASE WHEN doc_id < 10000 THEN lpad(doc_id::VARCHAR, 4, '0') ELSE substr(doc_id::VARCHAR, 1, 4) END), '_') AS p FROM documents), k AS (SELECT lang, p, coalesce(list_max(list_filter(range(1, len(p) + 1), lambda i: NOT regexp_full_match(p[i], '[0-9]+|test'))), 0) AS last FROM s) SELECT CASE last WHEN 0 THEN '(none)' ELSE array_to_string(p[1:last], '_') END AS prefix, lang, count(*) AS n FROM k GROUP BY 1, 2",
     "length_stats": "SELECT source, count(*) AS n, min(n_chars) AS least, max(n_chars) AS most, round(avg(n_chars), 6) AS mean, round(quantile_cont(n_chars, 0.5), 6) AS median, round(quantile_cont(n_chars, 0.95), 6) AS p95 FROM documents GROUP BY 1",
     "imbalance": "SELECT max(n) AS largest, min(n) AS smallest, round(max(n) / min(n), 6) AS ratio FROM (SELECT count(*) AS n FROM documents GROUP BY source)",
     "class_weights": "WITH g AS (SELECT source, count(*) AS n FROM documents GROUP BY 1) SELECT source, n, round((1 / n) / (SELECT avg(1 / n) FROM g), 6) AS weight FROM g",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loamline.functions import feedback as fb
@@ -246,8 +245,8 @@ def map_filters(spark, sf):
 def exported_names(spark, sf):
     """Names of exported photos of errors and purchases, and how many events share one: those of one second collide."""
     e = table(spark, sf, "events").filter("event_type IN ('error', 'purchase')").select("event_id", so.feedback_name(F.col("ts"), F.col("event_type"), F.lit("confirmed")).alias("name"))
-    w = Window.partitionBy("name")
-    return e.select("event_id", "name", F.count("*").over(w).alias("n_named"))
+    sizes = e.groupBy("name").agg(F.count("*").alias("n_named"))
+    return e.join(sizes, "name").select("event_id", "name", "n_named")
 
 
 QUERIES = {f.__name__: f for f in (leak_report, audit_leakage, crossclass_near, fetch_dedup, survivors_provenance, attribution_summary, license_breakdown, photographer_credits, group_provenance, worklist_feedback, pending_uploads, batch_merge, media_credits, committed_names, shape_gate, map_filters, exported_names)}

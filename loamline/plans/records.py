@@ -14,7 +14,7 @@ from loamline.operators.selection import percentiles
 from loamline.plans.evaluation import CLS, PERTURBATIONS, _perturbed
 from loamline.plans.predictions import SQL, predictions
 from loamline.plans.triage import feedback_entries
-from loamline.sources import manifests, sinks
+from loamline.sources import index, manifests, sinks
 from loamline.sources.tables import events, table
 from loamline.streaming.event_streams import BATCH_FILES, shared
 from loamline.streaming.keyed_state import accept_once
@@ -78,11 +78,12 @@ def upload_ledger(spark, sf, folder=None):
 
 def hash_index_refresh(spark, sf):
     """An index of digests after a new listing: reused where time and size are as before, made anew otherwise, gone files pruned."""
-    now = table(spark, sf, "documents").filter("doc_id % 11 <> 7").select(F.col("doc_id").alias("path"), (F.col("n_chars") % 7).alias("mtime"), F.octet_length("text").alias("size"), "text")
-    cached = table(spark, sf, "documents").filter("doc_id % 4 <> 1").select(F.col("doc_id").alias("path"), (F.col("n_chars") % 7 - F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)).alias("mtime"), F.octet_length("text").alias("size"), F.concat(F.lit("old_"), F.col("doc_id").cast("string")).alias("cached"))
-    j = now.join(cached, ["path", "mtime", "size"], "left")
-    digest = F.coalesce("cached", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    return j.select(F.col("path").alias("doc_id"), digest.alias("digest"), F.col("cached").isNotNull().alias("reused"))
+    d, home = table(spark, sf, "documents"), shared(spark, "hash-index")
+    listed = lambda rows, less: rows.select(F.col("doc_id").alias("path"), (F.col("n_chars") % 7 - less).alias("mtime"), F.octet_length("text").alias("size"), "text")
+    touched = F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)
+    index.refresh(listed(d.filter("doc_id % 4 <> 1"), touched), home, "path", ["mtime", "size"], "digest", lambda: F.concat(F.lit("old_"), F.col("path").cast("string")))
+    now, _ = index.refresh(listed(d.filter("doc_id % 11 <> 7"), F.lit(0)), home, "path", ["mtime", "size"], "digest", lambda: F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    return now.select(F.col("path").alias("doc_id"), "digest", "reused")
 
 
 def frame_listing(spark, sf):
@@ -188,11 +189,16 @@ def legacy_triage(spark, sf):
 
 
 def legacy_class_weights(spark, sf):
-    """Weights by class where an absent class counts as one row and is no error."""
-    g = predictions(spark, sf).groupBy(F.col("pred").alias("cls")).agg(F.count("*").alias("n"))
-    every = spark.range(CLS + 1).select(F.col("id").cast("int").alias("cls")).join(g, "cls", "left").select("cls", F.coalesce("n", F.lit(0)).alias("n"))
-    t = every.agg(F.sum("n").alias("total"))
-    return every.crossJoin(F.broadcast(t)).select("cls", "n", F.round(F.col("total") / ((CLS + 1) * F.greatest("n", F.lit(1))), 6).alias("weight"))
+    """Inverse frequency weights of the classes that are there, numbered from 0, divided by their mean.
+
+    There are as many weights as classes with rows; a number among them without rows counts as one row and is no error.
+    """
+    g = written(predictions(spark, sf).groupBy(F.col("pred").alias("cls")).agg(F.count("*").alias("n")))
+    t = g.agg(F.sum("n").alias("total"), F.count("*").alias("classes"))
+    every = t.select("total", "classes", F.explode(F.sequence(F.lit(0), (F.col("classes") - 1).cast("int"))).alias("cls"))
+    w = every.join(g, "cls", "left").select("cls", F.coalesce("n", F.lit(0)).alias("n"), (F.col("total") / (F.col("classes") * F.coalesce("n", F.lit(1)))).alias("w"))
+    # Rows here are as many as classes.
+    return w.crossJoin(F.broadcast(w.agg(F.avg("w").alias("mean")))).select("cls", "n", F.round(F.col("w") / F.col("mean"), 6).alias("weight"))
 
 
 def calibration_report(spark, sf):
@@ -266,7 +272,7 @@ ORACLES = {
     "folder_sizes": "SELECT source, count(*) AS n, sum(coalesce(strlen(text), 0))::BIGINT AS n_bytes, count(*) FILTER (coalesce(strlen(text), 0) < 1000) AS n_tiny FROM documents GROUP BY 1",
     "soft_labels": "SELECT doc_id, CASE quality WHEN 1 THEN 0.8::DOUBLE ELSE 0.1::DOUBLE END AS soft FROM labels WHERE quality IS NOT NULL",
     "legacy_triage": f"WITH {_ENTRIES}, raw AS (SELECT e.doc_id, CASE WHEN e.doc_id % 41 = 0 THEN ' ' ELSE e.filename END AS filename, original, corrected, ['confirmed', 'corrected', 'discarded', 'Confirmed', 'none', 'corrected ', 'confirmed', 'liked', 'synthetic_confirmed', 'corrected', 'confirmed'][e.doc_id % 11 + 1] AS status, n_chars >= 64 AS there FROM g1 e JOIN documents USING (doc_id)), l AS (SELECT *, CASE status WHEN 'confirmed' THEN original WHEN 'corrected' THEN corrected END AS l0 FROM raw), m AS (SELECT *, CASE l0 WHEN 'not_a_plant' THEN 'safe_plants' ELSE l0 END AS label FROM l), o AS (SELECT *, CASE WHEN label IS NULL OR label NOT IN ('poison_ivy', 'poison_oak', 'poison_sumac', 'safe_plants') THEN 'skipped' WHEN NOT there THEN 'error' ELSE 'copied' END AS outcome FROM m) SELECT doc_id, outcome, CASE WHEN outcome = 'copied' THEN label || '/feedback_' || filename END AS target FROM o",
-    "legacy_class_weights": f"WITH {SQL}, c AS (SELECT cls::INTEGER AS cls, count(vec_id) AS n FROM (SELECT unnest(range(5)) AS cls) LEFT JOIN pr ON pr.pred = cls GROUP BY 1) SELECT cls, n, round((SELECT count(*) FROM pr) / (5 * greatest(n, 1)), 6) AS weight FROM c",
+    "legacy_class_weights": f"WITH {SQL}, g AS (SELECT pred, count(*) AS n FROM pr GROUP BY 1), k AS (SELECT count(*) AS k, sum(n) AS total FROM g), w AS (SELECT cls::INTEGER AS cls, coalesce(n, 0) AS n, total / (k * coalesce(n, 1)) AS w FROM (SELECT unnest(range(k)) AS cls, k, total FROM k) c LEFT JOIN g ON g.pred = c.cls) SELECT cls, n, round(w / (SELECT avg(w) FROM w), 6) AS weight FROM w",
     "calibration_report": f"WITH {SQL}, b AS (SELECT least(floor(round(conf * 10, 9)), 9) AS bin, count(*) AS n, round(abs(avg(conf) - avg((y = pred)::INTEGER)), 6) AS gap FROM pr GROUP BY 1), e AS (SELECT round(sum(gap * n) / sum(n), 4) AS ece, round(max(gap), 4) AS mce FROM b) SELECT count(*) AS n, round(avg((y = pred)::INTEGER), 6) AS accuracy, round(avg(conf), 6) AS mean_conf, round(count(*) FILTER (y < 3 AND pred < 3) / count(*) FILTER (y < 3), 6) AS toxic_recall, count(*) FILTER (y < 3 AND pred = 3) AS n_missed, any_value(ece) AS ece, any_value(mce) AS mce, round(round(avg(conf), 6) - round(avg((y = pred)::INTEGER), 6), 6) AS conf_gap FROM pr, e",
     "baseline_comparison": f"WITH {SQL}, {_PERT}, g AS (SELECT name, round(avg((y = pred)::INTEGER), 6) AS accuracy FROM pt GROUP BY 1) SELECT g.name, g.accuracy, CASE WHEN b.accuracy > 0.25 THEN round(g.accuracy - b.accuracy, 6) END AS gain FROM g, g b WHERE b.name = 'clean'",
     "verdict_rows": f"WITH {SQL}, s AS (SELECT vec_id, conf, {_NAMES}[pred + 1] AS t, list_max(probs[1:3]) > probs[4] AS seen, {_SEV} AS sev FROM pr) SELECT vec_id, CASE WHEN seen THEN t ELSE 'no_detection' END AS verdict, CASE WHEN seen THEN sev END AS severity, CASE WHEN seen THEN round(conf, 6) END AS confidence FROM s",

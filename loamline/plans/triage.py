@@ -74,12 +74,16 @@ def feedback_entries(spark, sf):
     )
 
 
-def feedback_decisions(entries, files):
+POLICIES = ("all", "corrections-only", "high-confidence")
+
+
+def feedback_decisions(entries, files, policy="all"):
     """Outcome of each row of a manifest, the first that applies: no_filename, duplicate, label_error, skipped, path_escape,
     missing_file, unreadable, review, policy, accepted.
 
-    ``files(filename, readable)`` are the images that exist. The columns ``accepted_by``
-    and ``observation_id`` say which trust policies take an accepted row, and its group.
+    ``files(filename, readable)`` are the images that exist; ``policy`` is the trust policy
+    that decides on rows which get so far. ``accepted_by`` says which policies would take
+    such a row, ``observation_id`` its group.
     """
     r = entries.withColumns({"filename": F.trim(F.coalesce("filename", F.lit(""))), "confidence": fb.normalize_confidence(F.col("raw")), "at": fb.parse_timestamp(F.col("stamp"))})
     r = r.withColumn("r", fb.resolve(F.col("status"), F.col("original"), F.col("corrected"), F.col("synthetic"))).select("*", "r.label", "r.error", F.col("r.status").alias("state"))
@@ -96,10 +100,10 @@ def feedback_decisions(entries, files):
         .when(~F.col("readable"), "unreadable")
         .when(fb.gate(F.col("direction"), F.col("label"), F.col("confidence")), "review")
     )
-    policies = ("all", "corrections-only", "high-confidence")
-    taken = F.array_compact(F.array(*(F.when(fb.trusted(p, F.col("state"), F.col("confidence")), p) for p in policies)))
+    takes = lambda p: fb.trusted(p, F.col("state"), F.col("confidence"))
+    taken = F.array_compact(F.array(*(F.when(takes(p), p) for p in POLICIES)))
     judged = F.col("label").isNotNull()
-    r = r.withColumn("outcome", F.coalesce(outcome, F.when(F.size(taken) > 1, "accepted").otherwise("policy")))
+    r = r.withColumn("outcome", F.coalesce(outcome, F.when(takes(policy), "accepted").otherwise("policy")))
     return r.select(
         "doc_id", "filename", "label", "state", "outcome", F.when(judged, F.col("direction")).alias("direction"),
         F.when(F.col("outcome").isin("accepted", "policy"), F.array_join(taken, ",")).alias("accepted_by"),
@@ -108,17 +112,19 @@ def feedback_decisions(entries, files):
     )
 
 
-def _decisions(spark, sf):
+def _decisions(spark, sf, policy="all"):
     d = table(spark, sf, "documents")
     entries = feedback_entries(spark, sf)
     named = entries.join(d.select("doc_id", "text"), "doc_id").filter(F.col("doc_id") % 17 != 3).groupBy(F.trim("filename").alias("filename"))
     files = named.agg((F.coalesce(F.max(F.length("text")), F.lit(0)) >= 64).alias("readable"))
-    return feedback_decisions(entries, files)
+    return feedback_decisions(entries, files, policy)
 
 
 def feedback_cascade(spark, sf):
-    """Each feedback row with its outcome, contradiction, priority and observation group."""
-    return _decisions(spark, sf)
+    """Each feedback row with its outcome under each trust policy, contradiction, priority and observation group."""
+    d = _decisions(spark, sf)
+    under = lambda p: F.when(F.col("outcome") != "accepted", F.col("outcome")).when(F.array_contains(F.split("accepted_by", ","), p), "accepted").otherwise("policy")
+    return d.withColumns({"outcome_corrections": under(POLICIES[1]), "outcome_confident": under(POLICIES[2])})
 
 
 def feedback_outcomes(spark, sf):
@@ -146,8 +152,8 @@ def staging_conflicts(accepted, staged):
 
 
 def feedback_staging(spark, sf):
-    """Accepted rows with their staged names and conflicts; an earlier run staged every ninth of them, a third under another class."""
-    accepted = _decisions(spark, sf).filter("outcome = 'accepted'")
+    """Rows accepted for their confidence with their staged names and conflicts; an earlier run staged every ninth of them, a third under another class."""
+    accepted = _decisions(spark, sf, "high-confidence").filter("outcome = 'accepted'")
     stem = F.regexp_replace(F.element_at(F.split("filename", "/"), -1), r"(.)\.[^.]*$", "$1")
     before = accepted.filter("doc_id % 9 = 0").groupBy(F.concat(F.lit("fb_"), fb.sanitize_stem(stem), F.lit(".jpg")).alias("staged_name"))
     staged = before.agg(F.min_by(F.when(F.col("doc_id") % 27 == 0, fb.SAFE).otherwise(F.col("label")), "doc_id").alias("prior_class"))
@@ -185,13 +191,14 @@ g4 AS (SELECT *, CASE WHEN label IS NULL THEN NULL WHEN original = label THEN 'n
 g5 AS (SELECT *, CASE WHEN filename = '' THEN 'no_filename' WHEN doc_id > first_id THEN 'duplicate' WHEN state NOT IN ('synthetic', 'discarded', 'none', '') AND label IS NULL THEN 'label_error' WHEN label IS NULL THEN 'skipped'
     WHEN filename LIKE '/%' OR filename LIKE '../%' OR filename LIKE 'sub/../../%' THEN 'path_escape' WHEN readable IS NULL THEN 'missing_file' WHEN NOT readable THEN 'unreadable'
     WHEN (direction = 'toxic_to_safe' AND (confidence IS NULL OR confidence >= 0.7)) OR (direction = 'unknown_origin' AND label = 'safe_plants') THEN 'review'
-    WHEN state = 'corrected' OR coalesce(confidence >= 0.5, FALSE) THEN 'accepted' ELSE 'policy' END AS outcome FROM g4),
-fc AS (SELECT doc_id, filename, label, state, outcome, direction,
-  CASE WHEN outcome IN ('accepted', 'policy') THEN 'all' || CASE WHEN state = 'corrected' THEN ',corrections-only' ELSE '' END || CASE WHEN coalesce(confidence >= 0.5, FALSE) THEN ',high-confidence' ELSE '' END END AS accepted_by,
+    ELSE 'accepted' END AS outcome, coalesce(confidence >= {fb.LEAST_TRUSTED}::DOUBLE, FALSE) AS sure FROM g4),
+fc AS (SELECT doc_id, filename, label, state, outcome, CASE WHEN outcome <> 'accepted' THEN outcome WHEN state = 'corrected' THEN 'accepted' ELSE 'policy' END AS outcome_corrections,
+  CASE WHEN outcome <> 'accepted' THEN outcome WHEN sure THEN 'accepted' ELSE 'policy' END AS outcome_confident, direction,
+  CASE WHEN outcome = 'accepted' THEN 'all' || CASE WHEN state = 'corrected' THEN ',corrections-only' ELSE '' END || CASE WHEN sure THEN ',high-confidence' ELSE '' END END AS accepted_by,
   CASE WHEN label IS NOT NULL THEN round(CASE state WHEN 'corrected' THEN 1 + coalesce(confidence, 0.5::DOUBLE) ELSE 0.3::DOUBLE + (1 - coalesce(confidence, 0.5::DOUBLE)) END
     + CASE direction WHEN 'safe_to_toxic' THEN 1.0::DOUBLE + CASE WHEN label IN ('poison_ivy', 'poison_oak') THEN 0.25::DOUBLE ELSE 0 END WHEN 'toxic_to_safe' THEN 0.5::DOUBLE WHEN 'unknown_origin' THEN 0.25::DOUBLE ELSE 0 END + 1e-9::DOUBLE, 4) END AS priority,
   CASE WHEN bucket IS NOT NULL AND (lat <> 0 OR lng <> 0) AND abs(lat) <= 90 THEN 'fb_obs_' || substr(sha1(round(lat, 4)::VARCHAR || ',' || round(lng, 4)::VARCHAR || ',' || bucket), 1, 12) ELSE 'fb_single_' || substr(sha1(filename), 1, 12) END AS observation_id FROM g5)"""
-_STAGED = f"""{_ENTRIES}, ac AS (SELECT *, 'fb_' || regexp_replace(regexp_replace(string_split(filename, '/')[-1], '[.]jpg$', ''), '[^A-Za-z0-9_.-]+', '_', 'g') || '.jpg' AS staged_name FROM fc WHERE outcome = 'accepted'),
+_STAGED = f"""{_ENTRIES}, ac AS (SELECT *, 'fb_' || regexp_replace(regexp_replace(string_split(filename, '/')[-1], '[.]jpg$', ''), '[^A-Za-z0-9_.-]+', '_', 'g') || '.jpg' AS staged_name FROM fc WHERE outcome_confident = 'accepted'),
 be AS (SELECT staged_name, arg_min(CASE WHEN doc_id % 27 = 0 THEN 'safe_plants' ELSE label END, doc_id) AS prior_class FROM ac WHERE doc_id % 9 = 0 GROUP BY 1),
 cb AS (SELECT *, first_value(doc_id) OVER (PARTITION BY staged_name ORDER BY priority DESC, doc_id) AS claimed_by FROM ac)"""
 

@@ -27,8 +27,9 @@ def test_timestamps(spark):
 
 
 def test_paths_stay_inside(spark):
-    names = ["a.jpg", "sub/a.jpg", "sub/../a.jpg", "./a.jpg", "../../etc/passwd", "/abs/path.jpg", "../manifest.json", "../../../../tmp/evil.jpg", "subdir/../../escape.jpg", "..\\x"]
-    assert _one(spark, [(n,) for n in names], "n string", fb.inside(F.col("n"))) == [True, True, True, True, False, False, False, False, False, True]
+    # Own cases of the rule: absolute, above the folder, down and up again, back by the folder's name.
+    names = ["a.jpg", "x/y/a.jpg", "x/../a.jpg", "x/./y//../a.jpg", ".", "/a.jpg", "..", "x/../../box/a.jpg", "x/y/../../../a.jpg", "../box/a.jpg", "x..y/..a.jpg", "b\\..\\a"]
+    assert _one(spark, [(n,) for n in names], "n string", fb.inside(F.col("n"))) == [True, True, True, True, True, False, False, False, False, False, True, True]
 
 
 def test_observation_groups(spark):
@@ -40,7 +41,7 @@ def test_observation_groups(spark):
 
 
 def test_trust_policies(spark):
-    rows = [("confirmed", 0.4), ("corrected", 0.4), ("corrected", 0.5), ("confirmed", None)]
+    rows = [("confirmed", 0.69), ("corrected", 0.4), ("corrected", 0.7), ("confirmed", None)]
     take = lambda p: _one(spark, rows, "s string, c double", fb.trusted(p, F.col("s"), F.col("c")))
     assert take("all") == [True] * 4 and take("corrections-only") == [False, True, True, False] and take("high-confidence") == [False, False, True, False]
     with pytest.raises(ValueError, match="no trust policy"):
@@ -54,7 +55,9 @@ def test_every_outcome_in_order(spark):
     row = lambda i, name, o="poison_ivy", c=None, s="confirmed", m=None, raw="0.9": (i, name, o, c, s, m, raw, None, None, None)
     rows = [row(0, " "), row(1, "a.jpg", s="discarded"), row(2, "a.jpg"), row(3, "b.jpg", o="fern"), row(4, "c.jpg", m=True), row(5, "../d.jpg"), row(6, "e.jpg"), row(7, "f.jpg"), row(8, "g.jpg", c="safe_plants", s="corrected"), row(9, "h.jpg", raw="0.1"), row(10, "i.jpg")]
     files = spark.createDataFrame([(f"{x}.jpg", x != "f") for x in "abcdfghi"] + [("../d.jpg", True)], "filename string, readable boolean")
-    got = {r.doc_id: r for r in triage.feedback_decisions(spark.createDataFrame(rows, ENTRY), files).collect()}
+    got = {r.doc_id: r for r in triage.feedback_decisions(spark.createDataFrame(rows, ENTRY), files, "high-confidence").collect()}
+    by_all = {r.doc_id: r.outcome for r in triage.feedback_decisions(spark.createDataFrame(rows, ENTRY), files).collect()}
+    assert by_all[9] == by_all[10] == "accepted" and by_all[8] == "review"
     assert [got[i].outcome for i in range(11)] == ["no_filename", "skipped", "duplicate", "label_error", "skipped", "path_escape", "missing_file", "unreadable", "review", "policy", "accepted"]
     assert got[10].accepted_by == "all,high-confidence" and got[9].accepted_by == "all" and got[8].accepted_by is None
 

@@ -1,3 +1,4 @@
+import pytest
 import math
 import random
 
@@ -130,3 +131,15 @@ def test_running_sums_by_ranges(spark):
         got = {r.i: (r.before, r.total) for r in ranks.running(df, "k", F.col("o"), ["i"], F.col("n"), ranges).collect()}
         want = {i: (sum(m for g, p, j, m in rows if g == k and (p, j) < (o, i)), sum(m for g, _, _, m in rows if g == k)) for k, o, i, _ in rows}
         assert got == want
+
+
+def test_a_broken_split_is_an_error(spark):
+    from loamline.plans import curation
+
+    good = spark.createDataFrame([("s", "g", "a", True), ("s", "g", "b", True), ("s", "h", "c", False)], "source string, grp string, name string, val boolean")
+    assert tuple(curation.overlap(good).first()) == (2, 0, 1, 2)
+    assert curation.assert_disjoint(good).count() == 3
+    broken = good.union(spark.createDataFrame([("s", "g", "d", False)], good.schema))
+    assert tuple(curation.overlap(broken).first()) == (2, 1, 2, 2)
+    with pytest.raises(Exception, match="both sides: s/g"):
+        curation.assert_disjoint(broken).collect()

@@ -27,9 +27,12 @@ def test_dates_places_and_names(spark):
 
 def test_exact_leak_beats_near_and_held_out_beats_pool(spark):
     one = 0b1011 << 40
-    ref = [(0, "held_out:a", "d1", one, one), (1, "held_out:b", "d2", one ^ 1, one), (2, "pool:c", "d3", -1, -1), (3, "pool:d", "d3", 7, 7)]
-    staged = [(1, "d3", one, one), (2, "x", one ^ 3, one), (3, "x", one ^ 31, one ^ 31), (4, "x", one ^ 63, one), (5, "x", one, one ^ 63), (6, None, None, None), (7, "d2", 1 << 62, 0)]
-    got = pv.leak_matches(spark.createDataFrame(staged, "doc_id long, digest string, level long, step long"), spark.createDataFrame(ref, "ord long, origin string, digest string, level long, step long")).collect()
+    ref = [(0, "held_out:a", "d1", one, one, 100), (1, "held_out:b", "d2", one ^ 1, one, 101), (2, "pool:c", "d3", -1, -1, 102), (3, "pool:d", "d3", 7, 7, 103), (4, "pool:e", "d5", 1 << 55, 1 << 55, 104)]
+    staged = [(1, "d3", one, one), (2, "x", one ^ 3, one), (3, "x", one ^ 31, one ^ 31), (4, "x", one ^ 63, one), (5, "x", one, one ^ 63), (6, None, None, None), (7, "d2", 1 << 62, 0), (8, "x", 1 << 55, (1 << 55) + 1)]
+    # Hashes of 8 and 104 are near, but their texts have nothing in common.
+    docs = [(i, "a b c d e f") for i in (1, 2, 3, 4, 5, 100, 101)] + [(7, "g"), (8, "one two"), (102, "h"), (103, "i"), (104, "three four")]
+    fields = "digest string, level long, step long, rep long"
+    got = pv.leak_matches(spark.createDataFrame([(*s, s[0]) for s in staged], f"doc_id long, {fields}"), spark.createDataFrame(ref, f"ord long, origin string, {fields}"), spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.kind, r.origin) for r in got} == {1: ("exact", "pool:c"), 2: ("near", "held_out:a"), 3: ("near", "held_out:a"), 4: ("near", "held_out:b"), 7: ("exact", "held_out:b")}
 
 
