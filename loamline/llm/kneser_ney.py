@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import batch_words, crc_fold, documents, hash_words, local_path, materialize, replace_file, shared_dir, text_slices
+from loamline.llm.common import batch_words, crc_fold, discard, documents, hash_words, local_path, materialize, replace_file, shared_dir, text_slices
 
 #: Bytes of text for one slot of words, tokens for one shard of bigrams.
 SLOT_BYTES, SHARD_TOKENS = 32 << 20, 2_000_000
@@ -102,6 +102,10 @@ def _array(path: str, kind: str, n: int, skip: int = 0):
     return np.memmap(path, kind, "r", skip, (n,)) if n else np.empty(0, kind)
 
 
+def _slots(hashes, bits: int):
+    return (hashes >> np.uint64(64 - bits)).astype("i8") if bits else np.zeros(len(hashes), "i8")
+
+
 class Words:
     """Numbers and counts of words, from the slots' sorted hashes."""
 
@@ -111,7 +115,7 @@ class Words:
         self.total = int(self.offsets[-1])
 
     def slots(self, hashes):
-        return (hashes >> np.uint64(64 - self.bits)).astype("i8") if self.bits else np.zeros(len(hashes), "i8")
+        return _slots(hashes, self.bits)
 
     def numbers(self, hashes):
         """Number of each hash, -1 for unknown ones, and its count."""
@@ -249,7 +253,7 @@ def train(df: DataFrame, uri: str, slot_bytes: int = SLOT_BYTES, shard_tokens: i
             for _, part in text_slices(b.column(0), SLICE_BYTES):
                 hashes, codes, _ = _tokens(part)
                 counts = np.bincount(codes, minlength=len(hashes))
-                yield _blobs(Words("", [0] * (1 << bits)).slots(hashes), hashes, counts.astype("u8"))
+                yield _blobs(_slots(hashes, bits), hashes, counts.astype("u8"))
 
     def write_words(pdf):
         import pandas as pd
@@ -269,12 +273,15 @@ def train(df: DataFrame, uri: str, slot_bytes: int = SLOT_BYTES, shard_tokens: i
         raise ValueError("numbers of words no longer fit in 32 bits")
     parts = {int(words.offsets[r.slot]) + p: -(-c // shard_tokens) for r in done for p, c in zip(r.places, r.often, strict=True)}
     shards = Shards(words.total, max(1, -(-tokens // shard_tokens)), parts)
+    # Tables with an entry for each file are broadcast once, not sent with every task.
+    held = df.sparkSession.sparkContext.broadcast((words, shards))
 
     def count_pairs(batches):
+        words, shards = held.value
         for b in batches:
             for _, part in text_slices(b.column(0), SLICE_BYTES):
                 hashes, codes, bounds = _tokens(part)
-                w = Words(folder, sizes).numbers(hashes)[0][codes]
+                w = words.numbers(hashes)[0][codes]
                 h = np.concatenate([[words.total], w[:-1]])
                 h[bounds[:-1]] = words.total
                 keys, counts = np.unique((h.astype("u8") << np.uint64(32)) | w.astype("u8"), return_counts=True)
@@ -283,6 +290,7 @@ def train(df: DataFrame, uri: str, slot_bytes: int = SLOT_BYTES, shard_tokens: i
     def write_pairs(pdf):
         import pandas as pd
 
+        words, shards = held.value
         shard = int(pdf["slot"].iloc[0])
         keys, counts = _merge(pdf)
         first, second = (keys >> np.uint64(32)).astype("i8"), keys & np.uint64(0xFFFFFFFF)
@@ -306,14 +314,15 @@ def train(df: DataFrame, uri: str, slot_bytes: int = SLOT_BYTES, shard_tokens: i
     def write_continuations(pdf):
         import pandas as pd
 
-        slot = int(pdf["slot"].iloc[0])
+        words, slot = held.value[0], int(pdf["slot"].iloc[0])
         keys, counts = _merge(pdf)
-        whole = np.zeros(sizes[slot], "<u8")
+        whole = np.zeros(words.sizes[slot], "<u8")
         whole[keys.astype("i8") - int(words.offsets[slot])] = counts
         replace_file(f"{folder}/continuations-{slot:06d}", [whole.tobytes()])
         return pd.DataFrame({"kinds": [[*_classes(counts, 4), int((counts > 2).sum())]]})
 
     kinds = [r.kinds for r in pairs.select("slot", "n", "keys", "counts").groupBy("slot").applyInPandas(write_continuations, "kinds array<long>").collect()]
+    discard(pairs)
     n1, n2, n3, n4, more = (sum(k[i] for k in kinds) for i in range(5))
     d_word = discounts(n1, n2, n3, n4)
     n_pairs = sum(r.stats[0] for r in rows)
@@ -325,12 +334,14 @@ def train(df: DataFrame, uri: str, slot_bytes: int = SLOT_BYTES, shard_tokens: i
 def score(df: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, base_score, score) of ``df(doc_id, held_out, text)``."""
 
+    held = df.sparkSession.sparkContext.broadcast(model)
+
     def scored(batches):
         import pyarrow as pa
 
         for b in batches:
             for at, part in text_slices(b.column(2), SLICE_BYTES):
-                n, known, base, own = model.score_batch(part)
+                n, known, base, own = held.value.score_batch(part)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), b.column(1).slice(at, len(part)), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
