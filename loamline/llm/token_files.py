@@ -35,8 +35,8 @@ DICT_SAMPLE, DICT_DOC_BYTES, DICT_BYTES = 1000, 1 << 14, 1 << 16
 #: Compression level; bytes of text for one shard.
 LEVEL = 1
 SHARD_TEXT_BYTES = 32 << 20
-#: Bytes of text that a task encodes at a time.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that a task encodes at a time, and chunks of text whose ids a worker remembers.
+SLICE_BYTES, KEPT_CHUNKS = 8 << 20, 400_000
 _HEAD = struct.Struct("<8s32sBQQ")
 _MAGIC = b"LLTOKEN1"
 #: Null ids come first.
@@ -142,7 +142,7 @@ def write_token_files(df: DataFrame, tokenizer: str, end_id: int, uri: str, widt
     def serialized(texts) -> list[bytes]:
         import numpy as np
 
-        flat, bounds = chunk_encoder(tokenizer).encode_batch(texts)
+        flat, bounds = chunk_encoder(tokenizer, kept=KEPT_CHUNKS).encode_batch(texts)
         flat = np.insert(flat, bounds[1:], end_id).astype(f"<u{width}")
         bounds = (bounds + np.arange(len(bounds))).tolist()
         return [flat[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
