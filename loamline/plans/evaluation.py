@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from loamline.functions import decisions as d
 from loamline.operators import metrics as m
+from loamline.operators import probe
+from loamline.operators.lineage import written
 from loamline.operators.selection import percentiles
 from loamline.plans.predictions import SQL, predictions
 from loamline.sources.tables import table
@@ -237,12 +239,19 @@ def temperature_fit(spark, sf, rounds: int = 4, points: int = 11):
     return spark.createDataFrame([(round(t, 4), before and round(before, 6), found.get(min(found, key=found.get)) if found else None)], "temperature double, nll_before double, nll_after double").withColumn("nll_after", F.round("nll_after", 6))
 
 
+def kfold_probe(spark, sf, folds: int = 5):
+    """How well a linear model tells the classes apart on folds that it hasn't seen: mean and deviation of accuracy and harmful recall."""
+    e = table(spark, sf, "embeddings").filter("label IS NOT NULL").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("features"), F.least("label", F.lit(CLS - 1)).cast("int").alias("y"))
+    rows = written(probe.stratified_folds(e, "y", F.xxhash64("vec_id"), folds))
+    return probe.spread(probe.predict_folds(rows, probe.fit_folds(rows, 64, CLS, folds)), CLS - 1)
+
+
 def severity_counts(spark, sf):
     p = predictions(spark, sf)
     return p.groupBy("y", d.decide(F.col("probs")).alias("decision"), d.alert_level(F.col("conf")).alias("level")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (confusion_matrix, per_class_prf, operating_point, safety_sweep, calibration_sweep, ece_bins, expected_calibration_error, auroc, ood_gate, energy_summary, model_agreement, temperature_grid, ranking_measures, worklist_topk, severity_counts, per_class_ece, accuracy_macro_f1, safety_metrics, operating_point_by_class, robustness_report, blur_flip, model_deltas, ood_harm, strategy_top, worklist_composition, temperature_fit)}
+QUERIES = {f.__name__: f for f in (confusion_matrix, per_class_prf, operating_point, safety_sweep, calibration_sweep, ece_bins, expected_calibration_error, auroc, ood_gate, energy_summary, model_agreement, temperature_grid, ranking_measures, worklist_topk, severity_counts, per_class_ece, accuracy_macro_f1, safety_metrics, operating_point_by_class, robustness_report, blur_flip, model_deltas, ood_harm, strategy_top, worklist_composition, temperature_fit, kfold_probe)}
 
 _T = ", ".join(f"({t}::DOUBLE)" for t in SWEEP)
 _THR = "least(greatest(CASE pred WHEN 0 THEN 0.40::DOUBLE WHEN 1 THEN 0.40::DOUBLE WHEN 2 THEN 0.52::DOUBLE ELSE 0.50::DOUBLE END + (s - 0.5::DOUBLE), 0.15::DOUBLE), 0.95::DOUBLE)"
