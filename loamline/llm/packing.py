@@ -17,10 +17,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import documents
+from loamline.llm.common import documents, text_slices
 from loamline.llm.encoding import chunk_encoder, tokenizer_path
 
 SEQ_LEN, GROUP_DOCS = 2048, 4096
+#: Bytes of text that a task encodes at a time.
+SLICE_BYTES = 8 << 20
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, pack_group long"
 
 
@@ -37,18 +39,19 @@ def encode_pieces(df: DataFrame, tokenizer: str, end_id: int, seq_len: int = SEQ
 
         encoder, end = chunk_encoder(tokenizer, True), end_id.to_bytes(4, "little")
         step = 4 * seq_len
+        names = [x.split()[0] for x in _PIECE.split(", ")] + ["ids"] * with_ids
+        kinds = [pa.int64()] * 6 + [pa.binary()] * with_ids
         for batch in batches:
-            out = []
-            flat, bounds = encoder.encode_batch(batch.column(1))
-            for doc, group, a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                ids = flat[a:b].tobytes() + end
-                for at in range(0, len(ids), step):
-                    piece = ids[at : at + step]
-                    out.append((doc, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, group) + ((piece,) if with_ids else ()))
-            kinds = [pa.int64()] * 6 + [pa.binary()] * with_ids
-            names = [x.split()[0] for x in _PIECE.split(", ")] + ["ids"] * with_ids
-            cols = list(zip(*out, strict=True)) if out else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+            for lo, texts in text_slices(batch.column(1), SLICE_BYTES):
+                own, out = batch.slice(lo, len(texts)), []
+                flat, bounds = encoder.encode_batch(texts)
+                for doc, group, a, b in zip(own.column(0).to_pylist(), own.column(2).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    ids = flat[a:b].tobytes() + end
+                    for at in range(0, len(ids), step):
+                        piece = ids[at : at + step]
+                        out.append((doc, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, group) + ((piece,) if with_ids else ()))
+                cols = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     return rows.mapInArrow(cut, _PIECE + ", ids binary" * with_ids)
 
