@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept;
 all but the last return the columns of ``docs``.
+
+Defined results: null and empty texts fail the quality rules and go there. Without labelled
+rows the classifier takes every document for a good one (score 0.5). Of rows that share a
+set of shingles, or an id, one stays; rows with a null id are never linked and stay. Packing
+gives a row for each piece, and none for an empty table. Texts of any length are judged,
+compared and packed as a whole. Other columns of ``docs``, whatever their names, pass
+through all stages but the last.
 """
 
 from __future__ import annotations

@@ -93,6 +93,8 @@ def entropy(probs: Column) -> Column:
 
 def safety_score(probs: Column, window: float = 0.20, w_boundary: float = 0.7, w_threshold: float = 0.3) -> Column:
     """How near a row is to the line between harmful and safe, and to its alert threshold."""
+    if window <= 0 or min(w_boundary, w_threshold) < 0 or w_boundary + w_threshold <= 0:
+        raise ValueError("the window must be above 0, and the weights not below 0 nor both 0")
     safe = F.element_at(probs, -1)
     harmful = F.slice(probs, 1, F.size(probs) - 1)
     top = argmax(harmful)

@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 
 from loamline.functions import app
 from loamline.functions import decisions as d
+from loamline.functions import sources as so
 from loamline.functions.details import token
 from loamline.operators import metrics as m
 from loamline.plans import evaluation as ev
 from loamline.plans import gait, records
 from loamline.plans.event_series import _E
 from loamline.plans.predictions import SQL, predictions
-from loamline.sources.tables import events
+from loamline.plans.triage import feedback_entries
+from loamline.sources.tables import events, table
 from loamline.streaming.event_streams import shared
 
 #: Turning rate above which a frame is smeared; the view that boxes are drawn in; stored sensitivities; rows of a worklist.
 MOST_RATE, VIEW, STORED, TOP = 1.2, (390.0, 844.0), (0.1, 0.5, 0.95), 50
+#: Pool images that a run scores at most, and the folder that none may come from.
+LIMIT, FROZEN = 300, "held_out"
 
 
 def _k():
@@ -106,7 +110,48 @@ def composed_report(spark, sf):
     return spark.read.schema(report.schema).json(path)
 
 
-QUERIES = {f.__name__: f for f in (frame_gate, box_mapping, alert_guard, worklist_file, composed_report)}
+def pool_gate(spark, sf):
+    """The first ``LIMIT`` pool images by path that no earlier run has seen, and why one is dropped before its hash is looked at.
+
+    Every ninth document was seen; a path inside the frozen folder is a leak, however it is written.
+    """
+    i = F.col("doc_id")
+    folder = F.when(i % 7 == 1, f"{FROZEN}/").when(i % 11 == 2, f"pool/../{FROZEN}/").otherwise("pool/")
+    rows = table(spark, sf, "documents").select("doc_id", F.concat(folder, "lang", F.lit("/"), F.lpad(i.cast("string"), 9, "0"), F.lit(".jpg")).alias("path"))
+    seen = rows.filter("doc_id % 9 = 0").select("doc_id")
+    plain = F.regexp_replace("path", r"(^|/)[^/.]+/\.\./", "$1")
+    fresh = rows.join(seen, "doc_id", "left_anti").orderBy("path").limit(LIMIT)
+    return fresh.select("doc_id", "path", F.when(plain.startswith(f"{FROZEN}/"), "leak_heldout").alias("drop"))
+
+
+def assert_classes(rows, column, contract):
+    """``rows``, if the sorted values of a column are the contract's; else an error when a row is read."""
+    found = rows.agg(F.array_join(F.sort_array(F.collect_set(column)), ",").alias("_found"))
+    told = F.raise_error(F.concat(F.lit("the classes are "), F.col("_found"))).cast("string")
+    return rows.crossJoin(F.broadcast(found)).withColumn(column, F.when(F.col("_found") == ",".join(contract), F.col(column)).otherwise(told)).drop("_found")
+
+
+def class_contract(spark, sf):
+    """Rows of each class of predictions, which must be the four of the contract."""
+    named = predictions(spark, sf).select(F.get(F.array(*map(F.lit, records.CLASSES)), "y").alias("cls"))
+    return assert_classes(named.groupBy("cls").agg(F.count("*").alias("n")), "cls", records.CLASSES)
+
+
+def debug_confidences(spark, sf):
+    """Every row's classes, the most confident first; of equal ones the first class."""
+    own = F.transform("probs", lambda p, i: F.struct((-p).alias("less"), i.alias("cls"), p.alias("p")))
+    ranked = predictions(spark, sf).select("vec_id", F.posexplode(F.sort_array(own)).alias("place", "s"))
+    return ranked.select("vec_id", "place", F.get(F.array(*map(F.lit, records.CLASSES)), F.col("s.cls")).alias("cls"), F.round("s.p", 6).alias("confidence"))
+
+
+def detection_log(spark, sf):
+    """Feedback rows as the app's log holds them: without a usable place they lie at 0, 0 and say so."""
+    e = feedback_entries(spark, sf)
+    there = F.coalesce(so.usable_place(F.col("latitude"), F.col("longitude")), F.lit(False))
+    return e.select("doc_id", there.alias("has_location"), *(F.round(F.when(there, F.col(c)).otherwise(0.0), 6).alias(c) for c in ("latitude", "longitude")))
+
+
+QUERIES = {f.__name__: f for f in (frame_gate, box_mapping, alert_guard, worklist_file, composed_report, pool_gate, class_contract, debug_confidences, detection_log)}
 
 _HEAL = f"least(greatest(s, {app.SENSITIVITY[0]}::DOUBLE), {app.SENSITIVITY[1]}::DOUBLE)"
 _THR = f"least(greatest(CASE pred WHEN 2 THEN 0.52::DOUBLE ELSE 0.40::DOUBLE END + ({_HEAL} - 0.5::DOUBLE), 0.15::DOUBLE), 0.95::DOUBLE)"
@@ -114,6 +159,10 @@ _NAMES = "[" + ", ".join(f"'{c}'" for c in records.CLASSES) + "]"
 _W, _H = VIEW
 _STORED = ", ".join(f"({s}::DOUBLE)" for s in STORED)
 ORACLES = {
+    "pool_gate": f"WITH p AS (SELECT doc_id, CASE WHEN doc_id % 7 = 1 THEN '{FROZEN}/' WHEN doc_id % 11 = 2 THEN 'pool/../{FROZEN}/' ELSE 'pool/' END || lang || '/' || lpad(doc_id::VARCHAR, 9, '0') || '.jpg' AS path FROM documents WHERE doc_id % 9 <> 0 ORDER BY path LIMIT {LIMIT}) SELECT doc_id, path, CASE WHEN path LIKE '{FROZEN}/%' OR path LIKE 'pool/../{FROZEN}/%' THEN 'leak_heldout' END AS drop FROM p",
+    "class_contract": f"WITH {SQL} SELECT {_NAMES}[y + 1] AS cls, count(*) AS n FROM pr GROUP BY 1",
+    "debug_confidences": f"WITH {SQL}, x AS (SELECT vec_id, i, probs[i] AS p FROM pr CROSS JOIN (SELECT unnest(range(1, 5)) AS i)) SELECT vec_id, (row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, i) - 1)::INTEGER AS place, {_NAMES}[i] AS cls, round(p, 6) AS confidence FROM x",
+    "detection_log": f"WITH {records._ENTRIES}, l AS (SELECT doc_id, (lat <> 0 OR lng <> 0) AND abs(lat) <= 90 AS there, lat, lng FROM g1) SELECT doc_id, there AS has_location, CASE WHEN there THEN round(lat, 6) ELSE 0 END AS latitude, CASE WHEN there THEN round(lng, 6) ELSE 0 END AS longitude FROM l",
     "frame_gate": f"WITH {_E}, {gait._CAP}, r AS (SELECT event_id, trig, sqrt((value / 100) * (value / 100) + (e.k / 50) * (e.k / 50) + ((event_id % 11) / 10) * ((event_id % 11) / 10)) AS rate FROM e JOIN cap USING (event_id)) SELECT event_id, round(rate, 6) AS rate, coalesce(trig = 'forced', FALSE) OR coalesce(rate <= {MOST_RATE}::DOUBLE, TRUE) AS passes FROM r",
     "box_mapping": f"WITH {_E}, b AS (SELECT event_id, (value / 100 - 0.4::DOUBLE) * {_W}::DOUBLE - 4 AS l, (1 - (k / 60 - 0.3::DOUBLE) - 0.2::DOUBLE) * {_H}::DOUBLE - 4 AS t FROM e), c AS (SELECT event_id, greatest(l, 0) AS x0, greatest(t, 0) AS y0, least(l + 0.3::DOUBLE * {_W}::DOUBLE + 8, {_W}::DOUBLE) AS x1, least(t + 0.2::DOUBLE * {_H}::DOUBLE + 8, {_H}::DOUBLE) AS y1 FROM b) SELECT event_id, CASE WHEN x1 >= x0 AND y1 >= y0 THEN round(x0, 6) ELSE 0 END AS x, CASE WHEN x1 >= x0 AND y1 >= y0 THEN round(y0, 6) ELSE 0 END AS y, CASE WHEN x1 >= x0 AND y1 >= y0 THEN round(x1 - x0, 6) ELSE 0 END AS w, CASE WHEN x1 >= x0 AND y1 >= y0 THEN round(y1 - y0, 6) ELSE 0 END AS h FROM c",
     "alert_guard": f"WITH {SQL}, c AS (SELECT pred, CASE WHEN vec_id % 3 = 0 THEN conf * 1.3::DOUBLE ELSE conf END AS conf, s FROM pr CROSS JOIN (VALUES {_STORED}) v(s)) SELECT s AS stored, {_HEAL} AS healed, CASE WHEN pred = 3 OR conf > 1 THEN 'ignore' WHEN conf >= {_THR} THEN 'alert' WHEN conf >= {_THR} - 0.2::DOUBLE THEN 'uncertain' ELSE 'ignore' END AS severity, count(*) AS n FROM c GROUP BY 1, 2, 3",
