@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamline.llm.common import discard, documents, materialize
+from loamline.llm.common import discard, documents, materialize, text_slices
 from loamline.llm.components import connected_components
 
 BANDS, ROWS, BITS = 64, 8, 2
@@ -39,6 +39,8 @@ BANDS, ROWS, BITS = 64, 8, 2
 MARGIN = 0.12
 #: As many ids are broadcast at most, about 100 MB on an executor.
 BROADCAST_IDS = 4_000_000
+#: Words whose hashes a worker remembers; bytes of texts and rows of sets that it unpacks at a time.
+KNOWN_WORDS, SLICE_BYTES, SLICE_ROWS = 150_000, 4 << 20, 1_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,7 +58,7 @@ def _word_hashes(words: list[bytes], known: dict[bytes, int]):
 
     found = [known.get(w) for w in words]
     if None in found:
-        if len(known) > 500_000:
+        if len(known) > KNOWN_WORDS:
             known.clear()
         for i, f in enumerate(found):
             if f is None:
@@ -119,17 +121,17 @@ def signatures(df: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS,
         import pyarrow as pa
 
         known, signer = {}, Signer(bands, rows, bits)
-        for b in batches:
+        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
+        for b, at, texts in ((b, at, texts) for b in batches for at, texts in text_slices(b.column(1), SLICE_BYTES)):
             out = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, text in zip(b.column(0).slice(at, len(texts)).to_pylist(), texts.to_pylist(), strict=True):
                 s = shingle_set(text, width, known)
                 if len(s):
                     whole = s.tobytes()
                     out.append((doc, len(s), *(np.array([xxhash.xxh64_intdigest(whole, seed=k) for k in (1, 2)], "u8").astype("i8").tolist()), *signer.sign(s)))
                 else:
                     out.append((doc, 0, None, None, None, None))
-            cols = list(zip(*out, strict=True)) if out else [()] * 6
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
+            cols = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "low"])
 
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
@@ -182,10 +184,10 @@ def packed_sets(ids: DataFrame, df: DataFrame, width: int) -> DataFrame:
         import xxhash
 
         known = {}
-        for b in batches:
-            sets = [_pack_set(shingle_set(t, width, known)) for t in b.column(1).to_pylist()]
+        for b, at, texts in ((b, at, texts) for b in batches for at, texts in text_slices(b.column(1), SLICE_BYTES)):
+            sets = [_pack_set(shingle_set(t, width, known)) for t in texts.to_pylist()]
             keys = [xxhash.xxh64_intdigest(s) >> 1 for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "key", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "key", "shingles"])
 
     texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
     sets = materialize(texts.mapInArrow(to_sets, "doc_id long, key long, shingles binary"), "sets")
@@ -193,6 +195,13 @@ def packed_sets(ids: DataFrame, df: DataFrame, width: int) -> DataFrame:
     return sets.dropDuplicates(["doc_id", "key"]) if repeated.limit(1).count() else sets
 
 
+def _slices(batches):
+    """Batches of ``SLICE_ROWS`` rows at most."""
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE_ROWS):
+            yield b.slice(at, SLICE_ROWS)
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
 
@@ -209,7 +218,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def compare(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in _slices(batches):
             keep, last, x = [], None, None
             for left, right in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if left != last:
@@ -245,7 +254,7 @@ def differences(balls: DataFrame, sets: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
         rows, found, held = [], [], 0
-        for b in batches:
+        for b in _slices(batches):
             for u, u_key, v, v_key, component, x, y in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
                 own = _unpack_set(y)
                 rows.append((u, u_key, v, v_key, component, len(own)))

@@ -23,14 +23,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import crc_fold, documents, fit_in_task, labelled_sample, labels
+from loamline.llm.common import crc_fold, documents, fit_in_task, labelled_sample, labels, text_slices
 
 #: Documents for fitting; bytes of a passage; hashed byte pairs; hidden and attention units.
 FIT_DOCS, PASSAGE_BYTES, PAIR_BINS, HIDDEN, ATTENTION = 3000, 768, 256, 24, 12
 EPOCHS, BATCH_DOCS, RATE = 14, 64, 0.004
 FEATURES = 128 + PAIR_BINS + 4
-#: Passages encoded at a time.
-_BLOCK = 1024
+#: Bytes of texts scored at a time, and passages encoded at a time.
+SLICE_BYTES, _BLOCK = 4 << 20, 1024
 
 
 def encode_passages(block: bytes, starts):
@@ -189,9 +189,9 @@ def score(df: DataFrame, model, text_col: str = "text") -> DataFrame:
     def scored(batches):
         import pyarrow as pa
 
-        for b in batches:
-            s = score_texts(held.value, b.column(own.index(text_col)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype("i4"))], names=[*own, "score", "predicted"])
+        for b, at, texts in ((b, at, texts) for b in batches for at, texts in text_slices(b.column(own.index(text_col)), SLICE_BYTES)):
+            s = score_texts(held.value, texts.to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.slice(at, len(texts)).columns[:n], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype("i4"))], names=[*own, "score", "predicted"])
 
     from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
