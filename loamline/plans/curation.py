@@ -268,10 +268,12 @@ def prefix_split(spark, sf):
 def dataset_fingerprint(spark, sf):
     """Rows of each source and one digest of their names in order.
 
-    Names are digested in blocks of 1,000 numbers, the blocks' digests in blocks again, so
-    that no row holds more than 1,000 of them; three levels serve a billion names.
+    Names are numbered by range-wise places and digested in blocks of 1,000 places, the
+    blocks' digests in blocks again, so that no row holds more than 1,000 of them, however
+    sparse ids are; three levels serve a billion names.
     """
-    d = table(spark, sf, "documents").select("source", F.col("doc_id").alias("k"), F.concat(F.lit("doc_"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("x"), F.lit(1).cast("long").alias("n"))
+    placed = ranks.numbered(table(spark, sf, "documents").select("source", "doc_id"), "source", "doc_id")
+    d = placed.select("source", F.col("before").alias("k"), F.concat(F.lit("doc_"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("x"), F.lit(1).cast("long").alias("n"))
     for _ in range(3):
         whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]), "\n")
         d = d.groupBy("source", F.floor(F.col("k") / 1000).alias("k")).agg(F.sha2(whole, 256).alias("x"), F.sum("n").alias("n"))
@@ -365,7 +367,7 @@ ORACLES = {
     "first_k_per_class": "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents QUALIFY place <= 5",
     "spot_sample": "WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT source, doc_id, i FROM r WHERE list_contains(list_transform(range(5), lambda j: floor(j * (n - 1) / 4)::BIGINT), i)",
     "prefix_split": "WITH r AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT source, sum((i <= floor(n * 0.8::DOUBLE))::INTEGER)::BIGINT AS n_train, count(*) AS n_all FROM r GROUP BY 1",
-    "dataset_fingerprint": "WITH a AS (SELECT source, doc_id AS k, 'doc_' || lpad(doc_id::VARCHAR, 12, '0') AS x FROM documents), b AS (SELECT source, k // 1000 AS k, sha256(string_agg(x, chr(10) ORDER BY k)) AS x, count(*) AS n FROM a GROUP BY 1, k // 1000), c AS (SELECT source, k // 1000 AS k, sha256(string_agg(x, chr(10) ORDER BY k)) AS x, sum(n) AS n FROM b GROUP BY 1, k // 1000), d AS (SELECT source, k // 1000 AS k, sha256(string_agg(x, chr(10) ORDER BY k)) AS x, sum(n) AS n FROM c GROUP BY 1, k // 1000) SELECT source, sum(n)::BIGINT AS n, sha256(string_agg(x, chr(10) ORDER BY k)) AS fingerprint FROM d GROUP BY 1",
+    "dataset_fingerprint": "WITH a AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, 'doc_' || doc_id AS x FROM documents), b AS (SELECT source, k // 1000 AS k, sha256(string_agg(x, chr(10) ORDER BY k)) AS x, count(*) AS n FROM a GROUP BY 1, k // 1000), c AS (SELECT source, k // 1000 AS k, sha256(string_agg(x, chr(10) ORDER BY k)) AS x, sum(n) AS n FROM b GROUP BY 1, k // 1000), d AS (SELECT source, k // 1000 AS k, sha256(string_agg(x, chr(10) ORDER BY k)) AS x, sum(n) AS n FROM c GROUP BY 1, k // 1000) SELECT source, sum(n)::BIGINT AS n, sha256(string_agg(x, chr(10) ORDER BY k)) AS fingerprint FROM d GROUP BY 1",
     "url_parts": "SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+/([a-z]{2})/', 1) AS folder, count(*) AS n FROM pages GROUP BY 1, 2",
     "attribution_credits": "WITH r AS (SELECT source, doc_id, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents) SELECT source, count(*) AS n, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs, string_agg(doc_id::VARCHAR, ' ' ORDER BY doc_id) FILTER (i <= 8) AS ids, CASE WHEN count(*) > 8 THEN '+' || (count(*) - 8) || ' more' ELSE '' END AS more FROM r GROUP BY 1",
     "license_order": "WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) SELECT md5(line) AS line, count(*) AS n FROM l WHERE regexp_matches(lower(line), 'licen[sc]e|all rights reserved') GROUP BY 1",
