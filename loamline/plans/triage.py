@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loamline.functions import feedback as fb
@@ -34,12 +33,14 @@ def feedback_rows(spark, sf):
 
 def feedback_triage(spark, sf):
     """Outcome of each row: duplicate, skipped, error, review or accepted, and its priority."""
-    w = Window.partitionBy("filename").orderBy("doc_id")
-    r = feedback_rows(spark, sf).withColumn("i", F.row_number().over(w)).withColumn("confidence", fb.normalize_confidence(F.col("raw")))
+    rows = feedback_rows(spark, sf)
+    # The first row of a name by a partial aggregate, as many rows may share one.
+    first = rows.groupBy("filename").agg(F.min("doc_id").alias("first_id"))
+    r = rows.join(first, "filename").withColumn("confidence", fb.normalize_confidence(F.col("raw")))
     r = r.withColumn("label", fb.resolve_label(F.col("status"), F.col("original"), F.col("corrected")))
     r = r.withColumn("direction", fb.contradiction(F.col("original"), F.col("label")))
     outcome = (
-        F.when(F.col("i") > 1, "duplicate")
+        F.when(F.col("doc_id") > F.col("first_id"), "duplicate")
         .when(F.col("status").isin(*fb.SKIPPED), "skipped")
         .when(F.col("label").isNull(), "error")
         .when(fb.gate(F.col("direction"), F.col("label"), F.col("confidence")), "review")
