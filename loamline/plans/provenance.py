@@ -288,7 +288,7 @@ ORACLES = {
       CASE WHEN doc_id % 5 = 0 THEN 'holder' END AS oh, CASE WHEN doc_id % 2 = 0 THEN lang END AS rec, CASE WHEN doc_id % 5 < 3 THEN '2021-06-14' END AS day FROM documents CROSS JOIN (SELECT unnest(range(3)) AS k)),
       s AS (SELECT *, row_number() OVER (PARTITION BY occurrence_id ORDER BY k) - 1 AS pos, CASE WHEN lic <> '' THEN {_LIC.format(x="lic")} ELSE {_LIC.format(x="olic")} END AS code FROM m WHERE coalesce(type, 'StillImage') = 'StillImage' AND has)
       SELECT occurrence_id, pos::INTEGER AS pos, code, day, '© ' || coalesce(holder, oh, creator, rec, 'unknown') || ', licensed ' || CASE code WHEN 'CC0_1_0' THEN 'CC0-1.0' ELSE 'CC-BY-4.0' END || ' (via GBIF, occurrence ' || occurrence_id || ')' AS credit FROM s WHERE code IS NOT NULL""",
-    "committed_names": "WITH t AS (SELECT lang, max(doc_id % 100) AS most FROM documents WHERE doc_id % 6 = 0 GROUP BY 1) SELECT doc_id, 'qa_gbif_v2_1_' || lang || '_' || lpad((coalesce(most + 1, 0) + row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1)::VARCHAR, 4, '0') || CASE WHEN doc_id % 2 = 0 THEN '.jpg' ELSE '.png' END AS name FROM documents LEFT JOIN t USING (lang) WHERE doc_id % 6 <> 0",
+    "committed_names": "WITH t AS (SELECT lang, max(doc_id % 100) AS most FROM documents WHERE doc_id % 6 = 0 GROUP BY 1) SELECT doc_id, 'qa_gbif_v2_1_' || lang || '_' || printf('%04d', coalesce(most + 1, 0) + row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) || CASE WHEN doc_id % 2 = 0 THEN '.jpg' ELSE '.png' END AS name FROM documents LEFT JOIN t USING (lang) WHERE doc_id % 6 <> 0",
     "shape_gate": f"WITH s AS (SELECT doc_id, text, list_max(list_transform(string_split(text, chr(10)), lambda x: length(x)))::BIGINT AS w, len(string_split(text, chr(10)))::BIGINT AS h, len(list_distinct(string_split(text, ''))) / nullif(length(text), 0) AS spread FROM documents) SELECT doc_id, w, h, CASE WHEN coalesce(text, '') = '' THEN 'corrupt' WHEN least(w, h) < {LEAST_SIDE} THEN 'low_resolution' WHEN w / h < {ASPECTS[0]} OR w / h > {ASPECTS[1]} THEN 'bad_aspect' WHEN spread < {LEAST_SPREAD} THEN 'flat' END AS reason, coalesce(w * h > {MOST_AREA}, FALSE) AS oversized FROM s",
     "map_filters": f"WITH {_entries_sql()}, s AS (SELECT st IN ('confirmed', 'corrected') AS c FROM g1 WHERE NOT synthetic AND (lat <> 0 OR lng <> 0) AND abs(lat) <= 90) SELECT mode, CASE mode WHEN 'all' THEN count(*) WHEN 'confirmed' THEN count(*) FILTER (c) ELSE count(*) FILTER (NOT c) END AS n, count(*) AS n_mappable FROM s CROSS JOIN (VALUES ('all'), ('confirmed'), ('unconfirmed')) v(mode) GROUP BY mode",
     "exported_names": "WITH x AS (SELECT event_id, strftime(ts, '%Y-%m-%dT%H-%M-%SZ') || '_' || event_type || '_confirmed.jpg' AS name FROM events WHERE event_type IN ('error', 'purchase')) SELECT event_id, name, count(*) OVER (PARTITION BY name) AS n_named FROM x",
