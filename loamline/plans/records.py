@@ -87,11 +87,11 @@ def hash_index_refresh(spark, sf):
 
 
 def frame_listing(spark, sf):
-    """Frames by number, class and blur as their file names tell, the newest first; names without blur have 0, the last ``_b`` counts."""
+    """Frames by number (six digits or more), class and blur as their file names tell, the newest first; names without blur have 0, the last ``_b`` counts."""
     e = events(spark, sf)
     blur = F.when(F.col("event_id") % 3 == 0, F.lit("")).when(F.col("event_id") % 7 == 0, "_bx").otherwise(F.concat(F.lit("_b"), F.floor("value").cast("string")))
     kind = F.when(F.col("event_id") % 5 == 0, F.concat("event_type", F.lit("_b12_leaf"))).otherwise(F.col("event_type"))
-    names = e.select("event_id", F.concat(F.lpad(F.col("event_id").cast("string"), 6, "0"), F.lit("_"), kind, blur, F.lit(".jpg")).alias("filename"))
+    names = e.select("event_id", F.concat(F.format_string("%06d", "event_id"), F.lit("_"), kind, blur, F.lit(".jpg")).alias("filename"))
     stem = F.regexp_replace("filename", r"\.jpg$", "")
     rest = F.regexp_replace(stem, r"^[0-9]+_", "")
     tail = F.regexp_extract(rest, r"^.*_b(.*)$", 1).try_cast("double")
@@ -241,7 +241,7 @@ def pair_classes(spark, sf):
 
 QUERIES = {f.__name__: f for f in (manifest_files, keyed_merge, append_observations, commit_without_overwrite, upload_ledger, hash_index_refresh, frame_listing, resume_counters, session_listing, tta_average, url_quota, display_rows, size_stats, common_sizes, folder_sizes, soft_labels, legacy_triage, legacy_class_weights, calibration_report, baseline_comparison, verdict_rows, correction_options, pair_classes)}
 
-_FRAMES = """fr AS (SELECT event_id AS idx, event_type, lpad(event_id::VARCHAR, 6, '0') || '_' || event_type || CASE WHEN event_id % 5 = 0 THEN '_b12_leaf' ELSE '' END || CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 7 = 0 THEN '_bx' ELSE '_b' || floor(value)::BIGINT END || '.jpg' AS filename, event_type || CASE WHEN event_id % 5 = 0 THEN '_b12_leaf' ELSE '' END || CASE WHEN event_id % 3 <> 0 AND event_id % 7 = 0 THEN '_bx' ELSE '' END AS cls, CASE WHEN event_id % 3 = 0 OR event_id % 7 = 0 THEN 0 ELSE floor(value) END AS blur FROM events)"""
+_FRAMES = """fr AS (SELECT event_id AS idx, event_type, printf('%06d', event_id) || '_' || event_type || CASE WHEN event_id % 5 = 0 THEN '_b12_leaf' ELSE '' END || CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 7 = 0 THEN '_bx' ELSE '_b' || floor(value)::BIGINT END || '.jpg' AS filename, event_type || CASE WHEN event_id % 5 = 0 THEN '_b12_leaf' ELSE '' END || CASE WHEN event_id % 3 <> 0 AND event_id % 7 = 0 THEN '_bx' ELSE '' END AS cls, CASE WHEN event_id % 3 = 0 OR event_id % 7 = 0 THEN 0 ELSE floor(value) END AS blur FROM events)"""
 
 
 def _sql_parts() -> tuple[str, str]:

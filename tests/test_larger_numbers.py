@@ -24,3 +24,12 @@ def test_committed_numbers_of_five_digits(spark, tmp_path):
     rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     df = _agree(spark, "committed_names", tmp_path, documents=f"{tmp_path}/documents.parquet/*.parquet")
     assert df.select("name").distinct().count() == df.count()
+
+
+@pytest.mark.parametrize("name", ["frame_listing", "resume_counters"])
+def test_frames_of_seven_digits(spark, tmp_path, name):
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("event_id", F.col("event_id") + 999_900)
+    e.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    df = _agree(spark, name, tmp_path, events=f"{tmp_path}/events.parquet/*.parquet")
+    if name == "frame_listing":
+        assert df.agg(F.max("idx")).first()[0] == e.agg(F.max("event_id")).first()[0] and df.filter("filename NOT LIKE idx || '_%'").filter("idx >= 1000000").count() == 0
