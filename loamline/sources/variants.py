@@ -66,8 +66,12 @@ def normalized(found: DataFrame) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str, ordinal: str) -> DataFrame:
-    """(file, place, key, entry) of JSON lines; blank and broken ones are skipped. ``place`` is the entry's field ``ordinal``, as lines of a split file aren't numbered."""
-    parsed = spark.read.option("recursiveFileLookup", True).text(path).select(F.input_file_name().alias("file"), F.try_parse_json("value").alias("entry"))
+    """(file, place, key, entry) of JSON lines; blank and broken ones are skipped. ``place`` is the entry's field ``ordinal``, as lines of a split file aren't numbered.
+
+    Part files of one folder are one manifest, as Spark writes them in no order of its lines; ``file`` is that folder.
+    """
+    file = F.regexp_replace(F.input_file_name(), r"/part-[^/]*$", "")
+    parsed = spark.read.option("recursiveFileLookup", True).text(path).select(file.alias("file"), F.try_parse_json("value").alias("entry"))
     place = F.coalesce(F.try_variant_get("entry", f"$.{ordinal}", "long"), F.lit(0).cast("long"))
     return parsed.filter(is_object(F.col("entry"))).select("file", place.alias("place"), F.lit(None).cast("string").alias("key"), "entry")
 

@@ -33,3 +33,13 @@ def test_frames_of_seven_digits(spark, tmp_path, name):
     df = _agree(spark, name, tmp_path, events=f"{tmp_path}/events.parquet/*.parquet")
     if name == "frame_listing":
         assert df.agg(F.max("idx")).first()[0] == e.agg(F.max("event_id")).first()[0] and df.filter("filename NOT LIKE idx || '_%'").filter("idx >= 1000000").count() == 0
+
+
+def test_lines_of_a_manifest_in_parts(spark, tmp_path):
+    """Larger files are read first, so the first part of the manifest holds its last lines."""
+    schema = "doc_id long, lang string, source string, text string"
+    for k, rows in enumerate(([(12, "de", "a", "x")], [(24, "en", "b", "x"), *((4 * i, "fr", "c", f"y{i}") for i in range(10, 400))])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+        assert k < 2
+    df = _agree(spark, "manifest_shapes", tmp_path, documents=f"{tmp_path}/documents.parquet/*.parquet")
+    assert df.filter("observation_id = '2'").select("cls").first()[0] == "en"
