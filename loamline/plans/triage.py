@@ -129,8 +129,11 @@ def feedback_cascade(spark, sf):
 
 
 def feedback_outcomes(spark, sf):
-    """Rows by outcome and direction, the most frequent first."""
-    return _decisions(spark, sf).groupBy("outcome", "direction").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "outcome", "direction")
+    """Rows by outcome and direction under each trust policy, the most frequent first."""
+    d = feedback_cascade(spark, sf)
+    under = F.array(*(F.struct(F.lit(p).alias("policy"), F.col(c).alias("outcome")) for p, c in zip(POLICIES, ("outcome", "outcome_corrections", "outcome_confident"), strict=True)))
+    each = d.select("direction", F.explode(under).alias("u")).groupBy("u.policy", "u.outcome", "direction")
+    return each.agg(F.count("*").alias("n")).orderBy("policy", F.desc("n"), "outcome", "direction")
 
 
 def review_queue(spark, sf):
@@ -205,7 +208,7 @@ cb AS (SELECT *, first_value(doc_id) OVER (PARTITION BY staged_name ORDER BY pri
 
 ORACLES = {
     "feedback_cascade": f"WITH {_ENTRIES} SELECT * FROM fc",
-    "feedback_outcomes": f"WITH {_ENTRIES} SELECT outcome, direction, count(*) AS n FROM fc GROUP BY 1, 2",
+    "feedback_outcomes": f"WITH {_ENTRIES}, u AS (SELECT 'all' AS policy, outcome, direction FROM fc UNION ALL SELECT 'corrections-only', outcome_corrections, direction FROM fc UNION ALL SELECT 'high-confidence', outcome_confident, direction FROM fc) SELECT policy, outcome, direction, count(*) AS n FROM u GROUP BY 1, 2, 3",
     "review_queue": f"WITH {_ENTRIES} SELECT doc_id, filename, label, priority FROM fc WHERE outcome = 'review' ORDER BY priority DESC, doc_id LIMIT 100",
     "feedback_staging": f"WITH {_STAGED} SELECT doc_id, staged_name, label, CASE WHEN doc_id <> claimed_by THEN 'name_clash' WHEN prior_class <> label THEN 'other_class' WHEN prior_class IS NOT NULL THEN 'already_staged' ELSE 'staged' END AS fate, claimed_by FROM cb LEFT JOIN be USING (staged_name)",
     "feedback_triage": f"WITH {_FB} SELECT * FROM f4",

@@ -43,3 +43,10 @@ def test_lines_of_a_manifest_in_parts(spark, tmp_path):
         assert k < 2
     df = _agree(spark, "manifest_shapes", tmp_path, documents=f"{tmp_path}/documents.parquet/*.parquet")
     assert df.filter("observation_id = '2'").select("cls").first()[0] == "en"
+
+
+def test_each_trust_policy_counts_every_row(spark):
+    d = registry.QUERIES["feedback_outcomes"](spark, "/root/testdata/sf0.001")
+    n = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert {r.policy: r.n for r in d.groupBy("policy").agg(F.sum("n").alias("n")).collect()} == {p: n for p in ("all", "corrections-only", "high-confidence")}
+    assert d.filter("policy <> 'all' AND outcome = 'policy'").count() > 0
