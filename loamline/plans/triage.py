@@ -156,8 +156,8 @@ def staging_conflicts(accepted, staged):
 
 
 def feedback_staging(spark, sf):
-    """Rows accepted for their confidence with their staged names and conflicts; an earlier run staged every ninth of them, a third under another class."""
-    accepted = _decisions(spark, sf, "high-confidence").filter("outcome = 'accepted'")
+    """All accepted rows with their staged names and conflicts; an earlier run staged every ninth of them, a third under another class."""
+    accepted = _decisions(spark, sf).filter("outcome = 'accepted'")
     stem = F.regexp_replace(F.element_at(F.split("filename", "/"), -1), r"(.)\.[^.]*$", "$1")
     before = accepted.filter("doc_id % 9 = 0").groupBy(F.concat(F.lit("fb_"), fb.sanitize_stem(stem), F.lit(".jpg")).alias("staged_name"))
     staged = before.agg(F.min_by(F.when(F.col("doc_id") % 27 == 0, fb.SAFE).otherwise(F.col("label")), "doc_id").alias("prior_class"))
@@ -202,7 +202,7 @@ fc AS (SELECT doc_id, filename, label, state, outcome, CASE WHEN outcome <> 'acc
   CASE WHEN label IS NOT NULL THEN round(CASE state WHEN 'corrected' THEN 1 + coalesce(confidence, 0.5::DOUBLE) ELSE 0.3::DOUBLE + (1 - coalesce(confidence, 0.5::DOUBLE)) END
     + CASE direction WHEN 'safe_to_toxic' THEN 1.0::DOUBLE + CASE WHEN label IN ('poison_ivy', 'poison_oak') THEN 0.25::DOUBLE ELSE 0 END WHEN 'toxic_to_safe' THEN 0.5::DOUBLE WHEN 'unknown_origin' THEN 0.25::DOUBLE ELSE 0 END + 1e-9::DOUBLE, 4) END AS priority,
   CASE WHEN bucket IS NOT NULL AND (lat <> 0 OR lng <> 0) AND abs(lat) <= 90 THEN 'fb_obs_' || substr(sha1(round(lat, 4)::VARCHAR || ',' || round(lng, 4)::VARCHAR || ',' || bucket), 1, 12) ELSE 'fb_single_' || substr(sha1(filename), 1, 12) END AS observation_id FROM g5)"""
-_STAGED = f"""{_ENTRIES}, ac AS (SELECT *, 'fb_' || regexp_replace(regexp_replace(string_split(filename, '/')[-1], '[.]jpg$', ''), '[^A-Za-z0-9_.-]+', '_', 'g') || '.jpg' AS staged_name FROM fc WHERE outcome_confident = 'accepted'),
+_STAGED = f"""{_ENTRIES}, ac AS (SELECT *, 'fb_' || regexp_replace(regexp_replace(string_split(filename, '/')[-1], '[.]jpg$', ''), '[^A-Za-z0-9_.-]+', '_', 'g') || '.jpg' AS staged_name FROM fc WHERE outcome = 'accepted'),
 be AS (SELECT staged_name, arg_min(CASE WHEN doc_id % 27 = 0 THEN 'safe_plants' ELSE label END, doc_id) AS prior_class FROM ac WHERE doc_id % 9 = 0 GROUP BY 1),
 cb AS (SELECT *, first_value(doc_id) OVER (PARTITION BY staged_name ORDER BY priority DESC, doc_id) AS claimed_by FROM ac)"""
 

@@ -50,3 +50,8 @@ def test_each_trust_policy_counts_every_row(spark):
     n = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
     assert {r.policy: r.n for r in d.groupBy("policy").agg(F.sum("n").alias("n")).collect()} == {p: n for p in ("all", "corrections-only", "high-confidence")}
     assert d.filter("policy <> 'all' AND outcome = 'policy'").count() > 0
+
+
+def test_every_accepted_row_is_staged(spark):
+    accepted = registry.QUERIES["feedback_cascade"](spark, "/root/testdata/sf0.001").filter("outcome = 'accepted'").count()
+    assert registry.QUERIES["feedback_staging"](spark, "/root/testdata/sf0.001").count() == accepted > 0
