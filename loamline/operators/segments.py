@@ -1,10 +1,11 @@
 """Scans along the time of each key in segments: a key's rows are cut by time, so a key of any length is spread over tasks.
 
-A scan runs in three steps. Each segment (a key's rows in one range of time) is summed up on
+A scan of a large key runs in three steps. Each segment (a key's rows in one range of time) is summed up on
 its own; the summaries of a key, one small value for each of its segments, are walked
 through in order, which gives what each segment starts from; then each segment is gone
-through with that. Segments are the same ranges of time for all keys, by quantiles of all
-rows, so rows of equal time stay together.
+through with that. Segments are the same ranges of time for all large keys, by quantiles of
+their rows, so rows of equal time stay together. Keys without more than their share of the
+rows are one segment and are gone through once; ``ranks.cut`` says which are large.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from loamline.operators import ranks
 SEGMENTS = 64
 
 
-def cut(df: DataFrame, time: str, segments: int = SEGMENTS) -> DataFrame:
-    """``df`` with the number ``_part`` of the range of time that a row lies in."""
-    return ranks.in_ranges(df, F.col(time), segments)
+def cut(df: DataFrame, key: str, time: str, segments: int = SEGMENTS) -> tuple[DataFrame, bool]:
+    """``df`` with ``_part``, the range of time that a row of a large key lies in, else -1; and whether there are large keys."""
+    return ranks.cut(df, key, F.col(time), segments)
 
 
 class Ema:
@@ -61,7 +62,11 @@ class Ema:
         return n + len(x), float(means[-1]), float(means[-2]) if len(x) > 1 else y, first
 
     def begin(self, summary):
-        return (summary[3] if self.seed is None else self.seed), 0.0, 0.0
+        return self.start(summary[3])
+
+    def start(self, first):
+        """What a key begins from, by its first value."""
+        return (float(first) if self.seed is None else self.seed), 0.0, 0.0
 
     def carry(self, state, summary):
         s, last, _ = state
@@ -118,6 +123,9 @@ class Refractory:
     def begin(self, summary):
         return None
 
+    def start(self, first):
+        return None
+
     def carry(self, last, summary):
         import numpy as np
 
@@ -153,9 +161,9 @@ def _runs(b, key: int, part: int):
 
 def scan(df: DataFrame, key: str, order: list[str], value: str, op, outs: list[str], segments: int = SEGMENTS) -> DataFrame:
     """``df`` with doubles ``outs``, what ``op`` gives along each key's rows in order; values mustn't be null."""
-    parts = cut(df, order[0], segments)
+    parts, several = cut(df, key, order[0], segments)
     kind = df.schema[key].dataType.simpleString()
-    dealt = parts.select(key, "_part", *dict.fromkeys([*order, value])).repartition(key, "_part").sortWithinPartitions(key, "_part", *order)
+    dealt = parts.filter("_part >= 0").select(key, "_part", *dict.fromkeys([*order, value])).repartition(key, "_part").sortWithinPartitions(key, "_part", *order)
     at_value = dealt.columns.index(value)
 
     def summarize(batches):
@@ -193,8 +201,9 @@ def scan(df: DataFrame, key: str, order: list[str], value: str, op, outs: list[s
 
     summaries = dealt.mapInArrow(summarize, f"`{key}` {kind}, _part int, _summary binary")
     states = summaries.repartition(key).sortWithinPartitions(key, "_part").mapInArrow(fold, f"`{key}` {kind}, _part int, _state binary")
-    # A segment's state comes as a row before its first one.
-    headed = parts.withColumn("_state", F.lit(None).cast(BinaryType())).unionByName(states, allowMissingColumns=True)
+    # A segment's state comes as a row before its first one; a key in one segment begins by itself.
+    headed = parts.withColumn("_state", F.lit(None).cast(BinaryType()))
+    headed = headed.unionByName(states, allowMissingColumns=True) if several else headed
     walked = headed.repartition(key, "_part").sortWithinPartitions(key, "_part", F.col("_state").isNull(), *order)
     names, kept = walked.columns, df.columns
 
@@ -202,17 +211,20 @@ def scan(df: DataFrame, key: str, order: list[str], value: str, op, outs: list[s
         import numpy as np
         import pyarrow as pa
 
-        state = None
+        now, state = None, None
         for b in batches:
             column = b.column(names.index("_state"))
             rows = column.is_null().to_numpy(zero_copy_only=False)
             values = b.column(names.index(value)).filter(pa.array(rows)).to_numpy()
             before = np.concatenate([[0], np.cumsum(rows)])
             found = [np.empty(len(values)) for _ in outs]
-            for lo, hi, _, _ in _runs(b, names.index(key), names.index("_part")):
+            for lo, hi, k, p in _runs(b, names.index(key), names.index("_part")):
+                own = slice(before[lo], before[hi])
                 if not rows[lo]:
                     state = pickle.loads(column[lo].as_py())
-                own = slice(before[lo], before[hi])
+                elif now != (k, p):
+                    state = op.start(values[own.start])
+                now = k, p
                 if own.stop > own.start:
                     results, state = op.apply(state, values[own])
                     for f, r in zip(found, results, strict=False):
@@ -240,15 +252,19 @@ def lagged(df: DataFrame, key: str, order: list[str], value: str, outs: list[str
     key's segments before, of which only as many as there are ``outs`` are looked at.
     """
     k = len(outs)
-    parts = cut(df, order[0], segments)
+    parts, several = cut(df, key, order[0], segments)
+    if not several:
+        whole = Window.partitionBy(key).orderBy(*order)
+        return df.select("*", *(F.lag(value, n + 1).over(whole).alias(o) for n, o in enumerate(outs)))
     own = Window.partitionBy(key, "_part").orderBy(*order)
     newest = Window.partitionBy(key, "_part").orderBy(*(F.desc(c) for c in order))
-    tails = parts.select(key, "_part", F.struct(F.col(value).alias("x")).alias("tail"), F.row_number().over(newest).alias("back")).filter(F.col("back") <= k)
-    heads = parts.select(key, "_part").distinct().select(key, "_part", F.lit(None).cast(tails.schema["tail"].dataType).alias("tail"), F.lit(k + 1).alias("back"))
+    large = parts.filter("_part >= 0")
+    tails = large.select(key, "_part", F.struct(F.col(value).alias("x")).alias("tail"), F.row_number().over(newest).alias("back")).filter(F.col("back") <= k)
+    heads = large.select(key, "_part").distinct().select(key, "_part", F.lit(None).cast(tails.schema["tail"].dataType).alias("tail"), F.lit(k + 1).alias("back"))
     # In a key's small table each segment has a head, then its last rows; k of those lie within 2k rows.
     before = Window.partitionBy(key).orderBy("_part", F.desc("back")).rowsBetween(-2 * k, -1)
     carried = tails.unionByName(heads).withColumn("_past", F.reverse(F.collect_list("tail").over(before))).filter(F.col("back") == k + 1)
-    j = parts.join(_named(carried, key, "_past"), _of_part(key)).withColumn("_i", F.row_number().over(own))
+    j = parts.join(_named(carried, key, "_past"), _of_part(key), "left").withColumn("_i", F.row_number().over(own))
     found = {o: F.when(F.col("_i") > n + 1, F.lag(value, n + 1).over(own)).otherwise(F.get("_past", (F.lit(n + 1) - F.col("_i"))).getField("x")) for n, o in enumerate(outs)}
     return j.withColumns(found).select(*df.columns, *outs)
 
@@ -258,16 +274,20 @@ def last_before(df: DataFrame, key: str, order: list[Column], time: str, seen: C
 
     ``order`` begins with the column ``time``. A segment's first rows get what its key's other segments hold.
     """
-    parts = cut(df, time, segments).withColumn("_seen", seen)
+    parts, several = cut(df, key, time, segments)
+    parts = parts.withColumn("_seen", seen)
     own = Window.partitionBy(key, "_part").orderBy(*order)
     rows = own.rowsBetween(Window.unboundedPreceding, -1) if forward else own.rowsBetween(1, Window.unboundedFollowing)
     near = (F.last if forward else F.first)("_seen", ignorenulls=True).over(rows)
+    if not several:
+        return parts.withColumn("_near", near).select(*df.columns, F.col("_near").alias(out))
     ordered = F.struct(*order)
-    held = parts.filter("_seen IS NOT NULL").groupBy(key, "_part").agg((F.max_by if forward else F.min_by)("_seen", ordered).alias("_held"))
-    every = parts.select(key, "_part").distinct()
+    large = parts.filter("_part >= 0")
+    held = large.filter("_seen IS NOT NULL").groupBy(key, "_part").agg((F.max_by if forward else F.min_by)("_seen", ordered).alias("_held"))
+    every = large.select(key, "_part").distinct()
     both = every.join(_named(held, key, "_held"), _of_part(key), "left").select(key, "_part", "_held")
     of_key = Window.partitionBy(key).orderBy("_part")
     others = of_key.rowsBetween(Window.unboundedPreceding, -1) if forward else of_key.rowsBetween(1, Window.unboundedFollowing)
     carried = both.withColumn("_carried", (F.last if forward else F.first)("_held", ignorenulls=True).over(others))
-    j = parts.withColumn("_near", near).join(_named(carried, key, "_carried"), _of_part(key))
+    j = parts.withColumn("_near", near).join(_named(carried, key, "_carried"), _of_part(key), "left")
     return j.select(*df.columns, F.coalesce("_near", "_carried").alias(out))

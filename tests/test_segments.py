@@ -101,3 +101,24 @@ def test_framed_rms(df, rows, width):
         # Zeros around a series make the frame of a row the same however short the series is.
         whole = np.convolve(np.pad(x * x, 200), np.ones(w) / w, mode="same")[200 : 200 + len(x)]
         assert [got[r[0]] for r in own] == pytest.approx(np.sqrt(np.maximum(whole, 0)).tolist(), abs=1e-3)
+
+
+@pytest.mark.parametrize("cuts", [False, True])
+def test_small_keys_are_one_segment(spark, df, rows, monkeypatch, cuts):
+    """Only user 1 has more than a share of the rows; others make one run each, however many segments there are."""
+    parts, several = segments.cut(df, "user_id", "t", 8)
+    assert several and {r.user_id for r in parts.filter("_part >= 0").select("user_id").distinct().collect()} == {1}
+    assert parts.count() == len(rows)
+    small = df.filter("user_id > 1 OR user_id IS NULL")
+    if cuts:
+        monkeypatch.setattr(segments.ranks, "MOST_ROWS", 30)
+    parts, several = segments.cut(small, "user_id", "t", 8)
+    assert several == cuts and (parts.select("user_id", "_part").distinct().count() == parts.select("user_id").distinct().count()) != cuts
+    got = {r.event_id: r.ema for r in series.ema(small, "user_id", ["t", "event_id"], "value", 0.35, segments=8).collect()}
+    lag = {r.event_id: (r.a, r.b) for r in segments.lagged(small, "user_id", ["t", "event_id"], "value", ["a", "b"], 8).collect()}
+    for user, own in by_user(rows).items():
+        s, past = None, [None, None]
+        for e, _, _, x, _ in own if user != 1 else []:
+            s = x if s is None else 0.35 * x + 0.65 * s
+            assert got[e] == pytest.approx(s, abs=1e-9) and lag[e] == tuple(past)
+            past = [x, past[0]]
