@@ -1,4 +1,4 @@
-"""Streams with a state for each key in RocksDB: a ledger of accepted names, and sessions that leave the state when they are over."""
+"""Streams that go on where they stopped: a ledger of accepted names as a log, and sessions, held in RocksDB until they are over."""
 
 from __future__ import annotations
 
@@ -36,43 +36,26 @@ def run_to_end(rows: DataFrame, folder: str) -> None:
         raise error
 
 
-class _Ledger(StatefulProcessor):
-    """Keeps the first and the last id of a name; every batch that has the name gives a row."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "first bigint, last bigint, version bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        import pandas as pd
-
-        low = high = None
-        for part in rows:
-            ids = part["doc_id"]
-            low = int(ids.min()) if low is None else min(low, int(ids.min()))
-            high = int(ids.max()) if high is None else max(high, int(ids.max()))
-        first, version = low, 0
-        if self.held.exists():
-            first, _, before = self.held.get()
-            version = before + 1
-        self.held.update((first, high, version))
-        yield pd.DataFrame({"filename": [key[0]], "doc_id": [first], "last_id": [high], "version": [version]})
-
-    def close(self) -> None:
-        pass
-
-
 def accept_once(named: DataFrame, folder: str) -> DataFrame:
     """(filename, doc_id, last_id) of a stream ``named(filename, doc_id)``: a name's first row is accepted, the last one's image replaces it.
 
-    Of the rows of one batch the smallest id comes first and the largest last. The state
-    holds two ids for each name; a batch reads and writes the names that it has only. Rows go
-    to ``folder`` with a version for each batch that had their name, the first of which is 0,
-    and a run over the same folder goes on where the last one stopped.
+    Of the rows of one batch the smallest id comes first and the largest last. A batch is
+    summed up by name and appended to ``folder`` as a log with the batch's number as its version, a
+    row for each of its names; a batch that is run again replaces its own rows. So a batch
+    costs no more than its rows, whatever was accepted before, and a run over the same folder
+    goes on where the last one stopped. The ledger is what the log says of each name.
     """
-    out = "filename string, doc_id long, last_id long, version long"
-    run_to_end(named.groupBy("filename").transformWithStateInPandas(_Ledger(), out, "Append", "None"), folder)
-    versions = named.sparkSession.read.schema(out).parquet(folder)
-    return versions.groupBy("filename").agg(F.min("doc_id").alias("doc_id"), F.max_by("last_id", "version").alias("last_id"))
+
+    def log(batch: DataFrame, number: int) -> None:
+        rows = batch.groupBy("filename").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last_id"))
+        rows.withColumn("version", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    query = named.writeStream.foreachBatch(log).option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if error := query.exception():
+        raise error
+    versions = named.sparkSession.read.schema("filename string, doc_id long, last_id long, version long").parquet(folder)
+    return versions.groupBy("filename").agg(F.min_by("doc_id", "version").alias("doc_id"), F.max_by("last_id", "version").alias("last_id"))
 
 
 class _Sessions(StatefulProcessor):

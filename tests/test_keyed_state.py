@@ -63,3 +63,16 @@ def test_sessions_leave_the_state(spark, tmp_path):
     assert got == {(1, 1_000_000, 6_000_000, 2), (2, 10**12, 10**12 + 1, 2)}
     held = spark.read.format("statestore").option("stateVarName", "open").load(f"{tmp_path}/out-state")
     assert {r.key.user_id for r in held.collect()} == {2}
+
+
+def test_ledger_without_a_call_for_each_name(spark, tmp_path, monkeypatch):
+    """Names are summed up by built-in functions, a batch at a time."""
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("a Python call for each name")
+
+    monkeypatch.setattr("pyspark.sql.pandas.group_ops.PandasGroupedOpsMixin.transformWithStateInPandas", refuse)
+    source, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    _files(spark, source, [[(f"n{i % 900}", i) for i in range(2_000)], [("n5", 1), ("new", 9_000)]], NAMES)
+    rows = {r.filename: (r.doc_id, r.last_id) for r in keyed_state.accept_once(_stream(spark, source, NAMES), out).collect()}
+    assert len(rows) == 901 and rows["n5"] == (5, 1) and rows["n899"] == (899, 1_799) and rows["new"] == (9_000, 9_000)
