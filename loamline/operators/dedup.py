@@ -27,8 +27,8 @@ def hash_classes(df: DataFrame, key: str, h: str) -> DataFrame:
     return df.groupBy(F.col(h).alias("h")).agg(F.min(key).alias("rep"), F.count("*").alias("n"))
 
 
-#: From so many hashes on, keys take more blocks, and there are more of them.
-MANY_HASHES = 1_000_000
+#: From so many hashes on, keys take two blocks or three, and there are more of them.
+SOME_HASHES, MANY_HASHES = 20_000, 3_000_000
 
 
 def _blocks(k: int, spare: int, bits: int = 64):
@@ -39,8 +39,9 @@ def _blocks(k: int, spare: int, bits: int = 64):
 
 
 def _spare(df: DataFrame) -> int:
-    """Blocks that make a key: one for few hashes, three where keys of one block would be shared by too many; both find the same."""
-    return 1 if df.count() < MANY_HASHES else 3
+    """Blocks that make a key: one for few hashes, two or three where keys of fewer would be shared by too many; all find the same."""
+    n = df.count()
+    return 1 if n < SOME_HASHES else 2 if n < MANY_HASHES else 3
 
 
 def _listed(df: DataFrame, h: str, k: int, spare: int) -> DataFrame:

@@ -1,5 +1,6 @@
 """SimHash against a plain version; short unrelated texts are never near."""
 
+import re
 import hashlib
 
 import pytest
@@ -53,3 +54,36 @@ def test_confirmed_needs_shared_shingles(spark):
     docs = spark.createDataFrame([(1, LONG), (2, LONG + " x"), (3, "other words " * 30)], "doc_id long, text string")
     pairs = spark.createDataFrame([(1, 2), (1, 3), (3, 3)], "a long, b long")
     assert sorted(map(tuple, simhash.confirmed(pairs, docs).collect())) == [(1, 2), (3, 3)]
+
+
+def test_bits_are_counted_without_a_shuffle(spark):
+    """Bits by a plain count, for texts of other white space, few words and repeated shingles; a document is hashed where it is read."""
+    import hashlib
+
+    texts = {1: "a b é\x0bc\td\r\n e  f", 2: "one", 3: " \t", 4: None, 5: "x y z x y z x y z x y z w", 6: "\U0001f600 b c d e " * 50}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = simhash.simhashes(docs)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for i, text in texts.items():
+        if words := [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]:
+            grams = {" ".join(words[k : k + 4]) for k in range(max(len(words) - 3, 1))}
+            digests = [int(hashlib.md5(g.encode()).hexdigest(), 16) for g in grams]
+            bits = sum(1 << k for k in range(128) if 2 * sum(d >> k & 1 for d in digests) > len(digests))
+            want[i] = tuple(x - (1 << 64) if x >> 63 else x for x in (bits >> 64, bits & (1 << 64) - 1))
+    assert {r.doc_id: (r.level, r.step) for r in found.collect()} == want
+
+
+def test_keys_of_two_blocks_find_the_same_pairs(spark, monkeypatch):
+    import random
+
+    from loamline.operators import dedup
+
+    rng = random.Random(5)
+    base = [rng.getrandbits(63) for _ in range(40)]
+    near = [(i, h ^ sum(1 << b for b in rng.sample(range(63), rng.randrange(8)))) for i, h in enumerate(base * 4)]
+    df = spark.createDataFrame(near, "rep long, h long")
+    want = {(a, b) for a, x in near for b, y in near if a < b and (x ^ y).bit_count() <= 5}
+    assert {(r.a, r.b) for r in dedup.hamming_pairs(df, 5, 2).collect()} == want
+    monkeypatch.setattr(dedup, "SOME_HASHES", 100)
+    assert dedup._spare(df) == 2
