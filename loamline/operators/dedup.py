@@ -87,6 +87,36 @@ def hamming_pairs(classes: DataFrame, k: int, spare: int | None = None) -> DataF
     return near.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.bit_count(differ).cast("long").alias("distance"))
 
 
+#: Share of a set in percent that stands in ``early`` beyond what any near set must meet once.
+MARGIN = 10
+
+
+def _margin(n: int) -> int:
+    return max(1, n * MARGIN // 100)
+
+
+def early(n: int, percent: int) -> int:
+    """How many of a set's ``n`` elements, in an order that all sets follow, ``may_pair`` has to see."""
+    return n - -(-n * percent // 100) + _margin(n)
+
+
+def may_pair(firsts: DataFrame, percent: int) -> DataFrame:
+    """(id) of ``firsts(id, n, s)`` that may have 100 * intersection >= percent * union with another; ``s`` are the first ``early(n)`` of n elements.
+
+    Two such sets have ``percent`` of the larger one in common, and of either no more than
+    the rest comes after ``early`` elements without the margin. So one finds as many of its first elements
+    among the other's first ones as the smaller one's margin is. A set whose first elements are met less
+    often, in sets of a size that fits, is near none; most sets end here, and no pair is made.
+    """
+    held = firsts.select("id", "n", F.explode("s").alias("e"))
+    of = Window.partitionBy("e").orderBy("n")
+    fits = lambda less, more: percent * more <= 100 * less
+    met = held.withColumns({"less": F.lag("n").over(of), "more": F.lead("n").over(of)}).filter(fits(F.col("less"), F.col("n")) | fits(F.col("n"), F.col("more")))
+    smaller = F.ceil(F.col("n") * percent / 100)
+    least = F.greatest(F.lit(1).cast("long"), F.floor(smaller * MARGIN / 100))
+    return met.groupBy("id", "n").agg(F.count("*").alias("met")).filter(F.col("met") >= least).select("id")
+
+
 def set_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, shared) of all a < b of ``sets(id, s)`` with 100 * intersection >= percent * union; ``s`` are distinct longs.
 

@@ -9,7 +9,7 @@ from loamline.functions.arrays import bind
 from loamline.operators import dedup, metrics, ranks, simhash
 from loamline.operators.lineage import written
 from loamline.operators.selection import percentiles
-from loamline.operators.shingles import shingle_hashes
+from loamline.operators.shingles import hashed_sets
 from loamline.operators.shingles import words as _words
 from loamline.sources import manifests
 from loamline.sources.tables import table
@@ -18,6 +18,8 @@ from loamline.sources.tables import table
 LEAST_CHARS, LEAK_WORDS, NEAR_BITS = 64, 8, 5
 #: As many hashes of windows are broadcast at most, about 100 MB on an executor.
 BROADCAST_WINDOWS = 4_000_000
+#: As many ids of documents that may be near copies are broadcast at most.
+BROADCAST_NEAR = 4_000_000
 #: Words of a shingle, and the share of them in percent that near copies have in common.
 NEAR_WORDS, NEAR_PERCENT = 4, 80
 
@@ -115,13 +117,16 @@ def keep_first_copies(docs, order):
     common with it; all such pairs are found. Texts of equal words stand for one another,
     so copies aren't paired. A text without words is nobody's copy.
     """
-    digest = bind(_words(F.col("text")), lambda w: F.when(F.size(w) > 0, F.md5(F.array_join(w, " ").cast("binary"))))
-    listed = written(docs.select("doc_id", order.alias("id"), digest.alias("digest")))
-    first = written(listed.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep")))
-    reps = docs.select(order.alias("id"), "text").join(first.select(F.col("rep").alias("id")), "id", "left_semi")
-    links = dedup.set_pairs(reps.select("id", shingle_hashes(F.col("text"), NEAR_WORDS).alias("s")), NEAR_PERCENT)
+    firsts = written(hashed_sets(docs.select("doc_id", order.alias("id"), "text"), NEAR_WORDS, lambda n: dedup.early(n, NEAR_PERCENT)))
+    listed = firsts.select("doc_id", "id", "digest")
+    first = written(listed.filter("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("id", "doc_id")).alias("m")).select("digest", F.col("m.id").alias("rep"), F.col("m.doc_id").alias("doc_id")))
+    near = written(dedup.may_pair(firsts.join(first.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", "s"), NEAR_PERCENT).select(F.col("id").alias("doc_id")))
+    if near.count() <= BROADCAST_NEAR:
+        near = F.broadcast(near)
+    sets = hashed_sets(docs.select("doc_id", order.alias("id"), "text").join(near, "doc_id", "left_semi"), NEAR_WORDS)
+    links = dedup.set_pairs(sets.select("id", "s"), NEAR_PERCENT)
     kept = dedup.keep_first(first.select(F.col("rep").alias("id")), links.select("a", "b"))
-    decided = first.join(kept.withColumnRenamed("id", "rep"), "rep")
+    decided = first.drop("doc_id").join(kept.withColumnRenamed("id", "rep"), "rep")
     joined = listed.join(decided, "digest", "left")
     return joined.select("doc_id", "id", F.coalesce("dup_of", F.when(F.col("id") != F.col("rep"), F.col("rep"))).alias("dup_of"))
 

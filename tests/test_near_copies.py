@@ -1,5 +1,8 @@
 """Near copies are confirmed on shingles, and each document has a row."""
 
+import random
+
+from loamline.operators import dedup
 from loamline.plans import curation
 
 
@@ -26,3 +29,24 @@ def test_longest_copy_stays(spark, tmp_path):
     w = [f"w{i}" for i in range(100)]
     texts = [" ".join(w[2:]), " ".join(w), " ".join(w[1:]), "quite another text", None]
     assert [r.doc_id for r in curation.diversity_topk(spark, _saved(spark, tmp_path, texts)).collect()] == [1, 3, 4]
+
+
+def test_only_sets_that_may_be_near_are_listed_whole(spark, tmp_path, monkeypatch):
+    rng, seen, pairs = random.Random(5), [], dedup.set_pairs
+    common = [f"c{i}" for i in range(12)]
+    texts = [" ".join([*common, *(f"v{rng.randrange(10**9)}" for _ in range(80))]) for _ in range(60)]
+    texts.append(texts[7] + " tail")
+    monkeypatch.setattr(dedup, "set_pairs", lambda sets, *a: seen.append({r.id for r in sets.select("id").collect()}) or pairs(sets, *a))
+    got = {r.doc_id: r.dup_of for r in curation.near_dup_keep_first(spark, _saved(spark, tmp_path, texts)).collect()}
+    assert got == {i: {60: 7}.get(i) for i in range(61)} and seen == [{7, 60}]
+
+
+def test_no_near_pair_is_lost_before_sets_are_listed(spark):
+    rng, sets = random.Random(8), []
+    for n in [1, 2, 3, 4, 5, 6, 9, 10, 11, 20, 25, 40, 60, 100] * 6:
+        base = rng.sample(range(10**9), n)
+        sets += [base, rng.sample(base, max(1, -(-n * 80 // 100))), [*base, *rng.sample(range(10**9), n // 4)], [*base[: n - n // 9], *rng.sample(range(10**9), n // 9)]]
+    near = {i for a, x in enumerate(sets) for b, y in enumerate(sets) if a < b and 100 * len({*x} & {*y}) >= 80 * len({*x} | {*y}) for i in (a, b)}
+    rows = [(i, len(s), sorted(s)[: dedup.early(len(s), 80)]) for i, s in enumerate(sets)]
+    got = {r.id for r in dedup.may_pair(spark.createDataFrame(rows, "id long, n long, s array<long>"), 80).collect()}
+    assert near <= got and len(near) > 100
