@@ -117,6 +117,33 @@ def may_pair(firsts: DataFrame, percent: int) -> DataFrame:
     return met.groupBy("id", "n").agg(F.count("*").alias("met")).filter(F.col("met") >= least).select("id")
 
 
+#: Up to so many pairs, only the sets in them are shuffled: their ids are broadcast.
+BROADCAST_PAIRS = 1_000_000
+
+
+def _listed_sets(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Sets with elements, as (id, s, n), and (id, n, e, rest): each one's first elements, rarest first; see ``set_pairs``."""
+    sized = written(sets.select("id", "s", F.size("s").cast("long").alias("n")).filter("n > 0"))
+    held = sized.select("id", "n", F.explode("s").alias("e"))
+    shared = held.groupBy("e").agg(F.count("*").alias("holders")).filter("holders > 1")
+    rank = Window.partitionBy("id").orderBy(F.col("holders").desc(), F.col("e").desc())
+    return sized, written(held.join(shared, "e").withColumn("rest", F.row_number().over(rank).cast("long")).filter(f"100 * rest >= {percent} * n").drop("holders"))
+
+
+def _near(left: DataFrame, right: DataFrame, sized: DataFrame, percent: int, when: str = "true") -> DataFrame:
+    """(a, b, shared) of near sets a < b of which ``left`` and ``right`` list a common element, on the condition ``when`` on x and y."""
+    fits = F.expr(f"x.id < y.id AND ({when}) AND {percent} * x.n <= 100 * y.n AND {percent} * y.n <= 100 * x.n AND {100 + percent} * least(x.rest, y.rest) >= {percent} * (x.n + y.n)")
+    able = written(left.alias("x").join(right.alias("y"), F.col("x.e") == F.col("y.e")).filter(fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    few = able.count() <= BROADCAST_PAIRS
+
+    def side(node):
+        own = sized.join(F.broadcast(able.select(F.col(node).alias("id")).distinct()), "id", "left_semi") if few else sized
+        return own.select(F.col("id").alias(node), F.col("s").alias(f"s_{node}"), F.col("n").alias(f"n_{node}"))
+
+    both = able.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.size(F.array_intersect("s_a", "s_b")).cast("long").alias("shared"), "n_a", "n_b")
+    return both.filter(f"100 * shared >= {percent} * (n_a + n_b - shared)").select("a", "b", "shared")
+
+
 def set_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, shared) of all a < b of ``sets(id, s)`` with 100 * intersection >= percent * union; ``s`` are distinct longs.
 
@@ -125,17 +152,46 @@ def set_pairs(sets: DataFrame, percent: int) -> DataFrame:
     about a fifth at 80 percent, are joined, on condition of fitting sizes and of enough
     elements after the shared one. Elements of one set only count for the order alone.
     """
-    sized = written(sets.select("id", "s", F.size("s").cast("long").alias("n")).filter("n > 0"))
-    held = sized.select("id", "n", F.explode("s").alias("e"))
-    shared = held.groupBy("e").agg(F.count("*").alias("holders")).filter("holders > 1")
-    rank = Window.partitionBy("id").orderBy(F.col("holders").desc(), F.col("e").desc())
-    listed = written(held.join(shared, "e").withColumn("rest", F.row_number().over(rank).cast("long")).filter(f"100 * rest >= {percent} * n").drop("holders"))
-    x, y = listed.alias("x"), listed.alias("y")
-    fits = F.expr(f"x.id < y.id AND {percent} * x.n <= 100 * y.n AND {percent} * y.n <= 100 * x.n AND {100 + percent} * least(x.rest, y.rest) >= {percent} * (x.n + y.n)")
-    able = written(x.join(y, F.col("x.e") == F.col("y.e")).filter(fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
-    side = lambda node: sized.select(F.col("id").alias(node), F.col("s").alias(f"s_{node}"), F.col("n").alias(f"n_{node}"))
-    both = able.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.size(F.array_intersect("s_a", "s_b")).cast("long").alias("shared"), "n_a", "n_b")
-    return both.filter(f"100 * shared >= {percent} * (n_a + n_b - shared)").select("a", "b", "shared")
+    sized, listed = _listed_sets(sets, percent)
+    return _near(listed, listed, sized, percent)
+
+
+#: Rounds of leaders at most, and one in how many open sets a round must decide for another one.
+LEADER_ROUNDS, WORTH = 4, 50
+
+
+def keep_first_sets(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, dup_of) of a walk through ``sets(id, s)`` in order of id that drops a set near an earlier kept one; sets near none may be missing.
+
+    A set that no earlier open set shares a listed element with is kept for sure. Such
+    leaders are compared with the open sets that share an element with them, one leader for each
+    element, and near ones are dropped, so a group of near copies goes without pairs among
+    its members. After a few rounds, or one that decides little, all pairs of what is
+    open are made, and the walk decides. Sets kept after a round may be an earlier
+    original of sets dropped in it; those are compared last.
+    """
+    sized, listed = _listed_sets(sets, percent)
+    still, gone, kept = listed, [], []
+    n = still.select("id").distinct().count()
+    for at in range(LEADER_ROUNDS):
+        least = still.groupBy("e").agg(F.min("id").alias("least"))
+        leads = written(still.join(least, "e").groupBy("id").agg(F.bool_and(F.col("id") == F.col("least")).alias("leads")).filter("leads").select("id"))
+        first = still.join(leads, "id", "left_semi")
+        near = _near(first, still, sized, percent)
+        gone.append(written(near.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("dup_of")).withColumn("round", F.lit(at))))
+        kept.append(leads.withColumn("round", F.lit(at)))
+        still = written(still.join(leads.union(gone[-1].select("id")), "id", "left_anti"))
+        before, n = n, still.select("id").distinct().count()
+        if not n or WORTH * (before - n) < before:
+            break
+    walked = written(keep_first(still.select("id").distinct(), _near(still, still, sized, percent).select("a", "b")))
+    dropped = written(reduce(DataFrame.unionByName, gone))
+    kept.append(walked.filter("dup_of IS NULL").select("id", F.lit(LEADER_ROUNDS).alias("round")))
+    later = listed.join(reduce(DataFrame.unionByName, kept), "id")
+    missed = _near(later, listed.join(dropped, "id"), sized, percent, "x.round > y.round AND x.id < y.dup_of")
+    earliest = missed.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("other"))
+    mended = dropped.join(earliest, "id", "left").select("id", F.least("dup_of", "other").alias("dup_of"))
+    return mended.unionByName(walked)
 
 
 def keep_first(nodes: DataFrame, links: DataFrame) -> DataFrame:

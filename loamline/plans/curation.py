@@ -124,9 +124,8 @@ def keep_first_copies(docs, order):
     if near.count() <= BROADCAST_NEAR:
         near = F.broadcast(near)
     sets = hashed_sets(docs.select("doc_id", order.alias("id"), "text").join(near, "doc_id", "left_semi"), NEAR_WORDS)
-    links = dedup.set_pairs(sets.select("id", "s"), NEAR_PERCENT)
-    kept = dedup.keep_first(first.select(F.col("rep").alias("id")), links.select("a", "b"))
-    decided = first.drop("doc_id").join(kept.withColumnRenamed("id", "rep"), "rep")
+    copies = dedup.keep_first_sets(sets.select("id", "s"), NEAR_PERCENT).filter("dup_of IS NOT NULL")
+    decided = first.drop("doc_id").join(copies.withColumnRenamed("id", "rep"), "rep", "left")
     joined = listed.join(decided, "digest", "left")
     return joined.select("doc_id", "id", F.coalesce("dup_of", F.when(F.col("id") != F.col("rep"), F.col("rep"))).alias("dup_of"))
 

@@ -32,11 +32,11 @@ def test_longest_copy_stays(spark, tmp_path):
 
 
 def test_only_sets_that_may_be_near_are_listed_whole(spark, tmp_path, monkeypatch):
-    rng, seen, pairs = random.Random(5), [], dedup.set_pairs
+    rng, seen, walk = random.Random(5), [], dedup.keep_first_sets
     common = [f"c{i}" for i in range(12)]
     texts = [" ".join([*common, *(f"v{rng.randrange(10**9)}" for _ in range(80))]) for _ in range(60)]
     texts.append(texts[7] + " tail")
-    monkeypatch.setattr(dedup, "set_pairs", lambda sets, *a: seen.append({r.id for r in sets.select("id").collect()}) or pairs(sets, *a))
+    monkeypatch.setattr(dedup, "keep_first_sets", lambda sets, *a: seen.append({r.id for r in sets.select("id").collect()}) or walk(sets, *a))
     got = {r.doc_id: r.dup_of for r in curation.near_dup_keep_first(spark, _saved(spark, tmp_path, texts)).collect()}
     assert got == {i: {60: 7}.get(i) for i in range(61)} and seen == [{7, 60}]
 
@@ -50,3 +50,26 @@ def test_no_near_pair_is_lost_before_sets_are_listed(spark):
     rows = [(i, len(s), sorted(s)[: dedup.early(len(s), 80)]) for i, s in enumerate(sets)]
     got = {r.id for r in dedup.may_pair(spark.createDataFrame(rows, "id long, n long, s array<long>"), 80).collect()}
     assert near <= got and len(near) > 100
+
+
+def test_a_near_group_is_walked_without_all_pairs(spark, monkeypatch):
+    rng, sets = random.Random(3), []
+    for _ in range(25):
+        base = rng.sample(range(3000), rng.choice([5, 30, 60]))
+        for _ in range(rng.choice([2, 6])):
+            s = {*base}
+            for _ in range(rng.randrange(1 + len(base) // 5)):
+                s.discard(rng.choice(base))
+                s.add(rng.randrange(3000))
+            sets.append(sorted(s))
+    large = rng.sample(range(5000, 9000), 200)
+    sets += [sorted({*large} - {x} | {10_000 + i}) for i, x in enumerate(large[:100])]
+    rng.shuffle(sets)
+    kept, want, made, near = [], {}, [], dedup._near
+    for i, s in enumerate(sets):
+        want[i] = next((k for k in kept if 100 * len({*s} & {*sets[k]}) >= 80 * len({*s} | {*sets[k]})), None)
+        kept += [i] * (want[i] is None)
+    monkeypatch.setattr(dedup, "_near", lambda *a: made.append((found := dedup.written(near(*a))).count()) or found)
+    got = {r.id: r.dup_of for r in dedup.keep_first_sets(spark.createDataFrame(list(enumerate(sets)), "id long, s array<long>"), 80).collect()}
+    assert {i: d for i, d in got.items() if d is not None} == {i: d for i, d in want.items() if d is not None} and len(got) == len({*got})
+    assert sum(made) < 600 and len(made) > 2
